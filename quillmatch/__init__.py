@@ -1,0 +1,3 @@
+"""Document matching and interview analytics as PySpark DataFrame operators."""
+
+__version__ = "0.1.0"

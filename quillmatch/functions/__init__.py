@@ -1,0 +1 @@
+"""Column functions: text, scoring rules, prompt text and fixed values."""

@@ -1,0 +1,152 @@
+"""Batch completion through user-supplied callables, and the attempt log."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillmatch.functions import values as V
+from quillmatch.functions.rules import pct
+from quillmatch.functions.text import as_column, is_blank, word_count
+from quillmatch.operators.responses import parse_responses
+from quillmatch.plans import scale
+
+Provider = Callable[[list[dict]], str]
+CALL_SCHEMA = "request_id bigint, content string, error string"
+
+
+def call_provider(
+    requests: DataFrame,
+    provider: Provider | Callable[[], Provider],
+    pause: float = 1.0,
+    factory: bool = False,
+    partitions: int | None = None,
+) -> DataFrame:
+    """(request_id, content, error): one call per request.
+
+    ``requests``: (request_id, messages), messages being an array of (role,
+    content).  A provider takes the messages and returns text; it may raise.
+    With ``factory`` it is built once per task, e.g. a client that cannot be
+    pickled.  The task pauses after each failed call.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = provider() if factory else provider
+        for batch in batches:
+            contents, errors = [], []
+            for messages in batch["messages"]:
+                content, error = None, None
+                try:
+                    content = call([m if isinstance(m, dict) else m.asDict() for m in messages])
+                except Exception as exc:  # a provider may fail in any way
+                    error = str(exc)
+                if not content and error is None:
+                    error = "Empty response content"
+                if error is not None:
+                    time.sleep(pause)
+                contents.append(content)
+                errors.append(error)
+            yield pd.DataFrame(
+                {"request_id": batch["request_id"], "content": contents, "error": errors}
+            )
+
+    rows = requests.select(F.col("request_id").cast("bigint"), "messages")
+    if partitions:
+        rows = rows.repartition(partitions, "request_id")
+    return rows.mapInPandas(run, CALL_SCHEMA)
+
+
+def first_valid_response(requests: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(request_id, content, provider_rank, status, last_error) per request.
+
+    The first valid content by provider order and attempt wins.  Without one the
+    status is 503 and the error is that of the last attempt.  Each task reduces
+    its share of the log first, so a request with very many attempts is no burden.
+    """
+    order = F.struct("provider_rank", "attempt")
+    valid = F.col("error").isNull() & (F.length("content") > 0)
+    best = attempts.groupBy("request_id").agg(
+        F.min_by(F.struct("content", "provider_rank"), F.when(valid, order)).alias("w"),
+        F.max_by("error", order).alias("last_error"),
+    )
+    return requests.select("request_id").distinct().join(best, "request_id", "left").select(
+        "request_id",
+        F.col("w.content").alias("content"),
+        F.col("w.provider_rank").alias("provider_rank"),
+        F.when(F.col("w").isNotNull(), 200).otherwise(503).alias("status"),
+        F.when(F.col("w").isNull(), F.col("last_error")).alias("last_error"),
+    )
+
+
+def complete_batch(
+    requests: DataFrame,
+    providers: Sequence[Provider],
+    model: str | dict,
+    max_retries: int = 1,
+    pause: float = 1.0,
+    factories: bool = False,
+    partitions: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(responses, attempts): structured completion with ordered fallback.
+
+    Each round sends the requests still open to one provider and checks the
+    answers against ``model``; those without a valid answer go to the next
+    attempt, then to the next provider.  Every round is written before the next
+    starts, so a lost executor repeats no finished round.
+    """
+    open_requests = requests.select(F.col("request_id").cast("bigint").alias("request_id"), "messages")
+    log: DataFrame | None = None
+    for rank, provider in enumerate(providers):
+        for attempt in range(1, max_retries + 1):
+            calls = call_provider(open_requests, provider, pause, factories, partitions)
+            checked = parse_responses(calls, "content", model, error="fault").select(
+                "request_id",
+                F.lit(rank).alias("provider_rank"),
+                F.lit(attempt).alias("attempt"),
+                F.when(F.coalesce("error", "fault").isNull(), F.col("content")).alias("content"),
+                F.coalesce("error", "fault").alias("error"),
+            )
+            done = scale.materialize(checked, f"attempts-{rank}-{attempt}")
+            log = done if log is None else log.unionByName(done)
+            failed = done.filter(F.col("error").isNotNull()).select("request_id")
+            open_requests = open_requests.join(failed, "request_id", "left_semi")
+    return parse_responses(first_valid_response(requests, log), "content", model), log
+
+
+def provider_health(attempts: DataFrame) -> DataFrame:
+    """(provider_rank, attempts, failures, success_pct) per provider."""
+    return (
+        attempts.groupBy("provider_rank")
+        .agg(
+            F.count(F.lit(1)).alias("attempts"),
+            F.count_if(F.col("error").isNotNull()).alias("failures"),
+        )
+        .withColumn("success_pct", pct(F.col("attempts") - F.col("failures"), "attempts"))
+    )
+
+
+def all_failed(attempts: DataFrame) -> DataFrame:
+    """Requests of the log in which every attempt failed."""
+    return (
+        attempts.groupBy("request_id")
+        .agg(F.bool_and(F.col("error").isNotNull()).alias("failed"))
+        .filter("failed")
+        .select("request_id")
+    )
+
+
+def check_channel_rules(kind: Column | str, subject: Column | str, content: Column | str) -> Column:
+    """The channel rules a generated text breaks, as an array of codes."""
+    k, n = as_column(kind), word_count(content)
+    no_subject = is_blank(subject)
+    codes = [
+        F.when((k == channel) & (n >= limit), "too_long")
+        for channel, limit in V.CHANNEL_WORD_LIMITS.items()
+    ]
+    codes.append(F.when(k.isin(*V.CHANNEL_WORD_LIMITS) & ~no_subject, "subject_not_allowed"))
+    codes.append(F.when((k == "email") & no_subject, "subject_missing"))
+    return F.array_compact(F.array(*codes))

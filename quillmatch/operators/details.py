@@ -1,0 +1,161 @@
+"""Details of chosen CV-JD pairs: keywords, claims, lines and edits.
+
+All take ``pairs`` (doc_id, item_id), normally the top of a ranking, so their
+work follows the number of JDs rather than the number of all pairs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillmatch.functions import values as V
+from quillmatch.functions.text import as_column, distinct_tokens, has_digit, is_blank, lines, word_count
+from quillmatch.operators import terms
+from quillmatch.operators.matching import MatchInputs
+
+
+def pair_terms(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, item_id, term, tf): the JD's key terms for each pair."""
+    return pairs.select("doc_id", "item_id").join(keys.select("item_id", "term", "tf"), "item_id")
+
+
+def matched_keywords(pairs: DataFrame, inputs: MatchInputs) -> DataFrame:
+    """Key terms of the JD that the CV holds."""
+    return pair_terms(pairs, inputs.keys).join(inputs.hits, ["doc_id", "term"], "left_semi")
+
+
+def missing_keywords(pairs: DataFrame, inputs: MatchInputs) -> DataFrame:
+    """Key terms of the JD that the CV lacks, all of them."""
+    return pair_terms(pairs, inputs.keys).join(inputs.hits, ["doc_id", "term"], "left_anti")
+
+
+def top_missing_keywords(missing: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` missing terms the JD repeats most; ties go to the earlier term."""
+    order = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("tf"), "term")
+    return missing.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def top_claims(keys: DataFrame, k: int = 5) -> DataFrame:
+    """(item_id, claim): the key terms to look for evidence of, most repeated first."""
+    order = Window.partitionBy("item_id").orderBy(F.desc("tf"), "term")
+    return (
+        keys.withColumn("r", F.row_number().over(order))
+        .filter(F.col("r") <= k)
+        .select("item_id", F.col("term").alias("claim"))
+    )
+
+
+def claims_with_evidence(pairs: DataFrame, claims: DataFrame, cvs: DataFrame) -> DataFrame:
+    """Every claim of each pair with the CV lines that mention it.
+
+    A claim without a line keeps one row whose ``line_no`` and ``line`` are NULL.
+    """
+    wanted = pairs.select("doc_id", "item_id").join(claims, "item_id")
+    chosen = cvs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    text_lines = chosen.select("doc_id", F.posexplode(lines("text")).alias("line_no", "line"))
+    mentions = text_lines.select(
+        "doc_id", "line_no", "line", F.explode(distinct_tokens("line")).alias("claim")
+    )
+    return wanted.join(mentions, ["doc_id", "claim"], "left").select(
+        "doc_id", "item_id", "claim", "line_no", "line"
+    )
+
+
+def evidence_strength(evidence: DataFrame) -> DataFrame:
+    """One grade per claim: the strongest of its lines."""
+    grade = (
+        F.when(F.col("line").isNull(), 0)
+        .when(has_digit("line"), 3)
+        .when(word_count("line") >= 8, 2)
+        .otherwise(1)
+    )
+    labels = F.array(*[F.lit(x) for x in reversed(V.EVIDENCE_STRENGTHS)])
+    return (
+        evidence.groupBy("doc_id", "item_id", "claim")
+        .agg(F.max(grade).alias("grade"))
+        .select("doc_id", "item_id", "claim", F.element_at(labels, F.col("grade") + 1).alias("strength"))
+    )
+
+
+def keyword_priority(jds: DataFrame, high: int = 3, medium: int = 2) -> DataFrame:
+    """(item_id, keyword, tf, priority): how much each JD insists on a term."""
+    return terms.jd_postings(jds).select(
+        "item_id",
+        F.col("term").alias("keyword"),
+        "tf",
+        F.when(F.col("tf") >= high, V.PRIORITIES[0])
+        .when(F.col("tf") >= medium, V.PRIORITIES[1])
+        .otherwise(V.PRIORITIES[2])
+        .alias("priority"),
+    )
+
+
+def enum_rank(col: Column | str, order: tuple[str, ...]) -> Column:
+    """1 for the first value of ``order``; values outside it come last."""
+    ranks = F.create_map(*[F.lit(x) for i, v in enumerate(order, 1) for x in (v, i)])
+    return F.coalesce(F.try_element_at(ranks, as_column(col)), F.lit(len(order) + 1))
+
+
+def order_by_priority(keywords: DataFrame) -> DataFrame:
+    """Keywords of each JD numbered High, Medium, Low, then by name."""
+    rows = keywords.withColumn("priority_rank", enum_rank("priority", V.PRIORITIES))
+    order = Window.partitionBy("item_id").orderBy("priority_rank", "keyword")
+    return rows.withColumn("position", F.row_number().over(order))
+
+
+def weakest_lines(docs: DataFrame, k: int = 5) -> DataFrame:
+    """(doc_id, rank, line_no, line): non-blank lines most in need of editing.
+
+    Lines without a digit first, then those with fewest words, then by position.
+    A text's lines are ordered inside its own row, without a shuffle.
+    """
+    graded = F.transform(
+        lines("text"),
+        lambda x, i: F.struct(
+            has_digit(x).cast("int").alias("digit"),
+            word_count(x).alias("n_words"),
+            i.alias("line_no"),
+            x.alias("line"),
+        ),
+    )
+    filled = F.filter(graded, lambda s: ~is_blank(s["line"]))
+    worst = F.slice(F.array_sort(filled), 1, k)
+    return docs.select("doc_id", F.posexplode(worst).alias("i", "w")).select(
+        "doc_id", (F.col("i") + 1).alias("rank"), "w.line_no", "w.line"
+    )
+
+
+# --- edits: (doc_id, ord, original_text, upgraded_text) -----------------------------
+
+
+def check_verbatim_edits(edits: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edits with ``verbatim``: whether the original text stands exactly in the CV."""
+    return edits.join(docs.select("doc_id", "text"), "doc_id", "left").select(
+        *edits.columns,
+        F.coalesce(F.contains("text", "original_text") & (F.col("original_text") != ""), F.lit(False))
+        .alias("verbatim"),
+    )
+
+
+def apply_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
+    """(doc_id, revised): each CV with its edits made in order.
+
+    Edits with an empty original are skipped; a CV without edits stays as it is.
+    """
+    e = edits.filter(F.col("original_text") != "")
+    packed = e.groupBy("doc_id").agg(
+        F.sort_array(
+            F.collect_list(
+                F.struct(
+                    "ord",
+                    F.col("original_text").alias("o"),
+                    F.coalesce("upgraded_text", F.lit("")).alias("u"),
+                )
+            )
+        ).alias("edits")
+    )
+    revised = F.aggregate("edits", F.col("text"), lambda acc, x: F.replace(acc, x["o"], x["u"]))
+    return docs.join(packed, "doc_id", "left").select(
+        "doc_id", F.when(F.col("edits").isNull(), F.col("text")).otherwise(revised).alias("revised")
+    )

@@ -1,0 +1,197 @@
+"""Metrics of interview answers, their roll-up, and category scores."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillmatch.functions import values as V
+from quillmatch.functions.rules import int_div, pct, rounded_mean, score_band
+from quillmatch.functions.text import distinct_tokens, phrase_count, tokens, word_count
+from quillmatch.operators.matching import jd_totals
+
+SHORT_ANSWER_WORDS = 5
+SHORT_ANSWER_SCORE = 30
+VOCABULARY_CUTS = (5, 15, 30)
+
+
+def answers(turns: DataFrame) -> DataFrame:
+    return turns.filter(F.col("role") == "user")
+
+
+def confidence_score(text: str = "text", fillers: Sequence[str] = V.FILLERS) -> Column:
+    """Fluency of an answer: filler words cost points, very short answers score 30."""
+    n = word_count(text)
+    spoken = int_div(F.lit(500) * phrase_count(tokens(text), fillers), n)
+    return (
+        F.when(n < SHORT_ANSWER_WORDS, F.lit(SHORT_ANSWER_SCORE))
+        .otherwise(F.greatest(F.lit(100) - spoken, F.lit(0)))
+        .cast("bigint")
+    )
+
+
+def jd_term_lists(keys: DataFrame) -> DataFrame:
+    """(item_id, key_list, n_key_terms): a JD's key terms as one array.
+
+    Every list comes from a single JD text, so its size is that of one row.
+    """
+    return keys.groupBy("item_id").agg(
+        F.collect_list("term").alias("key_list"), F.count(F.lit(1)).alias("n_key_terms")
+    )
+
+
+def jd_relevance_score(turns: DataFrame, interviews: DataFrame, keys: DataFrame) -> DataFrame:
+    """Answers with the share of the interview's JD key terms they mention.
+
+    ``interviews``: (conv_id, item_id).  Answers of an interview whose JD has no
+    key terms score 0.
+    """
+    rows = (
+        answers(turns)
+        .join(interviews, "conv_id")
+        .join(jd_term_lists(keys), "item_id", "left")
+    )
+    hits = F.size(F.array_intersect(distinct_tokens("text"), F.col("key_list")))
+    return rows.select(
+        "conv_id", "turn", "item_id",
+        F.coalesce(pct(hits, "n_key_terms"), F.lit(0)).alias("jd_relevance_score"),
+    )
+
+
+def tech_vocab_share(turns: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(conv_id, turn, n_tokens, n_tech): answer tokens and those in the vocabulary.
+
+    Tokens are counted per answer and term before they meet the vocabulary, so a
+    hot word adds one row per answer.
+    """
+    rows = answers(turns).select("conv_id", "turn", tokens("text").alias("t"))
+    sizes = rows.select("conv_id", "turn", F.size("t").cast("bigint").alias("n_tokens"))
+    found = (
+        rows.select("conv_id", "turn", F.explode("t").alias("term"))
+        .join(vocabulary.select("term").distinct(), "term", "left_semi")
+        .groupBy("conv_id", "turn")
+        .agg(F.count(F.lit(1)).alias("n_tech"))
+    )
+    return sizes.join(found, ["conv_id", "turn"], "left").withColumn(
+        "n_tech", F.coalesce("n_tech", F.lit(0))
+    )
+
+
+def vocabulary_rating(share: Column, cuts: Sequence[int] = VOCABULARY_CUTS) -> Column:
+    """Rating of a percentage: the cuts separate the four levels from below."""
+    out = None
+    for cut, label in zip(cuts, V.VOCABULARY_RATINGS, strict=False):
+        out = F.when(share < cut, label) if out is None else out.when(share < cut, label)
+    return out.otherwise(V.VOCABULARY_RATINGS[-1])
+
+
+def tech_vocab_rating(turns: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    share = pct("n_tech", "n_tokens")
+    return tech_vocab_share(turns, vocabulary).select(
+        "conv_id", "turn", share.alias("tech_share"), vocabulary_rating(share).alias("tech_vocab_rating")
+    )
+
+
+def turn_metrics(
+    turns: DataFrame,
+    interviews: DataFrame,
+    keys: DataFrame,
+    vocabulary: DataFrame,
+    fillers: Sequence[str] = V.FILLERS,
+) -> DataFrame:
+    """(conv_id, turn, confidence_score, jd_relevance_score, tech_vocab_rating) per answer."""
+    confidence = answers(turns).select(
+        "conv_id", "turn", confidence_score("text", fillers).alias("confidence_score")
+    )
+    return (
+        confidence.join(
+            jd_relevance_score(turns, interviews, keys).drop("item_id"), ["conv_id", "turn"], "left"
+        )
+        .join(tech_vocab_rating(turns, vocabulary).drop("tech_share"), ["conv_id", "turn"])
+        .withColumn("jd_relevance_score", F.coalesce("jd_relevance_score", F.lit(0)))
+    )
+
+
+def metrics_rollup(conversations: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Latest metrics and integer means per conversation.
+
+    A conversation without an answer shows the initial 100 / 100 / TỐT, and NULL
+    means.
+    """
+    latest = F.max_by(
+        F.struct("confidence_score", "jd_relevance_score", "tech_vocab_rating"), F.col("turn")
+    )
+    rolled = metrics.groupBy("conv_id").agg(
+        latest.alias("l"),
+        F.count(F.lit(1)).alias("n_answers"),
+        F.sum("confidence_score").alias("cs"),
+        F.sum("jd_relevance_score").alias("rs"),
+    )
+    return (
+        conversations.select("conv_id")
+        .distinct()
+        .join(rolled, "conv_id", "left")
+        .select(
+            "conv_id",
+            F.coalesce("n_answers", F.lit(0)).alias("n_answers"),
+            F.coalesce("l.confidence_score", F.lit(V.INITIAL_CONFIDENCE)).alias("confidence_score"),
+            F.coalesce("l.jd_relevance_score", F.lit(V.INITIAL_RELEVANCE)).alias("jd_relevance_score"),
+            F.coalesce("l.tech_vocab_rating", F.lit(V.INITIAL_VOCABULARY)).alias("tech_vocab_rating"),
+            rounded_mean("cs", "n_answers").alias("avg_confidence"),
+            rounded_mean("rs", "n_answers").alias("avg_relevance"),
+        )
+    )
+
+
+# --- category scores: (interview_id, category, score) ---------------------------------
+
+
+def category_means(scores: DataFrame) -> DataFrame:
+    """(interview_id, category, score): integer mean per category."""
+    return scores.groupBy("interview_id", "category").agg(
+        rounded_mean(F.sum("score"), F.count("score")).alias("score")
+    )
+
+
+def sub_score_grid(scores: DataFrame, categories: Sequence[str] = V.REPORT_CATEGORIES) -> DataFrame:
+    """One column per named category, and whether exactly the named ones are there."""
+    means = category_means(scores)
+    # Categories are few after the means, so plain conditional sums make the grid.
+    cells = [
+        F.max(F.when(F.col("category") == c, F.col("score"))).alias(c) for c in categories
+    ]
+    named = F.count_if(F.col("category").isin(list(categories)))
+    return means.groupBy("interview_id").agg(
+        *cells,
+        ((F.count(F.lit(1)) == len(categories)) & (named == len(categories))).alias("complete"),
+    )
+
+
+def overall_score(scores: DataFrame) -> DataFrame:
+    """(interview_id, overall_score, label): integer mean of the category means."""
+    total = rounded_mean(F.sum("score"), F.count("score"))
+    return (
+        category_means(scores)
+        .groupBy("interview_id")
+        .agg(total.alias("overall_score"))
+        .withColumn("label", score_band("overall_score", "report_label"))
+    )
+
+
+def strengths_and_gaps(scores: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` best and ``k`` worst categories of each interview, ties by name."""
+    means = category_means(scores)
+    sides = {
+        "strength": Window.partitionBy("interview_id").orderBy(F.desc("score"), "category"),
+        "gap": Window.partitionBy("interview_id").orderBy("score", "category"),
+    }
+    ranked = means.withColumns({f"r_{s}": F.row_number().over(w) for s, w in sides.items()})
+    chosen = F.filter(
+        F.array(
+            *[F.struct(F.lit(s).alias("side"), F.col(f"r_{s}").alias("rank")) for s in sides]
+        ),
+        lambda x: x["rank"] <= k,
+    )
+    return ranked.select("interview_id", "category", "score", F.inline(chosen))

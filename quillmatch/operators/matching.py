@@ -1,0 +1,194 @@
+"""Scoring CVs against JDs.
+
+A term joins CVs and JDs; pairs that share no key term score 0 and are never
+built.  The texts are tokenised once: their terms, cut down to the vocabulary of
+the JDs, are written as a narrow table that document frequency, pair scores and
+pair details all read.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillmatch.functions import values as V
+from quillmatch.functions.rules import int_div, pct
+from quillmatch.functions.text import has_digit, is_blank, lines
+from quillmatch.operators import terms
+from quillmatch.plans import scale
+
+SCORE_COLUMNS = (
+    "keyword_coverage", "technical_match", "experience_relevance",
+    "impact_evidence", "ats_readiness",
+)
+
+
+@dataclass(frozen=True)
+class MatchInputs:
+    """Narrow tables the pair operators share.
+
+    ``hits``: (doc_id, term), or (doc_id, line_no, term) in ``line_hits``, for
+    terms of the JD vocabulary.  ``keys``: (item_id, term, tf, df).
+    """
+
+    cvs: DataFrame
+    jds: DataFrame
+    hits: DataFrame
+    keys: DataFrame
+    line_hits: DataFrame | None = None
+
+
+def prepare(
+    cvs: DataFrame,
+    jds: DataFrame,
+    by_line: bool = False,
+    min_length: int = terms.MIN_TERM_LENGTH,
+    max_df_percent: int = terms.MAX_DF_PERCENT,
+) -> MatchInputs:
+    """Tokenise the CVs once and derive the key terms."""
+    jd_terms = scale.materialize(terms.jd_postings(jds, min_length), "jd-terms")
+    line_hits = None
+    if by_line:
+        found = terms.in_vocabulary(terms.line_terms(cvs), jd_terms)
+        line_hits = scale.materialize(found.select("doc_id", "line_no", "term"), "line-hits")
+        hits = line_hits.select("doc_id", "term").distinct()
+    else:
+        found = terms.in_vocabulary(terms.doc_terms(cvs), jd_terms)
+        hits = scale.materialize(found.select("doc_id", "term"), "hits")
+    keys = terms.key_terms(jd_terms, hits, terms.row_count(cvs), max_df_percent)
+    return MatchInputs(cvs, jds, hits, scale.materialize(keys, "key-terms"), line_hits)
+
+
+def jd_totals(keys: DataFrame) -> DataFrame:
+    """(item_id, n_key_terms, key_tf): size of each JD's key-term list."""
+    return keys.groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("n_key_terms"), F.sum("tf").alias("key_tf")
+    )
+
+
+def candidate_pairs(cv_terms: DataFrame, jd_terms: DataFrame) -> DataFrame:
+    """(doc_id, item_id, hits, hit_tf): pairs that share at least one term.
+
+    An equi-join on the term; the pair counts are combined before the shuffle.
+    """
+    return (
+        cv_terms.join(jd_terms.select("item_id", "term", "tf"), "term")
+        .groupBy("doc_id", "item_id")
+        .agg(F.count(F.lit(1)).alias("hits"), F.sum("tf").alias("hit_tf"))
+    )
+
+
+def pair_coverage(inputs: MatchInputs) -> DataFrame:
+    """(doc_id, item_id, hits, n_key_terms, keyword_coverage, technical_match)."""
+    return (
+        candidate_pairs(inputs.hits, inputs.keys)
+        .join(jd_totals(inputs.keys), "item_id")
+        .select(
+            "doc_id", "item_id", "hits", "n_key_terms",
+            pct("hits", "n_key_terms").alias("keyword_coverage"),
+            pct("hit_tf", "key_tf").alias("technical_match"),
+        )
+    )
+
+
+def keyword_coverage(inputs: MatchInputs) -> DataFrame:
+    """Share of a JD's key terms that a CV holds."""
+    return pair_coverage(inputs).drop("technical_match")
+
+
+def technical_match(inputs: MatchInputs, skills: DataFrame | None = None) -> DataFrame:
+    """Coverage weighted by how often the JD repeats a term, optionally for a
+    skill vocabulary only."""
+    if skills is not None:
+        inputs = MatchInputs(
+            inputs.cvs, inputs.jds, inputs.hits, terms.in_vocabulary(inputs.keys, skills)
+        )
+    return pair_coverage(inputs).select("doc_id", "item_id", "technical_match")
+
+
+def experience_relevance(inputs: MatchInputs) -> DataFrame:
+    """Coverage of the best single line of the CV."""
+    per_line = (
+        inputs.line_hits.join(inputs.keys.select("item_id", "term"), "term")
+        .groupBy("doc_id", "item_id", "line_no")
+        .agg(F.count(F.lit(1)).alias("hits"))
+    )
+    return (
+        per_line.groupBy("doc_id", "item_id")
+        .agg(F.max("hits").alias("best_hits"))
+        .join(jd_totals(inputs.keys), "item_id")
+        .select(
+            "doc_id", "item_id",
+            pct("best_hits", "n_key_terms").alias("experience_relevance"),
+        )
+    )
+
+
+def impact_evidence(text: str = "text") -> Column:
+    """Share of non-blank lines that hold a digit."""
+    filled = F.filter(lines(text), lambda x: ~is_blank(x))
+    return pct(F.size(F.filter(filled, has_digit)), F.size(filled))
+
+
+def ats_checks(text: str = "text", headings: Sequence[str] = V.HEADINGS) -> dict[str, Column]:
+    """The five layout checks as booleans."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    names = "|".join(re.escape(h) for h in headings)
+    heading = F.lower(t).rlike(rf"(^|\n)[ \t]*#*[ \t]*({names})([^\p{{L}}\p{{N}}]|$)")
+    return {
+        "has_text": ~is_blank(text),
+        "no_table": ~t.rlike(r"[|\t]"),
+        "no_symbol": ~t.rlike(r"\p{So}"),
+        "two_lines": F.size(F.filter(lines(t), lambda x: ~is_blank(x))) >= 2,
+        "has_heading": heading,
+    }
+
+
+def ats_readiness(
+    cvs: DataFrame, headings: Sequence[str] = V.HEADINGS, text: str = "text"
+) -> DataFrame:
+    """CVs with the five checks and their score, 20 points each."""
+    checks = ats_checks(text, headings)
+    rows = cvs.withColumns(checks)
+    total = sum((F.col(c).cast("bigint") for c in checks), start=F.lit(0).cast("bigint"))
+    return rows.withColumn("ats_readiness", total * 20)
+
+
+def match_score(
+    inputs: MatchInputs,
+    headings: Sequence[str] = V.HEADINGS,
+    weights: Sequence[int] = (1, 1, 1, 1, 1),
+) -> DataFrame:
+    """All sub-scores of each pair and their weighted integer mean.
+
+    The weights follow ``SCORE_COLUMNS``.
+    """
+    cv_scores = ats_readiness(inputs.cvs, headings).select(
+        "doc_id", impact_evidence().alias("impact_evidence"), "ats_readiness"
+    )
+    scored = (
+        pair_coverage(inputs)
+        .select("doc_id", "item_id", "keyword_coverage", "technical_match")
+        .join(experience_relevance(inputs), ["doc_id", "item_id"])
+        .join(cv_scores, "doc_id")
+    )
+    total = sum((F.col(c) * w for c, w in zip(SCORE_COLUMNS, weights, strict=True)), start=F.lit(0))
+    whole = 2 * sum(weights)
+    return scored.select(
+        "doc_id", "item_id", *SCORE_COLUMNS,
+        int_div(2 * total + sum(weights), F.lit(whole)).cast("bigint").alias("match_score"),
+    )
+
+
+def rank_candidates(scores: DataFrame, k: int, score: str = "match_score") -> DataFrame:
+    """The ``k`` best CVs of each JD with their rank; ties go to the lower doc_id.
+
+    Each task keeps its own best ``k`` per JD before the shuffle, so a JD that
+    matches very many CVs moves no more rows than any other.
+    """
+    best_first = Window.partitionBy("item_id").orderBy(F.desc(score), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)

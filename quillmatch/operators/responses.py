@@ -1,0 +1,229 @@
+"""Structured responses: validation against declared models, checks, flattening."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillmatch.functions import values as V
+from quillmatch.functions.text import as_column
+
+# The response models.  "str", "int" and "bool" are leaves, a tuple
+# is a closed set of strings, a one-element list is a list, a dict an object.
+MODELS: dict[str, dict] = {
+    "match_result": {
+        "match_score": "int",
+        "missing_skills": ["str"],
+        "tailored_cv": {
+            "name": "str",
+            "summary": "str",
+            "experience": [{"company": "str", "role": "str", "bullet_points": ["str"]}],
+            "education": "str",
+            "skills": ["str"],
+        },
+    },
+    "interview_turn": {
+        "ai_feedback": "str",
+        "next_question": "str",
+        "hint_for_user": "str",
+        "metrics": {
+            "confidence_score": "int",
+            "confidence_feedback": "str",
+            "jd_relevance_score": "int",
+            "jd_relevance_feedback": "str",
+            "tech_vocab_rating": V.VOCABULARY_RATINGS,
+        },
+    },
+    "final_report": {
+        "overall_score": "int",
+        "overall_feedback": "str",
+        "sub_scores": [{"category": "str", "score": "int", "label": "str"}],
+        "key_strengths": ["str"],
+        "areas_for_improvement": ["str"],
+        "top_topics_covered": ["str"],
+        "ai_feedback_summary": {"positive": "str", "warning": "str", "actionable": "str"},
+        "turn_by_turn_analysis": [
+            {"question": "str", "user_answer": "str", "feedback": "str", "ideal_answer_snippet": "str"}
+        ],
+    },
+    "cv_analysis": {
+        "match_score": "int",
+        "match_headline": "str",
+        "match_summary": "str",
+        "technical_match": "int",
+        "experience_relevance": "int",
+        "keyword_coverage": "int",
+        "impact_evidence": "int",
+        "tone_quality": "int",
+        "ats_readiness": "int",
+        "missing_keywords": ["str"],
+        "suggested_edits": [
+            {"section": "str", "original_text": "str", "upgraded_text": "str", "reason": "str"}
+        ],
+        "cv_strengths": ["str"],
+        "prioritized_keywords": [{"keyword": "str", "priority": V.PRIORITIES}],
+        "evidence_analysis": [
+            {"claim": "str", "evidence_strength": V.EVIDENCE_STRENGTHS, "comment": "str"}
+        ],
+    },
+    "writer": {"subject_line": "str", "content": "str", "tips": ["str"]},
+}
+
+
+def _child(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$['{name}']", "variant")
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.startswith(F.schema_of_variant(v), F.lit(kind))
+
+
+def _read(v: Column, spec: object, path: str) -> tuple[Column, Column]:
+    """(value, error) of a variant under ``spec``.
+
+    ``v`` is NULL when the field is missing.  The error names the first bad
+    field in declared order.
+    """
+    missing = F.when(v.isNull(), F.lit(f"missing {path}"))
+    if isinstance(spec, dict):
+        parts = {k: _read(_child(v, k), s, f"{path}.{k}" if path else k) for k, s in spec.items()}
+        wrong = F.when(~_is(v, "OBJECT"), F.lit(f"type {path or 'response'}"))
+        error = F.coalesce(missing, wrong, *[e for _, e in parts.values()])
+        return F.struct(*[c.alias(k) for k, (c, _) in parts.items()]), error
+    if isinstance(spec, list):
+        items = F.try_variant_get(v, "$", "array<variant>")
+        value = F.transform(items, lambda x: _read(x, spec[0], f"{path}[]")[0])
+        faults = F.filter(
+            F.transform(items, lambda x: _read(x, spec[0], f"{path}[]")[1]), lambda e: e.isNotNull()
+        )
+        wrong = F.when(~_is(v, "ARRAY"), F.lit(f"type {path}"))
+        return value, F.coalesce(missing, wrong, F.try_element_at(faults, F.lit(1)))
+    text = F.try_variant_get(v, "$", "string")
+    if spec == "int":
+        # Integral numbers in any form pass: 95, "95", 95.0 and true.
+        number = F.when(_is(v, "BOOLEAN"), (text == "true").cast("int").cast("decimal(38,6)")).otherwise(
+            text.try_cast("decimal(38,6)")
+        )
+        whole = F.when(number == F.floor(number), number.try_cast("bigint"))
+        return whole, F.coalesce(missing, F.when(whole.isNull(), F.lit(f"int {path}")))
+    if spec == "bool":
+        flag = text.try_cast("boolean")
+        return flag, F.coalesce(missing, F.when(flag.isNull(), F.lit(f"bool {path}")))
+    wrong = F.when(~_is(v, "STRING"), F.lit(f"type {path}"))
+    if isinstance(spec, tuple):
+        wrong = F.coalesce(wrong, F.when(~text.isin(*spec), F.lit(f"enum {path}")))
+    return text, F.coalesce(missing, wrong)
+
+
+def parse_responses(
+    df: DataFrame, col: str, model: str | dict, parsed: str = "parsed", error: str = "error"
+) -> DataFrame:
+    """Validate JSON text against a declared model, row by row.
+
+    Adds ``parsed``, a struct, and ``error``; exactly one of them is NULL.  All
+    fields are required, unknown ones are ignored, and empty text is an error.
+    """
+    spec = MODELS[model] if isinstance(model, str) else model
+    raw = F.col(col)
+    rows = df.withColumn("__v", F.try_parse_json(raw))
+    value, fault = _read(F.col("__v"), spec, "")
+    text_fault = F.when(raw.isNull() | (raw == ""), F.lit("empty response")).when(
+        F.col("__v").isNull(), F.lit("invalid json")
+    )
+    rows = rows.withColumn(error, F.coalesce(text_fault, fault))
+    return rows.withColumn(parsed, F.when(F.col(error).isNull(), value)).drop("__v")
+
+
+# --- checks that flag and never drop --------------------------------------------------
+
+
+def _violations(df: DataFrame, checks: dict[str, Column], out: str = "violations") -> DataFrame:
+    found = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))
+    return df.withColumn(out, found)
+
+
+def check_enums(df: DataFrame, specs: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Adds ``violations``: the columns whose value is outside its declared set or NULL."""
+    return _violations(
+        df, {c: ~F.coalesce(F.col(c).isin(*allowed), F.lit(False)) for c, allowed in specs.items()}
+    )
+
+
+def enum_display(col: Column | str, shown: dict[str, str], fallback: str) -> Column:
+    """Display form of an enum value; unknown values show the fallback."""
+    table = F.create_map(*[F.lit(x) for pair in shown.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, as_column(col)), F.lit(fallback))
+
+
+def check_ranges(df: DataFrame, columns: list[str], lo: int = 0, hi: int = 100) -> DataFrame:
+    """Adds ``violations``: the score columns outside [lo, hi] or NULL."""
+    return _violations(
+        df, {c: ~F.coalesce(F.col(c).between(lo, hi), F.lit(False)) for c in columns}
+    )
+
+
+def check_list_sizes(
+    df: DataFrame, sizes: dict[str, tuple[int, int]] | None = None
+) -> DataFrame:
+    """Adds ``violations``: the list columns whose size is outside its bounds or NULL."""
+    specs = sizes or {k: v for k, v in V.LIST_SIZES.items() if k in df.columns}
+    return _violations(
+        df,
+        {
+            c: ~F.coalesce(F.size(F.col(c)).between(lo, hi), F.lit(False))
+            for c, (lo, hi) in specs.items()
+        },
+    )
+
+
+def default_fields(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """NULL fields to their defaults; a list default is an empty list."""
+    return df.withColumns(
+        {
+            c: F.coalesce(
+                F.col(c),
+                F.array().cast(df.schema[c].dataType) if d == [] else F.lit(d).cast(df.schema[c].dataType),
+            )
+            for c, d in defaults.items()
+        }
+    )
+
+
+# --- flattening ------------------------------------------------------------------------
+
+
+def explode_experience(df: DataFrame, key: str, experience: Column | str = "experience") -> DataFrame:
+    """One row per bullet with company, role and both positions.
+
+    An entry without bullets keeps one row with a NULL bullet, and so does a
+    record without entries.
+    """
+    entries = df.select(key, F.posexplode_outer(as_column(experience)).alias("entry_no", "e"))
+    return entries.select(
+        key, "entry_no", "e.company", "e.role",
+        F.posexplode_outer("e.bullet_points").alias("bullet_no", "bullet"),
+    )
+
+
+def explode_list(df: DataFrame, key: str, items: Column | str, names: list[str] | None = None) -> DataFrame:
+    """(key, pos, item...) of one array column; empty arrays give no rows."""
+    rows = df.select(key, F.posexplode(as_column(items)).alias("pos", "item"))
+    return rows.select(key, "pos", *[F.col(f"item.{n}") for n in names]) if names else rows
+
+
+def explode_report(df: DataFrame, key: str, parsed: str = "parsed") -> dict[str, DataFrame]:
+    """Child tables of a parsed report, one per array field."""
+    fields = df.schema[parsed].dataType.fields
+    out = {}
+    for f in fields:
+        element = getattr(f.dataType, "elementType", None)
+        if element is not None:
+            names = element.names if hasattr(element, "names") else None
+            out[f.name] = explode_list(df, key, f"{parsed}.{f.name}", names)
+    return out
+
+
+def violation_text(col: str = "violations") -> Column:
+    return F.array_join(F.sort_array(F.col(col)), ",")
+
+

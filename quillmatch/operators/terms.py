@@ -1,0 +1,77 @@
+"""Terms of CVs and JDs, document frequency, and the key terms of a JD."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillmatch.functions.text import distinct_tokens, lines, tokens
+
+MIN_TERM_LENGTH = 3
+MAX_DF_PERCENT = 10
+
+
+def doc_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, term): the distinct terms of each text, without a shuffle."""
+    return docs.select(doc, F.explode(distinct_tokens(text)).alias("term"))
+
+
+def line_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, line_no, term): the distinct terms of each line, without a shuffle."""
+    split = docs.select(doc, F.posexplode(lines(text)).alias("line_no", "line"))
+    return split.select(doc, "line_no", F.explode(distinct_tokens("line")).alias("term"))
+
+
+def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, term, tf): how often each term occurs in each text."""
+    return (
+        docs.select(doc, F.explode(tokens(text)).alias("term"))
+        .groupBy(doc, "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+
+
+def row_count(df: DataFrame) -> Column:
+    """Number of rows, as a scalar subquery."""
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
+def term_document_freq(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, df, n_docs): document frequency of every term of the corpus."""
+    return (
+        doc_terms(docs, doc, text)
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"))
+        .withColumn("n_docs", row_count(docs))
+    )
+
+
+def jd_postings(jds: DataFrame, min_length: int = MIN_TERM_LENGTH) -> DataFrame:
+    """(item_id, term, tf) of every JD term long enough to be a key term."""
+    return postings(jds, "item_id").filter(F.length("term") >= min_length)
+
+
+def in_vocabulary(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Rows whose term is in ``vocabulary``.
+
+    No broadcast hint: adaptive execution broadcasts the vocabulary when its
+    measured size allows, and otherwise joins by term, splitting hot terms.
+    """
+    return terms.join(vocabulary.select("term").distinct(), "term", "left_semi")
+
+
+def key_terms(
+    jd_terms: DataFrame, cv_hits: DataFrame, n_docs: Column, max_df_percent: int = MAX_DF_PERCENT
+) -> DataFrame:
+    """(item_id, term, tf, df): JD terms at most ``max_df_percent`` of the CVs hold.
+
+    ``cv_hits`` are the (doc_id, term) rows of the corpus, at least for the JD
+    vocabulary.  A term that no CV has stays, with df 0.
+    """
+    df = cv_hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return (
+        jd_terms.join(df, "term", "left")
+        .withColumn("df", F.coalesce("df", F.lit(0)))
+        .filter(F.col("df") * 100 <= n_docs * max_df_percent)
+        .select("item_id", "term", "tf", "df")
+    )

@@ -1,0 +1 @@
+"""How operators are laid out over partitions, and the registered queries."""

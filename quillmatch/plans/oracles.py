@@ -1,0 +1 @@
+ORACLES: dict[str, str] = {}

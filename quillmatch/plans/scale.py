@@ -1,0 +1,164 @@
+"""Layout helpers shared by the operators.
+
+Any key may own a large share of all rows, so order-dependent operators never
+put a whole key into one window or one collected list.  They cut a key into
+blocks of consecutive positions, work per (key, block), and carry a small
+summary from block to block.  Keys that fit in one block pay almost nothing:
+the search for longer ones is a pushed-down filter on the position column.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillmatch.functions.rules import int_div
+
+BLOCK = 4096
+_BLK = "__block"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables.
+
+    The session's ``spark.checkpoint.dir``; a temporary folder only where the
+    session names none, as in tests.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmatch-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_root(spark)}/quillmatch-{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table once and read it back.
+
+    For results several branches of one plan need and that cost a pass over the
+    texts.  The written table also cuts the lineage: a lost executor re-reads
+    the table instead of scanning the texts again.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("error").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan with too few splits for them.
+
+    A scan that already has a split per core, as any large table does, is
+    returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def carry_forward(
+    df: DataFrame,
+    key: str,
+    order: str,
+    *,
+    sums: dict[str, Column] | None = None,
+    lasts: dict[str, Column] | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Running values over the rows before each row of its key.
+
+    ``sums`` adds a running total and ``lasts`` the latest non-null value, both
+    over strictly earlier rows.  ``order`` is a non-negative integer position,
+    unique within the key.
+    """
+    sums, lasts = sums or {}, lasts or {}
+    blk = int_div(F.col(order), F.lit(block))
+    before = Window.partitionBy(key, _BLK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn(_BLK, blk)
+    out = out.withColumns(
+        {n: F.sum(c).over(before) for n, c in sums.items()}
+        | {n: F.last(c, ignorenulls=True).over(before) for n, c in lasts.items()}
+    )
+
+    # One summary row per block, for keys longer than one block only.
+    per_block = (
+        _long_keys_only(df, key, order, block)
+        .withColumn(_BLK, blk)
+        .groupBy(key, _BLK)
+        .agg(
+            *[F.sum(c).alias(n) for n, c in sums.items()],
+            *[F.max_by(c, F.when(c.isNotNull(), F.col(order))).alias(n) for n, c in lasts.items()],
+        )
+    )
+    earlier = Window.partitionBy(key).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_block.select(
+        key,
+        _BLK,
+        *[F.sum(n).over(earlier).alias("__c_" + n) for n in sums],
+        *[F.last(n, ignorenulls=True).over(earlier).alias("__c_" + n) for n in lasts],
+    )
+    names = [*sums, *lasts]
+    carried = carried.filter(reduce(or_, [F.col("__c_" + n).isNotNull() for n in names]))
+    out = out.join(carried, [key, _BLK], "left")
+    zero = F.lit(0)
+    out = out.withColumns(
+        {n: F.coalesce(F.col(n), zero) + F.coalesce(F.col("__c_" + n), zero) for n in sums}
+        | {n: F.coalesce(F.col(n), F.col("__c_" + n)) for n in lasts}
+    )
+    return out.drop(_BLK, *["__c_" + n for n in names])
+
+
+def next_value(
+    df: DataFrame, key: str, order: str, value: Column, out: str, block: int = BLOCK
+) -> DataFrame:
+    """``value`` of the row after each row of its key; NULL after the last."""
+    blk = int_div(F.col(order), F.lit(block))
+    inside = Window.partitionBy(key, _BLK).orderBy(order)
+    rows = df.withColumn(_BLK, blk).withColumn(
+        "__next", F.lead(F.struct(value.alias("v"))).over(inside)
+    )
+    firsts = (
+        _long_keys_only(df, key, order, block)
+        .withColumn(_BLK, blk)
+        .groupBy(key, _BLK)
+        .agg(F.min_by(F.struct(value.alias("v")), F.col(order)).alias("__first"))
+    )
+    following = firsts.select(
+        key, _BLK, F.lead("__first").over(Window.partitionBy(key).orderBy(_BLK)).alias("__first")
+    ).filter(F.col("__first").isNotNull())
+    return (
+        rows.join(following, [key, _BLK], "left")
+        .withColumn(out, F.coalesce(F.col("__next"), F.col("__first"))["v"])
+        .drop(_BLK, "__next", "__first")
+    )
+
+
+def _long_keys_only(df: DataFrame, key: str, order: str, block: int) -> DataFrame:
+    long_keys = df.filter(F.col(order) >= block).select(key).distinct()
+    return df.join(long_keys, key, "left_semi")
+
+
+def ordered_segments(
+    df: DataFrame, keys: list[str], order: str, value: Column, out: str, block: int = BLOCK
+) -> DataFrame:
+    """Values of each key as ordered arrays, one row per block of positions.
+
+    A key within one block gives a single row with ``segment`` 0; a longer one
+    goes on in further rows, so no list grows with the data.
+    """
+    packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
+    return (
+        df.withColumn("segment", int_div(F.col(order), F.lit(block)).cast("bigint"))
+        .groupBy(*keys, "segment")
+        .agg(packed.alias("__packed"))
+        .select(*keys, "segment", F.transform("__packed", lambda p: p["v"]).alias(out))
+    )

@@ -1,0 +1,140 @@
+"""Interviews in progress: history length, question number, latest metrics."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from quillmatch.functions import values as V
+from quillmatch.functions.rules import pct
+from quillmatch.functions.text import distinct_tokens, is_blank, tokens
+from quillmatch.operators.conversations import question_progress
+from quillmatch.operators.interview import confidence_score, vocabulary_rating
+
+FIELDS = (
+    "last_turn", "n_messages", "answers", "finished",
+    "confidence_score", "jd_relevance_score", "tech_vocab_rating",
+)
+STATE_SCHEMA = (
+    "last_turn bigint, n_messages bigint, answers bigint, finished boolean, "
+    "confidence_score bigint, jd_relevance_score bigint, tech_vocab_rating string"
+)
+OUTPUT_SCHEMA = (
+    "conv_id bigint, last_turn bigint, n_messages bigint, question_no bigint, finished boolean, "
+    "confidence_score bigint, jd_relevance_score bigint, tech_vocab_rating string"
+)
+START = (-1, 0, 0, False, V.INITIAL_CONFIDENCE, V.INITIAL_RELEVANCE, V.INITIAL_VOCABULARY)
+
+
+def score_turns(
+    turns: DataFrame, interviews: DataFrame, jd_lists: DataFrame, fillers: Sequence[str] = V.FILLERS
+) -> DataFrame:
+    """Turns with the metrics of each answer, row by row; NULL metrics elsewhere.
+
+    ``interviews``: (conv_id, item_id).  ``jd_lists``: (item_id, key_list,
+    n_key_terms).  The interview's own JD terms are its technical vocabulary.
+    Works on a stream as on a table: the joins are with static tables.
+    """
+    answered = (F.col("role") == "user") & ~is_blank("text")
+    rows = turns.join(
+        interviews.join(jd_lists, "item_id", "left").select("conv_id", "key_list", "n_key_terms"),
+        "conv_id",
+        "left",
+    )
+    keys = F.coalesce("key_list", F.array().cast("array<string>"))
+    said = tokens("text")
+    hits = F.size(F.array_intersect(distinct_tokens("text"), keys))
+    technical = F.size(F.filter(said, lambda t: F.array_contains(keys, t)))
+    relevance = F.coalesce(pct(hits, "n_key_terms"), F.lit(0))
+    return rows.select(
+        "conv_id", "turn", "role", "text",
+        answered.alias("answered"),
+        F.when(answered, confidence_score("text", fillers)).alias("confidence_score"),
+        F.when(answered, relevance).alias("jd_relevance_score"),
+        F.when(answered, vocabulary_rating(pct(technical, F.size(said)))).alias("tech_vocab_rating"),
+    )
+
+
+def _advance(total: int, ttl_ms: int):
+    def step(
+        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, n, answers, finished, *metrics = tuple(state.get) if state.exists else START
+        rows = pd.concat(list(frames)).sort_values("turn", kind="stable")
+        for row in rows.itertuples(index=False):
+            if finished or row.turn <= last:
+                continue
+            last, n = int(row.turn), n + 1
+            if row.answered:
+                answers += 1
+                metrics = [
+                    int(row.confidence_score), int(row.jd_relevance_score), row.tech_vocab_rating
+                ]
+                finished = answers >= total
+        state.update((last, n, answers, finished, *metrics))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(
+            [(key[0], last, n, min(answers + 1, total), finished, *metrics)],
+            columns=["conv_id", "last_turn", "n_messages", "question_no", "finished", *FIELDS[4:]],
+        )
+
+    return step
+
+
+def stream_interviews(
+    scored: DataFrame, total: int = V.DEFAULT_TOTAL_QUESTIONS, ttl_ms: int = 3_600_000
+) -> DataFrame:
+    """Stream of scored turns to a stream of interview states, one per micro-batch.
+
+    Turns at or before the last seen one are ignored, and so is everything after
+    the answer that ends the interview.
+    """
+    timeout = (
+        GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    )
+    return (
+        scored.select(
+            "conv_id", "turn", "answered", "confidence_score", "jd_relevance_score", "tech_vocab_rating"
+        )
+        .groupBy("conv_id")
+        .applyInPandasWithState(_advance(total, ttl_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+    )
+
+
+def current_states(emitted: DataFrame) -> DataFrame:
+    """The newest emitted state of each interview."""
+    rest = [c for c in emitted.columns if c != "conv_id"]
+    newest = F.max_by(F.struct(*rest), F.struct("last_turn", "n_messages")).alias("s")
+    return emitted.groupBy("conv_id").agg(newest).select("conv_id", "s.*")
+
+
+def interview_states(scored: DataFrame, total: int = V.DEFAULT_TOTAL_QUESTIONS) -> DataFrame:
+    """Batch twin of :func:`stream_interviews` with :func:`current_states`."""
+    metrics = scored.select("conv_id", "turn", "answered", *FIELDS[4:])
+    kept = question_progress(scored, total).select("conv_id", "turn", "finishes")
+    rows = kept.join(metrics, ["conv_id", "turn"])
+    latest = F.max_by(F.struct(*FIELDS[4:]), F.when(F.col("answered"), F.col("turn"))).alias("m")
+    return (
+        rows.groupBy("conv_id")
+        .agg(
+            F.max("turn").alias("last_turn"),
+            F.count(F.lit(1)).alias("n_messages"),
+            F.least(F.count_if("answered") + 1, F.lit(total)).alias("question_no"),
+            F.bool_or("finishes").alias("finished"),
+            latest,
+        )
+        .select(
+            "conv_id", "last_turn", "n_messages", "question_no", "finished",
+            F.coalesce("m.confidence_score", F.lit(START[4])).alias("confidence_score"),
+            F.coalesce("m.jd_relevance_score", F.lit(START[5])).alias("jd_relevance_score"),
+            F.coalesce("m.tech_vocab_rating", F.lit(START[6])).alias("tech_vocab_rating"),
+        )
+    )

@@ -1,0 +1,97 @@
+"""Keep pair scores current as CVs arrive or change.
+
+Nothing is rewritten.  Each micro-batch writes two folders named after it: the
+document versions it scored and their pair scores.  A replayed batch overwrites
+its own folders, so the result is the same.  Reading takes, per document, the
+scores of its newest version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from quillmatch.functions.rules import pct
+from quillmatch.operators import terms
+from quillmatch.operators.cache import uncached_requests
+from quillmatch.operators.matching import candidate_pairs, jd_totals
+
+VERSION_SCHEMA = "key bigint, cv_hash string, jd_hash string, batch bigint"
+SCORE_SCHEMA = "doc_id bigint, item_id bigint, hits bigint, keyword_coverage bigint, batch bigint"
+
+
+def keys_fingerprint(keys: DataFrame) -> str:
+    """One value for the content of all key terms; it changes when any JD does."""
+    row = keys.agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("item_id", "term", "tf")).alias("x")
+    ).first()
+    return f"{row['n']}:{row['x']}"
+
+
+def score_pairs(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, item_id, hits, keyword_coverage) of some documents against fixed key terms."""
+    found = terms.in_vocabulary(terms.doc_terms(docs), keys)
+    return (
+        candidate_pairs(found, keys)
+        .join(jd_totals(keys), "item_id")
+        .select("doc_id", "item_id", "hits", pct("hits", "n_key_terms").alias("keyword_coverage"))
+    )
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(VERSION_SCHEMA).parquet(f"{path}/versions")
+
+
+def _newest(rows: DataFrame, key: str, by: Column) -> DataFrame:
+    order = Window.partitionBy(key).orderBy(by.desc())
+    return rows.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+
+
+def score_batch(docs: DataFrame, batch: int, keys: DataFrame, fingerprint: str, path: str) -> None:
+    """Score the new and changed documents of one batch.
+
+    ``docs``: (doc_id, text, version).  Unchanged content is not scored again.
+    """
+    spark = docs.sparkSession
+    newest = _newest(docs, "doc_id", F.col("version")).select(
+        F.col("doc_id").alias("key"), F.col("text").alias("cv_text"), F.lit(fingerprint).alias("jd_text")
+    )
+    if batch > 0:
+        known = _versions(spark, path).filter(F.col("batch") < batch)
+        touched = known.join(newest.select("key"), "key", "left_semi")
+        current = _newest(touched, "key", F.col("batch"))
+        stale = uncached_requests(newest, current)
+    else:
+        stale = uncached_requests(newest, spark.createDataFrame([], VERSION_SCHEMA))
+    stale.select("key", "cv_hash", "jd_hash").write.mode("overwrite").parquet(
+        f"{path}/versions/batch={batch}"
+    )
+    written = spark.read.schema("key bigint").parquet(f"{path}/versions/batch={batch}")
+    todo = newest.join(written.distinct(), "key", "left_semi").select(
+        F.col("key").alias("doc_id"), F.col("cv_text").alias("text")
+    )
+    score_pairs(todo, keys).write.mode("overwrite").parquet(f"{path}/scores/batch={batch}")
+
+
+def stream_incremental_scoring(
+    docs: DataFrame, keys: DataFrame, path: str, checkpoint: str
+) -> StreamingQuery:
+    """Start scoring a stream of (doc_id, text, version) into ``path``."""
+    fingerprint = keys_fingerprint(keys)
+    return (
+        docs.writeStream.foreachBatch(
+            lambda rows, batch: score_batch(rows, batch, keys, fingerprint, path)
+        )
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def current_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Pair scores of the newest version of each document."""
+    newest = _newest(_versions(spark, path), "key", F.col("batch"))
+    latest = newest.select(F.col("key").alias("doc_id"), "batch")
+    scores = spark.read.schema(SCORE_SCHEMA).parquet(f"{path}/scores")
+    return scores.join(latest, ["doc_id", "batch"]).drop("batch")

@@ -1,0 +1,157 @@
+"""Speech fragments to transcripts.
+
+A fragment is (session_id, ord, text, is_final, control).  Final fragments are
+trimmed and appended with a blank; an interim one replaces the interim shown so
+far.  A later final does not clear the interim: only the controls ``stop`` and
+``reset`` do, and ``reset`` also starts the transcript anew.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from quillmatch.functions.text import trim_text
+from quillmatch.plans import scale
+
+BATCH_BLOCK = 65536
+DELTA_SCHEMA = (
+    "session_id bigint, part bigint, seq bigint, upto_ord bigint, appended string, interim string"
+)
+STATE_SCHEMA = "part bigint, seq bigint, last_ord bigint, has_text boolean, interim string"
+
+
+def _prepared(fragments: DataFrame) -> DataFrame:
+    control = F.col("control") if "control" in fragments.columns else F.lit(None).cast("string")
+    return fragments.select(
+        "session_id", "ord", "is_final", control.alias("control"),
+        F.when(F.length("text") > 0, F.when(F.col("is_final"), trim_text("text")).otherwise(F.col("text")))
+        .alias("text"),
+    )
+
+
+def _fold(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+    """Apply fragments in order; gives the new state and one delta per part."""
+    part, seq, last_ord, has_text, interim = state
+    deltas, pieces, touched = [], [], False
+
+    def close() -> None:
+        nonlocal seq, pieces, touched
+        if touched:
+            deltas.append((part, seq, last_ord, "".join(pieces), interim))
+            seq, pieces, touched = seq + 1, [], False
+
+    for order, final, control, text in rows.itertuples(index=False):
+        if order <= last_ord:
+            continue
+        if control == "reset":
+            close()
+            part, seq, has_text, interim = order, 0, False, ""
+        elif control == "stop":
+            interim = ""
+        elif text is not None and final:
+            if has_text:
+                pieces.append(" " + text)
+            elif text:
+                pieces.append(text)
+                has_text = True
+        elif text is not None:
+            interim = text
+        last_ord, touched = order, True
+    close()
+    return (part, seq, last_ord, has_text, interim), deltas
+
+
+def _advance(ttl_ms: int):
+    def step(
+        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # One micro-batch of one session: the source's trigger limit bounds it.
+        rows = pd.concat(list(frames)).sort_values("ord", kind="stable")
+        rows = rows[["ord", "is_final", "control", "text"]].astype(object)
+        rows = rows.where(rows.notna(), None)
+        first = int(rows["ord"].iloc[0])
+        current = state.get if state.exists else (first, 0, first - 1, False, "")
+        after, deltas = _fold(tuple(current), rows)
+        state.update(after)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(
+            [(key[0], *d) for d in deltas],
+            columns=["session_id", "part", "seq", "upto_ord", "appended", "interim"],
+        )
+
+    return step
+
+
+def stream_transcripts(fragments: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+    """Stream of fragments to a stream of transcript deltas.
+
+    The state of a session is a few fields, never the text: each micro-batch
+    emits only what it appends.  Fragments at or before the last seen ``ord`` are
+    duplicates or late and are ignored.  After ``ttl_ms`` without fragments a
+    session's state goes, and a further fragment opens a new part.
+    """
+    timeout = (
+        GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    )
+    return (
+        _prepared(fragments)
+        .groupBy("session_id")
+        .applyInPandasWithState(_advance(ttl_ms), DELTA_SCHEMA, STATE_SCHEMA, "append", timeout)
+    )
+
+
+def assemble_deltas(deltas: DataFrame, block: int = scale.BLOCK) -> DataFrame:
+    """(session_id, part, segment, transcript, interim) from the emitted deltas."""
+    texts = scale.ordered_segments(
+        deltas, ["session_id", "part"], "seq", F.col("appended"), "pieces", block
+    )
+    shown = deltas.groupBy("session_id", "part").agg(F.max_by("interim", "seq").alias("interim"))
+    return texts.join(shown, ["session_id", "part"]).select(
+        "session_id", "part", "segment", F.array_join("pieces", "").alias("transcript"), "interim"
+    )
+
+
+def transcripts(fragments: DataFrame, block: int = BATCH_BLOCK) -> DataFrame:
+    """Batch twin: (session_id, segment, transcript, interim) since the last reset.
+
+    A segment covers ``block`` consecutive positions; the texts of a session's
+    segments joined by blanks are its transcript.
+    """
+    rows = _prepared(fragments)
+    is_final = F.coalesce("is_final", F.lit(False))
+    marks = rows.groupBy("session_id").agg(
+        F.max(F.when(F.col("control") == "reset", F.col("ord"))).alias("reset_at"),
+        F.max(F.when(F.col("control").isin("stop", "reset"), F.col("ord"))).alias("cleared_at"),
+        F.max_by(
+            F.struct("ord", "text"),
+            F.when(~is_final & F.col("text").isNotNull() & F.col("control").isNull(), F.col("ord")),
+        ).alias("last_interim"),
+    )
+    since = F.coalesce("reset_at", F.lit(-1))
+    finals = rows.filter(is_final & F.col("text").isNotNull() & F.col("control").isNull()).join(
+        marks.select("session_id", "reset_at"), "session_id"
+    ).filter(F.col("ord") > since)
+    # A blank final before any text adds nothing; later ones add their blank.
+    starts = finals.groupBy("session_id").agg(
+        F.min(F.when(F.col("text") != "", F.col("ord"))).alias("first_text")
+    )
+    spoken = finals.join(starts, "session_id").filter(F.col("ord") >= F.col("first_text"))
+    texts = scale.ordered_segments(spoken, ["session_id"], "ord", F.col("text"), "pieces", block)
+    interim = F.when(
+        F.col("last_interim.ord") > F.coalesce("cleared_at", F.lit(-1)), F.col("last_interim.text")
+    ).otherwise("")
+    return marks.select("session_id", interim.alias("interim")).join(texts, "session_id", "left").select(
+        "session_id",
+        F.coalesce("segment", F.lit(0)).alias("segment"),
+        F.coalesce(F.array_join("pieces", " "), F.lit("")).alias("transcript"),
+        "interim",
+    )
