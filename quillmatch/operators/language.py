@@ -16,10 +16,11 @@ StopWords = Mapping[str, Sequence[str]]
 
 def language_votes(token_array: Column, stop_words: StopWords = V.STOP_WORDS) -> dict[str, Column]:
     """Stop-word hits per language, counted inside the row."""
-    return {
-        lang: F.size(F.filter(token_array, lambda t, w=list(ws): t.isin(w))).cast("bigint")
-        for lang, ws in sorted(stop_words.items())
-    }
+
+    def hits(words: Sequence[str]) -> Column:
+        return F.size(F.filter(token_array, lambda t: t.isin(list(words)))).cast("bigint")
+
+    return {lang: hits(words) for lang, words in sorted(stop_words.items())}
 
 
 def most_votes(votes: Mapping[str, Column]) -> Column:

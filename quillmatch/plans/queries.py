@@ -569,32 +569,39 @@ def join_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def render_nested_record(spark: SparkSession, d: str) -> DataFrame:
-    items = fx.table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber",
-        F.struct(
-            F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("role"),
-            F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("company"),
-            F.date_format("l_shipdate", "yyyy-MM-dd").alias("period"),
-            F.array(
-                F.concat(F.lit("quantity "), F.col("l_quantity").cast("bigint").cast("string")),
-                F.concat(F.lit("part "), F.col("l_partkey").cast("string")),
-            ).alias("achievements"),
-        ).alias("item"),
-    )
-    nested = scale.ordered_segments(items, ["l_orderkey"], "l_linenumber", F.col("item"), "experience")
     orders = fx.table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"),
-        "o_orderstatus", "o_orderpriority",
+        "o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_orderpriority"
     )
     customers = fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    lines = fx.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+
+    def named(label: str, col: str):
+        return F.concat(F.lit(label + " "), F.col(col).cast("string"))
+
+    def entry(role, company, period, *achievements):
+        return F.struct(
+            role.alias("role"), company.alias("company"), period.alias("period"),
+            F.array(*achievements).alias("achievements"),
+        )
+
+    item = entry(
+        named("line", "l_linenumber"), named("supplier", "l_suppkey"),
+        F.date_format("l_shipdate", "yyyy-MM-dd"),
+        F.concat(F.lit("quantity "), F.col("l_quantity").cast("bigint").cast("string")),
+        named("part", "l_partkey"),
+    )
+    order = entry(
+        named("order", "o_orderkey"), F.col("c_mktsegment"), F.col("l_returnflag"),
+        named("priority", "o_orderpriority"),
+    )
     record = F.struct(
         F.col("c_name").alias("name"), F.col("o_orderpriority").alias("title"),
-        F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("contact"),
-        F.concat(F.lit("status "), "o_orderstatus").alias("summary"), "experience",
-        F.lit("none").alias("education"), F.array("c_mktsegment", "o_orderstatus").alias("skills"),
+        named("customer", "c_custkey").alias("contact"), named("status", "o_orderstatus").alias("summary"),
+        F.array(item, order).alias("experience"), F.lit("none").alias("education"),
+        F.array("c_mktsegment", "o_orderstatus").alias("skills"),
     )
-    return nested.join(orders, "l_orderkey").join(customers, "c_custkey").select(
-        "l_orderkey", "segment", text.render_nested_record(record).alias("body")
+    return lines.join(orders, "o_orderkey").join(customers, "c_custkey").select(
+        "o_orderkey", text.render_nested_record(record).alias("body")
     )
 
 
@@ -662,17 +669,19 @@ def parse_responses(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def explode_experience(spark: SparkSession, d: str) -> DataFrame:
-    item = F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
-    lists = scale.ordered_segments(
-        fx.table(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber", item, "bullets"
-    )
-    empty = F.array().cast("array<string>")
+    def entry(company: str, role: str, *bullets: str):
+        listed = F.array(*bullets) if bullets else F.array().cast("array<string>")
+        return F.struct(
+            F.lit(company).alias("company"), F.lit(role).alias("role"), listed.alias("bullet_points")
+        )
+
     entries = F.array(
-        F.struct(F.lit("first").alias("company"), F.lit("r1").alias("role"), F.col("bullets").alias("bullet_points")),
-        F.struct(F.lit("second").alias("company"), F.lit("r2").alias("role"), empty.alias("bullet_points")),
+        entry("first", "r1", "o_orderstatus", "o_orderpriority"), entry("second", "r2")
+    )
+    nested = fx.table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, entries).alias("experience")
     )
-    nested = lists.select("l_orderkey", entries.alias("experience"))
-    return responses.explode_experience(nested, "l_orderkey")
+    return responses.explode_experience(nested, "o_orderkey")
 
 
 @query

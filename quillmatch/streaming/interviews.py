@@ -90,12 +90,13 @@ def _advance(total: int, ttl_ms: int):
 
 
 def stream_interviews(
-    scored: DataFrame, total: int = V.DEFAULT_TOTAL_QUESTIONS, ttl_ms: int = 3_600_000
+    scored: DataFrame, total: int = V.DEFAULT_TOTAL_QUESTIONS, ttl_ms: int = 0
 ) -> DataFrame:
     """Stream of scored turns to a stream of interview states, one per micro-batch.
 
     Turns at or before the last seen one are ignored, and so is everything after
-    the answer that ends the interview.
+    the answer that ends the interview.  ``ttl_ms`` drops idle interviews from the
+    state of a stream that runs on; leave it 0 for a run over what is there now.
     """
     timeout = (
         GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout

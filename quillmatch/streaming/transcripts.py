@@ -91,13 +91,15 @@ def _advance(ttl_ms: int):
     return step
 
 
-def stream_transcripts(fragments: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+def stream_transcripts(fragments: DataFrame, ttl_ms: int = 0) -> DataFrame:
     """Stream of fragments to a stream of transcript deltas.
 
     The state of a session is a few fields, never the text: each micro-batch
     emits only what it appends.  Fragments at or before the last seen ``ord`` are
-    duplicates or late and are ignored.  After ``ttl_ms`` without fragments a
-    session's state goes, and a further fragment opens a new part.
+    duplicates or late and are ignored.  After ``ttl_ms`` of processing time
+    without fragments a session's state goes, and a further fragment opens a new
+    part.  Set it for a stream that runs on; a run over what is available now
+    would never end, as it goes on waiting for timeouts, so there it stays 0.
     """
     timeout = (
         GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
