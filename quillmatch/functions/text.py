@@ -47,7 +47,7 @@ def trim_text(col: Column | str) -> Column:
 
 def is_blank(col: Column | str) -> Column:
     """True for NULL, empty and all-whitespace text."""
-    return F.coalesce(strip_text(col) == "", F.lit(True))
+    return ~F.coalesce(as_column(col).rlike("[^" + SERVER_SPACE[1:]), F.lit(False))
 
 
 def words(col: Column | str) -> Column:

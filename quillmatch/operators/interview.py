@@ -70,7 +70,7 @@ def tech_vocab_share(turns: DataFrame, vocabulary: DataFrame) -> DataFrame:
     sizes = rows.select("conv_id", "turn", F.size("t").cast("bigint").alias("n_tokens"))
     found = (
         rows.select("conv_id", "turn", F.explode("t").alias("term"))
-        .join(vocabulary.select("term").distinct(), "term", "left_semi")
+        .join(vocabulary.select("term"), "term", "left_semi")
         .groupBy("conv_id", "turn")
         .agg(F.count(F.lit(1)).alias("n_tech"))
     )

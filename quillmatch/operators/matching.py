@@ -9,7 +9,7 @@ pair details all read.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,36 +31,43 @@ SCORE_COLUMNS = (
 class MatchInputs:
     """Narrow tables the pair operators share.
 
-    ``hits``: (doc_id, term), or (doc_id, line_no, term) in ``line_hits``, for
-    terms of the JD vocabulary.  ``keys``: (item_id, term, tf, df).
+    ``hits``: (doc_id, term) for terms of the JD vocabulary.  ``rows``: the same
+    per line as well (line_no -1 for the whole text), with carried CV scores.
+    ``keys``: (item_id, term, tf, df).
     """
 
     cvs: DataFrame
     jds: DataFrame
     hits: DataFrame
     keys: DataFrame
-    line_hits: DataFrame | None = None
+    rows: DataFrame | None = None
 
 
 def prepare(
     cvs: DataFrame,
     jds: DataFrame,
     by_line: bool = False,
+    carry: Mapping[str, Column] | None = None,
     min_length: int = terms.MIN_TERM_LENGTH,
     max_df_percent: int = terms.MAX_DF_PERCENT,
 ) -> MatchInputs:
-    """Tokenise the CVs once and derive the key terms."""
+    """Tokenise the CVs once and derive the key terms.
+
+    ``carry`` are CV-level scores to keep on the line rows, so that scoring pairs
+    needs neither the texts nor a join with the CVs again.
+    """
     jd_terms = scale.materialize(terms.jd_postings(jds, min_length), "jd-terms")
-    line_hits = None
+    rows = None
     if by_line:
-        found = terms.in_vocabulary(terms.line_terms(cvs), jd_terms)
-        line_hits = scale.materialize(found.select("doc_id", "line_no", "term"), "line-hits")
-        hits = line_hits.select("doc_id", "term").distinct()
+        scored = cvs.withColumns(dict(carry or {}))
+        found = terms.text_and_line_terms(scored, keep=tuple(carry or ()))
+        rows = scale.materialize(terms.in_vocabulary(found, jd_terms), "line-hits")
+        hits = rows.filter(F.col("line_no") == terms.WHOLE_TEXT).select("doc_id", "term")
     else:
         found = terms.in_vocabulary(terms.doc_terms(cvs), jd_terms)
         hits = scale.materialize(found.select("doc_id", "term"), "hits")
     keys = terms.key_terms(jd_terms, hits, terms.row_count(cvs), max_df_percent)
-    return MatchInputs(cvs, jds, hits, scale.materialize(keys, "key-terms"), line_hits)
+    return MatchInputs(cvs, jds, hits, scale.materialize(keys, "key-terms"), rows)
 
 
 def jd_totals(keys: DataFrame) -> DataFrame:
@@ -110,21 +117,39 @@ def technical_match(inputs: MatchInputs, skills: DataFrame | None = None) -> Dat
     return pair_coverage(inputs).select("doc_id", "item_id", "technical_match")
 
 
-def experience_relevance(inputs: MatchInputs) -> DataFrame:
-    """Coverage of the best single line of the CV."""
-    per_line = (
-        inputs.line_hits.join(inputs.keys.select("item_id", "term"), "term")
+def _per_line(inputs: MatchInputs, carried: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, item_id, line_no, n, tf, *carried): key terms met per pair and line.
+
+    One shuffle by pair serves this grouping and the one by pair that follows.
+    """
+    met = inputs.rows.join(inputs.keys.select("item_id", "term", "tf"), "term")
+    return (
+        met.repartition("doc_id", "item_id")
         .groupBy("doc_id", "item_id", "line_no")
-        .agg(F.count(F.lit(1)).alias("hits"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("tf").alias("tf"),
+            *[F.max(c).alias(c) for c in carried],
+        )
     )
+
+
+def _on_lines(col: str) -> Column:
+    return F.max(F.when(F.col("line_no") != terms.WHOLE_TEXT, F.col(col)))
+
+
+def _on_text(col: str) -> Column:
+    return F.max(F.when(F.col("line_no") == terms.WHOLE_TEXT, F.col(col)))
+
+
+def experience_relevance(inputs: MatchInputs) -> DataFrame:
+    """Coverage of the best single line of the CV."""
     return (
-        per_line.groupBy("doc_id", "item_id")
-        .agg(F.max("hits").alias("best_hits"))
+        _per_line(inputs)
+        .groupBy("doc_id", "item_id")
+        .agg(_on_lines("n").alias("best"))
         .join(jd_totals(inputs.keys), "item_id")
-        .select(
-            "doc_id", "item_id",
-            pct("best_hits", "n_key_terms").alias("experience_relevance"),
-        )
+        .select("doc_id", "item_id", pct("best", "n_key_terms").alias("experience_relevance"))
     )
 
 
@@ -148,39 +173,58 @@ def ats_checks(text: str = "text", headings: Sequence[str] = V.HEADINGS) -> dict
     }
 
 
+def _points(checks: Mapping[str, Column]) -> Column:
+    each = 100 // len(checks)
+    return sum((c.cast("bigint") for c in checks.values()), start=F.lit(0).cast("bigint")) * each
+
+
 def ats_readiness(
     cvs: DataFrame, headings: Sequence[str] = V.HEADINGS, text: str = "text"
 ) -> DataFrame:
     """CVs with the five checks and their score, 20 points each."""
     checks = ats_checks(text, headings)
-    rows = cvs.withColumns(checks)
-    total = sum((F.col(c).cast("bigint") for c in checks), start=F.lit(0).cast("bigint"))
-    return rows.withColumn("ats_readiness", total * 20)
+    return cvs.withColumns(checks).withColumn(
+        "ats_readiness", _points({c: F.col(c) for c in checks})
+    )
 
 
-def match_score(
-    inputs: MatchInputs,
-    headings: Sequence[str] = V.HEADINGS,
-    weights: Sequence[int] = (1, 1, 1, 1, 1),
-) -> DataFrame:
+def cv_scores(headings: Sequence[str] = V.HEADINGS, text: str = "text") -> dict[str, Column]:
+    """The scores that depend on the CV alone, to carry through :func:`prepare`."""
+    return {
+        "impact_evidence": impact_evidence(text),
+        "ats_readiness": _points(ats_checks(text, headings)),
+    }
+
+
+def match_score(inputs: MatchInputs, weights: Sequence[int] = (1, 1, 1, 1, 1)) -> DataFrame:
     """All sub-scores of each pair and their weighted integer mean.
 
-    The weights follow ``SCORE_COLUMNS``.
+    ``inputs`` come from ``prepare(..., by_line=True, carry=cv_scores())``.  One
+    join and one shuffle give every sub-score.  The weights follow
+    ``SCORE_COLUMNS``.
     """
-    cv_scores = ats_readiness(inputs.cvs, headings).select(
-        "doc_id", impact_evidence().alias("impact_evidence"), "ats_readiness"
+    carried = ("impact_evidence", "ats_readiness")
+    pairs = (
+        _per_line(inputs, carried)
+        .groupBy("doc_id", "item_id")
+        .agg(
+            _on_text("n").alias("hits"),
+            _on_text("tf").alias("hit_tf"),
+            _on_lines("n").alias("best"),
+            *[F.max(c).alias(c) for c in carried],
+        )
     )
-    scored = (
-        pair_coverage(inputs)
-        .select("doc_id", "item_id", "keyword_coverage", "technical_match")
-        .join(experience_relevance(inputs), ["doc_id", "item_id"])
-        .join(cv_scores, "doc_id")
+    scored = pairs.join(jd_totals(inputs.keys), "item_id").select(
+        "doc_id", "item_id",
+        pct("hits", "n_key_terms").alias("keyword_coverage"),
+        pct("hit_tf", "key_tf").alias("technical_match"),
+        pct("best", "n_key_terms").alias("experience_relevance"),
+        *carried,
     )
     total = sum((F.col(c) * w for c, w in zip(SCORE_COLUMNS, weights, strict=True)), start=F.lit(0))
     whole = 2 * sum(weights)
-    return scored.select(
-        "doc_id", "item_id", *SCORE_COLUMNS,
-        int_div(2 * total + sum(weights), F.lit(whole)).cast("bigint").alias("match_score"),
+    return scored.withColumn(
+        "match_score", int_div(2 * total + sum(weights), F.lit(whole)).cast("bigint")
     )
 
 

@@ -16,10 +16,25 @@ def doc_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     return docs.select(doc, F.explode(distinct_tokens(text)).alias("term"))
 
 
-def line_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, line_no, term): the distinct terms of each line, without a shuffle."""
-    split = docs.select(doc, F.posexplode(lines(text)).alias("line_no", "line"))
-    return split.select(doc, "line_no", F.explode(distinct_tokens("line")).alias("term"))
+WHOLE_TEXT = -1
+
+
+def text_and_line_terms(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc, line_no, term, *keep): distinct terms of each line and of the whole text.
+
+    Rows of the whole text have ``line_no`` -1.  A text is split into tokens once
+    and nothing is shuffled.
+    """
+    split = docs.select(doc, *keep, F.transform(lines(text), distinct_tokens).alias("__lines"))
+    whole = F.array_distinct(F.flatten("__lines"))
+    rows = split.select(
+        doc, *keep, F.posexplode(F.concat(F.array(whole), F.col("__lines"))).alias("pos", "terms")
+    )
+    return rows.select(
+        doc, (F.col("pos") + WHOLE_TEXT).alias("line_no"), F.explode("terms").alias("term"), *keep
+    )
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,7 +72,7 @@ def in_vocabulary(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     No broadcast hint: adaptive execution broadcasts the vocabulary when its
     measured size allows, and otherwise joins by term, splitting hot terms.
     """
-    return terms.join(vocabulary.select("term").distinct(), "term", "left_semi")
+    return terms.join(vocabulary.select("term"), "term", "left_semi")
 
 
 def key_terms(

@@ -326,7 +326,8 @@ def ats_readiness(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def match_score(spark: SparkSession, d: str) -> DataFrame:
-    return matching.match_score(_inputs(spark, d, by_line=True), fx.FIXTURE_HEADINGS)
+    scores = matching.cv_scores(fx.FIXTURE_HEADINGS)
+    return matching.match_score(matching.prepare(fx.cvs(spark, d), fx.jds(spark, d), True, scores))
 
 
 @query
@@ -573,7 +574,7 @@ def render_nested_record(spark: SparkSession, d: str) -> DataFrame:
         "o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_orderpriority"
     )
     customers = fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    lines = fx.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    lines = scale.spread(fx.table(spark, d, "lineitem")).withColumnRenamed("l_orderkey", "o_orderkey")
 
     def named(label: str, col: str):
         return F.concat(F.lit(label + " "), F.col(col).cast("string"))
