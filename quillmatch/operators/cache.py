@@ -21,9 +21,8 @@ def uncached_requests(
     to NULL and never match.
     """
     keyed = requests.withColumns({"cv_hash": F.sha2(cv, 256), "jd_hash": F.sha2(jd, 256)})
-    return keyed.join(
-        cache.select("key", "cv_hash", "jd_hash").distinct(), ["key", "cv_hash", "jd_hash"], "left_anti"
-    )
+    names = ["key", "cv_hash", "jd_hash"]
+    return keyed.join(cache.select(*names), names, "left_anti")
 
 
 def cache_upsert(cache: DataFrame, writes: DataFrame, version: str = "version") -> DataFrame:

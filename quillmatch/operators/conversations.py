@@ -174,24 +174,17 @@ def role_counts(turns: DataFrame) -> DataFrame:
     )
 
 
-def question_totals(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_questions): analysed question-answer turns, 0 where there are none.
-
-    Whether an answer has an earlier question only needs the turn of the first
-    question, so nothing is ordered here.
-    """
-    first = turns.groupBy("conv_id").agg(
-        F.min(F.when(_is_assistant() & F.col("text").isNotNull(), F.col("turn"))).alias("first_q")
-    )
-    answers = turns.filter(_is_user()).select("conv_id", "turn")
-    counted = (
-        answers.join(first, "conv_id")
-        .filter(F.col("turn") > F.col("first_q"))
-        .groupBy("conv_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return first.select("conv_id").join(counted, "conv_id", "left").select(
-        "conv_id", F.coalesce("n", F.lit(0)).alias("n_questions")
+def question_totals(turns: DataFrame, block: int = scale.BLOCK) -> DataFrame:
+    """(conv_id, n_questions): analysed question-answer turns, 0 where there are none."""
+    rows = scale.carry_forward(
+        turns.select("conv_id", "turn", "role", F.col("text").isNotNull().alias("has_text")),
+        "conv_id",
+        "turn",
+        sums={"asked_before": (_is_assistant() & F.col("has_text")).cast("bigint")},
+        block=block,
+    )
+    return rows.groupBy("conv_id").agg(
+        F.count_if(_is_user() & (F.col("asked_before") > 0)).alias("n_questions")
     )
 
 

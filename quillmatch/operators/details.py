@@ -20,14 +20,23 @@ def pair_terms(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "item_id").join(keys.select("item_id", "term", "tf"), "item_id")
 
 
+def chosen(cv_rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of the CVs that occur in ``pairs``; the rest is dropped at the scan."""
+    return cv_rows.join(pairs.select("doc_id"), "doc_id", "left_semi")
+
+
 def matched_keywords(pairs: DataFrame, inputs: MatchInputs) -> DataFrame:
     """Key terms of the JD that the CV holds."""
-    return pair_terms(pairs, inputs.keys).join(inputs.hits, ["doc_id", "term"], "left_semi")
+    return pair_terms(pairs, inputs.keys).join(
+        chosen(inputs.hits, pairs), ["doc_id", "term"], "left_semi"
+    )
 
 
 def missing_keywords(pairs: DataFrame, inputs: MatchInputs) -> DataFrame:
     """Key terms of the JD that the CV lacks, all of them."""
-    return pair_terms(pairs, inputs.keys).join(inputs.hits, ["doc_id", "term"], "left_anti")
+    return pair_terms(pairs, inputs.keys).join(
+        chosen(inputs.hits, pairs), ["doc_id", "term"], "left_anti"
+    )
 
 
 def top_missing_keywords(missing: DataFrame, k: int = 5) -> DataFrame:
@@ -52,8 +61,7 @@ def claims_with_evidence(pairs: DataFrame, claims: DataFrame, cvs: DataFrame) ->
     A claim without a line keeps one row whose ``line_no`` and ``line`` are NULL.
     """
     wanted = pairs.select("doc_id", "item_id").join(claims, "item_id")
-    chosen = cvs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    text_lines = chosen.select("doc_id", F.posexplode(lines("text")).alias("line_no", "line"))
+    text_lines = chosen(cvs, pairs).select("doc_id", F.posexplode(lines("text")).alias("line_no", "line"))
     mentions = text_lines.select(
         "doc_id", "line_no", "line", F.explode(distinct_tokens("line")).alias("claim")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmatch.functions import values as V
 from quillmatch.functions.rules import int_div, pct, rounded_mean, score_band
 from quillmatch.functions.text import distinct_tokens, phrase_count, tokens, word_count
-from quillmatch.operators.matching import jd_totals
+from quillmatch.plans import scale
 
 SHORT_ANSWER_WORDS = 5
 SHORT_ANSWER_SCORE = 30
@@ -46,13 +46,11 @@ def jd_relevance_score(turns: DataFrame, interviews: DataFrame, keys: DataFrame)
     """Answers with the share of the interview's JD key terms they mention.
 
     ``interviews``: (conv_id, item_id).  Answers of an interview whose JD has no
-    key terms score 0.
+    key terms score 0.  The JD lists are written first: the planner then knows
+    their size, and a JD most interviews share can be split as a skewed key.
     """
-    rows = (
-        answers(turns)
-        .join(interviews, "conv_id")
-        .join(jd_term_lists(keys), "item_id", "left")
-    )
+    lists = scale.materialize(jd_term_lists(keys), "jd-lists")
+    rows = answers(turns).join(interviews, "conv_id").join(lists, "item_id", "left")
     hits = F.size(F.array_intersect(distinct_tokens("text"), F.col("key_list")))
     return rows.select(
         "conv_id", "turn", "item_id",

@@ -33,7 +33,7 @@ class MatchInputs:
 
     ``hits``: (doc_id, term) for terms of the JD vocabulary.  ``rows``: the same
     per line as well (line_no -1 for the whole text), with carried CV scores.
-    ``keys``: (item_id, term, tf, df).
+    ``keys``: (item_id, term, tf, df, n_key_terms, key_tf).
     """
 
     cvs: DataFrame
@@ -67,38 +67,33 @@ def prepare(
         found = terms.in_vocabulary(terms.doc_terms(cvs), jd_terms)
         hits = scale.materialize(found.select("doc_id", "term"), "hits")
     keys = terms.key_terms(jd_terms, hits, terms.row_count(cvs), max_df_percent)
-    return MatchInputs(cvs, jds, hits, scale.materialize(keys, "key-terms"), rows)
-
-
-def jd_totals(keys: DataFrame) -> DataFrame:
-    """(item_id, n_key_terms, key_tf): size of each JD's key-term list."""
-    return keys.groupBy("item_id").agg(
-        F.count(F.lit(1)).alias("n_key_terms"), F.sum("tf").alias("key_tf")
-    )
+    keys = scale.materialize(terms.with_totals(keys), "key-terms")
+    return MatchInputs(cvs, jds, hits, keys, rows)
 
 
 def candidate_pairs(cv_terms: DataFrame, jd_terms: DataFrame) -> DataFrame:
-    """(doc_id, item_id, hits, hit_tf): pairs that share at least one term.
+    """(doc_id, item_id, hits, hit_tf, n_key_terms, key_tf): pairs sharing a term.
 
     An equi-join on the term; the pair counts are combined before the shuffle.
     """
     return (
-        cv_terms.join(jd_terms.select("item_id", "term", "tf"), "term")
+        cv_terms.join(jd_terms.drop("df"), "term")
         .groupBy("doc_id", "item_id")
-        .agg(F.count(F.lit(1)).alias("hits"), F.sum("tf").alias("hit_tf"))
+        .agg(F.count(F.lit(1)).alias("hits"), F.sum("tf").alias("hit_tf"), *_totals())
     )
 
 
+def _totals() -> list[Column]:
+    """The totals of a pair's JD, the same on each of its rows."""
+    return [F.max(c).alias(c) for c in ("n_key_terms", "key_tf")]
+
+
 def pair_coverage(inputs: MatchInputs) -> DataFrame:
     """(doc_id, item_id, hits, n_key_terms, keyword_coverage, technical_match)."""
-    return (
-        candidate_pairs(inputs.hits, inputs.keys)
-        .join(jd_totals(inputs.keys), "item_id")
-        .select(
-            "doc_id", "item_id", "hits", "n_key_terms",
-            pct("hits", "n_key_terms").alias("keyword_coverage"),
-            pct("hit_tf", "key_tf").alias("technical_match"),
-        )
+    return candidate_pairs(inputs.hits, inputs.keys).select(
+        "doc_id", "item_id", "hits", "n_key_terms",
+        pct("hits", "n_key_terms").alias("keyword_coverage"),
+        pct("hit_tf", "key_tf").alias("technical_match"),
     )
 
 
@@ -111,9 +106,9 @@ def technical_match(inputs: MatchInputs, skills: DataFrame | None = None) -> Dat
     """Coverage weighted by how often the JD repeats a term, optionally for a
     skill vocabulary only."""
     if skills is not None:
-        inputs = MatchInputs(
-            inputs.cvs, inputs.jds, inputs.hits, terms.in_vocabulary(inputs.keys, skills)
-        )
+        chosen = terms.in_vocabulary(inputs.keys, skills).select("item_id", "term", "tf", "df")
+        keys = scale.materialize(terms.with_totals(chosen), "skill-terms")
+        inputs = MatchInputs(inputs.cvs, inputs.jds, inputs.hits, keys)
     return pair_coverage(inputs).select("doc_id", "item_id", "technical_match")
 
 
@@ -122,13 +117,14 @@ def _per_line(inputs: MatchInputs, carried: Sequence[str] = ()) -> DataFrame:
 
     One shuffle by pair serves this grouping and the one by pair that follows.
     """
-    met = inputs.rows.join(inputs.keys.select("item_id", "term", "tf"), "term")
+    met = inputs.rows.join(inputs.keys.drop("df"), "term")
     return (
         met.repartition("doc_id", "item_id")
         .groupBy("doc_id", "item_id", "line_no")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("tf").alias("tf"),
+            *_totals(),
             *[F.max(c).alias(c) for c in carried],
         )
     )
@@ -147,8 +143,7 @@ def experience_relevance(inputs: MatchInputs) -> DataFrame:
     return (
         _per_line(inputs)
         .groupBy("doc_id", "item_id")
-        .agg(_on_lines("n").alias("best"))
-        .join(jd_totals(inputs.keys), "item_id")
+        .agg(_on_lines("n").alias("best"), *_totals())
         .select("doc_id", "item_id", pct("best", "n_key_terms").alias("experience_relevance"))
     )
 
@@ -211,10 +206,11 @@ def match_score(inputs: MatchInputs, weights: Sequence[int] = (1, 1, 1, 1, 1)) -
             _on_text("n").alias("hits"),
             _on_text("tf").alias("hit_tf"),
             _on_lines("n").alias("best"),
+            *_totals(),
             *[F.max(c).alias(c) for c in carried],
         )
     )
-    scored = pairs.join(jd_totals(inputs.keys), "item_id").select(
+    scored = pairs.select(
         "doc_id", "item_id",
         pct("hits", "n_key_terms").alias("keyword_coverage"),
         pct("hit_tf", "key_tf").alias("technical_match"),

@@ -75,6 +75,18 @@ def in_vocabulary(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return terms.join(vocabulary.select("term"), "term", "left_semi")
 
 
+def with_totals(keys: DataFrame) -> DataFrame:
+    """Key terms with the size of their JD's list, ``n_key_terms`` and ``key_tf``.
+
+    Each row carries the totals, so that scores per pair need no further join
+    with the JDs.
+    """
+    totals = keys.groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("n_key_terms"), F.sum("tf").alias("key_tf")
+    )
+    return keys.join(totals, "item_id")
+
+
 def key_terms(
     jd_terms: DataFrame, cv_hits: DataFrame, n_docs: Column, max_df_percent: int = MAX_DF_PERCENT
 ) -> DataFrame:

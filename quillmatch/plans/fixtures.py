@@ -52,10 +52,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, item_id): the JD each conversation is about."""
     n_jds = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1))).scalar()
-    return (
-        turns(spark, sf_dir).select("conv_id").distinct()
-        .withColumn("item_id", F.pmod("conv_id", n_jds))
-    )
+    ids = turns(spark, sf_dir).select("conv_id").distinct()
+    return scale.materialize(ids.withColumn("item_id", F.pmod("conv_id", n_jds)), "interviews")
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

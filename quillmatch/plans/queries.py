@@ -218,7 +218,7 @@ def progress_pct(spark: SparkSession, d: str) -> DataFrame:
 @query
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     inputs = _inputs(spark, d)
-    return matching.candidate_pairs(inputs.hits, inputs.keys)
+    return matching.candidate_pairs(inputs.hits, inputs.keys).drop("n_key_terms", "key_tf")
 
 
 @query

@@ -11,8 +11,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,6 +63,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def long_keys(df: DataFrame, key: str, order: str, block: int = BLOCK) -> DataFrame | None:
+    """Keys with positions beyond the first block, or None when there are none.
+
+    The filter on the position reaches the scan, so on a stored table this reads
+    hardly more than the file footers.  The keys are written, which gives the
+    planner their true size.
+    """
+    found = materialize(df.filter(F.col(order) >= block).select(key).distinct(), "long-keys")
+    return None if found.isEmpty() else found
+
+
 def carry_forward(
     df: DataFrame,
     key: str,
@@ -79,21 +88,24 @@ def carry_forward(
     ``sums`` adds a running total and ``lasts`` the latest non-null value, both
     over strictly earlier rows.  ``order`` is a non-negative integer position,
     unique within the key.
+
+    Where no key is longer than a block, a window per key is enough.  Otherwise
+    windows run per (key, block), and only the long keys are summarised per
+    block to carry their values on.
     """
     sums, lasts = sums or {}, lasts or {}
     blk = int_div(F.col(order), F.lit(block))
     before = Window.partitionBy(key, _BLK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn(_BLK, blk)
-    out = out.withColumns(
-        {n: F.sum(c).over(before) for n, c in sums.items()}
-        | {n: F.last(c, ignorenulls=True).over(before) for n, c in lasts.items()}
-    )
+    running = {n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()}
+    running |= {n: F.last(c, ignorenulls=True).over(before) for n, c in lasts.items()}
+    rows = df.withColumn(_BLK, blk).withColumns(running)
+    long = long_keys(df, key, order, block)
+    if long is None:
+        return rows.drop(_BLK)
 
-    # One summary row per block, for keys longer than one block only.
     per_block = (
-        _long_keys_only(df, key, order, block)
-        .withColumn(_BLK, blk)
-        .groupBy(key, _BLK)
+        df.join(long, key, "left_semi")
+        .groupBy(key, blk.alias(_BLK))
         .agg(
             *[F.sum(c).alias(n) for n, c in sums.items()],
             *[F.max_by(c, F.when(c.isNotNull(), F.col(order))).alias(n) for n, c in lasts.items()],
@@ -106,15 +118,13 @@ def carry_forward(
         *[F.sum(n).over(earlier).alias("__c_" + n) for n in sums],
         *[F.last(n, ignorenulls=True).over(earlier).alias("__c_" + n) for n in lasts],
     )
-    names = [*sums, *lasts]
-    carried = carried.filter(reduce(or_, [F.col("__c_" + n).isNotNull() for n in names]))
-    out = out.join(carried, [key, _BLK], "left")
-    zero = F.lit(0)
-    out = out.withColumns(
-        {n: F.coalesce(F.col(n), zero) + F.coalesce(F.col("__c_" + n), zero) for n in sums}
-        | {n: F.coalesce(F.col(n), F.col("__c_" + n)) for n in lasts}
+    total = {n: F.col(n) + F.coalesce(F.col("__c_" + n), F.lit(0)) for n in sums}
+    latest = {n: F.coalesce(F.col(n), F.col("__c_" + n)) for n in lasts}
+    return (
+        rows.join(carried, [key, _BLK], "left")
+        .withColumns(total | latest)
+        .drop(_BLK, *["__c_" + n for n in running])
     )
-    return out.drop(_BLK, *["__c_" + n for n in names])
 
 
 def next_value(
@@ -123,18 +133,20 @@ def next_value(
     """``value`` of the row after each row of its key; NULL after the last."""
     blk = int_div(F.col(order), F.lit(block))
     inside = Window.partitionBy(key, _BLK).orderBy(order)
-    rows = df.withColumn(_BLK, blk).withColumn(
-        "__next", F.lead(F.struct(value.alias("v"))).over(inside)
-    )
+    held = F.struct(value.alias("v"))
+    rows = df.withColumn(_BLK, blk).withColumn("__next", F.lead(held).over(inside))
+    long = long_keys(df, key, order, block)
+    if long is None:
+        return rows.withColumn(out, F.col("__next.v")).drop(_BLK, "__next")
+
     firsts = (
-        _long_keys_only(df, key, order, block)
-        .withColumn(_BLK, blk)
-        .groupBy(key, _BLK)
-        .agg(F.min_by(F.struct(value.alias("v")), F.col(order)).alias("__first"))
+        df.join(long, key, "left_semi")
+        .groupBy(key, blk.alias(_BLK))
+        .agg(F.min_by(held, F.col(order)).alias("__first"))
     )
     following = firsts.select(
         key, _BLK, F.lead("__first").over(Window.partitionBy(key).orderBy(_BLK)).alias("__first")
-    ).filter(F.col("__first").isNotNull())
+    )
     return (
         rows.join(following, [key, _BLK], "left")
         .withColumn(out, F.coalesce(F.col("__next"), F.col("__first"))["v"])
@@ -142,11 +154,6 @@ def next_value(
     )
 
 
-def _long_keys_only(df: DataFrame, key: str, order: str, block: int) -> DataFrame:
-    long_keys = df.filter(F.col(order) >= block).select(key).distinct()
-    return df.join(long_keys, key, "left_semi")
-
-
 def ordered_segments(
     df: DataFrame, keys: list[str], order: str, value: Column, out: str, block: int = BLOCK
 ) -> DataFrame:

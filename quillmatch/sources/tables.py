@@ -50,18 +50,20 @@ def assemble_page_text(
     segments = scale.ordered_segments(pages, [doc], page_no, body, "__pages", block).withColumn(
         "text", F.array_join("__pages", "")
     )
+    long = scale.long_keys(pages, doc, page_no, block)
+    if long is None:
+        return segments.select(doc, "segment", strip_text("text").alias("text"))
+
     # Blank leading and trailing pages of long documents can fill whole segments,
     # so their first and last page with text decide where to strip.
-    long_docs = pages.filter(F.col(page_no) >= block).select(doc).distinct()
     filled = (
-        pages.join(long_docs, doc, "left_semi")
-        .withColumn("__seg", int_div(F.col(page_no), F.lit(block)).cast("bigint"))
+        pages.join(long, doc, "left_semi")
         .filter(~is_blank(text))
         .groupBy(doc)
-        .agg(F.min("__seg").alias("__first"), F.max("__seg").alias("__last"))
+        .agg(F.min(page_no).alias("__first"), F.max(page_no).alias("__last"))
     )
-    first = F.coalesce(F.col("__first"), F.col("segment"))
-    last = F.coalesce(F.col("__last"), F.col("segment"))
+    at = {n: int_div(F.col(n), F.lit(block)) for n in ("__first", "__last")}
+    first, last = (F.coalesce(at[n], F.col("segment")) for n in ("__first", "__last"))
     stripped = (
         F.when((F.col("segment") == first) & (F.col("segment") == last), strip_text("text"))
         .when(F.col("segment") == first, strip_left("text"))

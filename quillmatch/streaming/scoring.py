@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quillmatch.functions.rules import pct
 from quillmatch.operators import terms
 from quillmatch.operators.cache import uncached_requests
-from quillmatch.operators.matching import candidate_pairs, jd_totals
+from quillmatch.operators.matching import candidate_pairs
 
 VERSION_SCHEMA = "key bigint, cv_hash string, jd_hash string, batch bigint"
 SCORE_SCHEMA = "doc_id bigint, item_id bigint, hits bigint, keyword_coverage bigint, batch bigint"
@@ -31,11 +31,8 @@ def keys_fingerprint(keys: DataFrame) -> str:
 
 def score_pairs(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, item_id, hits, keyword_coverage) of some documents against fixed key terms."""
-    found = terms.in_vocabulary(terms.doc_terms(docs), keys)
-    return (
-        candidate_pairs(found, keys)
-        .join(jd_totals(keys), "item_id")
-        .select("doc_id", "item_id", "hits", pct("hits", "n_key_terms").alias("keyword_coverage"))
+    return candidate_pairs(terms.doc_terms(docs), keys).select(
+        "doc_id", "item_id", "hits", pct("hits", "n_key_terms").alias("keyword_coverage")
     )
 
 

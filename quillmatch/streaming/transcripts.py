@@ -138,6 +138,8 @@ def transcripts(fragments: DataFrame, block: int = BATCH_BLOCK) -> DataFrame:
             F.when(~is_final & F.col("text").isNotNull() & F.col("control").isNull(), F.col("ord")),
         ).alias("last_interim"),
     )
+    # Written, so that the planner knows their size and can split a hot session.
+    marks = scale.materialize(marks, "marks")
     since = F.coalesce("reset_at", F.lit(-1))
     finals = rows.filter(is_final & F.col("text").isNotNull() & F.col("control").isNull()).join(
         marks.select("session_id", "reset_at"), "session_id"
@@ -146,6 +148,7 @@ def transcripts(fragments: DataFrame, block: int = BATCH_BLOCK) -> DataFrame:
     starts = finals.groupBy("session_id").agg(
         F.min(F.when(F.col("text") != "", F.col("ord"))).alias("first_text")
     )
+    starts = scale.materialize(starts, "starts")
     spoken = finals.join(starts, "session_id").filter(F.col("ord") >= F.col("first_text"))
     texts = scale.ordered_segments(spoken, ["session_id"], "ord", F.col("text"), "pieces", block)
     interim = F.when(

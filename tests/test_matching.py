@@ -213,8 +213,9 @@ def test_scans_read_only_what_they_need(spark):
     assert "BroadcastNestedLoop" not in log
 
 
-def test_long_conversations_are_found_by_a_pushed_filter(spark):
-    assert "GreaterThanOrEqual(turn,4096)" in plan(QUERIES["qa_pairs"](spark, SF))
+def test_short_conversations_take_one_shuffle(spark):
+    for name in ("qa_pairs", "question_progress", "attach_feedback"):
+        assert plan(QUERIES[name](spark, SF)).count("Exchange") == 1
 
 
 def test_ranking_prunes_before_the_shuffle(spark):

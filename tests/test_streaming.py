@@ -155,7 +155,7 @@ def test_a_changed_jd_invalidates_everything(spark, tmp_path):
     docs = spark.createDataFrame([(1, "spark", 1)], schema)
     out = str(tmp_path / "out")
     for batch, word in enumerate(("spark", "kafka")):
-        keys = spark.createDataFrame([(1, word, 1)], "item_id bigint, term string, tf bigint")
+        keys = terms.with_totals(spark.createDataFrame([(1, word, 1)], "item_id bigint, term string, tf bigint"))
         scoring.score_batch(docs, batch, keys, scoring.keys_fingerprint(keys), out)
     assert scoring.current_scores(spark, out).count() == 0
 
