@@ -149,9 +149,17 @@ def experience_relevance(inputs: MatchInputs) -> DataFrame:
 
 
 def impact_evidence(text: str = "text") -> Column:
-    """Share of non-blank lines that hold a digit."""
-    filled = F.filter(lines(text), lambda x: ~is_blank(x))
-    return pct(F.size(F.filter(filled, has_digit)), F.size(filled))
+    """Share of non-blank lines that hold a digit, in one walk over the lines."""
+    start = F.struct(F.lit(0).alias("filled"), F.lit(0).alias("digit"))
+    return F.aggregate(
+        lines(F.coalesce(F.col(text), F.lit(""))),
+        start,
+        lambda n, x: F.struct(
+            (n["filled"] + (~is_blank(x)).cast("int")).alias("filled"),
+            (n["digit"] + has_digit(x).cast("int")).alias("digit"),
+        ),
+        lambda n: pct(n["digit"], n["filled"]),
+    )
 
 
 def ats_checks(text: str = "text", headings: Sequence[str] = V.HEADINGS) -> dict[str, Column]:
