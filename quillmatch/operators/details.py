@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmatch.functions import values as V
+from quillmatch.functions.rules import int_div
 from quillmatch.functions.text import as_column, distinct_tokens, has_digit, is_blank, lines, word_count
 from quillmatch.operators import terms
 from quillmatch.operators.matching import MatchInputs
+from quillmatch.plans import scale
 
 
 def pair_terms(pairs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -146,24 +148,31 @@ def check_verbatim_edits(edits: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def apply_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(docs: DataFrame, edits: DataFrame, block: int = 1024) -> DataFrame:
     """(doc_id, revised): each CV with its edits made in order.
 
     Edits with an empty original are skipped; a CV without edits stays as it is.
+    A round makes up to ``block`` consecutive edits of every CV; nearly always one
+    round is all, and no list of edits grows beyond it.
     """
-    e = edits.filter(F.col("original_text") != "")
-    packed = e.groupBy("doc_id").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "ord",
-                    F.col("original_text").alias("o"),
-                    F.coalesce("upgraded_text", F.lit("")).alias("u"),
-                )
-            )
-        ).alias("edits")
+    made = edits.filter(F.col("original_text") != "").withColumn(
+        "__round", int_div(F.col("ord"), F.lit(block))
     )
+    rounds = [r[0] for r in made.select("__round").distinct().orderBy("__round").collect()]
+    texts = docs.select("doc_id", "text")
+    for i, number in enumerate(rounds):
+        if i:
+            texts = scale.materialize(texts, f"edits-{i}")
+        texts = _edit_round(texts, made.filter(F.col("__round") == number))
+    return texts.withColumnRenamed("text", "revised")
+
+
+def _edit_round(texts: DataFrame, edits: DataFrame) -> DataFrame:
+    edit = F.struct(
+        "ord", F.col("original_text").alias("o"), F.coalesce("upgraded_text", F.lit("")).alias("u")
+    )
+    packed = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(edit)).alias("edits"))
     revised = F.aggregate("edits", F.col("text"), lambda acc, x: F.replace(acc, x["o"], x["u"]))
-    return docs.join(packed, "doc_id", "left").select(
-        "doc_id", F.when(F.col("edits").isNull(), F.col("text")).otherwise(revised).alias("revised")
+    return texts.join(packed, "doc_id", "left").select(
+        "doc_id", F.when(F.col("edits").isNull(), F.col("text")).otherwise(revised).alias("text")
     )

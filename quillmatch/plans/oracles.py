@@ -388,17 +388,18 @@ FROM (SELECT doc_id, quality * 60 + doc_id % 50 AS overall_score,
              CASE WHEN doc_id % 9 <> 0 THEN toxic * 90 - doc_id % 5 END AS ats_readiness FROM labels)"""
 
 
-def _size_check(field: str, n: int) -> str:
+def _size_check(field: str, size: str) -> str:
     lo, hi = V.LIST_SIZES[field]
-    return f"least(doc_id % {n}, n_words) NOT BETWEEN {lo} AND {hi}"
+    return f"{size} NOT BETWEEN {lo} AND {hi}"
 
 
 ORACLES["check_list_sizes"] = f"""
 SELECT doc_id, {_violations({
-    f: _size_check(f, n)
-    for f, n in (("missing_keywords", 8), ("cv_strengths", 7), ("sub_scores", 6), ("tips", 4))
-})} AS violations
-FROM (SELECT doc_id, len({words('text')}) AS n_words FROM documents)"""
+    "missing_keywords": _size_check("missing_keywords", "len(list_filter(seen, lambda t: length(t) >= 14))"),
+    "cv_strengths": _size_check("cv_strengths", f"len({lines('text')})"),
+    "sub_scores": _size_check("sub_scores", "len(list_filter(seen, lambda t: length(t) = 2))"),
+    "tips": _size_check("tips", "len(list_filter(seen, lambda t: length(t) = 1))")})} AS violations
+FROM (SELECT doc_id, text, list_distinct({tokens('text')}) AS seen FROM documents)"""
 
 EDITS = f"""
 firsts AS (SELECT doc_id, text, list_extract({lines('text')}, 1) AS line FROM documents),
@@ -449,11 +450,12 @@ FROM slugs s LEFT JOIN catalog c ON c.slug = s.slug"""
 ORACLES["template_lookup_strict"] = f"""
 WITH {SLUGS}, {CATALOG} SELECT c_custkey, slug, title, keywords FROM slugs JOIN catalog USING (slug)"""
 ORACLES["uncached_requests"] = """
+WITH stored AS (
+  SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE -doc_id - 1 END AS key, source,
+         CASE WHEN doc_id % 6 = 0 THEN text || '!' ELSE text END AS text FROM documents)
 SELECT d.doc_id AS key FROM documents d
 WHERE NOT EXISTS (
-  SELECT 1 FROM documents c
-  WHERE c.doc_id = d.doc_id AND c.doc_id % 3 = 0 AND c.source = d.source
-    AND CASE WHEN c.doc_id % 6 = 0 THEN c.text || '!' ELSE c.text END = d.text)"""
+  SELECT 1 FROM stored c WHERE c.key = d.doc_id AND c.source = d.source AND c.text = d.text)"""
 
 
 def _side(side: str, cond: str) -> str:
@@ -558,7 +560,7 @@ SELECT conv_id, turn, text, feedback
 FROM (SELECT *, lead(CASE WHEN role = 'assistant' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn)
         AS feedback FROM conversations) WHERE role = 'user'"""
 ORACLES["latest_prompt"] = f"""
-WITH hinted AS (SELECT *, CASE WHEN turn % 4 <> 3 THEN left(text, 20) END AS hint FROM conversations),
+WITH hinted AS (SELECT *, CASE WHEN turn % 4 <> 3 THEN 'hint ' || turn END AS hint FROM conversations),
 last AS (SELECT * FROM hinted QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
 prompts AS (
   SELECT conv_id, text AS prompt FROM hinted WHERE role = 'assistant'
@@ -582,7 +584,7 @@ FROM final f LEFT JOIN best b USING (request_id)"""
 ORACLES["cache_upsert"] = """
 SELECT key, content, version FROM (
   SELECT doc_id AS key, source AS content, 1 AS version, 0 AS fresh FROM documents
-  UNION ALL SELECT doc_id, lang, doc_id % 3, 1 FROM documents WHERE doc_id % 4 = 0)
+  UNION ALL SELECT CASE WHEN doc_id % 4 = 0 THEN doc_id ELSE -doc_id - 1 END, lang, doc_id % 3, 1 FROM documents)
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC, fresh DESC) = 1"""
 
 # --- top-k ---------------------------------------------------------------------------------------------
@@ -606,9 +608,10 @@ UNION ALL
 SELECT interview_id, category, score, 'gap',
   row_number() OVER (PARTITION BY interview_id ORDER BY score, category) AS rank FROM means QUALIFY rank <= 3"""
 ORACLES["keyword_preview"] = """
-SELECT p_brand, array_to_string(names[1:3], ', ') AS preview,
-  CASE WHEN len(names) > 3 THEN '+' || (len(names) - 3) END AS more
-FROM (SELECT p_brand, list_sort(list(DISTINCT p_name)) AS names FROM part GROUP BY p_brand)"""
+SELECT p_partkey, array_to_string(k[1:3], ', ') AS preview,
+  CASE WHEN len(k) > 3 THEN '+' || (len(k) - 3) END AS more
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [p_type]
+        ELSE string_split(concat_ws(' ', p_name, p_type, p_brand), ' ') END AS k FROM part)"""
 ORACLES["rank_candidates"] = f"""
 WITH {SCORES}
 SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY match_score DESC, doc_id) AS rank,
@@ -653,7 +656,7 @@ ORACLES["clamp"] = """
 SELECT event_id, CASE WHEN event_id % 10 = 1 THEN true WHEN event_id % 10 = 0 THEN false ELSE false END AS is_nan,
   CASE WHEN event_id % 10 > 1 THEN least(greatest(value, 10), 100) END AS clamped
 FROM events"""
-_TRIMMED = strip("CASE WHEN id % 4 = 0 THEN left(text, 20) ELSE text END", CLIENT_SPACE)
+_TRIMMED = strip("CASE WHEN id % 4 = 0 THEN 'JD ' || id ELSE text END", CLIENT_SPACE)
 ORACLES["preview_text"] = f"""
 SELECT kind, id, CASE WHEN length(t) > {V.PREVIEW_LENGTH} THEN left(t, {V.PREVIEW_LENGTH}) || '…'
                       ELSE {q(V.PREVIEW_LABEL)} END AS preview
@@ -732,7 +735,7 @@ UNION ALL SELECT o_orderkey, 1, 'second', 'r2', NULL, NULL FROM orders WHERE o_o
 UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 5 = 0"""
 ORACLES["explode_report"] = f"""
 SELECT doc_id, 'key_strengths' AS child, unnest(range(len(w))) AS pos, unnest(w) AS value, NULL::INT AS score
-FROM (SELECT doc_id, list_slice({words('text')}, 1, doc_id % 4) AS w FROM documents WHERE doc_id % 4 > 0)
+FROM (SELECT doc_id, list_filter({tokens('text')}, lambda t: length(t) >= 14) AS w FROM documents)
 UNION ALL
 SELECT doc_id, 'turns', unnest(range(len({lines('text')}))), unnest({lines('text')}),
        unnest(range(len({lines('text')}))) FROM documents"""
@@ -748,12 +751,16 @@ SELECT doc_id AS request_id, CASE WHEN provider_rank IS NULL THEN 503 ELSE 200 E
   'p' || provider_rank AS subject_line, CASE WHEN provider_rank IS NOT NULL THEN n || ' chars' END AS content
 FROM ranked"""
 ORACLES["stream_transcripts"] = """
-SELECT user_id AS session_id, min(event_id) AS part, 0 AS segment,
-  coalesce(string_agg(event_type || '-' || event_id, ' ' ORDER BY event_id)
-             FILTER (WHERE event_type = 'purchase'), '') AS transcript,
-  coalesce(' ' || (arg_max(event_type || '-' || event_id, event_id) FILTER (WHERE event_type <> 'purchase')), '')
-    AS interim
-FROM events GROUP BY user_id"""
+WITH sessions AS (
+  SELECT user_id, coalesce(' ' || (arg_max(event_type || '-' || event_id, event_id)
+                                   FILTER (WHERE event_type <> 'purchase')), '') AS interim
+  FROM events GROUP BY user_id),
+spoken AS (
+  SELECT user_id, event_id // 65536 AS segment,
+         string_agg(event_type || '-' || event_id, ' ' ORDER BY event_id) AS transcript
+  FROM events WHERE event_type = 'purchase' GROUP BY user_id, event_id // 65536)
+SELECT user_id AS session_id, coalesce(segment, 0) AS segment, coalesce(transcript, '') AS transcript, interim
+FROM sessions LEFT JOIN spoken USING (user_id)"""
 ORACLES["stream_interviews"] = f"""
 WITH {JD_TERMS}, {INTERVIEWS}, {TURNS_BEFORE},
 lists AS (SELECT item_id, list(term) AS key_list, count(*) AS n_key_terms FROM jd_terms GROUP BY item_id),

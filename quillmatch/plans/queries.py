@@ -166,14 +166,13 @@ def check_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def check_list_sizes(spark: SparkSession, d: str) -> DataFrame:
-    w = text.words("text")
-
-    def take(n: int):
-        return F.slice(w, F.lit(1), (F.col("doc_id") % n).cast("int"))
-
-    rows = fx.cvs(spark, d).select(
-        "doc_id", take(8).alias("missing_keywords"), take(7).alias("cv_strengths"),
-        take(6).alias("sub_scores"), take(4).alias("tips"),
+    seen = F.col("seen")
+    rows = fx.cvs(spark, d).select("doc_id", "text", text.distinct_tokens("text").alias("seen")).select(
+        "doc_id",
+        F.filter(seen, lambda t: F.length(t) >= 14).alias("missing_keywords"),
+        text.lines("text").alias("cv_strengths"),
+        F.filter(seen, lambda t: F.length(t) == 2).alias("sub_scores"),
+        F.filter(seen, lambda t: F.length(t) == 1).alias("tips"),
     )
     return responses.check_list_sizes(rows).select(
         "doc_id", responses.violation_text().alias("violations")
@@ -260,6 +259,11 @@ def template_lookup_strict(spark: SparkSession, d: str) -> DataFrame:
     return found.select("c_custkey", "slug", "title", text.join_keywords("keywords").alias("keywords"))
 
 
+def _other_key(n: int):
+    """The document's id as key for every n-th one, an unused key for the others."""
+    return fx.every("doc_id", n, F.col("doc_id"), -F.col("doc_id") - 1).alias("key")
+
+
 @query
 def uncached_requests(spark: SparkSession, d: str) -> DataFrame:
     docs = fx.documents(spark, d)
@@ -267,9 +271,7 @@ def uncached_requests(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc_id").alias("key"), F.col("text").alias("cv_text"), F.col("source").alias("jd_text")
     )
     old = fx.every("doc_id", 6, F.concat("text", F.lit("!")), F.col("text"))
-    stored = docs.filter(F.col("doc_id") % 3 == 0).select(
-        F.col("doc_id").alias("key"), old.alias("cv_text"), F.col("source").alias("jd_text")
-    )
+    stored = docs.select(_other_key(3), old.alias("cv_text"), F.col("source").alias("jd_text"))
     return cache.uncached_requests(reqs, cache.with_hashes(stored)).select("key")
 
 
@@ -420,7 +422,7 @@ def attach_feedback(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def latest_prompt(spark: SparkSession, d: str) -> DataFrame:
-    hint = F.when(F.col("turn") % 4 != 3, F.left("text", F.lit(20)))
+    hint = F.when(F.col("turn") % 4 != 3, F.concat(F.lit("hint "), F.col("turn").cast("string")))
     return conversations.latest_prompt(fx.turns(spark, d).withColumn("hint_for_user", hint))
 
 
@@ -439,10 +441,8 @@ def first_valid_response(spark: SparkSession, d: str) -> DataFrame:
 def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
     docs = fx.documents(spark, d)
     old = docs.select(F.col("doc_id").alias("key"), F.col("source").alias("content"), F.lit(1).alias("version"))
-    new = docs.filter(F.col("doc_id") % 4 == 0).select(
-        F.col("doc_id").alias("key"), F.col("lang").alias("content"),
-        (F.col("doc_id") % 3).cast("int").alias("version"),
-    )
+    version = (F.col("doc_id") % 3).cast("int").alias("version")
+    new = docs.select(_other_key(4), F.col("lang").alias("content"), version)
     return cache.cache_upsert(old, new)
 
 
@@ -466,11 +466,10 @@ def strengths_and_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def keyword_preview(spark: SparkSession, d: str) -> DataFrame:
-    kinds = fx.table(spark, d, "part").groupBy("p_brand").agg(
-        F.sort_array(F.collect_set("p_name")).alias("names")
-    )
-    shown = kinds.withColumn("p", templates.keyword_preview("names"))
-    return shown.select("p_brand", text.join_keywords("p.preview").alias("preview"), "p.more")
+    named = F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")
+    keywords = fx.every("p_partkey", 3, F.array("p_type"), named)
+    shown = fx.table(spark, d, "part").withColumn("p", templates.keyword_preview(keywords))
+    return shown.select("p_partkey", text.join_keywords("p.preview").alias("preview"), "p.more")
 
 
 @query
@@ -551,7 +550,8 @@ def clamp(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def preview_text(spark: SparkSession, d: str) -> DataFrame:
-    body = fx.every("id", 4, F.left("text", F.lit(20)), F.col("text"))
+    short = F.concat(F.lit("JD "), F.col("id").cast("string"))
+    body = fx.every("id", 4, short, F.col("text"))
     return load_corpus(spark, d).select("kind", "id", text.preview_text(body).alias("preview"))
 
 
@@ -687,10 +687,10 @@ def explode_experience(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def explode_report(spark: SparkSession, d: str) -> DataFrame:
-    w, rows = text.words("text"), text.lines("text")
+    long_terms = F.filter(text.tokens("text"), lambda t: F.length(t) >= 14)
     report = F.struct(
-        F.slice(w, F.lit(1), (F.col("doc_id") % 4).cast("int")).alias("key_strengths"),
-        F.transform(rows, lambda x, i: F.struct(x.alias("question"), i.alias("score"))).alias("turns"),
+        long_terms.alias("key_strengths"),
+        F.transform(text.lines("text"), lambda x, i: F.struct(x.alias("question"), i.alias("score"))).alias("turns"),
     )
     children = responses.explode_report(fx.cvs(spark, d).select("doc_id", report.alias("parsed")), "doc_id")
     strengths = children["key_strengths"].select(
@@ -765,7 +765,7 @@ def stream_interviews(spark: SparkSession, d: str) -> DataFrame:
     turns = _stream(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
     lists = scale.materialize(interview.jd_term_lists(terms.jd_postings(fx.jds(spark, d))), "jd-lists")
     scored = live.score_turns(turns, fx.interviews(spark, d), lists, fx.FIXTURE_FILLERS)
-    return live.current_states(_run(live.stream_interviews(scored, TOTAL), "interviews"))
+    return live.current_states(_run(live.stream_interviews(scored, TOTAL), "interviews"), TOTAL)
 
 
 @query
@@ -774,7 +774,7 @@ def stream_incremental_scoring(spark: SparkSession, d: str) -> DataFrame:
     source, out = scale.scratch_path(spark, "drops"), scale.scratch_path(spark, "scores")
     docs = fx.cvs(spark, d)
     changed = F.concat("text", F.lit(" draft"))
-    first = docs.filter(F.col("doc_id") % 3 != 2).select(
+    first = docs.select(
         "doc_id", fx.every("doc_id", 3, changed, F.col("text")).alias("text"), F.lit(1).alias("version")
     )
     second = docs.select("doc_id", "text", F.lit(2).alias("version"))

@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillmatch.functions import values as V
-from quillmatch.functions.rules import pct
+from quillmatch.functions.rules import int_div, pct
 from quillmatch.functions.text import distinct_tokens, is_blank, tokens
 from quillmatch.operators.conversations import question_progress
 from quillmatch.operators.interview import confidence_score, vocabulary_rating
 
-FIELDS = (
-    "last_turn", "n_messages", "answers", "finished",
-    "confidence_score", "jd_relevance_score", "tech_vocab_rating",
+BLOCK = 4096
+METRICS = ("confidence_score", "jd_relevance_score", "tech_vocab_rating")
+# ``first_answers``: JSON list of [turn, messages so far, *metrics] of the first
+# answers of the block, as many as an interview has questions.
+STATE_SCHEMA = "last_turn bigint, n_messages bigint, answers bigint, first_answers string, last_answer string"
+OUTPUT_SCHEMA = f"conv_id bigint, block bigint, {STATE_SCHEMA}"
+ANSWER = T.StructType(
+    [
+        T.StructField("turn", T.LongType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("confidence_score", T.LongType()),
+        T.StructField("jd_relevance_score", T.LongType()),
+        T.StructField("tech_vocab_rating", T.StringType()),
+    ]
 )
-STATE_SCHEMA = (
-    "last_turn bigint, n_messages bigint, answers bigint, finished boolean, "
-    "confidence_score bigint, jd_relevance_score bigint, tech_vocab_rating string"
-)
-OUTPUT_SCHEMA = (
-    "conv_id bigint, last_turn bigint, n_messages bigint, question_no bigint, finished boolean, "
-    "confidence_score bigint, jd_relevance_score bigint, tech_vocab_rating string"
-)
-START = (-1, 0, 0, False, V.INITIAL_CONFIDENCE, V.INITIAL_RELEVANCE, V.INITIAL_VOCABULARY)
+INITIAL = dict(zip(METRICS, (V.INITIAL_CONFIDENCE, V.INITIAL_RELEVANCE, V.INITIAL_VOCABULARY), strict=True))
 
 
 def score_turns(
@@ -66,63 +71,108 @@ def _advance(total: int, ttl_ms: int):
         if state.hasTimedOut:
             state.remove()
             return
-        last, n, answers, finished, *metrics = tuple(state.get) if state.exists else START
+        last, n, answers, firsts, latest = tuple(state.get) if state.exists else (-1, 0, 0, "[]", None)
+        firsts = json.loads(firsts)
+        # At most one block of one conversation, whatever its length.
         rows = pd.concat(list(frames)).sort_values("turn", kind="stable")
         for row in rows.itertuples(index=False):
-            if finished or row.turn <= last:
+            if row.turn <= last:
                 continue
             last, n = int(row.turn), n + 1
             if row.answered:
                 answers += 1
-                metrics = [
-                    int(row.confidence_score), int(row.jd_relevance_score), row.tech_vocab_rating
-                ]
-                finished = answers >= total
-        state.update((last, n, answers, finished, *metrics))
+                answer = {
+                    "turn": last, "n": n,
+                    "confidence_score": int(row.confidence_score),
+                    "jd_relevance_score": int(row.jd_relevance_score),
+                    "tech_vocab_rating": row.tech_vocab_rating,
+                }
+                latest = json.dumps(answer, ensure_ascii=False)
+                if len(firsts) < total:
+                    firsts.append(answer)
+        after = (last, n, answers, json.dumps(firsts, ensure_ascii=False), latest)
+        state.update(after)
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(
-            [(key[0], last, n, min(answers + 1, total), finished, *metrics)],
-            columns=["conv_id", "last_turn", "n_messages", "question_no", "finished", *FIELDS[4:]],
+            [(*key, *after)],
+            columns=["conv_id", "block", "last_turn", "n_messages", "answers", "first_answers", "last_answer"],
         )
 
     return step
 
 
 def stream_interviews(
-    scored: DataFrame, total: int = V.DEFAULT_TOTAL_QUESTIONS, ttl_ms: int = 0
+    scored: DataFrame, total: int = V.DEFAULT_TOTAL_QUESTIONS, ttl_ms: int = 0, block: int = BLOCK
 ) -> DataFrame:
-    """Stream of scored turns to a stream of interview states, one per micro-batch.
+    """Stream of scored turns to a stream of states per conversation and block.
 
-    Turns at or before the last seen one are ignored, and so is everything after
-    the answer that ends the interview.  ``ttl_ms`` drops idle interviews from the
-    state of a stream that runs on; leave it 0 for a run over what is there now.
+    Turns at or before the last seen one of their block are ignored.  Where an
+    interview ends depends on all its blocks, so :func:`current_states` decides it.
+    ``ttl_ms`` drops idle state of a stream that runs on; leave it 0 for a run over
+    what is there now.
     """
     timeout = (
         GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
     )
     return (
         scored.select(
-            "conv_id", "turn", "answered", "confidence_score", "jd_relevance_score", "tech_vocab_rating"
+            "conv_id", int_div(F.col("turn"), F.lit(block)).cast("bigint").alias("block"), "turn",
+            F.coalesce("answered", F.lit(False)).alias("answered"), *METRICS,
         )
-        .groupBy("conv_id")
+        .groupBy("conv_id", "block")
         .applyInPandasWithState(_advance(total, ttl_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout)
     )
 
 
-def current_states(emitted: DataFrame) -> DataFrame:
-    """The newest emitted state of each interview."""
-    rest = [c for c in emitted.columns if c != "conv_id"]
-    newest = F.max_by(F.struct(*rest), F.struct("last_turn", "n_messages")).alias("s")
-    return emitted.groupBy("conv_id").agg(newest).select("conv_id", "s.*")
+def current_states(emitted: DataFrame, total: int = V.DEFAULT_TOTAL_QUESTIONS) -> DataFrame:
+    """The state of each interview, up to the answer that ends it.
+
+    Blocks are few per conversation; their answers are added up in order, and the
+    block that reaches ``total`` is cut at its finishing answer.
+    """
+    rest = [c for c in emitted.columns if c not in ("conv_id", "block")]
+    newest = emitted.groupBy("conv_id", "block").agg(
+        F.max_by(F.struct(*rest), F.struct("last_turn", "n_messages")).alias("s")
+    ).select("conv_id", "block", "s.*")
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = newest.withColumn("before", F.coalesce(F.sum("answers").over(earlier), F.lit(0))).filter(
+        F.col("before") < total
+    )
+    left = F.lit(total) - F.col("before")
+    ends = F.col("answers") >= left
+    firsts = F.from_json("first_answers", T.ArrayType(ANSWER))
+    closing = F.when(ends, F.get(firsts, (left - 1).cast("int")))
+    rows = blocks.select(
+        "conv_id", "block",
+        ends.alias("ends"),
+        F.least("answers", left).alias("answers"),
+        closing.alias("closing"),
+        F.coalesce(closing, F.from_json("last_answer", ANSWER)).alias("answer"),
+        "last_turn", "n_messages",
+    )
+    return (
+        rows.groupBy("conv_id")
+        .agg(
+            F.max(F.coalesce("closing.turn", "last_turn")).alias("last_turn"),
+            F.sum(F.coalesce("closing.n", "n_messages")).alias("n_messages"),
+            F.least(F.sum("answers") + 1, F.lit(total)).alias("question_no"),
+            F.bool_or("ends").alias("finished"),
+            F.max_by("answer", F.when(F.col("answer").isNotNull(), F.col("block"))).alias("m"),
+        )
+        .select(
+            "conv_id", "last_turn", "n_messages", "question_no", "finished",
+            *[F.coalesce(F.col(f"m.{c}"), F.lit(INITIAL[c])).alias(c) for c in METRICS],
+        )
+    )
 
 
 def interview_states(scored: DataFrame, total: int = V.DEFAULT_TOTAL_QUESTIONS) -> DataFrame:
     """Batch twin of :func:`stream_interviews` with :func:`current_states`."""
-    metrics = scored.select("conv_id", "turn", "answered", *FIELDS[4:])
+    metrics = scored.select("conv_id", "turn", "answered", *METRICS)
     kept = question_progress(scored, total).select("conv_id", "turn", "finishes")
     rows = kept.join(metrics, ["conv_id", "turn"])
-    latest = F.max_by(F.struct(*FIELDS[4:]), F.when(F.col("answered"), F.col("turn"))).alias("m")
+    latest = F.max_by(F.struct(*METRICS), F.when(F.col("answered"), F.col("turn"))).alias("m")
     return (
         rows.groupBy("conv_id")
         .agg(
@@ -134,8 +184,6 @@ def interview_states(scored: DataFrame, total: int = V.DEFAULT_TOTAL_QUESTIONS)
         )
         .select(
             "conv_id", "last_turn", "n_messages", "question_no", "finished",
-            F.coalesce("m.confidence_score", F.lit(START[4])).alias("confidence_score"),
-            F.coalesce("m.jd_relevance_score", F.lit(START[5])).alias("jd_relevance_score"),
-            F.coalesce("m.tech_vocab_rating", F.lit(START[6])).alias("tech_vocab_rating"),
+            *[F.coalesce(F.col(f"m.{c}"), F.lit(INITIAL[c])).alias(c) for c in METRICS],
         )
     )

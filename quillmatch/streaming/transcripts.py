@@ -1,9 +1,15 @@
 """Speech fragments to transcripts.
 
-A fragment is (session_id, ord, text, is_final, control).  Final fragments are
-trimmed and appended with a blank; an interim one replaces the interim shown so
-far.  A later final does not clear the interim: only the controls ``stop`` and
-``reset`` do, and ``reset`` also starts the transcript anew.
+A fragment is (session_id, ord, text, is_final, control), ``ord`` being a position
+unique within its session.  Final fragments are trimmed and joined by blanks; an
+interim one replaces the interim shown so far.  A later final does not clear the
+interim: only the controls ``stop`` and ``reset`` do, and ``reset`` also starts the
+transcript anew.
+
+Both the batch and the streaming form give (session_id, segment, transcript,
+interim).  A segment covers ``BLOCK`` consecutive positions, so a session of any
+length is worked on in parallel and no list grows with it; its segments in order,
+joined by blanks and left-trimmed, are the whole transcript.
 """
 
 from __future__ import annotations
@@ -11,38 +17,66 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillmatch.functions.rules import int_div
 from quillmatch.functions.text import trim_text
 from quillmatch.plans import scale
 
-BATCH_BLOCK = 65536
-DELTA_SCHEMA = (
-    "session_id bigint, part bigint, seq bigint, upto_ord bigint, appended string, interim string"
+BLOCK = 65536
+FIELDS = ("part", "seq", "last_ord", "interim", "interim_ord", "cleared_at")
+STATE_SCHEMA = (
+    "part bigint, seq bigint, last_ord bigint, interim string, interim_ord bigint, cleared_at bigint"
 )
-STATE_SCHEMA = "part bigint, seq bigint, last_ord bigint, has_text boolean, interim string"
+DELTA_SCHEMA = f"session_id bigint, segment bigint, {STATE_SCHEMA}, pieces int, appended string"
+START = (-1, 0, -1, "", -1, -1)
 
 
-def _prepared(fragments: DataFrame) -> DataFrame:
+def _prepared(fragments: DataFrame, block: int) -> DataFrame:
     control = F.col("control") if "control" in fragments.columns else F.lit(None).cast("string")
+    final = F.coalesce("is_final", F.lit(False))
     return fragments.select(
-        "session_id", "ord", "is_final", control.alias("control"),
-        F.when(F.length("text") > 0, F.when(F.col("is_final"), trim_text("text")).otherwise(F.col("text")))
-        .alias("text"),
+        "session_id",
+        int_div(F.col("ord"), F.lit(block)).cast("bigint").alias("segment"),
+        "ord",
+        final.alias("is_final"),
+        control.alias("control"),
+        F.when(F.length("text") > 0, F.when(final, trim_text("text")).otherwise(F.col("text"))).alias("text"),
     )
 
 
+def _present(marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """Transcript rows of every session; one empty row where nothing was said."""
+    interim = F.when(F.col("interim_ord") > F.col("cleared_at"), F.col("interim")).otherwise("")
+    first = F.col("segment") == F.col("first_segment")
+    firsts = texts.groupBy("session_id").agg(F.min("segment").alias("first_segment"))
+    heads = marks.join(firsts, "session_id", "left").select(
+        "session_id", interim.alias("interim"), "first_segment"
+    )
+    heads = scale.materialize(heads, "transcript-heads")
+    return heads.join(texts, "session_id", "left").select(
+        "session_id",
+        F.coalesce("segment", F.lit(0)).alias("segment"),
+        F.coalesce(F.when(first, F.ltrim("body")).otherwise(F.col("body")), F.lit("")).alias("transcript"),
+        "interim",
+    )
+
+
+# --- streaming ---------------------------------------------------------------------------
+
+
 def _fold(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
     """Apply fragments in order; gives the new state and one delta per part."""
-    part, seq, last_ord, has_text, interim = state
+    part, seq, last_ord, interim, interim_ord, cleared_at = state
     deltas, pieces, touched = [], [], False
 
     def close() -> None:
         nonlocal seq, pieces, touched
         if touched:
-            deltas.append((part, seq, last_ord, "".join(pieces), interim))
+            kept = (part, seq, last_ord, interim, interim_ord, cleared_at)
+            deltas.append((*kept, len(pieces), " ".join(pieces)))
             seq, pieces, touched = seq + 1, [], False
 
     for order, final, control, text in rows.itertuples(index=False):
@@ -50,20 +84,16 @@ def _fold(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
             continue
         if control == "reset":
             close()
-            part, seq, has_text, interim = order, 0, False, ""
-        elif control == "stop":
-            interim = ""
+            part = order
+        if control in ("reset", "stop"):
+            cleared_at = order
         elif text is not None and final:
-            if has_text:
-                pieces.append(" " + text)
-            elif text:
-                pieces.append(text)
-                has_text = True
+            pieces.append(text)
         elif text is not None:
-            interim = text
+            interim, interim_ord = text, order
         last_ord, touched = order, True
     close()
-    return (part, seq, last_ord, has_text, interim), deltas
+    return (part, seq, last_ord, interim, interim_ord, cleared_at), deltas
 
 
 def _advance(ttl_ms: int):
@@ -73,90 +103,88 @@ def _advance(ttl_ms: int):
         if state.hasTimedOut:
             state.remove()
             return
-        # One micro-batch of one session: the source's trigger limit bounds it.
+        # At most one block of one session, whatever the session's length.
         rows = pd.concat(list(frames)).sort_values("ord", kind="stable")
         rows = rows[["ord", "is_final", "control", "text"]].astype(object)
         rows = rows.where(rows.notna(), None)
-        first = int(rows["ord"].iloc[0])
-        current = state.get if state.exists else (first, 0, first - 1, False, "")
-        after, deltas = _fold(tuple(current), rows)
+        after, deltas = _fold(tuple(state.get) if state.exists else START, rows)
         state.update(after)
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(
-            [(key[0], *d) for d in deltas],
-            columns=["session_id", "part", "seq", "upto_ord", "appended", "interim"],
+            [(*key, *d) for d in deltas],
+            columns=["session_id", "segment", *FIELDS, "pieces", "appended"],
         )
 
     return step
 
 
-def stream_transcripts(fragments: DataFrame, ttl_ms: int = 0) -> DataFrame:
+def stream_transcripts(fragments: DataFrame, ttl_ms: int = 0, block: int = BLOCK) -> DataFrame:
     """Stream of fragments to a stream of transcript deltas.
 
-    The state of a session is a few fields, never the text: each micro-batch
-    emits only what it appends.  Fragments at or before the last seen ``ord`` are
-    duplicates or late and are ignored.  After ``ttl_ms`` of processing time
-    without fragments a session's state goes, and a further fragment opens a new
-    part.  Set it for a stream that runs on; a run over what is available now
-    would never end, as it goes on waiting for timeouts, so there it stays 0.
+    State is kept per session and block of positions, and holds a few fields,
+    never the text: each micro-batch emits only what it appends.  Fragments at or
+    before the last seen position of their block are duplicates or late and are
+    ignored.  ``ttl_ms`` of processing time drops idle state.  Set it for a stream
+    that runs on; a run over what is available now would never end, as it goes on
+    waiting for timeouts, so there it stays 0.
     """
     timeout = (
         GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
     )
     return (
-        _prepared(fragments)
-        .groupBy("session_id")
+        _prepared(fragments, block)
+        .groupBy("session_id", "segment")
         .applyInPandasWithState(_advance(ttl_ms), DELTA_SCHEMA, STATE_SCHEMA, "append", timeout)
     )
 
 
-def assemble_deltas(deltas: DataFrame, block: int = scale.BLOCK) -> DataFrame:
-    """(session_id, part, segment, transcript, interim) from the emitted deltas."""
-    texts = scale.ordered_segments(
-        deltas, ["session_id", "part"], "seq", F.col("appended"), "pieces", block
+def assemble_deltas(deltas: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Transcripts from the emitted deltas."""
+    marks = scale.materialize(
+        deltas.groupBy("session_id").agg(
+            F.max("part").alias("reset_at"),
+            F.max("cleared_at").alias("cleared_at"),
+            F.max("interim_ord").alias("interim_ord"),
+            F.max_by("interim", "interim_ord").alias("interim"),
+        ),
+        "transcript-marks",
     )
-    shown = deltas.groupBy("session_id", "part").agg(F.max_by("interim", "seq").alias("interim"))
-    return texts.join(shown, ["session_id", "part"]).select(
-        "session_id", "part", "segment", F.array_join("pieces", "").alias("transcript"), "interim"
+    spoken = deltas.filter("pieces > 0").join(marks.select("session_id", "reset_at"), "session_id")
+    current = spoken.filter(
+        F.greatest(F.col("part"), F.col("segment") * block) >= F.col("reset_at")
     )
+    return _present(marks, _bodies(current, "seq", F.col("appended")))
+
 
+def _bodies(rows: DataFrame, order: str, text: Column) -> DataFrame:
+    """(session_id, segment, body): texts of a segment in order, joined by blanks."""
+    packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
+    return rows.groupBy("session_id", "segment").agg(packed.alias("p")).select(
+        "session_id", "segment", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("body")
+    )
 
-def transcripts(fragments: DataFrame, block: int = BATCH_BLOCK) -> DataFrame:
-    """Batch twin: (session_id, segment, transcript, interim) since the last reset.
 
-    A segment covers ``block`` consecutive positions; the texts of a session's
-    segments joined by blanks are its transcript.
-    """
-    rows = _prepared(fragments)
-    is_final = F.coalesce("is_final", F.lit(False))
-    marks = rows.groupBy("session_id").agg(
-        F.max(F.when(F.col("control") == "reset", F.col("ord"))).alias("reset_at"),
-        F.max(F.when(F.col("control").isin("stop", "reset"), F.col("ord"))).alias("cleared_at"),
-        F.max_by(
-            F.struct("ord", "text"),
-            F.when(~is_final & F.col("text").isNotNull() & F.col("control").isNull(), F.col("ord")),
-        ).alias("last_interim"),
+# --- batch -------------------------------------------------------------------------------
+
+
+def transcripts(fragments: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Batch twin of :func:`stream_transcripts` with :func:`assemble_deltas`."""
+    rows = _prepared(fragments, block)
+    said = F.col("text").isNotNull() & F.col("control").isNull()
+    shown = F.when(said & ~F.col("is_final"), F.col("ord"))
+    none = F.lit(-1)
+    marks = scale.materialize(
+        rows.groupBy("session_id").agg(
+            F.coalesce(F.max(F.when(F.col("control") == "reset", F.col("ord"))), none).alias("reset_at"),
+            F.coalesce(F.max(F.when(F.col("control").isin("stop", "reset"), F.col("ord"))), none)
+            .alias("cleared_at"),
+            F.coalesce(F.max(shown), none).alias("interim_ord"),
+            F.max_by("text", shown).alias("interim"),
+        ),
+        "transcript-marks",
     )
-    # Written, so that the planner knows their size and can split a hot session.
-    marks = scale.materialize(marks, "marks")
-    since = F.coalesce("reset_at", F.lit(-1))
-    finals = rows.filter(is_final & F.col("text").isNotNull() & F.col("control").isNull()).join(
+    finals = rows.filter(said & F.col("is_final")).join(
         marks.select("session_id", "reset_at"), "session_id"
-    ).filter(F.col("ord") > since)
-    # A blank final before any text adds nothing; later ones add their blank.
-    starts = finals.groupBy("session_id").agg(
-        F.min(F.when(F.col("text") != "", F.col("ord"))).alias("first_text")
-    )
-    starts = scale.materialize(starts, "starts")
-    spoken = finals.join(starts, "session_id").filter(F.col("ord") >= F.col("first_text"))
-    texts = scale.ordered_segments(spoken, ["session_id"], "ord", F.col("text"), "pieces", block)
-    interim = F.when(
-        F.col("last_interim.ord") > F.coalesce("cleared_at", F.lit(-1)), F.col("last_interim.text")
-    ).otherwise("")
-    return marks.select("session_id", interim.alias("interim")).join(texts, "session_id", "left").select(
-        "session_id",
-        F.coalesce("segment", F.lit(0)).alias("segment"),
-        F.coalesce(F.array_join("pieces", " "), F.lit("")).alias("transcript"),
-        "interim",
     )
+    return _present(marks, _bodies(finals.filter("ord > reset_at"), "ord", F.col("text")))

@@ -147,7 +147,8 @@ def test_edits_run_in_order(spark):
         [(1, 2, "b", "c"), (1, 1, "a", "b"), (1, 3, "", "zzz")],
         "doc_id bigint, ord int, original_text string, upgraded_text string",
     )
-    assert rows(details.apply_edits(docs, edits)) == [(1, "c c c"), (2, "keep")]
+    for block in (1, 1024):
+        assert rows(details.apply_edits(docs, edits, block)) == [(1, "c c c"), (2, "keep")]
     checked = rows(details.check_verbatim_edits(edits, docs).select("ord", "verbatim"))
     assert checked == [(1, True), (2, True), (3, False)]
 

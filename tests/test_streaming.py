@@ -61,22 +61,11 @@ def fragments(seed):
     return out
 
 
-def current(assembled):
-    """Text and interim of the latest part of each session."""
-    out = {}
-    for r in assembled.orderBy("session_id", "part", "segment").collect():
-        if r.session_id not in out or out[r.session_id][0] != r.part:
-            out[r.session_id] = (r.part, "", r.interim)
-        part, text, interim = out[r.session_id]
-        out[r.session_id] = (part, text + r.transcript, interim)
-    return {k: v[1:] for k, v in out.items()}
-
-
 def joined(batch):
     out = {}
     for r in batch.orderBy("session_id", "segment").collect():
         out.setdefault(r.session_id, ([], r.interim))[0].append(r.transcript)
-    return {k: (" ".join(v[0]), v[1]) for k, v in out.items()}
+    return {k: (" ".join(v[0]).lstrip(" "), v[1]) for k, v in out.items()}
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -86,16 +75,18 @@ def test_transcripts_batch(spark, seed, block):
     assert joined(transcripts.transcripts(spark.createDataFrame(data, FRAGMENT), block)) == by_hand(data)
 
 
-def test_transcripts_stream(spark, tmp_path):
+@pytest.mark.parametrize("block", [7, 65536])
+def test_transcripts_stream(spark, tmp_path, block):
     data = fragments(5)
     cut = [[f for f in data if lo <= f[1] < hi] for lo, hi in ((0, 15), (15, 16), (16, 40))]
     random.Random(0).shuffle(cut[0])
     # Duplicates and late fragments come again and change nothing.
     parts = [cut[0], cut[1] + cut[0][:10], cut[2] + cut[2][:5]]
     stream = drip(spark, parts, FRAGMENT, str(tmp_path / "in"))
-    deltas = run(transcripts.stream_transcripts(stream), tmp_path, "out")
-    for block in (1, 4096):
-        assert current(transcripts.assemble_deltas(deltas, block)) == by_hand(data)
+    deltas = run(transcripts.stream_transcripts(stream, block=block), tmp_path, "out")
+    assembled = transcripts.assemble_deltas(deltas, block)
+    assert joined(assembled) == by_hand(data)
+    assert rows(assembled) == rows(transcripts.transcripts(spark.createDataFrame(data, FRAGMENT), block))
 
 
 def test_interim_outlives_a_final(spark):
@@ -103,18 +94,18 @@ def test_interim_outlives_a_final(spark):
     assert joined(transcripts.transcripts(spark.createDataFrame(data, FRAGMENT))) == {1: ("hello", "hel")}
 
 
-@pytest.mark.parametrize("total", [1, 3])
-def test_interviews(spark, tmp_path, total):
+@pytest.mark.parametrize(("total", "block"), [(1, 4096), (3, 1), (3, 4096)])
+def test_interviews(spark, tmp_path, total, block):
     turns = fx.turns(spark, SF)
     lists = interview.jd_term_lists(terms.jd_postings(fx.jds(spark, SF)))
     data = [tuple(r) for r in turns.collect()]
     parts = [[t for t in data if t[1] < 2], [t for t in data if t[1] < 4], [t for t in data if t[1] >= 3]]
     stream = drip(spark, parts, turns.schema, str(tmp_path / "in"))
     scored = interviews.score_turns(stream, fx.interviews(spark, SF), lists)
-    emitted = run(interviews.stream_interviews(scored, total), tmp_path, "out")
+    emitted = run(interviews.stream_interviews(scored, total, block=block), tmp_path, "out")
     batch = interviews.interview_states(interviews.score_turns(turns, fx.interviews(spark, SF), lists), total)
     names = batch.columns
-    assert rows(interviews.current_states(emitted).select(*names)) == rows(batch)
+    assert rows(interviews.current_states(emitted, total).select(*names)) == rows(batch)
 
 
 def test_an_interview_without_answers_shows_initial_metrics(spark):
@@ -167,6 +158,5 @@ def test_state_is_small():
 def test_events_stream_equals_batch(spark):
     from quillmatch.plans.queries import QUERIES
 
-    streamed = current(QUERIES["stream_transcripts"](spark, SF))
-    batch = joined(transcripts.transcripts(fx.as_fragments(fx.table(spark, SF, "events").withColumn("c", F.lit(1)))))
-    assert streamed == batch
+    batch = transcripts.transcripts(fx.as_fragments(fx.table(spark, SF, "events")))
+    assert rows(QUERIES["stream_transcripts"](spark, SF)) == rows(batch)
