@@ -67,6 +67,8 @@ def claims_with_evidence(pairs: DataFrame, claims: DataFrame, cvs: DataFrame) ->
     mentions = text_lines.select(
         "doc_id", "line_no", "line", F.explode(distinct_tokens("line")).alias("claim")
     )
+    # Only lines that mention some claim travel on.
+    mentions = mentions.join(claims.select("claim"), "claim", "left_semi")
     return wanted.join(mentions, ["doc_id", "claim"], "left").select(
         "doc_id", "item_id", "claim", "line_no", "line"
     )
