@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from quillmatch.plans.queries import QUERIES  # noqa: E402
+from pairwright.plans.queries import QUERIES  # noqa: E402
 
 HEADLINES = (
     "keyword_coverage",

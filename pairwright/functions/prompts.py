@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
-from quillmatch.functions.rules import question_strategy
-from quillmatch.functions.text import as_column, strip_text
+from pairwright.functions import values as V
+from pairwright.functions.rules import question_strategy
+from pairwright.functions.text import as_column, strip_text
 
 # The forms in which a CV and a JD enter a request, and the
 # channel rules of the writing assistant.

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
-from quillmatch.functions.text import as_column
+from pairwright.functions import values as V
+from pairwright.functions.text import as_column
 
 
 def int_div(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
+from pairwright.functions import values as V
 
 # Whitespace as the server side strips it, and as the client side trims it.
 # Java's plain \s is ASCII only, so the Unicode separators are spelled out.

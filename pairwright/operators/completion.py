@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
-from quillmatch.functions.rules import pct
-from quillmatch.functions.text import as_column, is_blank, word_count
-from quillmatch.operators.responses import parse_responses
-from quillmatch.plans import scale
+from pairwright.functions import values as V
+from pairwright.functions.rules import pct
+from pairwright.functions.text import as_column, is_blank, word_count
+from pairwright.operators.responses import parse_responses
+from pairwright.plans import scale
 
 Provider = Callable[[list[dict]], str]
 CALL_SCHEMA = "request_id bigint, content string, error string"

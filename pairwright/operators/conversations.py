@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
-from quillmatch.functions.rules import progress_pct
-from quillmatch.functions.text import is_blank
-from quillmatch.plans import scale
+from pairwright.functions import values as V
+from pairwright.functions.rules import progress_pct
+from pairwright.functions.text import is_blank
+from pairwright.plans import scale
 
 
 def _is_user() -> Column:

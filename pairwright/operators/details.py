@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
-from quillmatch.functions.rules import int_div
-from quillmatch.functions.text import as_column, distinct_tokens, has_digit, is_blank, lines, word_count
-from quillmatch.operators import terms
-from quillmatch.operators.matching import MatchInputs
-from quillmatch.plans import scale
+from pairwright.functions import values as V
+from pairwright.functions.rules import int_div
+from pairwright.functions.text import as_column, distinct_tokens, has_digit, is_blank, lines, word_count
+from pairwright.operators import terms
+from pairwright.operators.matching import MatchInputs
+from pairwright.plans import scale
 
 
 def pair_terms(pairs: DataFrame, keys: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
-from quillmatch.functions.rules import int_div, pct, rounded_mean, score_band
-from quillmatch.functions.text import distinct_tokens, phrase_count, tokens, word_count
-from quillmatch.plans import scale
+from pairwright.functions import values as V
+from pairwright.functions.rules import int_div, pct, rounded_mean, score_band
+from pairwright.functions.text import distinct_tokens, phrase_count, tokens, word_count
+from pairwright.plans import scale
 
 SHORT_ANSWER_WORDS = 5
 SHORT_ANSWER_SCORE = 30

@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
-from quillmatch.functions.text import tokens
-from quillmatch.operators import terms
+from pairwright.functions import values as V
+from pairwright.functions.text import tokens
+from pairwright.operators import terms
 
 StopWords = Mapping[str, Sequence[str]]
 

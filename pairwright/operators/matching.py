@@ -15,11 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
-from quillmatch.functions.rules import int_div, pct
-from quillmatch.functions.text import has_digit, is_blank, lines
-from quillmatch.operators import terms
-from quillmatch.plans import scale
+from pairwright.functions import values as V
+from pairwright.functions.rules import int_div, pct
+from pairwright.functions.text import has_digit, is_blank, lines
+from pairwright.operators import terms
+from pairwright.plans import scale
 
 SCORE_COLUMNS = (
     "keyword_coverage", "technical_match", "experience_relevance",

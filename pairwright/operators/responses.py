@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
-from quillmatch.functions.text import as_column
+from pairwright.functions import values as V
+from pairwright.functions.text import as_column
 
 # The response models.  "str", "int" and "bool" are leaves, a tuple
 # is a closed set of strings, a one-element list is a list, a dict an object.

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
-from quillmatch.functions.prompts import fill
-from quillmatch.functions.text import as_column, join_keywords, slug_to_name
-from quillmatch.sources import catalog as C
+from pairwright.functions import values as V
+from pairwright.functions.prompts import fill
+from pairwright.functions.text import as_column, join_keywords, slug_to_name
+from pairwright.sources import catalog as C
 
 
 def template_lookup_strict(requests: DataFrame, catalog: DataFrame, slug: str = "slug") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.functions.text import distinct_tokens, lines, tokens
+from pairwright.functions.text import distinct_tokens, lines, tokens
 
 MIN_TERM_LENGTH = 3
 MAX_DF_PERCENT = 10

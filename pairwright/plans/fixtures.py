@@ -9,11 +9,11 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import quillmatch
-from quillmatch.functions.rules import clamp, int_div
-from quillmatch.functions.text import lines
-from quillmatch.plans import scale
-from quillmatch.sources.tables import CV_SCHEMA, JD_SCHEMA, load_corpus
+import pairwright
+from pairwright.functions.rules import clamp, int_div
+from pairwright.functions.text import lines
+from pairwright.plans import scale
+from pairwright.sources.tables import CV_SCHEMA, JD_SCHEMA, load_corpus
 
 FIXTURE_FILLERS = ("ờ", "ừm", "à", "thì là", "the", "of the", "le", "und", "que")
 FIXTURE_HEADINGS = ("the", "le", "la", "die", "el")
@@ -22,11 +22,11 @@ PDF = "application/pdf"
 
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever they run."""
-    shipped = [p for p in spark.sparkContext.listFiles if p.endswith("quillmatch.zip")]
+    shipped = [p for p in spark.sparkContext.listFiles if p.endswith("pairwright.zip")]
     if not shipped:
-        root = os.path.dirname(os.path.dirname(os.path.abspath(quillmatch.__file__)))
-        base = os.path.join(tempfile.mkdtemp(prefix="quillmatch-"), "quillmatch")
-        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "quillmatch"))
+        root = os.path.dirname(os.path.dirname(os.path.abspath(pairwright.__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="pairwright-"), "pairwright")
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "pairwright"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

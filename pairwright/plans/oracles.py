@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillmatch.functions import prompts as P
-from quillmatch.functions import rules
-from quillmatch.functions import values as V
-from quillmatch.plans import fixtures as fx
-from quillmatch.sources import catalog as C
+from pairwright.functions import prompts as P
+from pairwright.functions import rules
+from pairwright.functions import values as V
+from pairwright.plans import fixtures as fx
+from pairwright.sources import catalog as C
 
 ORACLES: dict[str, str] = {}
 

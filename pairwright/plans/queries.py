@@ -8,15 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.functions import prompts, rules, text
-from quillmatch.functions import values as V
-from quillmatch.operators import cache, completion, conversations, details, interview, language
-from quillmatch.operators import matching, responses, templates, terms
-from quillmatch.plans import fixtures as fx
-from quillmatch.plans import scale
-from quillmatch.sources import catalog, tables
-from quillmatch.streaming import interviews as live
-from quillmatch.streaming import scoring, transcripts
+from pairwright.functions import prompts, rules, text
+from pairwright.functions import values as V
+from pairwright.operators import cache, completion, conversations, details, interview, language
+from pairwright.operators import matching, responses, templates, terms
+from pairwright.plans import fixtures as fx
+from pairwright.plans import scale
+from pairwright.sources import catalog, tables
+from pairwright.streaming import interviews as live
+from pairwright.streaming import scoring, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

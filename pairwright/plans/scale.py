@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmatch.functions.rules import int_div
+from pairwright.functions.rules import int_div
 
 BLOCK = 4096
 _BLK = "__block"
@@ -31,13 +31,13 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmatch-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pairwright-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/quillmatch-{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/pairwright-{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmatch.functions import values as V
-from quillmatch.functions.rules import int_div
-from quillmatch.functions.text import is_blank, strip_left, strip_right, strip_text
-from quillmatch.plans import scale
+from pairwright.functions import values as V
+from pairwright.functions.rules import int_div
+from pairwright.functions.text import is_blank, strip_left, strip_right, strip_text
+from pairwright.plans import scale
 
 CV_SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillmatch.functions import values as V
-from quillmatch.functions.rules import int_div, pct
-from quillmatch.functions.text import distinct_tokens, is_blank, tokens
-from quillmatch.operators.conversations import question_progress
-from quillmatch.operators.interview import confidence_score, vocabulary_rating
+from pairwright.functions import values as V
+from pairwright.functions.rules import int_div, pct
+from pairwright.functions.text import distinct_tokens, is_blank, tokens
+from pairwright.operators.conversations import question_progress
+from pairwright.operators.interview import confidence_score, vocabulary_rating
 
 BLOCK = 4096
 METRICS = ("confidence_score", "jd_relevance_score", "tech_vocab_rating")

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillmatch.functions.rules import pct
-from quillmatch.operators import terms
-from quillmatch.operators.cache import uncached_requests
-from quillmatch.operators.matching import candidate_pairs
+from pairwright.functions.rules import pct
+from pairwright.operators import terms
+from pairwright.operators.cache import uncached_requests
+from pairwright.operators.matching import candidate_pairs
 
 VERSION_SCHEMA = "key bigint, cv_hash string, jd_hash string, batch bigint"
 SCORE_SCHEMA = "doc_id bigint, item_id bigint, hits bigint, keyword_coverage bigint, batch bigint"

@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillmatch.functions.rules import int_div
-from quillmatch.functions.text import trim_text
-from quillmatch.plans import scale
+from pairwright.functions.rules import int_div
+from pairwright.functions.text import trim_text
+from pairwright.plans import scale
 
 BLOCK = 65536
 FIELDS = ("part", "seq", "last_ord", "interim", "interim_ord", "cleared_at")

@@ -24,7 +24,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    from quillmatch.plans.fixtures import ship_package
+    from pairwright.plans.fixtures import ship_package
 
     ship_package(session)
     yield session

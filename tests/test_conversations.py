@@ -8,9 +8,9 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
-from quillmatch.operators import conversations as C
-from quillmatch.sources import tables
+from pairwright.functions import values as V
+from pairwright.operators import conversations as C
+from pairwright.sources import tables
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 

@@ -7,9 +7,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quillmatch.functions import prompts, rules, text
-from quillmatch.functions import values as V
-from quillmatch.operators import completion, interview
+from pairwright.functions import prompts, rules, text
+from pairwright.functions import values as V
+from pairwright.operators import completion, interview
 
 
 def one(spark, *columns, **values):

@@ -8,8 +8,8 @@ import pytest
 from conftest import SF, plan, rows
 from pyspark.sql import functions as F
 
-from quillmatch.operators import details, language, matching, terms
-from quillmatch.plans.queries import QUERIES
+from pairwright.operators import details, language, matching, terms
+from pairwright.plans.queries import QUERIES
 
 CVS = [
     (1, "Python and Spark jobs\nBuilt 3 pipelines with Spark\nteam lead"),

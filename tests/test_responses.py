@@ -8,8 +8,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from quillmatch.functions import values as V
-from quillmatch.operators import cache, completion, responses
+from pairwright.functions import values as V
+from pairwright.operators import cache, completion, responses
 
 REPORT = {
     "overall_score": 80,

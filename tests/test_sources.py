@@ -8,10 +8,10 @@ import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
 
-from quillmatch.functions import text
-from quillmatch.operators import templates
-from quillmatch.plans.queries import QUERIES
-from quillmatch.sources import catalog, tables
+from pairwright.functions import text
+from pairwright.operators import templates
+from pairwright.plans.queries import QUERIES
+from pairwright.sources import catalog, tables
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])

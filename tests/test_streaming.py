@@ -9,9 +9,9 @@ import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
 
-from quillmatch.operators import interview, matching, terms
-from quillmatch.plans import fixtures as fx
-from quillmatch.streaming import interviews, scoring, transcripts
+from pairwright.operators import interview, matching, terms
+from pairwright.plans import fixtures as fx
+from pairwright.streaming import interviews, scoring, transcripts
 
 FRAGMENT = "session_id bigint, ord bigint, text string, is_final boolean, control string"
 
@@ -156,7 +156,7 @@ def test_state_is_small():
 
 
 def test_events_stream_equals_batch(spark):
-    from quillmatch.plans.queries import QUERIES
+    from pairwright.plans.queries import QUERIES
 
     batch = transcripts.transcripts(fx.as_fragments(fx.table(spark, SF, "events")))
     assert rows(QUERIES["stream_transcripts"](spark, SF)) == rows(batch)
