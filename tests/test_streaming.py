@@ -7,7 +7,6 @@ import time
 
 import pytest
 from conftest import SF, rows
-from pyspark.sql import functions as F
 
 from pairwright.operators import interview, matching, terms
 from pairwright.plans import fixtures as fx
