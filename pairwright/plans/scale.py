@@ -22,15 +22,18 @@ _BLK = "__block"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables.
+    """Shared folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    The session's ``spark.checkpoint.dir``; a temporary folder only where the
-    session names none, as in tests.
+    A local session without one, as in tests, gets a temporary folder.  A cluster
+    session without one is an error: its executors would each write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder; master is {master}")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pairwright-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")

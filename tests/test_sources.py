@@ -115,3 +115,14 @@ def test_record_rendering(spark):
 def test_exported_pages_of_the_fixture_parse(spark):
     for r in QUERIES["export_nested_json"](spark, SF).collect():
         assert json.loads(r.page)["mainEntity"]
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pairwright.plans.scale import scratch_root
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(SimpleNamespace(conf=conf, sparkContext=context))
