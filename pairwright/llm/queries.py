@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import packing, token_files
+from pairwright.llm import langid, packing, token_files
 from pairwright.plans.fixtures import ship_package
 from pairwright.plans.scale import scratch_path
 
@@ -29,8 +29,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=CAPACITY)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_id": op3_language_id,
 }
 ORACLES: dict[str, str] = {}
