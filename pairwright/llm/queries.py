@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import langid, packing, token_files
+from pairwright.llm import exact, langid, mixing, packing, token_files
 from pairwright.plans.fixtures import ship_package
 from pairwright.plans.scale import scratch_path
 
@@ -33,9 +33,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(_table(spark, sf_dir, "documents")).drop("row")
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_words(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_source_mixing": op6_source_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": exact.SQL,
+    "op6_source_mixing": mixing.SQL,
 }
-ORACLES: dict[str, str] = {}
