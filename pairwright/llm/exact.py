@@ -105,11 +105,11 @@ def groups(docs: DataFrame, row: str | None = None, capacity: int = CAPACITY, de
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with their columns."""
+    """The rows that stay, with their columns; ``docs`` is read from files, in a fixed order."""
     row = fresh(docs, "row_number")
-    tagged = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "tagged")
-    stay = groups(tagged, row).filter("kept").select(F.col("row").alias(row))
-    return tagged.join(stay, row, "left_semi").select(*docs.columns)
+    stay = groups(docs).filter("kept").select(F.col("row").alias(row))
+    tagged = docs.withColumn(row, F.monotonically_increasing_id())
+    return tagged.join(materialize(stay, "kept-rows"), row, "left_semi").select(*docs.columns)
 
 
 SQL = """

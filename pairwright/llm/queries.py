@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import exact, langid, mixing, packing, token_files
+from pairwright.llm import exact, fingerprints, html_text, langid, mixing, packing, token_files
 from pairwright.plans.fixtures import ship_package
 from pairwright.plans.scale import scratch_path
 
@@ -41,12 +41,22 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
+    "op7_html_text": op7_html_text,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact.SQL,
