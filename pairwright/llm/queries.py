@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import exact, fingerprints, html_text, langid, mixing, packing, token_files
+from pairwright.llm import exact, fingerprints, html_text, langid, mixing, near, packing, token_files
 from pairwright.plans.fixtures import ship_package
 from pairwright.plans.scale import scratch_path
 
@@ -37,6 +37,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(_table(spark, sf_dir, "documents")).drop("row")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(_table(spark, sf_dir, "documents"), n=2, percent=80).drop("row")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(_table(spark, sf_dir, "documents"))
 
@@ -54,11 +58,13 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_near_dedup": op5_near_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_html_text": op7_html_text,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact.SQL,
+    "op5_near_dedup": near.SQL,
     "op6_source_mixing": mixing.SQL,
 }
