@@ -241,7 +241,7 @@ WITH RECURSIVE w AS (
     FROM documents
 ), s AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2
-        THEN list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) ELSE w END) AS s
+        THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s
     FROM w
 ), sizes AS (
     SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
