@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import exact, fingerprints, html_text, langid, mixing, near, packing, token_files
+from pairwright.llm import exact, fingerprints, html_text, langid, line_dedup, mixing, near, packing, private
+from pairwright.llm import token_files
 from pairwright.plans.fixtures import ship_package
 from pairwright.plans.scale import scratch_path
 
@@ -49,6 +50,14 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.protect(_table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -61,10 +70,13 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_html_text": op7_html_text,
+    "op8_surrogates": op8_surrogates,
+    "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact.SQL,
     "op5_near_dedup": near.SQL,
     "op6_source_mixing": mixing.SQL,
+    "op9_line_dedup": line_dedup.SQL,
 }
