@@ -80,7 +80,8 @@ def groups(docs: DataFrame, row: str | None = None, capacity: int = CAPACITY, de
         F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keep")
     )
     # bytes: equal texts of a key meet as grouping keys, which compare whole values
-    ids = several.select(F.col("doc_id").alias("id")).distinct()
+    # a share of all rows, so not broadcast at one size and shuffled at the next
+    ids = several.select(F.col("doc_id").alias("id")).distinct().hint("merge")
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     texts = texts.select(normalised(F.col("text")).alias("norm"))
     links = texts.groupBy(F.xxhash64("norm").alias("key"), "norm").agg(F.count(F.lit(1)).alias("same_bytes"))
@@ -109,7 +110,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     row = fresh(docs, "row_number")
     stay = groups(docs).filter("kept").select(F.col("row").alias(row))
     tagged = docs.withColumn(row, F.monotonically_increasing_id())
-    return tagged.join(materialize(stay, "kept-rows"), row, "left_semi").select(*docs.columns)
+    return tagged.join(materialize(stay, "kept-rows").hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 SQL = """
