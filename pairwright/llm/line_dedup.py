@@ -98,7 +98,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # their words, from the row and place where each is first met
     at = open_.select("h", "h2", "first", F.col("first.row").alias("row"), F.col("first.place").alias("place"))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "text")
-    split = texts.join(at, "row").withColumn("line", F.get(F.split(whole(F.col("text")), "\n", -1), F.col("place")))
+    split = texts.join(at.hint("merge"), "row").withColumn("line", F.get(F.split(whole(F.col("text")), "\n", -1), F.col("place")))
     worded = materialize(split.select("h", "h2", "first", words(F.col("line")).alias("w")), "line-words")
 
     keys = worded.select("first", F.explode(_keys(F.col("w"))).alias("v"))

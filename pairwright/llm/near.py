@@ -98,9 +98,13 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return materialize(near.select("a", "b"), "likely-pairs")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, many: bool) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold.
+
+    ``many``: the pairs hold a share of all documents, so their texts come by a shuffle.
+    """
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "pair-rows")
+    ids = ids.hint("merge") if many else ids
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "text").join(ids, "row", "left_semi")
     texts = materialize(texts, "pair-texts")
     a = texts.select(F.col("row").alias("a"), F.col("text").alias("x"))
@@ -191,7 +195,7 @@ def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, n: int, percen
     while not last:
         last = turn > LEADERS or (turn > 0 and _pairs_left(open_lists) <= size)
         pairs = _all_left(open_lists, percent) if last else _with_leaders(open_lists, turn, percent)
-        found = _verified(_estimated(pairs, sketches), docs, n, percent)
+        found = _verified(_estimated(pairs, sketches), docs, n, percent, many=turn == 0)
         edges = found if edges is None else materialize(edges.union(found), "links")
         labels = components(edges)
         if not last:
@@ -230,7 +234,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     row = fresh(docs, "row_number")
     stay = near_groups(docs, n, percent).filter("kept").select(F.col("row").alias(row))
     tagged = docs.withColumn(row, F.monotonically_increasing_id())
-    return tagged.join(materialize(stay, "kept-rows"), row, "left_semi").select(*docs.columns)
+    return tagged.join(materialize(stay, "kept-rows").hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 SQL = r"""
