@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pairwright.llm.tokens import encoder
 from pairwright.plans.scale import materialize
 
-AT_ONCE = 512
+AT_ONCE = 1024
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, rank long"
 SLOTS = "length int, first long, next long, sequence long, each long, place long"
 

@@ -28,7 +28,7 @@ from pairwright.plans.scale import materialize
 BLOCK = 4096  #: ids of a block
 CHUNK = 1 << 20  #: ids of a chunk, more only where one document has more
 CHUNKS_PER_FILE = 4
-AT_ONCE = 512  #: documents a worker encodes together
+AT_ONCE = 1024  #: documents a worker encodes together
 MAGIC = b"BPK1"
 HEAD = np.dtype(
     [

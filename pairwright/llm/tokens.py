@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 
-CACHED_PARTS = 600_000  #: parts remembered by a worker; the cache starts afresh beyond
+CACHED_PARTS = 500_000  #: parts of a generation; those not used in the next one are forgotten
 #: letters, then ASCII marks; the apostrophe is left out, as it starts contractions
 WORD = re.compile(r"\x00?([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 SPACE = "Ġ"  #: how byte-level vocabularies write a space
@@ -50,6 +50,7 @@ class Encoder:
             self.shown[byte] = ord(letter) if byte != 0x20 else 0x20
         self.tails = {"": b""}
         self.parts: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         if self.by_parts:
             self.words = Tokenizer(self.tokenizer.model)  # the merges alone, for ready pre-tokens
             self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
@@ -107,9 +108,11 @@ class Encoder:
         """``encode`` of each text; words that several of them share are encoded once."""
         cut = [self._cut(t) if self.by_parts and self._is_plain(t) else None for t in texts]
         if len(self.parts) > CACHED_PARTS:
-            self.parts.clear()
+            self.before, self.parts = self.parts, {}
         missing = set().union(*[c for c in cut if c is not None]).difference(self.parts)
-        self._learn(missing)
+        again = missing.intersection(self.before)
+        self.parts.update(zip(again, map(self.before.__getitem__, again)))
+        self._learn(missing - again)
         known = self.parts.__getitem__
         return [self._whole(t) if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut)]
 
