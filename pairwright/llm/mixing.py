@@ -62,7 +62,7 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
 
 def _ranked(units: DataFrame, plan: DataFrame, weight: Column) -> DataFrame:
     """Units with the bucket and place of their rank in the order sample of their source."""
-    inclusion = F.least(F.greatest(F.col("rest") / F.col("source_size") * weight, F.lit(1e-12)), F.lit(1 - 1e-12))
+    inclusion = F.least(F.greatest(F.col("rest") / F.greatest("source_size", F.lit(1)) * weight, F.lit(1e-12)), F.lit(1 - 1e-12))
     u = (F.col("u") + F.lit(0.5)) / F.lit(float(DRAWS))
     rank = (u / (1 - u)) / (inclusion / (1 - inclusion))
     joined = units.join(plan, units["source"].eqNullSafe(plan["src"])).withColumn("rank", rank)
@@ -80,7 +80,7 @@ def plan_mix(units: DataFrame, most: int = MOST, weight: Column | None = None) -
     """
     weight = F.lit(1.0) if weight is None else weight
     per = materialize(units.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    due = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))
+    due = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0)
     plan = targets(per, most).withColumn("whole", due)
     plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = materialize(plan.withColumn("src", F.col("source")), "targets")

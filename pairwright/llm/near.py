@@ -4,9 +4,9 @@
    them.  Equal sets form one class; from here on a class is one node.
 2. Inverted lists of retained values find candidates.  Two nodes at the threshold share
    at least ``SHARED`` of their ``INDEXED`` smallest values but for a chance below 1e-7,
-   so they also meet in the lists of their ``INDEXED - SHARED + 1`` values that are
-   rarest in the corpus.  The common values of a node are in no list.  Sets smaller than
-   the sketch are known whole, and their bound is certain.
+   so they also meet ``MET`` times in the lists of their ``INDEXED - SHARED + MET`` values
+   that are rarest in the corpus.  The common values of a node are in no list.  Sets
+   smaller than the sketch are known whole, and their bound is certain.
 3. The smallest ``K`` values of the union of two sketches estimate their resemblance; a
    pair far below the threshold goes (again a chance below 1e-7 for one at it).
 4. The exact Jaccard coefficient of the full sets decides.
@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 from pairwright.llm.columns import fresh, lower_ascii, whole, words
 from pairwright.plans.scale import materialize
 
-K = 64  #: values of a sketch
+K = 96  #: values of a sketch
 INDEXED = 32  #: of them, those that lists are made of
 SHARED = 10
-LIKELY = 0.5  #: least estimate of a pair that is looked at in full
-LEADERS = 6  #: rounds with one leader a list, at most
+MET = 4  #: lists that a pair must share
+LIKELY = 0.56  #: least estimate of a pair that is looked at in full
+LEADERS = 2  #: rounds with one leader a list, at most
 
 
 def shingles(text: Column, n: int) -> Column:
@@ -66,8 +67,18 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
 def _listed(n: Column, percent: int) -> Column:
     """How many of its rarest values a node is listed by."""
     held = F.least(n, F.lit(INDEXED))
-    least = F.expr(f"({percent} * n + 99) div 100")  # values a smaller set must share
-    return F.when(n * 100 < INDEXED * percent, n - least + 1).otherwise(held - SHARED + 1)
+    small = n * 100 < INDEXED * percent
+    return F.when(small, n - _least(n, percent) + _meetings(n, percent)).otherwise(held - SHARED + MET)
+
+
+def _least(n: Column, percent: int) -> Column:
+    """Values that a set of ``n`` shares with any linked set: ``percent`` %, rounded up."""
+    return F.floor((n * percent + 99) / 100).cast("int")
+
+
+def _meetings(n: Column, percent: int) -> Column:
+    """Lists in which a linked pair meets, where ``n`` is the size of the smaller set."""
+    return F.least(_least(n, percent), F.lit(MET))
 
 
 def _lists(nodes: DataFrame, percent: int) -> DataFrame:
@@ -184,7 +195,9 @@ def _all_left(open_lists: DataFrame, percent: int) -> DataFrame:
     x = open_lists.select("value", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
     y = open_lists.select("value", F.col("node").alias("b"), "n", F.col("label").alias("lb"))
     met = x.join(y, "value").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
-    return met.filter(_alike_in_size(percent, "m", "n")).select("a", "b").distinct()
+    met = met.filter(_alike_in_size(percent, "m", "n"))
+    often = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.min(F.least("m", "n")).alias("n"))
+    return often.filter(F.col("lists") >= _meetings(F.col("n"), percent)).select("a", "b")
 
 
 def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
