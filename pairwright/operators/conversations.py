@@ -189,8 +189,12 @@ def question_totals(turns: DataFrame, block: int = scale.BLOCK) -> DataFrame:
 
 
 def completion(turns: DataFrame, total: int = V.DEFAULT_TOTAL_QUESTIONS) -> DataFrame:
-    """(conv_id, answered, progress): answered questions as a share of the total."""
-    answered = F.least(F.count_if(_is_user()), F.lit(total)).alias("answered")
+    """(conv_id, answered, progress): answered questions as a share of the total.
+
+    Blank answers are never sent, so they do not count, as in ``question_progress``.
+    """
+    sent = F.count_if(_is_user() & ~is_blank("text"))
+    answered = F.least(sent, F.lit(total)).alias("answered")
     return (
         turns.groupBy("conv_id")
         .agg(answered)

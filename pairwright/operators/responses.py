@@ -100,9 +100,9 @@ def _read(v: Column, spec: object, path: str) -> tuple[Column, Column]:
         return value, F.coalesce(missing, wrong, F.try_element_at(faults, F.lit(1)))
     text = F.try_variant_get(v, "$", "string")
     if spec == "int":
-        # Integral numbers in any form pass: 95, "95", 95.0 and true.
-        number = F.when(_is(v, "BOOLEAN"), (text == "true").cast("int").cast("decimal(38,6)")).otherwise(
-            text.try_cast("decimal(38,6)")
+        # Integral numbers in any form pass: 95, "95", 95.0 and true; 95.0000001 does not.
+        number = F.when(_is(v, "BOOLEAN"), (text == "true").cast("int").cast("decimal(38,18)")).otherwise(
+            text.try_cast("decimal(38,18)")
         )
         whole = F.when(number == F.floor(number), number.try_cast("bigint"))
         return whole, F.coalesce(missing, F.when(whole.isNull(), F.lit(f"int {path}")))

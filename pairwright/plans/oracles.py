@@ -422,7 +422,8 @@ SELECT d.doc_id, coalesce(quality, 0) AS quality, CASE WHEN l.doc_id IS NULL THE
 FROM documents d LEFT JOIN labels l USING (doc_id)"""
 ORACLES["progress_pct"] = f"""
 SELECT conv_id, answered, answered::DOUBLE / {TOTAL}::DOUBLE * 100.0::DOUBLE AS progress
-FROM (SELECT conv_id, least(count(*) FILTER (WHERE role = 'user'), {TOTAL}) AS answered
+FROM (SELECT conv_id,
+      least(count(*) FILTER (WHERE role = 'user' AND text IS NOT NULL AND {strip("text")} <> ''), {TOTAL}) AS answered
       FROM conversations GROUP BY conv_id)"""
 
 # --- joins ---------------------------------------------------------------------------------------

@@ -110,11 +110,18 @@ def _record(slug: str | None, name: str | None, title: str | None, keywords: lis
     return (slug, name, title, subtitle, keywords, tips, template)
 
 
+SMALL = 10_000  #: records of a catalog that is broadcast
+
+
 def template_catalog(spark: SparkSession, rows: Sequence[tuple] | None = None) -> DataFrame:
-    """One nested record per industry."""
-    return spark.createDataFrame(
-        list(rows) if rows is not None else [_record(*r) for r in INDUSTRIES], CATALOG_SCHEMA
-    )
+    """One nested record per industry.
+
+    The planner cannot see the size of such a table.  Up to ``SMALL`` records it is marked
+    for broadcast, so that requests for a few favourite slugs are not shuffled to them.
+    """
+    records = list(rows) if rows is not None else [_record(*r) for r in INDUSTRIES]
+    catalog = spark.createDataFrame(records, CATALOG_SCHEMA)
+    return F.broadcast(catalog) if len(records) <= SMALL else catalog
 
 
 def fallback_record() -> tuple:

@@ -128,3 +128,11 @@ def test_latest_prompt(spark):
     df = spark.createDataFrame(data, SCHEMA + ", hint_for_user string")
     wait = V.DEFAULT_HINT
     assert rows(C.latest_prompt(df)) == [(1, "q", "h"), (2, "q", wait), (3, "q", wait), (4, None, wait)]
+
+
+def test_blank_answers_do_not_count_as_progress(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "real"), (1, 1, "user", "  "), (1, 2, "user", None)],
+        "conv_id long, turn int, role string, text string",
+    )
+    assert C.completion(turns, 3).first().answered == 1

@@ -126,3 +126,9 @@ def test_scratch_folder_must_be_shared_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_root(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_catalog_is_the_broadcast_side(spark):
+    for name in ("template_lookup_fallback", "template_lookup_strict"):
+        text = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
