@@ -763,8 +763,8 @@ spoken AS (
 SELECT user_id AS session_id, coalesce(segment, 0) AS segment, coalesce(transcript, '') AS transcript, interim
 FROM sessions LEFT JOIN spoken USING (user_id)"""
 ORACLES["stream_interviews"] = f"""
-WITH {JD_TERMS}, {INTERVIEWS}, {TURNS_BEFORE},
-lists AS (SELECT item_id, list(term) AS key_list, count(*) AS n_key_terms FROM jd_terms GROUP BY item_id),
+WITH {KEYS}, {INTERVIEWS}, {TURNS_BEFORE},
+lists AS (SELECT item_id, list(term) AS key_list, count(*) AS n_key_terms FROM key_terms GROUP BY item_id),
 scored AS (
   SELECT p.*, {confidence('text')} AS cs, {tokens('text')} AS toks, key_list, n_key_terms
   FROM progress p JOIN interviews USING (conv_id) LEFT JOIN lists USING (item_id)),

@@ -1,14 +1,18 @@
-"""Keep pair scores current as CVs arrive or change.
+"""Keep pair scores current as CVs or job descriptions arrive or change.
 
-Nothing is rewritten.  Each micro-batch writes two folders named after it: the
-document versions it scored and their pair scores.  A replayed batch overwrites
-its own folders, so the result is the same.  Reading takes, per document, the
-scores of its newest version.
+Nothing is rewritten.  Each micro-batch writes folders named after it: the JDs that
+changed, the document versions that did, their terms, and pair scores.  A replayed
+batch overwrites its own folders, so the result is the same.
+
+A batch scores every changed document against all JDs, and every other document
+against the changed JDs, from its stored terms.  A pair is therefore current in the
+batch where its document or its JD last changed, whichever is later.  New key terms
+take effect with the next batch; a JD without key terms has no scores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,78 +21,108 @@ from pairwright.operators import terms
 from pairwright.operators.cache import uncached_requests
 from pairwright.operators.matching import candidate_pairs
 
-VERSION_SCHEMA = "key bigint, cv_hash string, jd_hash string, batch bigint"
-SCORE_SCHEMA = "doc_id bigint, item_id bigint, hits bigint, keyword_coverage bigint, batch bigint"
+SCHEMAS = {
+    "jds": "item_id bigint, jd_hash string, batch bigint",
+    "versions": "key bigint, cv_hash string, jd_hash string, batch bigint",
+    "terms": "doc_id bigint, term string, batch bigint",
+    "scores": "doc_id bigint, item_id bigint, hits bigint, keyword_coverage bigint, batch bigint",
+}
 
 
-def keys_fingerprint(keys: DataFrame) -> str:
-    """One value for the content of all key terms; it changes when any JD does."""
-    row = keys.agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("item_id", "term", "tf")).alias("x")
-    ).first()
-    return f"{row['n']}:{row['x']}"
+def jd_fingerprints(keys: DataFrame) -> DataFrame:
+    """(item_id, jd_hash): one value for the key terms of each JD."""
+    return keys.groupBy("item_id").agg(
+        F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(F.xxhash64("term", "tf"))).alias("jd_hash")
+    )
 
 
-def score_pairs(docs: DataFrame, keys: DataFrame) -> DataFrame:
+def score_pairs(cv_terms: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, item_id, hits, keyword_coverage) of some documents against fixed key terms."""
-    return candidate_pairs(terms.doc_terms(docs), keys).select(
+    return candidate_pairs(cv_terms, keys).select(
         "doc_id", "item_id", "hits", pct("hits", "n_key_terms").alias("keyword_coverage")
     )
 
 
-def _versions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VERSION_SCHEMA).parquet(f"{path}/versions")
+def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
+
 
+def _latest(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, batch) of the last batch that wrote each key."""
+    last = rows.groupBy(key).agg(F.max(F.struct("batch", value)).alias("last"))
+    return last.select(key, f"last.{value}", "last.batch")
 
-def _newest(rows: DataFrame, key: str, by: Column) -> DataFrame:
-    order = Window.partitionBy(key).orderBy(by.desc())
-    return rows.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+
+def _write_changed_jds(keys: DataFrame, batch: int, path: str) -> DataFrame:
+    """Write and return the JDs whose key terms are new, changed or gone (jd_hash NULL)."""
+    spark = keys.sparkSession
+    changed = jd_fingerprints(keys)
+    if batch > 0:
+        known = _latest(_stored(spark, path, "jds").filter(F.col("batch") < batch), "item_id", "jd_hash")
+        known = known.select("item_id", F.col("jd_hash").alias("known"))
+        changed = changed.join(known, "item_id", "full").filter(~F.col("jd_hash").eqNullSafe(F.col("known")))
+    folder = f"{path}/jds/batch={batch}"
+    changed.select("item_id", "jd_hash").write.mode("overwrite").parquet(folder)
+    return spark.read.schema("item_id bigint, jd_hash string").parquet(folder)
 
 
-def score_batch(docs: DataFrame, batch: int, keys: DataFrame, fingerprint: str, path: str) -> None:
-    """Score the new and changed documents of one batch.
+def score_batch(docs: DataFrame, batch: int, keys: DataFrame, path: str) -> None:
+    """Bring the scores up to date with the documents of one batch and the key terms.
 
     ``docs``: (doc_id, text, version).  Unchanged content is not scored again.
+    ``keys``: the key terms of all JDs as they are now.
     """
     spark = docs.sparkSession
-    newest = _newest(docs, "doc_id", F.col("version")).select(
-        F.col("doc_id").alias("key"), F.col("text").alias("cv_text"), F.lit(fingerprint).alias("jd_text")
-    )
+    changed_jds = _write_changed_jds(keys, batch, path)
+
+    order = Window.partitionBy("doc_id").orderBy(F.col("version").desc())
+    last = docs.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
+    # JDs are followed on their own, so a document's version depends on its text alone
+    newest = last.select(F.col("doc_id").alias("key"), F.col("text").alias("cv_text"), F.lit("").alias("jd_text"))
+    stale = uncached_requests(newest, spark.createDataFrame([], SCHEMAS["versions"]))
     if batch > 0:
-        known = _versions(spark, path).filter(F.col("batch") < batch)
+        known = _stored(spark, path, "versions").filter(F.col("batch") < batch)
         touched = known.join(newest.select("key"), "key", "left_semi")
-        current = _newest(touched, "key", F.col("batch"))
+        hashes = F.struct("cv_hash", "jd_hash").alias("hashes")
+        current = _latest(touched.select("key", "batch", hashes), "key", "hashes").select("key", "hashes.*")
         stale = uncached_requests(newest, current)
-    else:
-        stale = uncached_requests(newest, spark.createDataFrame([], VERSION_SCHEMA))
-    stale.select("key", "cv_hash", "jd_hash").write.mode("overwrite").parquet(
-        f"{path}/versions/batch={batch}"
-    )
+    stale.select("key", "cv_hash", "jd_hash").write.mode("overwrite").parquet(f"{path}/versions/batch={batch}")
     written = spark.read.schema("key bigint").parquet(f"{path}/versions/batch={batch}")
-    todo = newest.join(written.distinct(), "key", "left_semi").select(
-        F.col("key").alias("doc_id"), F.col("cv_text").alias("text")
-    )
-    score_pairs(todo, keys).write.mode("overwrite").parquet(f"{path}/scores/batch={batch}")
+
+    todo = newest.join(written, "key", "left_semi").select(F.col("key").alias("doc_id"), F.col("cv_text").alias("text"))
+    terms.doc_terms(todo).select("doc_id", "term").write.mode("overwrite").parquet(f"{path}/terms/batch={batch}")
+    fresh = spark.read.schema("doc_id bigint, term string").parquet(f"{path}/terms/batch={batch}")
+    scores = score_pairs(fresh, keys)
+    if batch > 0 and not changed_jds.isEmpty():
+        others = _current_versions(known).join(written.withColumnRenamed("key", "doc_id"), "doc_id", "left_anti")
+        held = _stored(spark, path, "terms").join(others, ["doc_id", "batch"], "left_semi")
+        changed_keys = keys.join(changed_jds, "item_id", "left_semi")
+        scores = scores.unionByName(score_pairs(held.select("doc_id", "term"), changed_keys))
+    scores.write.mode("overwrite").parquet(f"{path}/scores/batch={batch}")
 
 
 def stream_incremental_scoring(
     docs: DataFrame, keys: DataFrame, path: str, checkpoint: str
 ) -> StreamingQuery:
     """Start scoring a stream of (doc_id, text, version) into ``path``."""
-    fingerprint = keys_fingerprint(keys)
     return (
-        docs.writeStream.foreachBatch(
-            lambda rows, batch: score_batch(rows, batch, keys, fingerprint, path)
-        )
+        docs.writeStream.foreachBatch(lambda rows, batch: score_batch(rows, batch, keys, path))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _current_versions(versions: DataFrame) -> DataFrame:
+    """(doc_id, batch) of the newest version of each document."""
+    return versions.groupBy(F.col("key").alias("doc_id")).agg(F.max("batch").alias("batch"))
+
+
 def current_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Pair scores of the newest version of each document."""
-    newest = _newest(_versions(spark, path), "key", F.col("batch"))
-    latest = newest.select(F.col("key").alias("doc_id"), "batch")
-    scores = spark.read.schema(SCORE_SCHEMA).parquet(f"{path}/scores")
-    return scores.join(latest, ["doc_id", "batch"]).drop("batch")
+    """Pair scores of the newest version of each document against the JDs as they are now."""
+    docs = _current_versions(_stored(spark, path, "versions")).withColumnRenamed("batch", "doc_batch")
+    jds = _latest(_stored(spark, path, "jds"), "item_id", "jd_hash").filter(F.col("jd_hash").isNotNull())
+    jds = jds.select("item_id", F.col("batch").alias("jd_batch"))
+    scores = _stored(spark, path, "scores").join(jds, "item_id").join(docs, "doc_id")
+    current = scores.filter(F.col("batch") == F.greatest("doc_batch", "jd_batch"))
+    return current.select("doc_id", "item_id", "hits", "keyword_coverage")

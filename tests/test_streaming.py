@@ -136,18 +136,36 @@ def test_incremental_scoring(spark, tmp_path):
 
     # Replaying a batch changes nothing.
     last = spark.createDataFrame(parts[2], schema)
-    scoring.score_batch(last, 2, keys, scoring.keys_fingerprint(keys), out)
+    scoring.score_batch(last, 2, keys, out)
     assert rows(scoring.current_scores(spark, out)) == got
 
 
-def test_a_changed_jd_invalidates_everything(spark, tmp_path):
+def test_a_changed_jd_scores_stored_documents_again(spark, tmp_path):
     schema = "doc_id bigint, text string, version int"
-    docs = spark.createDataFrame([(1, "spark", 1)], schema)
-    out = str(tmp_path / "out")
-    for batch, word in enumerate(("spark", "kafka")):
-        keys = terms.with_totals(spark.createDataFrame([(1, word, 1)], "item_id bigint, term string, tf bigint"))
-        scoring.score_batch(docs, batch, keys, scoring.keys_fingerprint(keys), out)
-    assert scoring.current_scores(spark, out).count() == 0
+    first = [(k, "alpha beta" if k % 2 else "delta", 1) for k in range(10)]
+    batches = [
+        (first, [(1, "alpha"), (2, "beta"), (3, "alpha")]),
+        ([(10, "delta alpha", 1), (1, "delta", 2)], [(1, "delta"), (2, "beta")]),  # JD 1 changes, JD 3 goes
+        ([(2, "beta", 2)], [(1, "delta"), (2, "beta"), (3, "alpha")]),  # JD 3 is back
+    ]
+    out, texts = str(tmp_path / "out"), {}
+    for batch, (docs, jds) in enumerate(batches):
+        rows_ = [(item, word, 1) for item, word in jds]
+        keys = terms.with_totals(spark.createDataFrame(rows_, "item_id bigint, term string, tf bigint"))
+        for _ in range(2):  # a replay changes nothing
+            scoring.score_batch(spark.createDataFrame(docs, schema), batch, keys, out)
+        texts |= {k: text.split() for k, text, _ in docs}
+        whole = sorted((k, item, 1, 100) for k, text in texts.items() for item, word in jds if word in text)
+        assert rows(scoring.current_scores(spark, out)) == whole
+
+
+def test_live_relevance_is_that_of_the_batch_metric(spark):
+    inputs = matching.prepare(fx.cvs(spark, SF), fx.jds(spark, SF))
+    talks = fx.interviews(spark, SF)
+    live = interviews.score_turns(fx.turns(spark, SF), talks, interview.jd_term_lists(inputs.keys))
+    batch = interview.jd_relevance_score(fx.turns(spark, SF), talks, inputs.keys)
+    got = live.filter("answered").select("conv_id", "turn", "jd_relevance_score")
+    assert rows(got) == rows(batch.join(got, ["conv_id", "turn"], "left_semi").select(*got.columns))
 
 
 def test_state_is_small():
