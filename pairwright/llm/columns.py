@@ -22,7 +22,7 @@ def lower_ascii(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACES), "")
 
 
 def fresh(df: DataFrame, name: str) -> str:

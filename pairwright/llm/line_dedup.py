@@ -45,20 +45,38 @@ def _halves(n: Column, w: Column) -> Column:
     return F.concat(at(n), at(n - 1))
 
 
-def _variants(n: Column, w: Column) -> Column:
-    """The line itself (place -1) and the line without each word, as hashed keys."""
-
-    def without(i: Column) -> Column:
-        rest = F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, F.greatest(n - i - 1, F.lit(0))))
-        return F.struct(F.xxhash64(n - 1, rest).alias("key"), i.alias("gone"))
-
-    itself = F.array(F.struct(F.xxhash64(n, w).alias("key"), F.lit(-1).alias("gone")))
-    return F.concat(itself, F.transform(F.sequence(F.lit(0), n - 1), without))
-
-
 def _keys(w: Column) -> Column:
-    """Variants of a line given as words; the words are hashed once."""
-    return F.transform(F.array(F.transform(w, lambda x: F.xxhash64(x))), lambda h: _variants(F.size(h), h))[0]
+    """The line itself (place -1) and the line without each word, as hashed keys.
+
+    The key of a sequence is the exclusive or of the hashes of (word, place).  One pass over
+    the words gives all keys: words before the one left out keep their place, and those
+    after it move one place ahead.
+    """
+    placed = F.transform(
+        w, lambda x, i: F.struct(F.xxhash64(x, i).alias("here"), F.xxhash64(x, i - 1).alias("moved"))
+    )
+
+    def keys(h: Column) -> Column:
+        all_moved = F.aggregate(h, F.lit(0).cast("bigint"), lambda t, x: t.bitwiseXOR(x["moved"]))
+        start = F.struct(all_moved.alias("key"), F.array().cast("array<bigint>").alias("without"))
+
+        def step(t: Column, x: Column) -> Column:
+            left_out = t["key"].bitwiseXOR(x["moved"])
+            return F.struct(
+                left_out.bitwiseXOR(x["here"]).alias("key"), F.concat(t["without"], F.array(left_out)).alias("without")
+            )
+
+        return F.aggregate(h, start, step)
+
+    done = F.transform(F.array(placed), keys)
+    listed = F.transform(
+        done,
+        lambda t: F.concat(
+            F.array(F.struct(t["key"].alias("key"), F.lit(-1).alias("gone"))),
+            F.transform(t["without"], lambda k, i: F.struct(k.alias("key"), i.alias("gone"))),
+        ),
+    )
+    return listed[0]
 
 
 def _within_one(x: Column, y: Column) -> Column:
@@ -105,14 +123,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     keys = keys.select("first", "v.key", "v.gone")
     # a whole line meets variants of longer ones; variants meet where the same word is left out
     whole_line = F.col("gone") < 0
-    per_place = keys.groupBy("key", "gone").agg(F.min("first").alias("earliest"), F.count(F.lit(1)).alias("c"))
-    per_key = per_place.groupBy("key").agg(
-        F.min(F.when(whole_line, F.col("earliest"))).alias("whole"),
-        F.min(F.when(~whole_line, F.col("earliest"))).alias("variant"),
-        F.sum("c").alias("c"),
+    per_key = keys.groupBy("key").agg(
+        F.min(F.when(whole_line, F.col("first"))).alias("whole"),
+        F.min(F.when(~whole_line, F.col("first"))).alias("variant"),
+        F.count(F.lit(1)).alias("c"),
     ).filter(F.col("c") > 1)
-    per_place = per_place.join(per_key.drop("c"), "key").select("key", "gone", "earliest", "whole", "variant")
-    met = keys.join(per_place, ["key", "gone"])
+    met = materialize(keys.join(per_key.drop("c"), "key"), "met-variants")
+    per_place = met.groupBy("key", "gone").agg(F.min("first").alias("earliest"))
+    met = met.join(per_place, ["key", "gone"])
     partner = F.when(whole_line, F.col("variant")).otherwise(F.least("earliest", F.coalesce("whole", "earliest")))
     pairs = met.withColumn("partner", partner).filter(F.col("partner") < F.col("first"))
     # several keys may name a partner; each is looked at until one holds
