@@ -12,10 +12,15 @@
 4. The exact Jaccard coefficient of the full sets decides.
 
 A list may be long, as in a large group of near copies, so pairs within a list are not
-all written.  Each list first meets its leader; what is linked becomes one component, and
-only pairs between components can add to the result.  Rounds with other leaders go on
-while many such pairs are left; then all that are left are checked.  No link between
-components is missed, and none is capped.
+all written.  Each list first meets a leader, the node with the most common values; what
+is linked becomes one component, and only pairs between components can add to the result.
+A node that the estimate does not part from its leader is a satellite of it.  Two satellites
+differ by the elements in just one of their differences from the leader; those in separate
+components are far from it or hold elements of the other's difference, so inverted lists of
+the rarer elements of these differences find them all, where lists of common values would
+pair a whole group.  Rounds with other leaders go on while many pairs without a common
+leader are left; then all that are left are checked.  No link between components is missed,
+and none is capped.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows that repeat an
 id are rows of their own; a component has the smallest id of its rows (nulls last), and
@@ -24,6 +29,8 @@ exactly one of its rows is kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,17 +89,20 @@ def _meetings(n: Column, percent: int) -> Column:
 
 
 def _lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """(value, node, n): the rarest retained values of each node that other nodes have too."""
+    """(value, node, n, weight): the rarest retained values of each node that other nodes have too.
+
+    ``weight`` is the number of nodes that hold the retained values of the node, summed up.
+    """
     held = nodes.select(F.col("row").alias("node"), "n", F.explode(F.slice("bottom", 1, INDEXED)).alias("value"))
     common = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
     # values of one node alone come first in order of rarity and need no list
     known = held.join(common, "value").groupBy("node", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values")
+        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"), F.sum("df").alias("weight")
     )
     alone = F.least(F.col("n"), F.lit(INDEXED)) - F.size("values")
     places = F.greatest(_listed(F.col("n"), percent) - alone, F.lit(0))
-    listed = known.select("node", "n", F.explode(F.slice("values", F.lit(1), places)).alias("v"))
-    return materialize(listed.select(F.col("v.value").alias("value"), "node", "n"), "lists")
+    listed = known.select("node", "n", "weight", F.explode(F.slice("values", F.lit(1), places)).alias("v"))
+    return materialize(listed.select(F.col("v.value").alias("value"), "node", "n", "weight"), "lists")
 
 
 def _alike_in_size(percent: int, m: str, n: str) -> Column:
@@ -109,8 +119,8 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return materialize(near.select("a", "b"), "likely-pairs")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, many: bool) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold.
+def _compared(pairs: DataFrame, docs: DataFrame, n: int, many: bool, found: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """Pairs (a, b) with the columns ``found`` of their full sets ``s.x`` and ``s.y``.
 
     ``many``: the pairs hold a share of all documents, so their texts come by a shuffle.
     """
@@ -121,13 +131,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, many: boo
     a = texts.select(F.col("row").alias("a"), F.col("text").alias("x"))
     b = texts.select(F.col("row").alias("b"), F.col("text").alias("y"))
     sets = F.struct(shingles(F.col("x"), n).alias("x"), shingles(F.col("y"), n).alias("y"))
-    shared = F.transform(
+    columns = F.transform(
         F.array(sets),
-        lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"), (F.size(s["x"]) + F.size(s["y"])).alias("sum")),
+        lambda s: F.struct(*[of(s["x"], s["y"]).alias(name) for name, of in found.items()]),
     )[0]
-    counted = pairs.join(b, "b").join(a, "a").select("a", "b", shared.alias("s"))
-    linked = F.col("s.both") * 100 >= (F.col("s.sum") - F.col("s.both")) * percent
-    return materialize(counted.filter(linked).select("a", "b"), "links")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", columns.alias("s")).select("a", "b", "s.*")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold."""
+    found = {"both": lambda x, y: F.size(F.array_intersect(x, y)), "sum": lambda x, y: F.size(x) + F.size(y)}
+    linked = F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent
+    return materialize(_compared(pairs, docs, n, False, found).filter(linked).select("a", "b"), "links")
+
+
+def _satellites(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs of a leader and a node as (hub, node, m, n, delta, linked).
+
+    ``m`` and ``n`` are the sizes of their sets, ``delta`` holds the elements in just one.
+    """
+    found = {
+        "m": lambda x, y: F.size(x),
+        "n": lambda x, y: F.size(y),
+        "delta": lambda x, y: F.concat(F.array_except(x, y), F.array_except(y, x)),
+    }
+    differ = F.size("delta")
+    linked = (F.col("m") + F.col("n") - differ) * 100 >= (F.col("m") + F.col("n") + differ) * percent
+    rows = _compared(pairs, docs, n, True, found).withColumnsRenamed({"a": "hub", "b": "node"})
+    return materialize(rows.withColumn("linked", linked), "satellites")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,26 +193,40 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of the lists that still hold several components, with their label."""
-    if labels is None:
-        return lists.withColumn("label", F.col("node"))
-    named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = materialize(named.select("value", "node", "n", "label"), "labelled-lists")
-    mixed = named.groupBy("value").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p != q")
+def _labelled(lists: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Rows of the lists that still hold several components and several hubs, with both.
+
+    A node that is no satellite is its own hub.
+    """
+    named = lists.join(labels, "node", "left").join(hubs, "node", "left")
+    named = named.select(
+        "value", "node", "n", "weight", F.coalesce("label", "node").alias("label"), F.coalesce("hub", "node").alias("hub")
+    )
+    named = materialize(named, "labelled-lists")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("label", "hub")]
+    mixed = named.groupBy("value").agg(*ends).filter("min_label != max_label AND min_hub != max_hub")
     return materialize(named.join(mixed.select("value"), "value", "left_semi"), "open-lists")
 
 
 def _pairs_left(open_lists: DataFrame) -> float:
-    """Pairs of one list and different components."""
-    per = open_lists.groupBy("value", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    per = per.groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    return per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0.0
+    """Pairs of one list, different components and different hubs."""
+    per = open_lists.groupBy("value", "label", "hub").agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+    def squares(*same: str) -> DataFrame:
+        held = per.groupBy("value", *same).agg(F.sum("n").alias("n"))
+        return held.agg(F.sum(F.col("n") * F.col("n")).alias("n"), F.lit(-1 if len(same) == 1 else 1).alias("sign"))
+
+    parts = squares().union(squares("label")).union(squares("hub")).union(squares("label", "hub"))
+    return parts.agg(F.sum(F.col("n") * F.col("sign") / 2)).first()[0] or 0.0
 
 
 def _with_leaders(open_lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each node with the leader it shares the most lists with."""
-    chosen = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "n", "label")
+    """Each node with the leader it shares the most lists with.
+
+    The first leader of a list is the node of most weight; later ones are random.
+    """
+    first = -F.col("weight") if turn == 0 else F.lit(0)
+    chosen = F.struct(first.alias("first"), F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "n", "label")
     leaders = open_lists.groupBy("value").agg(F.min(chosen).alias("leader"))
     met = open_lists.join(leaders, "value").filter(F.col("label") != F.col("leader.label"))
     met = met.withColumn("m", F.col("leader.n")).filter(_alike_in_size(percent, "m", "n"))
@@ -190,31 +235,72 @@ def _with_leaders(open_lists: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select(F.col("best.a").alias("a"), "b")
 
 
-def _all_left(open_lists: DataFrame, percent: int) -> DataFrame:
-    """Every pair of nodes of one list and different components."""
-    x = open_lists.select("value", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
-    y = open_lists.select("value", F.col("node").alias("b"), "n", F.col("label").alias("lb"))
-    met = x.join(y, "value").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
+def _without_hub(open_lists: DataFrame, percent: int) -> DataFrame:
+    """Every pair of nodes of one list, different components and different hubs."""
+    x = open_lists.select("value", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("hub").alias("ha"))
+    y = open_lists.select("value", F.col("node").alias("b"), "n", F.col("label").alias("lb"), F.col("hub").alias("hb"))
+    met = x.join(y, "value").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("ha") != F.col("hb")))
     met = met.filter(_alike_in_size(percent, "m", "n"))
     often = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.min(F.least("m", "n")).alias("n"))
     return often.filter(F.col("lists") >= _meetings(F.col("n"), percent)).select("a", "b")
 
 
+def _of_one_hub(satellites: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Every pair of satellites of one hub and different components that can be linked.
+
+    Sets of sizes p and q are linked when at most ``c * (p + q)`` elements are in just one of
+    them, where ``c = (100 - percent) / (100 + percent)``.  With differences of d and e from
+    the hub, they then share at least ``(d + e - c * (p + q)) / 2`` elements of these.  Of two
+    in separate components one is not linked to the hub, which bounds e from below, so each
+    needs only the lists of its ``d - least + 1`` rarest elements to meet the other.
+    """
+    named = satellites.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    d = F.size("delta")
+    close = (d + (F.col("m") - F.col("n")) * (100 - percent) / (100 + percent)) / 2
+    far = d - F.col("n") * (100 - percent) / percent
+    least = F.greatest(F.ceil(F.when(F.col("linked"), close).otherwise(far) - 1e-6), F.lit(1))
+    named = named.withColumns({"d": d, "places": (d - least + 1).cast("int")})
+    named = materialize(named.select("hub", "node", "n", "label", "delta", "d", "places"), "labelled-satellites")
+    mixed = named.groupBy("hub").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p != q")
+    mixed = materialize(named.join(mixed.select("hub"), "hub", "left_semi"), "open-satellites")
+
+    held = mixed.select("hub", "node", F.explode("delta").alias("value"))
+    common = held.groupBy("hub", "value").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
+    known = held.join(common, ["hub", "value"]).groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values")
+    )
+    places = F.greatest(F.col("places") - (F.col("d") - F.size("values")), F.lit(0))
+    listed = mixed.drop("delta").join(known, "node").select(
+        "hub", "node", "n", "label", "d", F.explode(F.slice("values", F.lit(1), places)).alias("v")
+    )
+    listed = materialize(listed.select("hub", F.col("v.value").alias("value"), "node", "n", "label", "d"), "difference-lists")
+    x = listed.select("hub", "value", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("d").alias("da"))
+    y = listed.select("hub", "value", F.col("node").alias("b"), "n", F.col("label").alias("lb"), F.col("d").alias("db"))
+    met = x.join(y, ["hub", "value"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
+    apart = F.abs(F.col("da") - F.col("db")) * (100 + percent) <= (F.col("m") + F.col("n")) * (100 - percent)
+    return met.filter(_alike_in_size(percent, "m", "n") & apart).select("a", "b").distinct()
+
+
 def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, label) of the nodes in components of several."""
     lists = _lists(nodes, percent)
-    edges, labels, open_lists = None, None, _labelled(lists, None)
-    size, turn, last = lists.count(), 0, False
-    while not last:
-        last = turn > LEADERS or (turn > 0 and _pairs_left(open_lists) <= size)
-        pairs = _all_left(open_lists, percent) if last else _with_leaders(open_lists, turn, percent)
-        found = _verified(_estimated(pairs, sketches), docs, n, percent, many=turn == 0)
-        edges = found if edges is None else materialize(edges.union(found), "links")
+    size = lists.count()
+    pairs = _with_leaders(lists.withColumn("label", F.col("node")), 0, percent)
+    satellites = _satellites(_estimated(pairs, sketches), docs, n, percent)
+    hubs = satellites.select("node", "hub")
+    edges = satellites.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    labels = components(edges)
+    open_lists = _labelled(lists, labels, hubs)
+    turn = 1
+    while turn <= LEADERS and _pairs_left(open_lists) > size:
+        found = _verified(_estimated(_with_leaders(open_lists, turn, percent), sketches), docs, n, percent)
+        edges = materialize(edges.union(found), "links")
         labels = components(edges)
-        if not last:
-            open_lists = _labelled(lists, labels)
+        open_lists = _labelled(lists, labels, hubs)
         turn += 1
-    return labels
+    pairs = _without_hub(open_lists, percent).union(_of_one_hub(satellites, labels, percent))
+    found = _verified(_estimated(pairs, sketches), docs, n, percent)
+    return components(materialize(edges.union(found), "links"))
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -172,6 +173,28 @@ def shingle_set(text, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
+def test_near_dedup_of_a_damaged_group(spark):
+    """Near copies on both sides of the threshold, some linked to each other only."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows, rare = [], [base]
+    for i in range(240):
+        out = list(base if i % 3 else rng.choice(rare))
+        for k in rng.sample(range(150), rng.choice((0, 2, 5, 9, 12, 14, 18, 25))):
+            out[k] = f"x{rng.randrange(4000)}"
+        rare.append(out)
+        rows.append((i, " ".join(out)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingle_set(t, 2) for i, t in rows}
+    label = {i: i for i in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r.component_id for r in near.near_groups(docs, n=2).collect()}
+    assert got == label and 20 < len(set(label.values())) < 220
+
+
 def test_near_dedup(spark, odd, none):
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(words[:i] + ["new"] + words[i + 1 :])) for i in range(40)]  # a chain of near copies
