@@ -18,9 +18,8 @@ A node that the estimate does not part from its leader is a satellite of it.  Tw
 differ by the elements in just one of their differences from the leader; those in separate
 components are far from it or hold elements of the other's difference, so inverted lists of
 the rarer elements of these differences find them all, where lists of common values would
-pair a whole group.  Rounds with other leaders go on while many pairs without a common
-leader are left; then all that are left are checked.  No link between components is missed,
-and none is capped.
+pair a whole group.  Of the pairs without a common leader, all that are left in a list are
+checked.  No link between components is missed, and none is capped.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows that repeat an
 id are rows of their own; a component has the smallest id of its rows (nulls last), and
@@ -39,10 +38,9 @@ from pairwright.plans.scale import materialize
 
 K = 96  #: values of a sketch
 INDEXED = 32  #: of them, those that lists are made of
-SHARED = 10
-MET = 4  #: lists that a pair must share
+SHARED = 12
+MET = 2  #: lists that a pair must share
 LIKELY = 0.56  #: least estimate of a pair that is looked at in full
-LEADERS = 2  #: rounds with one leader a list, at most
 
 
 def shingles(text: Column, n: int) -> Column:
@@ -120,22 +118,18 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, n: int, many: bool, found: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
-    """Pairs (a, b) with the columns ``found`` of their full sets ``s.x`` and ``s.y``.
+    """Pairs (a, b) with the columns ``found`` of their full sets.
 
     ``many``: the pairs hold a share of all documents, so their texts come by a shuffle.
     """
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "pair-rows")
     ids = ids.hint("merge") if many else ids
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "text").join(ids, "row", "left_semi")
-    texts = materialize(texts, "pair-texts")
-    a = texts.select(F.col("row").alias("a"), F.col("text").alias("x"))
-    b = texts.select(F.col("row").alias("b"), F.col("text").alias("y"))
-    sets = F.struct(shingles(F.col("x"), n).alias("x"), shingles(F.col("y"), n).alias("y"))
-    columns = F.transform(
-        F.array(sets),
-        lambda s: F.struct(*[of(s["x"], s["y"]).alias(name) for name, of in found.items()]),
-    )[0]
-    return pairs.join(b, "b").join(a, "a").select("a", "b", columns.alias("s")).select("a", "b", "s.*")
+    sets = materialize(texts.select("row", shingles(F.col("text"), n).alias("s")), "pair-sets")
+    a = sets.select(F.col("row").alias("a"), F.col("s").alias("x"))
+    b = sets.select(F.col("row").alias("b"), F.col("s").alias("y"))
+    columns = [of(F.col("x"), F.col("y")).alias(name) for name, of in found.items()]
+    return pairs.join(b, "b").join(a, "a").select("a", "b", *columns)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -200,7 +194,7 @@ def _labelled(lists: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame
     """
     named = lists.join(labels, "node", "left").join(hubs, "node", "left")
     named = named.select(
-        "value", "node", "n", "weight", F.coalesce("label", "node").alias("label"), F.coalesce("hub", "node").alias("hub")
+        "value", "node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("hub", "node").alias("hub")
     )
     named = materialize(named, "labelled-lists")
     ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("label", "hub")]
@@ -208,27 +202,11 @@ def _labelled(lists: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame
     return materialize(named.join(mixed.select("value"), "value", "left_semi"), "open-lists")
 
 
-def _pairs_left(open_lists: DataFrame) -> float:
-    """Pairs of one list, different components and different hubs."""
-    per = open_lists.groupBy("value", "label", "hub").agg(F.count(F.lit(1)).cast("double").alias("n"))
-
-    def squares(*same: str) -> DataFrame:
-        held = per.groupBy("value", *same).agg(F.sum("n").alias("n"))
-        return held.agg(F.sum(F.col("n") * F.col("n")).alias("n"), F.lit(-1 if len(same) == 1 else 1).alias("sign"))
-
-    parts = squares().union(squares("label")).union(squares("hub")).union(squares("label", "hub"))
-    return parts.agg(F.sum(F.col("n") * F.col("sign") / 2)).first()[0] or 0.0
-
-
-def _with_leaders(open_lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each node with the leader it shares the most lists with.
-
-    The first leader of a list is the node of most weight; later ones are random.
-    """
-    first = -F.col("weight") if turn == 0 else F.lit(0)
-    chosen = F.struct(first.alias("first"), F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "n", "label")
-    leaders = open_lists.groupBy("value").agg(F.min(chosen).alias("leader"))
-    met = open_lists.join(leaders, "value").filter(F.col("label") != F.col("leader.label"))
+def _with_leaders(lists: DataFrame, percent: int) -> DataFrame:
+    """Each node with the leader it shares the most lists with; a list is led by its node of most weight."""
+    chosen = F.struct((-F.col("weight")).alias("first"), F.xxhash64("node").alias("rank"), "node", "n")
+    leaders = lists.groupBy("value").agg(F.min(chosen).alias("leader"))
+    met = lists.join(leaders, "value").filter(F.col("node") != F.col("leader.node"))
     met = met.withColumn("m", F.col("leader.n")).filter(_alike_in_size(percent, "m", "n"))
     shared = met.groupBy(F.col("leader.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     best = shared.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best"))
@@ -284,20 +262,11 @@ def _of_one_hub(satellites: DataFrame, labels: DataFrame, percent: int) -> DataF
 def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, label) of the nodes in components of several."""
     lists = _lists(nodes, percent)
-    size = lists.count()
-    pairs = _with_leaders(lists.withColumn("label", F.col("node")), 0, percent)
-    satellites = _satellites(_estimated(pairs, sketches), docs, n, percent)
-    hubs = satellites.select("node", "hub")
+    pairs = _estimated(_with_leaders(lists, percent), sketches)
+    satellites = _satellites(pairs, docs, n, percent)
     edges = satellites.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     labels = components(edges)
-    open_lists = _labelled(lists, labels, hubs)
-    turn = 1
-    while turn <= LEADERS and _pairs_left(open_lists) > size:
-        found = _verified(_estimated(_with_leaders(open_lists, turn, percent), sketches), docs, n, percent)
-        edges = materialize(edges.union(found), "links")
-        labels = components(edges)
-        open_lists = _labelled(lists, labels, hubs)
-        turn += 1
+    open_lists = _labelled(lists, labels, satellites.select("node", "hub"))
     pairs = _without_hub(open_lists, percent).union(_of_one_hub(satellites, labels, percent))
     found = _verified(_estimated(pairs, sketches), docs, n, percent)
     return components(materialize(edges.union(found), "links"))
