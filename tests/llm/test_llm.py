@@ -277,6 +277,20 @@ def test_number_surrogates_are_distinct(spark):
     assert made.distinct().count() == 3000 and made.filter("s rlike '^[0-9]{3}-[0-9]{3}-[0-9]{4}$'").count() == 3000
 
 
+def test_many_given_names_of_one_surname_have_surrogates_of_their_own(spark):
+    given = [a + b for a in ("Ad", "Be", "Ca", "Do", "El") for b in ("am", "ela", "ino", "ora", "ster", "rik", "la", "na")]
+    said = [(k, f"Mr {g} Smith at 10.0.0.1 and 10.0.0.01") for k, g in enumerate(given)]
+    docs = spark.createDataFrame(said, "doc_id long, text string")
+    assert private.distinct_key(docs) == "surrogates-0"
+    new = [r.text for r in private.protect(docs).collect()]
+    found = [re.fullmatch(r"Mr (\w+) (\w+) at ([\d.]+) and ([\d.]+)", t) for t in new]
+    assert len({m[1] for m in found}) == 40 and len({m[2] for m in found}) == 1 and all(m[3] == m[4] for m in found)
+    assert all(m[1] in private.NAMES["latin", "m"] and m[1] not in private.NAMES["latin", "f"] for m in found)
+    people = spark.range(60000).select(F.concat(F.lit("Mr F"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("m"))
+    made = people.select(private.surrogate(F.lit("name"), F.col("m"), "k").alias("s"))
+    assert made.distinct().count() == 60000
+
+
 def test_line_dedup(spark, odd, none):
     got = Counter((r.doc_id, r.removed) for r in line_dedup.line_counts(odd).collect())
     assert sorted(v for k, v in got if k == 5) == ["0,1", "1"] and got[(9, "")] == 1
