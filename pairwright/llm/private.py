@@ -12,7 +12,9 @@ entities of all documents ends soon: should two of them share a surrogate, all a
 anew under the next key.
 
 A text is cut where entities are found and put together again with their surrogates, so
-text around them stays as it is.  Null texts stay null and have no entities.
+text around them stays as it is.  A person is found by a title; what the text between
+entities says of the same person without one, by full name, family or given name, before
+or after, gets the same surrogate.  Null texts stay null and have no entities.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ class Names:
 NAMES = {of: Names(*of) for of in STEMS}
 
 EMAIL = r"(?<![A-Za-z0-9_.%+-])[A-Za-z0-9_.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-SECRET = r"(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,2}[:=]\s{0,2}[\"']?[^\s\"',;]{6,}"
+SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,2}[:=]\s{0,2}[\"']?[^\s\"',;]{6,}"
 ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 ADDRESS = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)"
@@ -267,19 +269,63 @@ def distinct_key(docs: DataFrame, key: str = KEY) -> str:
         turn += 1
 
 
-def replaced(text: Column, key: str) -> Column:
-    """The text with a surrogate in place of each entity."""
-    between = F.split(text, ANY, -1)
+def known_names(found: Column, key: str) -> Column:
+    """The names of the persons among the entities, whole and in parts, each with its surrogate.
+
+    Longer ones come first, and whole and family names before given names."""
+    person = F.array_distinct(F.filter(found, lambda m: m.rlike(rf"\A(?:{NAME})\z")))
+
+    def parts(m: Column, new: Column) -> Column:
+        def entry(rank: int, word: Column, by: Column) -> Column:
+            return F.struct((-F.char_length(word)).alias("size"), F.lit(rank).alias("rank"), word.alias("word"), by.alias("new"))
+
+        old, made = F.split(_person(m), " "), F.split(_person(new), " ")
+        one = F.array(entry(0, F.element_at(old, -1), F.element_at(made, -1)))
+        return F.when(
+            F.size(old) > 1, F.concat(F.array(entry(0, _person(m), _person(new)), entry(1, old[0], made[0])), one)
+        ).otherwise(one)
+
+    keyed = F.concat_ws("|", F.lit(key), F.lit("name"))
+    each = F.transform(person, lambda m: F.transform(F.array(_new_name(keyed, m)), lambda new: parts(m, new))[0])
+    return F.array_sort(F.flatten(each))
+
+
+def mention(known: Column) -> Column:
+    """A pattern of the known names as whole words."""
+    words = F.array_join(F.transform(known, lambda k: k["word"]), "|")
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), words, F.lit(r")(?![\p{L}\p{N}_])"))
+
+
+def _joined(between: Column, new: Column) -> Column:
+    return F.array_join(F.zip_with(between, new, lambda b, s: F.concat(b, F.coalesce(s, F.lit("")))), "")
+
+
+def _without_names(part: Column, known: Column, pattern: Column) -> Column:
+    """A text between entities, with surrogates in place of the known names."""
     new = F.transform(
-        entities(text), lambda m: F.transform(F.array(kind_of(m)), lambda k: surrogate(k, m, key))[0]
+        F.regexp_extract_all(part, pattern, F.lit(0)),
+        lambda m: F.filter(known, lambda k: k["word"] == m)[0]["new"],
     )
-    joined = F.zip_with(between, new, lambda b, s: F.concat(b, F.coalesce(s, F.lit(""))))
-    return F.when(text.rlike(ANY), F.array_join(joined, "")).otherwise(text)
+    return _joined(F.split(part, pattern, -1), new)
 
 
 def protect(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, number of entities, and the text with surrogates, of every row."""
     keyed = distinct_key(docs, key)
-    text = F.col("text")
-    n = F.coalesce(F.size(entities(text)), F.lit(0))
-    return docs.select("doc_id", F.greatest(n, F.lit(0)).cast("long").alias("n_entities"), replaced(text, keyed).alias("text"))
+    text, found, between = F.col("text"), F.col("found"), F.col("between")
+    cut = docs.select("doc_id", "text", entities(text).alias("found"), F.split(text, ANY, -1).alias("between"))
+    named = cut.withColumn("known", known_names(found, keyed)).withColumn("pattern", mention(F.col("known")))
+    has_names = F.size("known") > 0
+    mentions = F.aggregate(
+        between, F.lit(0), lambda n, b: n + F.size(F.regexp_extract_all(b, F.col("pattern"), F.lit(0)))
+    )
+    n = F.size(found) + F.when(has_names, mentions).otherwise(0)
+    new = F.transform(found, lambda m: F.transform(F.array(kind_of(m)), lambda k: surrogate(k, m, keyed))[0])
+    rest = F.when(
+        has_names, F.transform(between, lambda b: _without_names(b, F.col("known"), F.col("pattern")))
+    ).otherwise(between)
+    return named.select(
+        "doc_id",
+        F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("long").alias("n_entities"),
+        F.when(F.size(found) > 0, _joined(rest, new)).otherwise(text).alias("text"),
+    )

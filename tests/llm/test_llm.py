@@ -291,6 +291,18 @@ def test_many_given_names_of_one_surname_have_surrogates_of_their_own(spark):
     assert made.distinct().count() == 60000
 
 
+def test_secrets_in_capitals_and_untitled_mentions(spark):
+    text = "Schmidt is early. Frau Anna Schmidt and Mr Lee: Anna Schmidt said so, Schmidt's Anna too; Lee, Leeds and Annabel stay. TOKEN = \"abc123XYZ\" Password: hunter22x API_KEY=zzz999zzz"
+    docs = spark.createDataFrame([(1, text), (2, "Anna Schmidt, Г-жа Анна Шмидт, Анна, Аннабель"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in private.protect(docs).collect()}
+    m = re.fullmatch(r"(\w+) is early. Frau (\w+) (\w+) and Mr (\w+): (\w+) (\w+) said so, (\w+)'s (\w+) too; (\w+), Leeds and Annabel stay. TOKEN = \"(\w+)\" Password: (\w+) API_KEY=(\w+)", got[1].text)
+    assert m[1] == m[3] == m[6] == m[7] != "Schmidt" and m[2] == m[5] == m[8] != "Anna" and m[4] == m[9] != "Lee"
+    assert not {m[10], m[11], m[12]} & {"abc123XYZ", "hunter22x", "zzz999zzz"} and got[1].n_entities == 10
+    m = re.fullmatch(r"Anna Schmidt, Г-жа (\w+) (\w+), (\w+), Аннабель", got[2].text)
+    assert m[1] == m[3] != "Анна" and got[2].n_entities == 2
+    assert got[3].text is None and got[3].n_entities == 0 and got[4].text == ""
+
+
 def test_line_dedup(spark, odd, none):
     got = Counter((r.doc_id, r.removed) for r in line_dedup.line_counts(odd).collect())
     assert sorted(v for k, v in got if k == 5) == ["0,1", "1"] and got[(9, "")] == 1
