@@ -255,6 +255,15 @@ def test_html_text(spark):
     assert html_text.extract(pages.filter("false")).count() == 0
 
 
+def test_wrappers_named_as_outer_parts_do_not_hide_an_article():
+    inner = "<article><p>Main text.</p></article><div class='sidebar'>Side</div><div id='comments'><article><p>Nice</p></article></div>"
+    for wrap in ("content-sidebar-wrap", "site-content has-sidebar", "no-sidebar", "page with-header", "sidebar", "x social"):
+        assert [t for inside, t in html_text.blocks(f"<div class='{wrap}'>{inner}</div>") if inside] == ["Main text."], wrap
+    assert [t for inside, t in html_text.blocks(f"<form>{inner}</form>") if inside] == ["Main text."]
+    assert html_text.blocks("<div class='page no-sidebar'><p>Text</p><div class='main-sidebar'>Side</div></div>") == [(False, "Text")]
+    assert html_text.blocks(f"<aside>{inner}</aside>") == []
+
+
 def test_surrogates(spark, odd, none):
     text = "Mail a.b@c.org, call +1 (319) 555-5132 or +1 319 555 5132. Card 4111111111111111 at 10.0.0.1; Frau Anna Schmidt, password=hunter22x"
     docs = spark.createDataFrame([(1, text), (2, text), (3, "clean text 12"), (4, None)], "doc_id long, text string")
