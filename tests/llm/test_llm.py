@@ -264,6 +264,14 @@ def test_wrappers_named_as_outer_parts_do_not_hide_an_article():
     assert html_text.blocks(f"<aside>{inner}</aside>") == []
 
 
+def test_a_passage_on_few_pages_of_a_large_host_is_found(spark):
+    passage = "this passage stands on only a few of the many pages here"
+    plain = [f"<p>{' '.join(f'p{k}w{i}' for i in range(12))}</p>" + (f"<p>{passage}</p>" if k in (3, 50, 90) else "") for k in range(120)]
+    pages = spark.createDataFrame([(k, f"http://b/{k}", p) for k, p in enumerate(plain)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages, group=4).collect()}
+    assert got == {k: " ".join(f"p{k}w{i}" for i in range(12)) for k in range(120)}
+
+
 def test_surrogates(spark, odd, none):
     text = "Mail a.b@c.org, call +1 (319) 555-5132 or +1 319 555 5132. Card 4111111111111111 at 10.0.0.1; Frau Anna Schmidt, password=hunter22x"
     docs = spark.createDataFrame([(1, text), (2, text), (3, "clean text 12"), (4, None)], "doc_id long, text string")
