@@ -272,6 +272,18 @@ def test_a_passage_on_few_pages_of_a_large_host_is_found(spark):
     assert got == {k: " ".join(f"p{k}w{i}" for i in range(12)) for k in range(120)}
 
 
+def test_unique_runs_and_copied_pages_keep_their_text(spark):
+    lead = "a lead in of ten words that every page repeats"
+    own = {k: " ".join(f"p{k}w{i}" for i in range(7 + 5 * k)) for k in range(5)}
+    copy = " ".join(f"copied{i}" for i in range(30))
+    rows = [(k, f"http://b/{k}", f"<p>{lead} {t}</p>") for k, t in own.items()]
+    rows += [(10 + k, f"http://b/{10 + k}", f"<p>{copy}</p>" if k % 2 else f"<div> {copy}</div>") for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (2, 256):
+        got = {r.page_id: r.text for r in html_text.extract(pages, group=group).collect()}
+        assert got == own | {10 + k: copy for k in range(4)}
+
+
 def test_surrogates(spark, odd, none):
     text = "Mail a.b@c.org, call +1 (319) 555-5132 or +1 319 555 5132. Card 4111111111111111 at 10.0.0.1; Frau Anna Schmidt, password=hunter22x"
     docs = spark.createDataFrame([(1, text), (2, text), (3, "clean text 12"), (4, None)], "doc_id long, text string")
