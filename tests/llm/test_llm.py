@@ -284,6 +284,29 @@ def test_unique_runs_and_copied_pages_keep_their_text(spark):
         assert got == own | {10 + k: copy for k in range(4)}
 
 
+def test_a_large_host_of_unmarked_pages_against_plain_counting(spark):
+    draw, long = random.Random(7), html_text.LONG
+    passages = [" ".join(f"q{k}w{i}" for i in range(9 + k)) for k in range(30)]
+    odds = [0.5 ** (k / 3) for k in range(30)]
+    pages = {k: [" ".join(f"p{k}w{i}" for i in range(6 + k % 9)), *(p for p, o in zip(passages, odds) if draw.random() < o)] for k in range(1500)}
+    rows = [(k, f"http://b/{k}", "".join(f"<p>{t}</p>" for t in texts)) for k, texts in pages.items()]
+    held = Counter()
+    for texts in pages.values():
+        words = " ".join(texts).split()
+        held.update({tuple(words[i : i + long]) for i in range(len(words) - long + 1)})
+    want = {}
+    for k, texts in pages.items():
+        words = " ".join(texts).split()
+        covered = [False] * len(words)
+        for i in range(len(words) - long + 1):
+            if held[tuple(words[i : i + long])] >= html_text.PAGES:
+                covered[i : i + long] = [True] * long
+        want[k] = html_text.kept_text(texts, np.array(covered))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(table, group=32).collect()}
+    assert got == want and sum(map(len, got.values())) < sum(len(" ".join(t)) for t in pages.values())
+
+
 def test_surrogates(spark, odd, none):
     text = "Mail a.b@c.org, call +1 (319) 555-5132 or +1 319 555 5132. Card 4111111111111111 at 10.0.0.1; Frau Anna Schmidt, password=hunter22x"
     docs = spark.createDataFrame([(1, text), (2, text), (3, "clean text 12"), (4, None)], "doc_id long, text string")
