@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import exact, fingerprints, html_text, langid, line_dedup, mixing, near, packing, private
-from pairwright.llm import token_files
+from pairwright.llm import exact, fingerprints, html_text, langid, line_dedup, mixing, near, packing, prefix_trie
+from pairwright.llm import private, simhash, token_files, variants
 from pairwright.plans.fixtures import ship_package
 from pairwright.plans.scale import scratch_path
 
@@ -62,6 +62,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -73,10 +85,15 @@ QUERIES = {
     "op8_surrogates": op8_surrogates,
     "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact.SQL,
     "op5_near_dedup": near.SQL,
     "op6_source_mixing": mixing.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op11_spelling_variants": variants.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
