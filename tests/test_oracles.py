@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import subprocess
 import sys
 
 import duckdb
@@ -13,7 +14,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry_point  # noqa: E402
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+from pairwright.plans.oracles import ORACLES  # noqa: E402
+from pairwright.plans.queries import QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +40,8 @@ def table(names, data):
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
     assert len(QUERIES) == 84
+    assert QUERIES.items() <= entry_point.queries().items()
+    assert ORACLES.items() <= entry_point.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -55,3 +59,11 @@ def test_entry(spark):
     assert entry_point.entry(spark).columns == [
         "doc_id", "item_id", "hits", "n_key_terms", "keyword_coverage"
     ]
+
+
+@pytest.mark.parametrize("absent", ["pairwright.llm", "corpus_pipeline", "public_tokenizers", "tokenizers"])
+def test_the_entry_point_lives_without_the_optional_part(absent):
+    code = f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert int(out.stdout) >= len(QUERIES)
