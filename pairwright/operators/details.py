@@ -1,7 +1,8 @@
 """Details of chosen CV-JD pairs: keywords, claims, lines and edits.
 
 All take ``pairs`` (doc_id, item_id), normally the top of a ranking, so their
-work follows the number of JDs rather than the number of all pairs.
+work follows the number of JDs rather than the number of all pairs.  They read the
+stored terms; only the text of evidence lines comes from the CVs.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions import values as V
 from pairwright.functions.rules import int_div
-from pairwright.functions.text import as_column, distinct_tokens, has_digit, is_blank, lines, word_count
+from pairwright.functions.text import as_column, has_digit, is_blank, lines, word_count
 from pairwright.operators import terms
 from pairwright.operators.matching import MatchInputs
 from pairwright.plans import scale
@@ -23,7 +24,7 @@ def pair_terms(pairs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def chosen(cv_rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of the CVs that occur in ``pairs``; the rest is dropped at the scan."""
+    """Rows of the CVs that occur in ``pairs``; the rest goes before anything is moved."""
     return cv_rows.join(pairs.select("doc_id"), "doc_id", "left_semi")
 
 
@@ -57,29 +58,33 @@ def top_claims(keys: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def claims_with_evidence(pairs: DataFrame, claims: DataFrame, cvs: DataFrame) -> DataFrame:
-    """Every claim of each pair with the CV lines that mention it.
+def claims_with_evidence(pairs: DataFrame, claims: DataFrame, inputs: MatchInputs) -> DataFrame:
+    """(doc_id, item_id, claim, line_no, has_digit, n_words): every claim of each pair with the CV
+    lines that mention it.
 
-    A claim without a line keeps one row whose ``line_no`` and ``line`` are NULL.
+    ``inputs`` are prepared by line and ``graded``.  A claim without a line keeps one row whose
+    ``line_no`` is NULL.  Claims are key terms, so the line index holds all their lines.
     """
     wanted = pairs.select("doc_id", "item_id").join(claims, "item_id")
-    text_lines = chosen(cvs, pairs).select("doc_id", F.posexplode(lines("text")).alias("line_no", "line"))
-    mentions = text_lines.select(
-        "doc_id", "line_no", "line", F.explode(distinct_tokens("line")).alias("claim")
-    )
-    # Only lines that mention some claim travel on.
-    mentions = mentions.join(claims.select("claim"), "claim", "left_semi")
+    mentions = chosen(inputs.index, pairs).select("doc_id", F.col("term").alias("claim"), "line_no", "has_digit", "n_words")
     return wanted.join(mentions, ["doc_id", "claim"], "left").select(
-        "doc_id", "item_id", "claim", "line_no", "line"
+        "doc_id", "item_id", "claim", "line_no", "has_digit", "n_words"
     )
 
 
+def with_lines(evidence: DataFrame, cvs: DataFrame) -> DataFrame:
+    """Evidence with the text of its lines, from the CVs that have some."""
+    at = evidence.filter(F.col("line_no").isNotNull()).select("doc_id", "line_no").distinct()
+    texts = chosen(cvs, at).select("doc_id", F.posexplode(lines("text")).alias("line_no", "line"))
+    return evidence.join(texts.join(at, ["doc_id", "line_no"], "left_semi"), ["doc_id", "line_no"], "left")
+
+
 def evidence_strength(evidence: DataFrame) -> DataFrame:
     """One grade per claim: the strongest of its lines."""
     grade = (
-        F.when(F.col("line").isNull(), 0)
-        .when(has_digit("line"), 3)
-        .when(word_count("line") >= 8, 2)
+        F.when(F.col("line_no").isNull(), 0)
+        .when(F.col("has_digit"), 3)
+        .when(F.col("n_words") >= 8, 2)
         .otherwise(1)
     )
     labels = F.array(*[F.lit(x) for x in reversed(V.EVIDENCE_STRENGTHS)])

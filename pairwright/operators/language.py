@@ -73,14 +73,14 @@ def language_consistency(
     )
 
 
-def ungrounded_terms(generated: DataFrame, cvs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def ungrounded_terms(generated: DataFrame, held: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc_id, term): skill terms a generated text claims and its CV lacks.
 
-    Both sides are cut to the vocabulary before they meet.
+    ``held``: the stored (doc_id, term) of the CVs, at least for the vocabulary.  The generated texts are
+    cut to the vocabulary before they meet it.
     """
     claimed = terms.in_vocabulary(terms.doc_terms(generated), vocabulary)
-    held = terms.in_vocabulary(terms.doc_terms(cvs), vocabulary)
-    return claimed.join(held, ["doc_id", "term"], "left_anti").select("doc_id", "term")
+    return claimed.join(held.select("doc_id", "term"), ["doc_id", "term"], "left_anti").select("doc_id", "term")
 
 
 def top_topics(

@@ -2,8 +2,10 @@
 
 A term joins CVs and JDs; pairs that share no key term score 0 and are never
 built.  The texts are tokenised once: their terms, cut down to the vocabulary of
-the JDs, are written as a narrow table that document frequency, pair scores and
-pair details all read.
+the JDs, are stored by document as a narrow table that document frequency, pair
+scores and pair details all read.  All rows of a document lie in one bucket, so
+where the key terms of the JDs are small enough to broadcast, scoring the pairs
+moves no row.
 """
 
 from __future__ import annotations
@@ -31,16 +33,16 @@ SCORE_COLUMNS = (
 class MatchInputs:
     """Narrow tables the pair operators share.
 
-    ``hits``: (doc_id, term) for terms of the JD vocabulary.  ``rows``: the same
-    per line as well (line_no -1 for the whole text), with carried CV scores.
-    ``keys``: (item_id, term, tf, df, n_key_terms, key_tf).
+    ``hits``: (doc_id, term) for terms of the JD vocabulary, with the carried CV scores.
+    ``keys``: (item_id, term, tf, df, n_key_terms, key_tf).  ``index``: the terms by
+    line, with ``first`` and, where asked for, the grades of the line.
     """
 
     cvs: DataFrame
     jds: DataFrame
     hits: DataFrame
     keys: DataFrame
-    rows: DataFrame | None = None
+    index: DataFrame | None = None
 
 
 def prepare(
@@ -50,37 +52,40 @@ def prepare(
     carry: Mapping[str, Column] | None = None,
     min_length: int = terms.MIN_TERM_LENGTH,
     max_df_percent: int = terms.MAX_DF_PERCENT,
+    graded: bool = False,
 ) -> MatchInputs:
     """Tokenise the CVs once and derive the key terms.
 
-    ``carry`` are CV-level scores to keep on the line rows, so that scoring pairs
-    needs neither the texts nor a join with the CVs again.
+    ``carry`` are CV-level scores to keep on the rows, so that scoring pairs needs
+    neither the texts nor a join with the CVs again.  ``graded`` keeps what the evidence
+    grades need of a line.
     """
     jd_terms = scale.materialize(terms.jd_postings(jds, min_length), "jd-terms")
-    rows = None
+    names, index = tuple(carry or ()), None
     if by_line:
-        scored = cvs.withColumns(dict(carry or {}))
-        found = terms.text_and_line_terms(scored, keep=tuple(carry or ()))
-        rows = scale.materialize(terms.in_vocabulary(found, jd_terms), "line-hits")
-        hits = rows.filter(F.col("line_no") == terms.WHOLE_TEXT).select("doc_id", "term")
+        index = terms.line_index(cvs.withColumns(dict(carry or {})), jd_terms, names, graded)
+        hits = index.filter("first").select("doc_id", "term", *names)
     else:
         found = terms.in_vocabulary(terms.doc_terms(cvs), jd_terms)
-        hits = scale.materialize(found.select("doc_id", "term"), "hits")
+        hits = scale.stored_by(found.select("doc_id", "term"), "doc_id", "hits", ("term",))
     keys = terms.key_terms(jd_terms, hits, terms.row_count(cvs), max_df_percent)
     keys = scale.materialize(terms.with_totals(keys), "key-terms")
-    return MatchInputs(cvs, jds, hits, keys, rows)
+    return MatchInputs(cvs, jds, hits, keys, index)
 
 
-def candidate_pairs(cv_terms: DataFrame, jd_terms: DataFrame) -> DataFrame:
+def candidate_pairs(cv_terms: DataFrame, jd_terms: DataFrame, min_hits: int = 1) -> DataFrame:
     """(doc_id, item_id, hits, hit_tf, n_key_terms, key_tf): pairs sharing a term.
 
-    An equi-join on the term; the pair counts are combined before the shuffle.
+    An equi-join on the term.  With terms stored by document and few JDs the pairs are counted
+    where the documents are; otherwise the counts are combined before the shuffle.
+    ``min_hits`` leaves out pairs that share fewer terms.
     """
-    return (
+    pairs = (
         cv_terms.join(jd_terms.drop("df"), "term")
         .groupBy("doc_id", "item_id")
         .agg(F.count(F.lit(1)).alias("hits"), F.sum("tf").alias("hit_tf"), *_totals())
     )
+    return pairs.filter(F.col("hits") >= min_hits) if min_hits > 1 else pairs
 
 
 def _totals() -> list[Column]:
@@ -112,38 +117,33 @@ def technical_match(inputs: MatchInputs, skills: DataFrame | None = None) -> Dat
     return pair_coverage(inputs).select("doc_id", "item_id", "technical_match")
 
 
-def _per_line(inputs: MatchInputs, carried: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, item_id, line_no, n, tf, *carried): key terms met per pair and line.
+def _per_line(met: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, item_id, line_no, n, firsts, tf, ...) of joined index and key rows.
 
-    One shuffle by pair serves this grouping and the one by pair that follows.
+    ``n`` terms are met on the line; ``firsts`` of them, with their ``tf``, for the first time in
+    the document, so that over all lines each term counts once.
     """
-    met = inputs.rows.join(inputs.keys.drop("df"), "term")
-    return (
-        met.repartition("doc_id", "item_id")
-        .groupBy("doc_id", "item_id", "line_no")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("tf").alias("tf"),
-            *_totals(),
-            *[F.max(c).alias(c) for c in carried],
-        )
+    once = F.col("first")
+    return met.groupBy("doc_id", "item_id", "line_no").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(once).alias("firsts"),
+        F.sum(F.when(once, F.col("tf")).otherwise(0)).alias("tf"),
+        *_totals(),
+        *[F.max(c).alias(c) for c in carried],
     )
 
 
-def _on_lines(col: str) -> Column:
-    return F.max(F.when(F.col("line_no") != terms.WHOLE_TEXT, F.col(col)))
-
-
-def _on_text(col: str) -> Column:
-    return F.max(F.when(F.col("line_no") == terms.WHOLE_TEXT, F.col(col)))
+def _met(inputs: MatchInputs) -> DataFrame:
+    """Every index row with the JDs that hold its term as key term."""
+    return inputs.index.join(inputs.keys.drop("df"), "term")
 
 
 def experience_relevance(inputs: MatchInputs) -> DataFrame:
     """Coverage of the best single line of the CV."""
     return (
-        _per_line(inputs)
+        _per_line(_met(inputs))
         .groupBy("doc_id", "item_id")
-        .agg(_on_lines("n").alias("best"), *_totals())
+        .agg(F.max("n").alias("best"), *_totals())
         .select("doc_id", "item_id", pct("best", "n_key_terms").alias("experience_relevance"))
     )
 
@@ -199,23 +199,30 @@ def cv_scores(headings: Sequence[str] = V.HEADINGS, text: str = "text") -> dict[
     }
 
 
-def match_score(inputs: MatchInputs, weights: Sequence[int] = (1, 1, 1, 1, 1)) -> DataFrame:
+OWN = ("impact_evidence", "ats_readiness")
+EQUAL = (1, 1, 1, 1, 1)
+
+
+def match_score(inputs: MatchInputs, weights: Sequence[int] = EQUAL) -> DataFrame:
     """All sub-scores of each pair and their weighted integer mean.
 
-    ``inputs`` come from ``prepare(..., by_line=True, carry=cv_scores())``.  One
-    join and one shuffle give every sub-score.  The weights follow
-    ``SCORE_COLUMNS``.
+    ``inputs`` come from ``prepare(..., by_line=True, carry=cv_scores())``.  The weights
+    follow ``SCORE_COLUMNS``.
     """
-    carried = ("impact_evidence", "ats_readiness")
+    return score_lines(_met(inputs), weights)
+
+
+def score_lines(met: DataFrame, weights: Sequence[int] = EQUAL) -> DataFrame:
+    """The scores of the pairs in ``met``, joined rows of a line index and key terms."""
     pairs = (
-        _per_line(inputs, carried)
+        _per_line(met, OWN)
         .groupBy("doc_id", "item_id")
         .agg(
-            _on_text("n").alias("hits"),
-            _on_text("tf").alias("hit_tf"),
-            _on_lines("n").alias("best"),
+            F.sum("firsts").alias("hits"),
+            F.sum("tf").alias("hit_tf"),
+            F.max("n").alias("best"),
             *_totals(),
-            *[F.max(c).alias(c) for c in carried],
+            *[F.max(c).alias(c) for c in OWN],
         )
     )
     scored = pairs.select(
@@ -223,13 +230,15 @@ def match_score(inputs: MatchInputs, weights: Sequence[int] = (1, 1, 1, 1, 1)) -
         pct("hits", "n_key_terms").alias("keyword_coverage"),
         pct("hit_tf", "key_tf").alias("technical_match"),
         pct("best", "n_key_terms").alias("experience_relevance"),
-        *carried,
+        *OWN,
     )
     total = sum((F.col(c) * w for c, w in zip(SCORE_COLUMNS, weights, strict=True)), start=F.lit(0))
-    whole = 2 * sum(weights)
-    return scored.withColumn(
-        "match_score", int_div(2 * total + sum(weights), F.lit(whole)).cast("bigint")
-    )
+    return scored.withColumn("match_score", _mean(total, weights))
+
+
+def _mean(total: Column, weights: Sequence[int]) -> Column:
+    """Integer mean of a weighted total, halves up."""
+    return int_div(2 * total + sum(weights), F.lit(2 * sum(weights))).cast("bigint")
 
 
 def rank_candidates(scores: DataFrame, k: int, score: str = "match_score") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwright.functions.text import distinct_tokens, lines, tokens
+from pairwright.functions.text import distinct_tokens, has_digit, lines, tokens, word_count
+from pairwright.plans import scale
 
 MIN_TERM_LENGTH = 3
 MAX_DF_PERCENT = 10
@@ -16,25 +17,32 @@ def doc_terms(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     return docs.select(doc, F.explode(distinct_tokens(text)).alias("term"))
 
 
-WHOLE_TEXT = -1
+def line_terms(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), graded: bool = False
+) -> DataFrame:
+    """(doc, line_no, term, *keep): distinct terms of each line, without a shuffle.
+
+    ``graded`` adds ``has_digit`` and ``n_words`` of the line.
+    """
+    grades = {"has_digit": has_digit("line"), "n_words": word_count("line")} if graded else {}
+    split = docs.select(doc, *keep, F.posexplode(lines(text)).alias("line_no", "line"))
+    rows = split.select(doc, "line_no", distinct_tokens("line").alias("__t"), *keep, *[c.alias(n) for n, c in grades.items()])
+    return rows.select(doc, "line_no", F.explode("__t").alias("term"), *keep, *grades)
 
 
-def text_and_line_terms(
-    docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+def line_index(
+    docs: DataFrame, vocabulary: DataFrame, keep: tuple[str, ...] = (), graded: bool = False
 ) -> DataFrame:
-    """(doc, line_no, term, *keep): distinct terms of each line and of the whole text.
+    """:func:`line_terms` of the vocabulary, stored by document, with ``first``.
 
-    Rows of the whole text have ``line_no`` -1.  A text is split into tokens once
-    and nothing is shuffled.
+    ``first`` marks the first line of the document that holds the term, so what counts a
+    document's terms needs no second copy of them and no distinct.
     """
-    split = docs.select(doc, *keep, F.transform(lines(text), distinct_tokens).alias("__lines"))
-    whole = F.array_distinct(F.flatten("__lines"))
-    rows = split.select(
-        doc, *keep, F.posexplode(F.concat(F.array(whole), F.col("__lines"))).alias("pos", "terms")
-    )
-    return rows.select(
-        doc, (F.col("pos") + WHOLE_TEXT).alias("line_no"), F.explode("terms").alias("term"), *keep
-    )
+    rows = in_vocabulary(line_terms(docs, keep=keep, graded=graded), vocabulary)
+    order = Window.partitionBy("doc_id", "term").orderBy("line_no")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = rows.repartition(n, "doc_id").withColumn("first", F.row_number().over(order) == 1)
+    return scale.stored_by(marked, "doc_id", "line-index", ("term", "line_no"), n)
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

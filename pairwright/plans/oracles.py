@@ -12,7 +12,7 @@ ORACLES: dict[str, str] = {}
 
 SERVER_SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 CLIENT_SPACE = r"[\t-\r\x{feff}\p{Z}]"
-TOP_K = 3
+TOP_K = 10
 TOTAL = 3
 
 
@@ -107,32 +107,6 @@ coverage AS (
   FROM pairs JOIN totals USING (item_id))"""
 
 
-def top_pairs(k: int = TOP_K) -> str:
-    return f"""{PAIRS},
-top_pairs AS (
-  SELECT doc_id, item_id FROM coverage
-  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY keyword_coverage DESC, doc_id) <= {k})"""
-
-
-MISSING = f"""{top_pairs()},
-missing AS (
-  SELECT p.doc_id, p.item_id, k.term, k.tf FROM top_pairs p JOIN key_terms k USING (item_id)
-  WHERE NOT EXISTS (SELECT 1 FROM cv_terms c WHERE c.doc_id = p.doc_id AND c.term = k.term))"""
-
-EVIDENCE = f"""{top_pairs()},
-claims AS (
-  SELECT item_id, term AS claim FROM key_terms
-  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY tf DESC, term) <= 5),
-text_lines AS (
-  SELECT doc_id, unnest(range(len({lines('text')}))) AS line_no, unnest({lines('text')}) AS line
-  FROM documents WHERE doc_id IN (SELECT doc_id FROM top_pairs)),
-mentions AS (
-  SELECT doc_id, line_no, line, unnest(list_distinct({tokens('line')})) AS claim FROM text_lines),
-evidence AS (
-  SELECT p.doc_id, p.item_id, c.claim, m.line_no, m.line
-  FROM top_pairs p JOIN claims c USING (item_id)
-  LEFT JOIN mentions m ON m.doc_id = p.doc_id AND m.claim = c.claim)"""
-
 RELEVANCE = f"""
 line_terms AS (
   SELECT doc_id, line_no, unnest(list_distinct({tokens('line')})) AS term
@@ -170,6 +144,32 @@ scores AS (
   FROM coverage JOIN relevance USING (doc_id, item_id) JOIN impact USING (doc_id)
   JOIN ats USING (doc_id))"""
 
+def top_pairs(k: int = TOP_K) -> str:
+    return f"""{SCORES},
+top_pairs AS (
+  SELECT doc_id, item_id FROM scores
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY match_score DESC, doc_id) <= {k})"""
+
+
+MISSING = f"""{top_pairs()},
+missing AS (
+  SELECT p.doc_id, p.item_id, k.term, k.tf FROM top_pairs p JOIN key_terms k USING (item_id)
+  WHERE NOT EXISTS (SELECT 1 FROM cv_terms c WHERE c.doc_id = p.doc_id AND c.term = k.term))"""
+
+EVIDENCE = f"""{top_pairs()},
+claims AS (
+  SELECT item_id, term AS claim FROM key_terms
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY tf DESC, term) <= 5),
+text_lines AS (
+  SELECT doc_id, unnest(range(len({lines('text')}))) AS line_no, unnest({lines('text')}) AS line
+  FROM documents WHERE doc_id IN (SELECT doc_id FROM top_pairs)),
+mentions AS (
+  SELECT doc_id, line_no, line, unnest(list_distinct({tokens('line')})) AS claim FROM text_lines),
+evidence AS (
+  SELECT p.doc_id, p.item_id, c.claim, m.line_no, m.line
+  FROM top_pairs p JOIN claims c USING (item_id)
+  LEFT JOIN mentions m ON m.doc_id = p.doc_id AND m.claim = c.claim)"""
+
 KINDS = ("upload", "extract", "analyze", "finish", "speech", "writer")
 REQUESTS = f"""
 requests AS (
@@ -685,7 +685,7 @@ _STRATEGY = (
 )
 _PROGRESS = fill(P.PROGRESS_BLOCK, current=_CURRENT, total="5", strategy=_STRATEGY)
 ORACLES["build_prompts"] = f"""
-WITH {top_pairs(1)},
+WITH {top_pairs()},
 texts AS (
   SELECT p.doc_id, p.item_id, d.text AS cv, b.text AS jd
   FROM top_pairs p JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id))

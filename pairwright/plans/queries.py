@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairwright.functions import prompts, rules, text
 from pairwright.functions import values as V
 from pairwright.operators import cache, completion, conversations, details, interview, language
-from pairwright.operators import matching, responses, templates, terms
+from pairwright.operators import matching, ranking, responses, templates, terms
 from pairwright.plans import fixtures as fx
 from pairwright.plans import scale
 from pairwright.sources import catalog, tables
@@ -20,7 +20,7 @@ from pairwright.streaming import scoring, transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-TOP_K = 3
+TOP_K = 10
 TOTAL = 3
 
 
@@ -33,10 +33,14 @@ def _inputs(spark: SparkSession, d: str, by_line: bool = False) -> matching.Matc
     return matching.prepare(fx.cvs(spark, d), fx.jds(spark, d), by_line)
 
 
+def _scored_inputs(spark: SparkSession, d: str, graded: bool = False) -> matching.MatchInputs:
+    scores = matching.cv_scores(fx.FIXTURE_HEADINGS)
+    return matching.prepare(fx.cvs(spark, d), fx.jds(spark, d), True, scores, graded=graded)
+
+
 def _top_pairs(inputs: matching.MatchInputs, k: int = TOP_K) -> DataFrame:
-    """The best pairs by coverage; written once because details join it repeatedly."""
-    scores = matching.keyword_coverage(inputs)
-    top = matching.rank_candidates(scores, k, "keyword_coverage").select("doc_id", "item_id")
+    """The best pairs by match score; written once because details join it repeatedly."""
+    top = ranking.top_candidates(inputs, k).select("doc_id", "item_id")
     return scale.materialize(top, "top-pairs")
 
 
@@ -222,25 +226,27 @@ def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def matched_keywords(spark: SparkSession, d: str) -> DataFrame:
-    inputs = _inputs(spark, d)
+    inputs = _scored_inputs(spark, d)
     return details.matched_keywords(_top_pairs(inputs), inputs)
 
 
 @query
 def missing_keywords(spark: SparkSession, d: str) -> DataFrame:
-    inputs = _inputs(spark, d)
+    inputs = _scored_inputs(spark, d)
     return details.missing_keywords(_top_pairs(inputs), inputs)
 
 
-def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    inputs = _inputs(spark, d)
+def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, matching.MatchInputs]:
+    inputs = _scored_inputs(spark, d, graded=True)
     claims = details.top_claims(inputs.keys)
-    return details.claims_with_evidence(_top_pairs(inputs), claims, inputs.cvs)
+    return details.claims_with_evidence(_top_pairs(inputs), claims, inputs), inputs
 
 
 @query
 def claims_with_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return _evidence(spark, d)
+    evidence, inputs = _evidence(spark, d)
+    stored = scale.materialize(evidence, "evidence")
+    return details.with_lines(stored, inputs.cvs).select("doc_id", "item_id", "claim", "line_no", "line")
 
 
 @query
@@ -284,7 +290,7 @@ def language_consistency(spark: SparkSession, d: str) -> DataFrame:
 def ungrounded_terms(spark: SparkSession, d: str) -> DataFrame:
     inputs = _inputs(spark, d)
     generated = inputs.cvs.select((F.col("doc_id") - 1).alias("doc_id"), "text")
-    return language.ungrounded_terms(generated, inputs.cvs, inputs.keys)
+    return language.ungrounded_terms(generated, inputs.hits, inputs.keys)
 
 
 @query
@@ -328,13 +334,12 @@ def ats_readiness(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def match_score(spark: SparkSession, d: str) -> DataFrame:
-    scores = matching.cv_scores(fx.FIXTURE_HEADINGS)
-    return matching.match_score(matching.prepare(fx.cvs(spark, d), fx.jds(spark, d), True, scores))
+    return matching.match_score(_scored_inputs(spark, d))
 
 
 @query
 def evidence_strength(spark: SparkSession, d: str) -> DataFrame:
-    return details.evidence_strength(_evidence(spark, d))
+    return details.evidence_strength(_evidence(spark, d)[0])
 
 
 @query
@@ -474,7 +479,7 @@ def keyword_preview(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
-    ranked = matching.rank_candidates(match_score(spark, d), 10)
+    ranked = ranking.top_candidates(_scored_inputs(spark, d), TOP_K)
     return ranked.select("item_id", "rank", "doc_id", "match_score")
 
 
@@ -608,8 +613,8 @@ def render_nested_record(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def build_prompts(spark: SparkSession, d: str) -> DataFrame:
-    inputs = _inputs(spark, d)
-    pairs = _top_pairs(inputs, 1)
+    inputs = _scored_inputs(spark, d)
+    pairs = _top_pairs(inputs)
     texts = (
         pairs.join(inputs.cvs.withColumnRenamed("text", "cv"), "doc_id")
         .join(inputs.jds.withColumnRenamed("text", "jd"), "item_id")

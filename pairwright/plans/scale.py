@@ -56,6 +56,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, name: str, order: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
+    """Write a table dealt out by ``key`` and read it back; its rows are moved once.
+
+    Plans over it that group or join by ``key``, alone or with more columns, need no shuffle of
+    it.  ``order`` sorts each bucket, so that repeated values compress.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"pairwright_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    rows = df.repartition(n, key).sortWithinPartitions(key, *order)
+    writer = rows.write.format("parquet").option("path", scratch_path(spark, name)).option("compression", "zstd")
+    writer.bucketBy(n, key).sortBy(key, *order).saveAsTable(table)
+    return spark.table(table)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a scan with too few splits for them.
 

@@ -8,7 +8,7 @@ import pytest
 from conftest import SF, plan, rows
 from pyspark.sql import functions as F
 
-from pairwright.operators import details, language, matching, terms
+from pairwright.operators import details, language, matching, ranking, terms
 from pairwright.plans.queries import QUERIES
 
 CVS = [
@@ -33,7 +33,7 @@ def pct(h, n):
 def inputs(spark):
     cvs = spark.createDataFrame(CVS, "doc_id bigint, text string")
     jds = spark.createDataFrame(JDS, "item_id bigint, text string")
-    return matching.prepare(cvs, jds, True, matching.cv_scores(("team",)), max_df_percent=60)
+    return matching.prepare(cvs, jds, True, matching.cv_scores(("team",)), max_df_percent=60, graded=True)
 
 
 def expected():
@@ -116,8 +116,12 @@ def test_rank_breaks_ties_by_document(spark):
 def test_claims_keep_the_missing_ones(spark, inputs):
     pairs = spark.createDataFrame([(1, 10), (2, 10)], "doc_id bigint, item_id bigint")
     claims = spark.createDataFrame([(10, "spark"), (10, "kafka")], "item_id bigint, claim string")
-    evidence = details.claims_with_evidence(pairs, claims, inputs.cvs)
-    assert evidence.count() == 5
+    evidence = details.claims_with_evidence(pairs, claims, inputs)
+    said = rows(details.with_lines(evidence, inputs.cvs).select("doc_id", "claim", "line_no", "line"))
+    assert said == [
+        (1, "kafka", None, None), (1, "spark", 0, "Python and Spark jobs"), (1, "spark", 1, "Built 3 pipelines with Spark"),
+        (2, "kafka", None, None), (2, "spark", None, None),
+    ]
     assert rows(details.evidence_strength(evidence)) == [
         (1, 10, "kafka", "Missing"), (1, 10, "spark", "Strong"),
         (2, 10, "kafka", "Missing"), (2, 10, "spark", "Missing"),
@@ -129,9 +133,9 @@ def test_claims_keep_the_missing_ones(spark, inputs):
     [("spark 3", "Strong"), ("spark a b c d e f g", "Medium"), ("spark a b c d e f", "Weak")],
 )
 def test_evidence_grades(spark, line, want):
-    ev = spark.createDataFrame(
-        [(1, 1, "spark", 0, line)], "doc_id bigint, item_id bigint, claim string, line_no int, line string"
-    )
+    docs = spark.createDataFrame([(1, "\n" + line)], "doc_id bigint, text string")
+    index = terms.line_terms(docs, graded=True).filter("term = 'spark'")
+    ev = index.withColumns({"item_id": F.lit(1), "claim": F.col("term")})
     assert details.evidence_strength(ev).first().strength == want
 
 
@@ -224,6 +228,56 @@ def test_ranking_prunes_before_the_shuffle(spark):
     assert "WindowGroupLimit" in shape and shape.index("Final") < shape.index("Partial")
 
 
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """4,000 CVs of which some fit a JD well; terms of every frequency, many equal scores."""
+    picked = F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(20 + 25 * i)) for i in range(12)])
+    said = F.array_join(F.transform(picked, lambda x: F.concat(F.lit("word"), x.cast("string"))), " ")
+    jd_words = [[f"word{x}" for x in (j, j + 8, 40 + 3 * j, 70 + 5 * j, 120 + 7 * j, 200 + j, 240 + j, 270 + j)] for j in range(8)]
+    whole = F.get(F.array(*[F.lit(" ".join(w)) for w in jd_words]), (F.col("id") % 8).cast("int"))
+    fits = F.when(F.col("id") % 37 == 0, whole).otherwise("")
+    rest = F.when(F.col("id") % 7 < 2, "year 2020\nteam").otherwise("plain line")
+    cvs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws("\n", said, rest, fits).alias("text"))
+    jds = spark.createDataFrame([(j, " ".join(w + w[:3])) for j, w in enumerate(jd_words)], "item_id bigint, text string")
+    return matching.prepare(cvs, jds, True, matching.cv_scores(("team",)), max_df_percent=50, graded=True)
+
+
+@pytest.mark.parametrize(("k", "weights"), [(1, (1, 1, 1, 1, 1)), (7, (3, 1, 2, 0, 0)), (20, (0, 0, 0, 1, 2)), (5000, (1, 0, 4, 1, 0))])
+def test_top_candidates_are_the_best_of_all_pairs(crowd, k, weights):
+    want = matching.rank_candidates(matching.match_score(crowd, weights), k)
+    assert rows(ranking.top_candidates(crowd, k, weights, direct=0).select(*want.columns)) == rows(want)
+    assert rows(ranking.top_candidates(crowd, k, weights).select(*want.columns)) == rows(want)
+
+
+def test_hopeless_pairs_are_never_joined(crowd):
+    k, weights = 10, (1, 1, 1, 1, 1)
+    all_lines = matching._met(crowd).count()
+    all_pairs = matching.candidate_pairs(crowd.hits, crowd.keys).count()
+    levels = ranking.leveled(ranking.needs(crowd.keys, ranking.floors(crowd, k, weights), weights), weights)
+    pairs = ranking.candidates(crowd, k, weights)
+    joined = ranking.essential_hits(crowd, levels, weights).count()
+    joined += ranking.pair_lines(crowd, ranking.by_document(pairs)).count()
+    assert 4 * joined < all_lines
+    assert 8 * pairs.count() < all_pairs
+
+
+def test_scoring_moves_no_row(crowd):
+    """The index lies by document and the key terms are broadcast."""
+    for df in (matching.match_score(crowd), matching.experience_relevance(crowd), matching.pair_coverage(crowd)):
+        shape = plan(df)
+        assert "Exchange hashpartitioning" not in shape and "Bucketed: true" in shape
+    asked = ranking.by_document(ranking.candidates(crowd, 3))
+    assert "Exchange hashpartitioning" not in plan(matching.score_lines(ranking.pair_lines(crowd, asked)))
+
+
+def test_details_read_the_texts_once_at_most(spark, crowd):
+    pairs = ranking.top_candidates(crowd, 2).select("doc_id", "item_id")
+    evidence = details.claims_with_evidence(pairs, details.top_claims(crowd.keys), crowd)
+    assert "text#" not in plan(details.evidence_strength(evidence))
+    shape = plan(QUERIES["ungrounded_terms"](spark, SF))
+    assert shape.count("documents.parquet") == 1
+
+
 def test_a_hot_term_and_a_hot_jd(spark):
     """One JD and one term hold most rows; nothing is lost."""
     n = 3000
