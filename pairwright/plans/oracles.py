@@ -782,4 +782,4 @@ SELECT conv_id, last_turn, n_messages, question_no, finished, coalesce(cs, 100)
   coalesce(rs, 100) AS jd_relevance_score, coalesce(tv, 'TỐT') AS tech_vocab_rating
 FROM rolled"""
 ORACLES["stream_incremental_scoring"] = f"""
-WITH {PAIRS} SELECT doc_id, item_id, hits, keyword_coverage FROM coverage"""
+WITH {SCORES} SELECT * FROM scores"""

@@ -789,5 +789,8 @@ def stream_incremental_scoring(spark: SparkSession, d: str) -> DataFrame:
     for drop, known in ((first, draft), (second, keys)):
         drop.write.mode("append").parquet(source)
         stream = spark.readStream.schema(first.schema).parquet(source)
-        scoring.stream_incremental_scoring(stream, known, out, out + "-state").awaitTermination()
+        job = scoring.stream_incremental_scoring(
+            stream, known, out, out + "-state", matching.cv_scores(fx.FIXTURE_HEADINGS)
+        )
+        job.awaitTermination()
     return scoring.current_scores(spark, out)

@@ -7,6 +7,7 @@ import time
 
 import pytest
 from conftest import SF, rows
+from pyspark.sql import functions as F
 
 from pairwright.operators import interview, matching, terms
 from pairwright.plans import fixtures as fx
@@ -115,48 +116,73 @@ def test_an_interview_without_answers_shows_initial_metrics(spark):
     assert got == [(1, 0, 1, 1, False, 100, 100, "TỐT")]
 
 
+DOC = "doc_id bigint, text string, version int"
+
+
+def scored(spark, texts, keys):
+    """All scores of the documents as they are, from scratch."""
+    cvs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    index = scoring._index(cvs, matching.cv_scores())
+    return rows(matching.score_lines(index.join(keys.drop("df"), "term")).select(*scoring.OUTPUT))
+
+
+def keys_of(spark, jds):
+    listed = [(item, word, 1 + len(word) % 2, 0) for item, words in jds.items() for word in words.split()]
+    return terms.with_totals(spark.createDataFrame(listed, "item_id bigint, term string, tf bigint, df bigint"))
+
+
 def test_incremental_scoring(spark, tmp_path):
-    jds = spark.createDataFrame([(1, "spark kafka"), (2, "nurse")], "item_id bigint, text string")
-    cvs = spark.createDataFrame([(1, "spark"), (2, "kafka spark"), (3, "nurse")], "doc_id bigint, text string")
-    keys = matching.prepare(cvs, jds, max_df_percent=100).keys
-    schema = "doc_id bigint, text string, version int"
+    keys = keys_of(spark, {1: "spark kafka", 2: "nurse"})
     parts = [
-        [(1, "spark", 1), (2, "kafka", 1), (3, "nurse", 1)],
+        [(1, "spark", 1), (2, "kafka\nspark", 1), (3, "nurse 1", 1)],
         [(1, "spark", 1), (2, "kafka spark", 2), (3, "nothing", 2)],
         [(2, "kafka", 3), (2, "spark kafka nurse", 4)],
     ]
     out = str(tmp_path / "out")
-    stream = drip(spark, parts, schema, str(tmp_path / "in"))
+    stream = drip(spark, parts, DOC, str(tmp_path / "in"))
     for _ in range(2):  # a second run finds nothing new
         scoring.stream_incremental_scoring(stream, keys, out, out + "-state").awaitTermination()
     got = rows(scoring.current_scores(spark, out))
-    assert got == [(1, 1, 1, 50), (2, 1, 2, 100), (2, 2, 1, 100)]
-    scored = spark.read.parquet(out + "/versions").groupBy("batch").count()
-    assert rows(scored) == [(0, 3), (1, 2), (2, 1)]
+    assert got == scored(spark, {1: "spark", 2: "spark kafka nurse", 3: "nothing"}, keys)
+    assert [r[:2] for r in got] == [(1, 1), (2, 1), (2, 2)]
+    assert rows(spark.read.parquet(out + "/versions").groupBy("turn").count()) == [(0, 3), (2, 2), (4, 1)]
 
     # Replaying a batch changes nothing.
-    last = spark.createDataFrame(parts[2], schema)
-    scoring.score_batch(last, 2, keys, out)
+    scoring.score_batch(spark.createDataFrame(parts[2], DOC), 2, keys, out)
     assert rows(scoring.current_scores(spark, out)) == got
 
 
-def test_a_changed_jd_scores_stored_documents_again(spark, tmp_path):
-    schema = "doc_id bigint, text string, version int"
-    first = [(k, "alpha beta" if k % 2 else "delta", 1) for k in range(10)]
-    batches = [
-        (first, [(1, "alpha"), (2, "beta"), (3, "alpha")]),
-        ([(10, "delta alpha", 1), (1, "delta", 2)], [(1, "delta"), (2, "beta")]),  # JD 1 changes, JD 3 goes
-        ([(2, "beta", 2)], [(1, "delta"), (2, "beta"), (3, "alpha")]),  # JD 3 is back
-    ]
-    out, texts = str(tmp_path / "out"), {}
-    for batch, (docs, jds) in enumerate(batches):
-        rows_ = [(item, word, 1) for item, word in jds]
-        keys = terms.with_totals(spark.createDataFrame(rows_, "item_id bigint, term string, tf bigint"))
-        for _ in range(2):  # a replay changes nothing
-            scoring.score_batch(spark.createDataFrame(docs, schema), batch, keys, out)
-        texts |= {k: text.split() for k, text, _ in docs}
-        whole = sorted((k, item, 1, 100) for k, text in texts.items() for item, word in jds if word in text)
-        assert rows(scoring.current_scores(spark, out)) == whole
+def test_state_is_compacted_and_jds_change_without_documents(spark, tmp_path):
+    rng = random.Random(4)
+    words = [f"w{i}x" for i in range(12)]
+    jds = {1: "w0x w1x w2x", 2: "w3x w4x", 3: "w5x"}
+    texts, out = {}, str(tmp_path / "out")
+    for batch in range(9):
+        drop = {rng.randrange(30): "\n".join(" ".join(rng.sample(words, 3)) for _ in range(2)) for _ in range(6 if batch else 20)}
+        texts |= drop
+        docs = spark.createDataFrame([(k, t, batch) for k, t in drop.items()], DOC)
+        for _ in range(1 + (batch in (3, 6, 7))):  # a replay changes nothing, not even of a batch that compacts
+            scoring.score_batch(docs, batch, keys_of(spark, jds), out, compact=3)
+        if batch in (2, 4, 7):
+            jds |= {1: rng.choice(words), 3: " ".join(rng.sample(words, 2))}
+            if batch == 4:
+                jds.pop(2)
+            for _ in range(2):
+                scoring.refresh(spark, lambda session: keys_of(session, jds), out)
+        if batch in (0, 2, 5, 7, 8):
+            assert rows(scoring.current_scores(spark, out)) == scored(spark, texts, keys_of(spark, jds))
+    # a later batch reads the snapshot and what came since, and of the snapshot the parts it needs
+    store = scoring.Store(spark, out, 18)
+    assert store.base == 11 and store.log == [12, 14, 15, 16]
+    files = store.read("terms").inputFiles()
+    assert all("snapshot/terms/turn=11" in f or any(f"terms/turn={t}/" in f for t in store.log) for f in files)
+    one = spark.createDataFrame([("w0x",)], "term string")
+    opened = {r[0] for r in store.read("terms", one).select(F.input_file_name()).collect() if "snapshot" in r[0]}
+    assert len({f.split("part=")[1].split("/")[0] for f in opened}) == 1 < sum("snapshot" in f for f in files)
+    before = rows(scoring.current_scores(spark, out))
+    scoring.expire(spark, out)
+    assert rows(scoring.current_scores(spark, out)) == before
+    assert scoring._turns(spark, out + "/terms") == [12, 14, 15, 16] and scoring._turns(spark, out + "/snapshot/terms") == [11]
 
 
 def test_live_relevance_is_that_of_the_batch_metric(spark):
