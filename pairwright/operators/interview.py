@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions import values as V
 from pairwright.functions.rules import int_div, pct, rounded_mean, score_band
-from pairwright.functions.text import distinct_tokens, phrase_count, tokens, word_count
-from pairwright.plans import scale
+from pairwright.functions.text import distinct_tokens, is_blank, phrase_count, tokens, word_count
 
 SHORT_ANSWER_WORDS = 5
 SHORT_ANSWER_SCORE = 30
@@ -32,49 +31,17 @@ def confidence_score(text: str = "text", fillers: Sequence[str] = V.FILLERS) ->
     )
 
 
-def jd_term_lists(keys: DataFrame) -> DataFrame:
-    """(item_id, key_list, n_key_terms): a JD's key terms as one array.
+def jd_term_lists(keys: DataFrame, postings: DataFrame) -> DataFrame:
+    """(item_id, key_list, n_key_terms, vocabulary): a JD's key terms and all its terms as arrays.
 
-    Every list comes from a single JD text, so its size is that of one row.
+    ``postings``: (item_id, term, tf).  Every list comes from a single JD text, so its size is
+    that of one row.
     """
-    return keys.groupBy("item_id").agg(
+    listed = keys.groupBy("item_id").agg(
         F.collect_list("term").alias("key_list"), F.count(F.lit(1)).alias("n_key_terms")
     )
-
-
-def jd_relevance_score(turns: DataFrame, interviews: DataFrame, keys: DataFrame) -> DataFrame:
-    """Answers with the share of the interview's JD key terms they mention.
-
-    ``interviews``: (conv_id, item_id).  Answers of an interview whose JD has no
-    key terms score 0.  The JD lists are written first: the planner then knows
-    their size, and a JD most interviews share can be split as a skewed key.
-    """
-    lists = scale.materialize(jd_term_lists(keys), "jd-lists")
-    rows = answers(turns).join(interviews, "conv_id").join(lists, "item_id", "left")
-    hits = F.size(F.array_intersect(distinct_tokens("text"), F.col("key_list")))
-    return rows.select(
-        "conv_id", "turn", "item_id",
-        F.coalesce(pct(hits, "n_key_terms"), F.lit(0)).alias("jd_relevance_score"),
-    )
-
-
-def tech_vocab_share(turns: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(conv_id, turn, n_tokens, n_tech): answer tokens and those in the vocabulary.
-
-    Tokens are counted per answer and term before they meet the vocabulary, so a
-    hot word adds one row per answer.
-    """
-    rows = answers(turns).select("conv_id", "turn", tokens("text").alias("t"))
-    sizes = rows.select("conv_id", "turn", F.size("t").cast("bigint").alias("n_tokens"))
-    found = (
-        rows.select("conv_id", "turn", F.explode("t").alias("term"))
-        .join(vocabulary.select("term"), "term", "left_semi")
-        .groupBy("conv_id", "turn")
-        .agg(F.count(F.lit(1)).alias("n_tech"))
-    )
-    return sizes.join(found, ["conv_id", "turn"], "left").withColumn(
-        "n_tech", F.coalesce("n_tech", F.lit(0))
-    )
+    vocabulary = postings.groupBy("item_id").agg(F.collect_list("term").alias("vocabulary"))
+    return vocabulary.join(listed, "item_id", "left")
 
 
 def vocabulary_rating(share: Column, cuts: Sequence[int] = VOCABULARY_CUTS) -> Column:
@@ -85,62 +52,65 @@ def vocabulary_rating(share: Column, cuts: Sequence[int] = VOCABULARY_CUTS) -> C
     return out.otherwise(V.VOCABULARY_RATINGS[-1])
 
 
-def tech_vocab_rating(turns: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    share = pct("n_tech", "n_tokens")
-    return tech_vocab_share(turns, vocabulary).select(
-        "conv_id", "turn", share.alias("tech_share"), vocabulary_rating(share).alias("tech_vocab_rating")
-    )
-
-
 def turn_metrics(
-    turns: DataFrame,
-    interviews: DataFrame,
-    keys: DataFrame,
-    vocabulary: DataFrame,
-    fillers: Sequence[str] = V.FILLERS,
+    turns: DataFrame, interviews: DataFrame, lists: DataFrame, fillers: Sequence[str] = V.FILLERS
 ) -> DataFrame:
-    """(conv_id, turn, confidence_score, jd_relevance_score, tech_vocab_rating) per answer."""
-    confidence = answers(turns).select(
-        "conv_id", "turn", confidence_score("text", fillers).alias("confidence_score")
-    )
-    return (
-        confidence.join(
-            jd_relevance_score(turns, interviews, keys).drop("item_id"), ["conv_id", "turn"], "left"
-        )
-        .join(tech_vocab_rating(turns, vocabulary).drop("tech_share"), ["conv_id", "turn"])
-        .withColumn("jd_relevance_score", F.coalesce("jd_relevance_score", F.lit(0)))
-    )
+    """Turns with ``answered``, ``tech_share`` and the three metrics of each answer, in one pass.
+
+    ``interviews``: (conv_id, item_id).  ``lists`` come from :func:`jd_term_lists`; write them
+    first, so that the planner knows their size.  An answer is measured by the interview's own JD:
+    relevance by its key terms, vocabulary by all its terms.  NULL metrics mark turns that
+    are no answers.  Works on a stream as on a table, as both joins are with static tables.
+    """
+    about = interviews.join(lists, "item_id", "left")
+    rows = turns.join(about, "conv_id", "left")
+    none = F.array().cast("array<string>")
+    said, user = tokens("text"), F.col("role") == "user"
+    hits = F.size(F.array_intersect(distinct_tokens("text"), F.coalesce("key_list", none)))
+    technical = F.size(F.filter(said, lambda t: F.array_contains(F.coalesce("vocabulary", none), t)))
+    share = pct(technical, F.size(said))
+    return rows.select(
+        "conv_id", "turn", "role", "text", "item_id",
+        (user & ~is_blank("text")).alias("answered"),
+        F.when(user, confidence_score("text", fillers)).alias("confidence_score"),
+        F.when(user, F.coalesce(pct(hits, "n_key_terms"), F.lit(0))).alias("jd_relevance_score"),
+        F.when(user, share).alias("tech_share"),
+        F.when(user, vocabulary_rating(share)).alias("tech_vocab_rating"),
+    )
 
 
-def metrics_rollup(conversations: DataFrame, metrics: DataFrame) -> DataFrame:
+def jd_relevance_score(metrics: DataFrame) -> DataFrame:
+    """Answers with the share of the interview's JD key terms they mention; 0 without key terms."""
+    return answers(metrics).select("conv_id", "turn", "item_id", "jd_relevance_score")
+
+
+def tech_vocab_rating(metrics: DataFrame) -> DataFrame:
+    """Answers with the share of technical tokens and its rating."""
+    return answers(metrics).select("conv_id", "turn", "tech_share", "tech_vocab_rating")
+
+
+def metrics_rollup(metrics: DataFrame) -> DataFrame:
     """Latest metrics and integer means per conversation.
 
-    A conversation without an answer shows the initial 100 / 100 / TỐT, and NULL
-    means.
+    ``metrics`` come from :func:`turn_metrics`.  A conversation without an answer shows the
+    initial 100 / 100 / TỐT, and NULL means.
     """
-    latest = F.max_by(
-        F.struct("confidence_score", "jd_relevance_score", "tech_vocab_rating"), F.col("turn")
-    )
+    user = F.col("role") == "user"
+    names = ("confidence_score", "jd_relevance_score", "tech_vocab_rating")
     rolled = metrics.groupBy("conv_id").agg(
-        latest.alias("l"),
-        F.count(F.lit(1)).alias("n_answers"),
+        F.max_by(F.struct(*names), F.when(user, F.col("turn"))).alias("l"),
+        F.count_if(user).alias("n_answers"),
         F.sum("confidence_score").alias("cs"),
         F.sum("jd_relevance_score").alias("rs"),
     )
-    return (
-        conversations.select("conv_id")
-        .distinct()
-        .join(rolled, "conv_id", "left")
-        .select(
-            "conv_id",
-            F.coalesce("n_answers", F.lit(0)).alias("n_answers"),
-            F.coalesce("l.confidence_score", F.lit(V.INITIAL_CONFIDENCE)).alias("confidence_score"),
-            F.coalesce("l.jd_relevance_score", F.lit(V.INITIAL_RELEVANCE)).alias("jd_relevance_score"),
-            F.coalesce("l.tech_vocab_rating", F.lit(V.INITIAL_VOCABULARY)).alias("tech_vocab_rating"),
-            rounded_mean("cs", "n_answers").alias("avg_confidence"),
-            rounded_mean("rs", "n_answers").alias("avg_relevance"),
-        )
-    )
+    return rolled.select(
+        "conv_id", "n_answers",
+        F.coalesce("l.confidence_score", F.lit(V.INITIAL_CONFIDENCE)).alias("confidence_score"),
+        F.coalesce("l.jd_relevance_score", F.lit(V.INITIAL_RELEVANCE)).alias("jd_relevance_score"),
+        F.coalesce("l.tech_vocab_rating", F.lit(V.INITIAL_VOCABULARY)).alias("tech_vocab_rating"),
+        rounded_mean("cs", "n_answers").alias("avg_confidence"),
+        rounded_mean("rs", "n_answers").alias("avg_relevance"),
+    )
 
 
 # --- category scores: (interview_id, category, score) ---------------------------------

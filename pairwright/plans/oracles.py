@@ -260,8 +260,9 @@ jd_relevance AS (
   LEFT JOIN turn_hits h ON h.conv_id = a.conv_id AND h.turn = a.turn)"""
 VOCAB_TURNS = f"""
 tech_hits AS (
-  SELECT conv_id, turn, count(*) AS n_tech FROM (SELECT conv_id, turn, unnest(toks) AS term FROM answers)
-  WHERE term IN (SELECT term FROM jd_terms) GROUP BY conv_id, turn),
+  SELECT conv_id, turn, count(*) AS n_tech
+  FROM (SELECT conv_id, turn, item_id, unnest(toks) AS term FROM answers JOIN interviews USING (conv_id))
+  JOIN jd_terms USING (item_id, term) GROUP BY conv_id, turn),
 tech AS (
   SELECT conv_id, turn, {pct('coalesce(n_tech, 0)', 'len(toks)')} AS tech_share
   FROM answers LEFT JOIN tech_hits USING (conv_id, turn)),
@@ -539,7 +540,9 @@ FROM attempts GROUP BY provider_rank"""
 # --- interview metrics ----------------------------------------------------------------------------------
 
 ORACLES["jd_relevance_score"] = f"WITH {RELEVANCE_TURNS} SELECT * FROM jd_relevance"
-ORACLES["tech_vocab_rating"] = f"WITH {JD_TERMS}, {ANSWERS}, {VOCAB_TURNS} SELECT * FROM vocab"
+ORACLES["tech_vocab_rating"] = f"""
+WITH {JD_TERMS}, {ANSWERS}, {INTERVIEWS}, {VOCAB_TURNS}
+SELECT conv_id, turn, tech_share, tech_vocab_rating FROM vocab"""
 ORACLES["metrics_rollup"] = f"""
 WITH {RELEVANCE_TURNS}, {VOCAB_TURNS},
 metrics AS (
@@ -765,12 +768,13 @@ FROM sessions LEFT JOIN spoken USING (user_id)"""
 ORACLES["stream_interviews"] = f"""
 WITH {KEYS}, {INTERVIEWS}, {TURNS_BEFORE},
 lists AS (SELECT item_id, list(term) AS key_list, count(*) AS n_key_terms FROM key_terms GROUP BY item_id),
+vocabularies AS (SELECT item_id, list(term) AS vocabulary FROM jd_terms GROUP BY item_id),
 scored AS (
-  SELECT p.*, {confidence('text')} AS cs, {tokens('text')} AS toks, key_list, n_key_terms
-  FROM progress p JOIN interviews USING (conv_id) LEFT JOIN lists USING (item_id)),
+  SELECT p.*, {confidence('text')} AS cs, {tokens('text')} AS toks, key_list, n_key_terms, vocabulary
+  FROM progress p JOIN interviews USING (conv_id) LEFT JOIN lists USING (item_id) LEFT JOIN vocabularies USING (item_id)),
 rated AS (
-  SELECT *, {pct('len(list_intersect(toks, key_list))', 'n_key_terms')} AS rs,
-    {pct('len(list_filter(toks, lambda t: list_contains(key_list, t)))', 'len(toks)')} AS share
+  SELECT *, coalesce({pct('len(list_intersect(toks, key_list))', 'n_key_terms')}, 0) AS rs,
+    {pct('len(list_filter(toks, lambda t: coalesce(list_contains(vocabulary, t), false)))', 'len(toks)')} AS share
   FROM scored),
 rolled AS (
   SELECT conv_id, max(turn) AS last_turn, count(*) AS n_messages,

@@ -391,25 +391,28 @@ def confidence_score(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _jd_lists(spark: SparkSession, d: str) -> DataFrame:
+    lists = interview.jd_term_lists(_inputs(spark, d).keys, terms.jd_postings(fx.jds(spark, d)))
+    return scale.materialize(lists, "jd-lists")
+
+
+def _metrics(spark: SparkSession, d: str, turns: DataFrame) -> DataFrame:
+    return interview.turn_metrics(turns, fx.interviews(spark, d), _jd_lists(spark, d), fx.FIXTURE_FILLERS)
+
+
 @query
 def jd_relevance_score(spark: SparkSession, d: str) -> DataFrame:
-    keys = _inputs(spark, d).keys
-    return interview.jd_relevance_score(fx.turns(spark, d), fx.interviews(spark, d), keys)
+    return interview.jd_relevance_score(_metrics(spark, d, fx.turns(spark, d)))
 
 
 @query
 def tech_vocab_rating(spark: SparkSession, d: str) -> DataFrame:
-    return interview.tech_vocab_rating(fx.turns(spark, d), terms.jd_postings(fx.jds(spark, d)))
+    return interview.tech_vocab_rating(_metrics(spark, d, fx.turns(spark, d)))
 
 
 @query
 def metrics_rollup(spark: SparkSession, d: str) -> DataFrame:
-    turns = fx.turns(spark, d)
-    metrics = interview.turn_metrics(
-        turns, fx.interviews(spark, d), _inputs(spark, d).keys,
-        terms.jd_postings(fx.jds(spark, d)), fx.FIXTURE_FILLERS,
-    )
-    return interview.metrics_rollup(turns, metrics)
+    return interview.metrics_rollup(_metrics(spark, d, fx.turns(spark, d)))
 
 
 # --- order-dependent walks -----------------------------------------------------------------------
@@ -768,8 +771,7 @@ def stream_transcripts(spark: SparkSession, d: str) -> DataFrame:
 def stream_interviews(spark: SparkSession, d: str) -> DataFrame:
     fx.ship_package(spark)
     turns = _stream(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
-    lists = scale.materialize(interview.jd_term_lists(_inputs(spark, d).keys), "jd-lists")
-    scored = live.score_turns(turns, fx.interviews(spark, d), lists, fx.FIXTURE_FILLERS)
+    scored = _metrics(spark, d, turns)
     return live.current_states(_run(live.stream_interviews(scored, TOTAL), "interviews"), TOTAL)
 
 

@@ -94,26 +94,77 @@ def test_interim_outlives_a_final(spark):
     assert joined(transcripts.transcripts(spark.createDataFrame(data, FRAGMENT))) == {1: ("hello", "hel")}
 
 
-@pytest.mark.parametrize(("total", "block"), [(1, 4096), (3, 1), (3, 4096)])
+def talk_lists(spark):
+    jds = terms.jd_postings(fx.jds(spark, SF))
+    return interview.jd_term_lists(jds, jds)
+
+
+@pytest.mark.parametrize(("total", "block"), [(1, 4096), (3, 1), (3, 3), (3, 4096)])
 def test_interviews(spark, tmp_path, total, block):
+    """Turns come shuffled, a batch late and again; the result is that of the table."""
     turns = fx.turns(spark, SF)
-    lists = interview.jd_term_lists(terms.jd_postings(fx.jds(spark, SF)))
     data = [tuple(r) for r in turns.collect()]
-    parts = [[t for t in data if t[1] < 2], [t for t in data if t[1] < 4], [t for t in data if t[1] >= 3]]
+    late = [t for t in data if (t[0] + t[1]) % 5 == 0]
+    parts = [[t for t in data if t[1] < 4 and t not in late], data[::7] + [t for t in data if t[1] >= 3 and t not in late], late + data[::9]]
     stream = drip(spark, parts, turns.schema, str(tmp_path / "in"))
-    scored = interviews.score_turns(stream, fx.interviews(spark, SF), lists)
+    scored = interview.turn_metrics(stream, fx.interviews(spark, SF), talk_lists(spark))
     emitted = run(interviews.stream_interviews(scored, total, block=block), tmp_path, "out")
-    batch = interviews.interview_states(interviews.score_turns(turns, fx.interviews(spark, SF), lists), total)
-    names = batch.columns
-    assert rows(interviews.current_states(emitted, total).select(*names)) == rows(batch)
+    batch = interviews.interview_states(interview.turn_metrics(turns, fx.interviews(spark, SF), talk_lists(spark)), total)
+    assert rows(interviews.current_states(emitted, total, block).select(*batch.columns)) == rows(batch)
+
+
+class Forgetful:
+    """State as the engine hands it to a stateful step; ``expire`` is a timeout."""
+
+    exists, value, hasTimedOut, set_for = False, None, False, None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.exists, self.value = True, value
+
+    def remove(self):
+        self.exists, self.value = False, None
+
+    def setTimeoutDuration(self, ms):
+        self.set_for = ms
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_interviews_after_timeouts(spark, seed):
+    """State dropped between batches, turns late and again: the summaries still merge to the result."""
+    rng = random.Random(seed)
+    turns = fx.turns(spark, SF)
+    metrics = interview.turn_metrics(turns, fx.interviews(spark, SF), talk_lists(spark))
+    block, total = 4, 3
+    frame = metrics.select("conv_id", "turn", "answered", *interviews.METRICS).toPandas()
+    step = interviews._advance(total, 1000, block)
+    emitted = []
+    for (conv, part), own in frame.groupby(["conv_id", frame["turn"] // block]):
+        state, order = Forgetful(), own.sample(frac=1, random_state=seed)
+        batches = [order.iloc[i : i + 1] for i in range(len(order))] + [order.iloc[:2]]
+        for batch in batches:
+            emitted += [tuple(x) for f in step((conv, part), iter([batch]), state) for x in f.itertuples(index=False)]
+            assert state.set_for == 1000
+            if rng.random() < 0.5:
+                state.hasTimedOut = True
+                assert list(step((conv, part), iter([]), state)) == [] and not state.exists
+                state.hasTimedOut = False
+    rng.shuffle(emitted)
+    summaries = spark.createDataFrame([(int(c), int(b), *rest) for c, b, *rest in emitted], interviews.OUTPUT_SCHEMA)
+    batch = interviews.interview_states(metrics, total)
+    assert rows(interviews.current_states(summaries, total, block).select(*batch.columns)) == rows(batch)
 
 
 def test_an_interview_without_answers_shows_initial_metrics(spark):
     turns = spark.createDataFrame([(1, 0, "assistant", "q")], "conv_id bigint, turn bigint, role string, text string")
     ids = spark.createDataFrame([(1, 1)], "conv_id bigint, item_id bigint")
-    lists = spark.createDataFrame([(1, ["a"], 1)], "item_id bigint, key_list array<string>, n_key_terms bigint")
-    got = rows(interviews.interview_states(interviews.score_turns(turns, ids, lists)))
-    assert got == [(1, 0, 1, 1, False, 100, 100, "TỐT")]
+    lists = spark.createDataFrame([(1, ["a"], 1, ["a"])], "item_id bigint, key_list array<string>, n_key_terms bigint, vocabulary array<string>")
+    metrics = interview.turn_metrics(turns, ids, lists)
+    assert rows(interviews.interview_states(metrics)) == [(1, 0, 1, 1, False, 100, 100, "TỐT")]
+    assert rows(interview.metrics_rollup(metrics)) == [(1, 0, 100, 100, "TỐT", None, None)]
 
 
 DOC = "doc_id bigint, text string, version int"
@@ -185,13 +236,13 @@ def test_state_is_compacted_and_jds_change_without_documents(spark, tmp_path):
     assert scoring._turns(spark, out + "/terms") == [12, 14, 15, 16] and scoring._turns(spark, out + "/snapshot/terms") == [11]
 
 
-def test_live_relevance_is_that_of_the_batch_metric(spark):
-    inputs = matching.prepare(fx.cvs(spark, SF), fx.jds(spark, SF))
-    talks = fx.interviews(spark, SF)
-    live = interviews.score_turns(fx.turns(spark, SF), talks, interview.jd_term_lists(inputs.keys))
-    batch = interview.jd_relevance_score(fx.turns(spark, SF), talks, inputs.keys)
-    got = live.filter("answered").select("conv_id", "turn", "jd_relevance_score")
-    assert rows(got) == rows(batch.join(got, ["conv_id", "turn"], "left_semi").select(*got.columns))
+def test_metrics_take_one_pass(spark):
+    from conftest import plan
+
+    from pairwright.plans.queries import QUERIES
+
+    shape = plan(QUERIES["metrics_rollup"](spark, SF))
+    assert shape.count("conversations.parquet") == 1 and shape.count("Exchange hashpartitioning") <= 2
 
 
 def test_state_is_small():
