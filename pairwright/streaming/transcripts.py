@@ -10,12 +10,18 @@ Both the batch and the streaming form give (session_id, segment, transcript,
 interim).  A segment covers ``BLOCK`` consecutive positions, so a session of any
 length is worked on in parallel and no list grows with it; its segments in order,
 joined by blanks and left-trimmed, are the whole transcript.
+
+The stream writes a log of deltas.  A delta holds its final pieces by position, and the latest
+reset, clearing and interim it saw, so deltas merge in any order and one that comes twice changes
+nothing.  State only remembers positions, to keep repeats out of the log; when it is dropped at a
+timeout, repeats get into the log and go when it is merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +32,13 @@ from pairwright.functions.text import trim_text
 from pairwright.plans import scale
 
 BLOCK = 65536
-FIELDS = ("part", "seq", "last_ord", "interim", "interim_ord", "cleared_at")
-STATE_SCHEMA = (
-    "part bigint, seq bigint, last_ord bigint, interim string, interim_ord bigint, cleared_at bigint"
+# A bit for each position of the block that was seen, lowest first.
+STATE_SCHEMA = "seen binary"
+MARKS = ("reset_at", "cleared_at", "interim_ord", "interim")
+DELTA_SCHEMA = (
+    "session_id bigint, segment bigint, reset_at bigint, cleared_at bigint, interim_ord bigint, interim string, "
+    "ords array<bigint>, pieces array<string>"
 )
-DELTA_SCHEMA = f"session_id bigint, segment bigint, {STATE_SCHEMA}, pieces int, appended string"
-START = (-1, 0, -1, "", -1, -1)
 
 
 def _prepared(fragments: DataFrame, block: int) -> DataFrame:
@@ -67,36 +74,34 @@ def _present(marks: DataFrame, texts: DataFrame) -> DataFrame:
 # --- streaming ---------------------------------------------------------------------------
 
 
-def _fold(state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[tuple]]:
-    """Apply fragments in order; gives the new state and one delta per part."""
-    part, seq, last_ord, interim, interim_ord, cleared_at = state
-    deltas, pieces, touched = [], [], False
-
-    def close() -> None:
-        nonlocal seq, pieces, touched
-        if touched:
-            kept = (part, seq, last_ord, interim, interim_ord, cleared_at)
-            deltas.append((*kept, len(pieces), " ".join(pieces)))
-            seq, pieces, touched = seq + 1, [], False
-
-    for order, final, control, text in rows.itertuples(index=False):
-        if order <= last_ord:
-            continue
-        if control == "reset":
-            close()
-            part = order
-        if control in ("reset", "stop"):
-            cleared_at = order
-        elif text is not None and final:
-            pieces.append(text)
-        elif text is not None:
-            interim, interim_ord = text, order
-        last_ord, touched = order, True
-    close()
-    return (part, seq, last_ord, interim, interim_ord, cleared_at), deltas
-
-
-def _advance(ttl_ms: int):
+def _unseen(rows: pd.DataFrame, seen: bytes, block: int) -> tuple[pd.DataFrame, bytes]:
+    """Rows at new positions, each position once, in order; and the positions seen after them."""
+    rows = rows.drop_duplicates("ord").sort_values("ord", kind="stable")
+    place = rows["ord"].to_numpy(np.int64) % block
+    size = max(8 * len(seen), int(place.max(initial=-1)) + 1)
+    bits = np.zeros(-(-size // 8) * 8, np.uint8)
+    bits[: 8 * len(seen)] = np.unpackbits(np.frombuffer(seen, np.uint8), bitorder="little")
+    new = bits[place] == 0
+    bits[place] = 1
+    return rows[new], np.packbits(bits, bitorder="little").tobytes()
+
+
+def _delta(rows: pd.DataFrame) -> tuple:
+    """What fragments in order add: latest marks and the final pieces by position."""
+    control, said = rows["control"], rows["text"].notna() & rows["control"].isna()
+    final = said & rows["is_final"].astype(bool)
+    shown = rows[said & ~final]
+
+    def last(which: pd.Series) -> int:
+        return int(rows["ord"][which].max()) if which.any() else -1
+
+    interim = (int(shown["ord"].iloc[-1]), shown["text"].iloc[-1]) if len(shown) else (-1, None)
+    spoken = rows[final]
+    marks = (last(control == "reset"), last(control.isin(("reset", "stop"))), *interim)
+    return (*marks, spoken["ord"].tolist(), spoken["text"].tolist())
+
+
+def _advance(ttl_ms: int, block: int):
     def step(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
@@ -104,17 +109,12 @@ def _advance(ttl_ms: int):
             state.remove()
             return
         # At most one block of one session, whatever the session's length.
-        rows = pd.concat(list(frames)).sort_values("ord", kind="stable")
-        rows = rows[["ord", "is_final", "control", "text"]].astype(object)
-        rows = rows.where(rows.notna(), None)
-        after, deltas = _fold(tuple(state.get) if state.exists else START, rows)
-        state.update(after)
+        rows, seen = _unseen(pd.concat(list(frames)), state.get[0] if state.exists else b"", block)
+        if len(rows):
+            state.update((seen,))
+            yield pd.DataFrame([(*key, *_delta(rows))], columns=["session_id", "segment", *MARKS, "ords", "pieces"])
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(
-            [(*key, *d) for d in deltas],
-            columns=["session_id", "segment", *FIELDS, "pieces", "appended"],
-        )
 
     return step
 
@@ -122,10 +122,10 @@ def _advance(ttl_ms: int):
 def stream_transcripts(fragments: DataFrame, ttl_ms: int = 0, block: int = BLOCK) -> DataFrame:
     """Stream of fragments to a stream of transcript deltas.
 
-    State is kept per session and block of positions, and holds a few fields,
-    never the text: each micro-batch emits only what it appends.  Fragments at or
-    before the last seen position of their block are duplicates or late and are
-    ignored.  ``ttl_ms`` of processing time drops idle state.  Set it for a stream
+    State is kept per session and block of positions, a bit for each, never the
+    text: each micro-batch emits only what it adds.  Fragments at a seen position are
+    ignored; late ones at a new position find their place when deltas are assembled.
+    ``ttl_ms`` of processing time drops idle state.  Set it for a stream
     that runs on; a run over what is available now would never end, as it goes on
     waiting for timeouts, so there it stays 0.
     """
@@ -135,26 +135,29 @@ def stream_transcripts(fragments: DataFrame, ttl_ms: int = 0, block: int = BLOCK
     return (
         _prepared(fragments, block)
         .groupBy("session_id", "segment")
-        .applyInPandasWithState(_advance(ttl_ms), DELTA_SCHEMA, STATE_SCHEMA, "append", timeout)
+        .applyInPandasWithState(_advance(ttl_ms, block), DELTA_SCHEMA, STATE_SCHEMA, "append", timeout)
     )
 
 
-def assemble_deltas(deltas: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Transcripts from the emitted deltas."""
+def assemble_deltas(deltas: DataFrame) -> DataFrame:
+    """Transcripts from the emitted deltas, in whatever order they come and however often."""
     marks = scale.materialize(
         deltas.groupBy("session_id").agg(
-            F.max("part").alias("reset_at"),
-            F.max("cleared_at").alias("cleared_at"),
-            F.max("interim_ord").alias("interim_ord"),
+            *[F.max(c).alias(c) for c in ("reset_at", "cleared_at", "interim_ord")],
             F.max_by("interim", "interim_ord").alias("interim"),
         ),
         "transcript-marks",
     )
-    spoken = deltas.filter("pieces > 0").join(marks.select("session_id", "reset_at"), "session_id")
-    current = spoken.filter(
-        F.greatest(F.col("part"), F.col("segment") * block) >= F.col("reset_at")
+    pieces = F.arrays_zip("ords", "pieces")
+    lists = deltas.filter(F.size("ords") > 0).groupBy("session_id", "segment").agg(
+        F.array_sort(F.flatten(F.collect_list(pieces))).alias("p")
     )
-    return _present(marks, _bodies(current, "seq", F.col("appended")))
+    current = lists.join(marks.select("session_id", "reset_at"), "session_id")
+    first = lambda x, i: (i == 0) | (F.get("p", i - 1)["ords"] != x["ords"])
+    kept = F.filter("p", lambda x, i: (x["ords"] > F.col("reset_at")) & first(x, i))
+    texts = current.withColumn("kept", kept).filter(F.size("kept") > 0)
+    body = F.array_join(F.transform("kept", lambda x: x["pieces"]), " ")
+    return _present(marks, texts.select("session_id", "segment", body.alias("body")))
 
 
 def _bodies(rows: DataFrame, order: str, text: Column) -> DataFrame:

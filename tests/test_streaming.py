@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
 import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
@@ -80,15 +81,38 @@ def test_transcripts_stream(spark, tmp_path, block):
     data = fragments(5)
     cut = [[f for f in data if lo <= f[1] < hi] for lo, hi in ((0, 15), (15, 16), (16, 40))]
     random.Random(0).shuffle(cut[0])
-    # Duplicates and late fragments come again and change nothing.
-    parts = [cut[0], cut[1] + cut[0][:10], cut[2] + cut[2][:5]]
+    # Duplicates change nothing, and late fragments find their place.
+    late, cut[0] = cut[0][::6], [f for i, f in enumerate(cut[0]) if i % 6]
+    parts = [cut[0], cut[1] + cut[0][:10], cut[2] + cut[2][:5] + late]
     stream = drip(spark, parts, FRAGMENT, str(tmp_path / "in"))
     deltas = run(transcripts.stream_transcripts(stream, block=block), tmp_path, "out")
-    assembled = transcripts.assemble_deltas(deltas, block)
+    assembled = transcripts.assemble_deltas(deltas)
     assert joined(assembled) == by_hand(data)
     assert rows(assembled) == rows(transcripts.transcripts(spark.createDataFrame(data, FRAGMENT), block))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_transcripts_after_timeouts(spark, seed):
+    """State dropped between batches, fragments late and again, deltas in any order."""
+    rng, block = random.Random(seed), 16
+    data = [(1, 0, " a ", True, None), (1, 1, "b", True, None), (1, 2, "0c", True, None)] if seed == 0 else fragments(seed)
+    prepared = transcripts._prepared(spark.createDataFrame(data, FRAGMENT), block).toPandas()
+    prepared = prepared.astype(object).where(prepared.notna(), None)
+    step, emitted = transcripts._advance(1000, block), []
+    for key, own in prepared.groupby(["session_id", "segment"]):
+        state, order = Forgetful(), own if seed == 0 else own.sample(frac=1, random_state=seed)
+        batches = [order.iloc[i : i + 2] for i in range(0, len(order), 2)] + [order.iloc[:3]]
+        for batch in batches:
+            emitted += [tuple(x) for f in step(key, iter([batch]), state) for x in f.itertuples(index=False)]
+            if seed == 0 or rng.random() < 0.5:
+                state.hasTimedOut = True
+                assert list(step(key, iter([]), state)) == [] and not state.exists
+                state.hasTimedOut = False
+    rng.shuffle(emitted)
+    deltas = spark.createDataFrame([tuple(int(x) if isinstance(x, np.integer) else x for x in e) for e in emitted], transcripts.DELTA_SCHEMA)
+    assert joined(transcripts.assemble_deltas(deltas)) == by_hand(data)
+
+
 def test_interim_outlives_a_final(spark):
     data = [(1, 0, "hel", False, None), (1, 1, "hello", True, None)]
     assert joined(transcripts.transcripts(spark.createDataFrame(data, FRAGMENT))) == {1: ("hello", "hel")}
