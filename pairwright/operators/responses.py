@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from decimal import Decimal, InvalidOperation
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +128,10 @@ def parse_responses(
     """
     spec = MODELS[model] if isinstance(model, str) else model
     raw = F.col(col)
-    rows = df.withColumn("__v", F.try_parse_json(raw))
+    # in brackets, as the parser itself takes no notice of text behind a value
+    listed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    rows = df.withColumn("__l", F.try_variant_get(listed, "$", "array<variant>"))
+    rows = rows.withColumn("__v", F.when(F.size("__l") == 1, F.get("__l", F.lit(0)))).drop("__l")
     value, fault = _read(F.col("__v"), spec, "")
     text_fault = F.when(raw.isNull() | (raw == ""), F.lit("empty response")).when(
         F.col("__v").isNull(), F.lit("invalid json")
@@ -134,6 +140,59 @@ def parse_responses(
     return rows.withColumn(parsed, F.when(F.col(error).isNull(), value)).drop("__v")
 
 
+def _once(pairs: list[tuple]) -> dict:
+    if len(found := dict(pairs)) < len(pairs):
+        raise ValueError("a key comes twice")
+    return found
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+def fault_of(text: str | None, spec: object) -> str | None:
+    """The error that :func:`parse_responses` gives for one text, for use inside a task."""
+    if not text:
+        return "empty response"
+    try:
+        value = json.loads(text, parse_float=Decimal, parse_constant=_no_constant, object_pairs_hook=_once)
+    except (ValueError, RecursionError):
+        return "invalid json"
+    return _fault(value, spec, "")
+
+
+def _number(value: object) -> Decimal | None:
+    try:
+        return Decimal(value.strip() if isinstance(value, str) else value)
+    except (InvalidOperation, TypeError, ValueError):
+        return None
+
+
+def _fault(value: object, spec: object, path: str) -> str | None:
+    if isinstance(spec, dict):
+        if not isinstance(value, dict):
+            return f"type {path or 'response'}"
+        for name, inner in spec.items():
+            at = f"{path}.{name}" if path else name
+            if fault := (_fault(value[name], inner, at) if name in value else f"missing {at}"):
+                return fault
+        return None
+    if isinstance(spec, list):
+        if not isinstance(value, list):
+            return f"type {path}"
+        return next((f for x in value if (f := _fault(x, spec[0], f"{path}[]"))), None)
+    if spec == "int":
+        number = _number(value)
+        fits = number is not None and number.is_finite() and number == number.to_integral_value() and abs(number) < 2**63
+        return None if fits else f"int {path}"
+    if spec == "bool":
+        said = str(value).strip().lower() if isinstance(value, (bool, int, str)) else ""
+        return None if said in ("true", "false", "t", "f", "yes", "no", "y", "n", "1", "0") else f"bool {path}"
+    if not isinstance(value, str):
+        return f"type {path}"
+    return f"enum {path}" if isinstance(spec, tuple) and value not in spec else None
+
+
 # --- checks that flag and never drop --------------------------------------------------
 
 

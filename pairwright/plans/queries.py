@@ -718,6 +718,8 @@ def _fake(rank: int):
     """Deterministic provider: 0 raises, 1 answers badly, 2 is empty, by text length."""
 
     def call(messages: list[dict]) -> str:
+        if "JSON" not in messages[0]["content"]:
+            raise RuntimeError("no JSON was asked for")
         n = len(messages[-1]["content"])
         if rank == 0 and n % 3 == 0:
             raise RuntimeError("rate limit")
@@ -733,10 +735,9 @@ def _fake(rank: int):
 @query
 def complete_batch(spark: SparkSession, d: str) -> DataFrame:
     fx.ship_package(spark)
-    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    system = F.lit("Write a short message for this text.")
     reqs = fx.cvs(spark, d).select(
-        F.col("doc_id").alias("request_id"),
-        F.array(message("system", F.lit("Return JSON.")), message("user", F.col("text"))).alias("messages"),
+        F.col("doc_id").alias("request_id"), system.alias("system"), F.col("text").alias("prompt")
     )
     done, _ = completion.complete_batch(reqs, [_fake(0), _fake(1), _fake(2)], "writer", pause=0.0)
     return done.select("request_id", "status", "provider_rank", "last_error", "parsed.subject_line", "parsed.content")

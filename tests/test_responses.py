@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from conftest import rows
@@ -183,6 +184,80 @@ def test_no_call_after_success(spark):
     assert log.count() == 4 and done.filter("status = 200").count() == 4
 
 
+def test_messages_of_a_request(spark):
+    said = [{"role": "assistant", "content": "q"}, {"role": "user", "content": "a"}]
+    schema = "request_id string, system string, prompt string, history array<struct<role:string,content:string>>"
+    reqs = spark.createDataFrame([("x", "Talk", "hi", said), ("y", "as json", "hi", []), ("z", None, "hi", None)], schema)
+    got = {r.request_id: [tuple(m) for m in r.m] for r in reqs.select("request_id", completion.chat_messages(reqs).alias("m")).collect()}
+    assert got == {
+        "x": [("system", "Talk" + V.JSON_INSTRUCTION), ("assistant", "q"), ("user", "a")],
+        "y": [("system", "as json"), ("user", "hi")],
+        "z": [("user", "hi")],
+    }
+
+
+def test_pauses_and_calls_at_once(spark):
+    """Ids of any type; a pause after an invalid answer too; slow calls overlap in a task."""
+    model = {"a": "int"}
+    reqs = spark.createDataFrame([(f"r{i}", "hi") for i in range(6)], "request_id string, prompt string").coalesce(1)
+
+    def invalid(messages):
+        return '{"a": 1.5}'
+
+    def slow(messages):
+        import time
+
+        time.sleep(0.5)
+        return '{"a": 2}'
+
+    def timed(providers, **how):
+        start = time.perf_counter()
+        done, log = completion.complete_batch(reqs, providers, model, **how)
+        assert {(r.request_id, r.parsed.a) for r in done.collect()} == {(f"r{i}", 2) for i in range(6)}
+        return time.perf_counter() - start, log
+
+    timed([slow], pause=0.0)  # workers started, code compiled
+    one, _ = timed([slow], pause=0.0)
+    many, _ = timed([slow], pause=0.0, concurrency=6)
+    assert one - many > 1.5
+    paused, log = timed([invalid, slow], pause=0.6, concurrency=1)
+    assert paused - one > 6 * 0.6 - 1
+    assert rows(completion.provider_health(log)) == [(0, 6, 6, 0), (1, 6, 0, 100)]
+
+
+def test_pauses_grow_while_a_provider_fails(monkeypatch):
+    waits = []
+    monkeypatch.setattr(completion.time, "sleep", waits.append)
+    pauses = completion.Pauses(2, 1.0, 2.0, 5.0)
+    for rank, failed in [(0, True), (0, True), (1, True), (0, True), (0, True), (0, False), (0, True)]:
+        pauses.after(rank, failed)
+    assert waits == [1, 2, 1, 4, 5, 0, 1]
+
+
+def test_the_validator_in_a_task_agrees_with_the_column_form(spark):
+    turn = {
+        "ai_feedback": "f", "next_question": "q", "hint_for_user": "h",
+        "metrics": {
+            "confidence_score": 95, "confidence_feedback": "c", "jd_relevance_score": 85,
+            "jd_relevance_feedback": "j", "tech_vocab_rating": "TỐT",
+        },
+    }
+    texts = [None, "", " ", "{", "[]", "null", "3", '"x"', json.dumps(turn), json.dumps(turn) + " x", '{"a": 1, "a": 2}', "{'a': 1}", "NaN"]
+    for value in (95.0, 95.5, "95", " 95 ", "95.0", "x", "", None, True, [], {}, 1e3, 10**30, -7, "1e2"):
+        texts.append(json.dumps({**turn, "metrics": {**turn["metrics"], "confidence_score": value}}))
+    for value in ("GOOD", None, 3, "TỐT"):
+        texts.append(json.dumps({**turn, "metrics": {**turn["metrics"], "tech_vocab_rating": value}}))
+    texts += [json.dumps({**turn, k: v}) for k in turn for v in (None, 1, [], "s")] + [json.dumps({k: v for k, v in turn.items() if k != gone}) for gone in turn]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, raw string")
+    want = {r.id: r.error for r in responses.parse_responses(df, "raw", "interview_turn").collect()}
+    got = {i: responses.fault_of(t, responses.MODELS["interview_turn"]) for i, t in enumerate(texts)}
+    assert {i: (texts[i], got[i], want[i]) for i in got if got[i] != want[i]} == {}
+    bools = [json.dumps({"b": x}) for x in (True, False, "true", "Yes", "x", None, 1, 0, [])]
+    df = spark.createDataFrame(list(enumerate(bools)), "id int, raw string")
+    want = {r.id: r.error for r in responses.parse_responses(df, "raw", {"b": "bool"}).collect()}
+    assert {i: (bools[i], want[i]) for i in want if responses.fault_of(bools[i], {"b": "bool"}) != want[i]} == {}
+
+
 def test_cache(spark):
     schema = "key bigint, content string, version int"
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], schema)
