@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions import values as V
-from pairwright.functions.rules import int_div
 from pairwright.functions.text import as_column, has_digit, is_blank, lines, word_count
 from pairwright.operators import terms
 from pairwright.operators.matching import MatchInputs
@@ -158,25 +157,30 @@ def check_verbatim_edits(edits: DataFrame, docs: DataFrame) -> DataFrame:
 def apply_edits(docs: DataFrame, edits: DataFrame, block: int = 1024) -> DataFrame:
     """(doc_id, revised): each CV with its edits made in order.
 
-    Edits with an empty original are skipped; a CV without edits stays as it is.
-    A round makes up to ``block`` consecutive edits of every CV; nearly always one
-    round is all, and no list of edits grows beyond it.
+    Edits are ordered by ``ord``, NULL first, then by their texts.  Those with an empty original are
+    skipped; a CV without edits stays as it is.  A round makes the next ``block`` edits of
+    each CV that has some left, whatever their ``ord``; nearly always one round is all.  Only CVs with
+    edits left are written for a further round.
     """
-    made = edits.filter(F.col("original_text") != "").withColumn(
-        "__round", int_div(F.col("ord"), F.lit(block))
-    )
-    rounds = [r[0] for r in made.select("__round").distinct().orderBy("__round").collect()]
-    texts = docs.select("doc_id", "text")
-    for i, number in enumerate(rounds):
-        if i:
-            texts = scale.materialize(texts, f"edits-{i}")
-        texts = _edit_round(texts, made.filter(F.col("__round") == number))
-    return texts.withColumnRenamed("text", "revised")
+    order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("ord"), "original_text", "upgraded_text")
+    made = edits.filter(F.col("original_text") != "").withColumn("__n", F.row_number().over(order) - 1)
+    made = scale.materialize(made.select("doc_id", "__n", "original_text", "upgraded_text"), "edits")
+    texts, finished, done = docs.select("doc_id", "text"), None, 0
+    while True:
+        now = _edit_round(texts, made.filter((F.col("__n") >= done) & (F.col("__n") < done + block)))
+        done += block
+        later = made.filter(F.col("__n") >= done).select("doc_id").distinct()
+        if later.isEmpty():
+            revised = now if finished is None else finished.unionByName(now)
+            return revised.withColumnRenamed("text", "revised")
+        ended = now.join(later, "doc_id", "left_anti")
+        finished = ended if finished is None else finished.unionByName(ended)
+        texts = scale.materialize(now.join(later, "doc_id", "left_semi"), f"edited-{done}")
 
 
 def _edit_round(texts: DataFrame, edits: DataFrame) -> DataFrame:
     edit = F.struct(
-        "ord", F.col("original_text").alias("o"), F.coalesce("upgraded_text", F.lit("")).alias("u")
+        "__n", F.col("original_text").alias("o"), F.coalesce("upgraded_text", F.lit("")).alias("u")
     )
     packed = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(edit)).alias("edits"))
     revised = F.aggregate("edits", F.col("text"), lambda acc, x: F.replace(acc, x["o"], x["u"]))

@@ -7,6 +7,7 @@ from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairwright.functions import values as V
 from pairwright.functions.text import as_column
@@ -282,6 +283,54 @@ def explode_report(df: DataFrame, key: str, parsed: str = "parsed") -> dict[str,
     return out
 
 
+CHILD = "array<struct<child:string,pos:array<int>,item:map<string,string>>>"
+
+
+def _leaves(value: Column, kind: T.DataType) -> Column:
+    """The fields of a list item that are neither lists nor objects, by name; ``value`` for a plain item."""
+    if not isinstance(kind, T.StructType):
+        return F.create_map(F.lit("value"), value.cast("string"))
+    plain = [f.name for f in kind.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType))]
+    pairs = [x for n in plain for x in (F.lit(n), value[n].cast("string"))]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+
+
+def _children(value: Column, kind: T.DataType, name: str) -> list[Column]:
+    """Arrays of (child, pos, item) for all lists in a value, inner ones with the places of the outer."""
+    if isinstance(kind, T.StructType):
+        return [c for f in kind.fields for c in _children(value[f.name], f.dataType, f"{name}.{f.name}" if name else f.name)]
+    if not isinstance(kind, T.ArrayType):
+        return []
+    element = kind.elementType
+
+    def row(child: Column, pos: Column, item: Column) -> Column:
+        return F.struct(child.alias("child"), pos.alias("pos"), item.alias("item"))
+
+    own = F.transform(value, lambda x, i: row(F.lit(name), F.array(i), _leaves(x, element)))
+
+    def within(n: int) -> Column:
+        """The n-th list inside each item, with the item's place before its own."""
+
+        def of_item(x: Column, i: Column) -> Column:
+            return F.transform(_children(x, element, name)[n], lambda r: row(r["child"], F.concat(F.array(i), r["pos"]), r["item"]))
+
+        return F.flatten(F.transform(value, of_item))
+
+    nested = [within(n) for n in range(len(_children(F.lit(None).cast(element), element, name)))]
+    return [own, *nested]
+
+
+def explode_children(df: DataFrame, key: str, parsed: str = "parsed") -> DataFrame:
+    """(key, child, pos, item): every list of a parsed response as rows of one table, in one scan.
+
+    ``child`` names the list by its path, ``pos`` holds the places of the item in its list and in the
+    lists around it, and ``item`` its fields as text.  Empty and missing lists give no rows.
+    """
+    none = F.array().cast(CHILD)
+    found = [F.coalesce(c.cast(CHILD), none) for c in _children(F.col(parsed), df.schema[parsed].dataType, "")]
+    return df.select(key, F.inline(F.concat(none, *found)))
+
+
 def violation_text(col: str = "violations") -> Column:
     return F.array_join(F.sort_array(F.col(col)), ",")
 

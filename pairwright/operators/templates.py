@@ -54,6 +54,17 @@ def template_lookup_fallback(
     )
 
 
+def nest(children: DataFrame, key: str, order: tuple[str, ...], value: Column, out: str) -> DataFrame:
+    """(key, out): the children of each key as an ordered list, to become a field of their parent.
+
+    Lists are packed by task before they meet, and each is as long as the record shows it.  Nesting what was
+    nested before gives records of any depth.
+    """
+    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], value.alias("v"))
+    packed = children.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("__p"))
+    return packed.select(key, F.transform("__p", lambda x: x["v"]).alias(out))
+
+
 def keyword_preview(keywords: Column | str, shown: int = 3) -> Column:
     """struct(preview, more): the first keywords, and ``+N`` for the rest if any."""
     k = as_column(keywords)

@@ -673,13 +673,18 @@ ORACLES["join_keywords"] = """
 SELECT p_partkey, p_brand || ', ' || p_type || ', ' || p_name AS keywords FROM part"""
 _NL = "chr(10)"
 ORACLES["render_nested_record"] = f"""
-SELECT o_orderkey, concat_ws({_NL}, c_name, o_orderpriority, 'customer ' || c_custkey, '', 'SUMMARY',
-  'status ' || o_orderstatus, '', 'SKILLS', c_mktsegment, o_orderstatus, '', 'EXPERIENCE', '',
-  'line ' || l_linenumber || ' | supplier ' || l_suppkey || ' | ' || strftime(l_shipdate, '%Y-%m-%d'),
-  '• quantity ' || l_quantity::BIGINT, '• part ' || l_partkey, '', '',
-  'order ' || o_orderkey || ' | ' || c_mktsegment || ' | ' || l_returnflag,
-  '• priority ' || o_orderpriority, '', '', 'EDUCATION', 'none') AS body
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
+WITH items AS (
+  SELECT l_orderkey, string_agg('• part ' || l_partkey || ' x ' || l_quantity::BIGINT, {_NL}
+                                ORDER BY l_linenumber, l_partkey, l_quantity) AS listed
+  FROM lineitem GROUP BY l_orderkey),
+roles AS (
+  SELECT o_custkey, count(*) AS n, string_agg({_NL} || 'order ' || o_orderkey || ' | ' || o_orderpriority || ' | '
+    || strftime(o_orderdate, '%Y-%m-%d') || {_NL} || coalesce(listed, '') || {_NL}, {_NL} ORDER BY o_orderkey) AS body
+  FROM orders LEFT JOIN items ON l_orderkey = o_orderkey GROUP BY o_custkey)
+SELECT c_custkey, concat_ws({_NL}, c_name, c_mktsegment, 'customer ' || c_custkey, '', 'SUMMARY',
+  coalesce(n, 0) || ' orders', '', 'SKILLS', c_mktsegment, c_name, '', 'EXPERIENCE', coalesce(body, ''),
+  '', 'EDUCATION', 'none') AS body
+FROM customer LEFT JOIN roles ON o_custkey = c_custkey"""
 _CURRENT = "(item_id % 5 + 1)"
 _CONTEXT = fill(P.CONTEXT_BLOCK, cv="cv", jd="jd")
 _STRATEGY = (
@@ -737,12 +742,25 @@ FROM orders WHERE o_orderkey % 5 <> 0
 UNION ALL SELECT o_orderkey, 0, 'first', 'r1', 1, o_orderpriority FROM orders WHERE o_orderkey % 5 <> 0
 UNION ALL SELECT o_orderkey, 1, 'second', 'r2', NULL, NULL FROM orders WHERE o_orderkey % 5 <> 0
 UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 5 = 0"""
-ORACLES["explode_report"] = f"""
-SELECT doc_id, 'key_strengths' AS child, unnest(range(len(w))) AS pos, unnest(w) AS value, NULL::INT AS score
-FROM (SELECT doc_id, list_filter({tokens('text')}, lambda t: length(t) >= 14) AS w FROM documents)
-UNION ALL
-SELECT doc_id, 'turns', unnest(range(len({lines('text')}))), unnest({lines('text')}),
-       unnest(range(len({lines('text')}))) FROM documents"""
+_CHILDREN = {
+    "report.sub_scores": ("w", "x || '|' || length(x) || '|L'"),
+    "report.key_strengths": ("w", "x"),
+    "report.areas_for_improvement": ("list_filter(w, lambda t: length(t) % 2 = 0)", "x"),
+    "report.top_topics_covered": ("list_filter(w, lambda t: length(t) % 2 = 1)", "x"),
+    "report.turn_by_turn_analysis": ("l", "x || '|' || left(x, 9) || '|f|'"),
+    "analysis.missing_keywords": ("w[1:5]", "x"),
+    "analysis.suggested_edits": ("l", "'s|' || x || '|* ' || x || '|r'"),
+    "analysis.cv_strengths": ("l", "x"),
+    "analysis.prioritized_keywords": ("w", "x || CASE WHEN length(x) % 2 = 0 THEN '|High' ELSE '|Low' END"),
+    "analysis.evidence_analysis": ("w", "x || '|Weak|'"),
+}
+ORACLES["explode_report"] = (
+    f"WITH d AS (SELECT doc_id, list_filter({tokens('text')}, lambda t: length(t) >= 14) AS w, {lines('text')} AS l FROM documents)\n"
+    + "\nUNION ALL\n".join(
+        f"SELECT doc_id, {q(child)} AS child, pos, {value} AS value FROM (SELECT doc_id, unnest(range(len({of}))) AS pos, unnest({of}) AS x FROM d)"
+        for child, (of, value) in _CHILDREN.items()
+    )
+)
 
 # --- completion and streams ------------------------------------------------------------------------------------------
 

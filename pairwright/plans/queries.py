@@ -578,40 +578,29 @@ def join_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def render_nested_record(spark: SparkSession, d: str) -> DataFrame:
-    orders = fx.table(spark, d, "orders").select(
-        "o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderstatus", "o_orderpriority"
-    )
-    customers = fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    lines = scale.spread(fx.table(spark, d, "lineitem")).withColumnRenamed("l_orderkey", "o_orderkey")
+    """A record for each customer: orders as roles, their lines as achievements, all in order."""
+    lines = fx.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    orders = fx.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
 
     def named(label: str, col: str):
         return F.concat(F.lit(label + " "), F.col(col).cast("string"))
 
-    def entry(role, company, period, *achievements):
-        return F.struct(
-            role.alias("role"), company.alias("company"), period.alias("period"),
-            F.array(*achievements).alias("achievements"),
-        )
-
-    item = entry(
-        named("line", "l_linenumber"), named("supplier", "l_suppkey"),
-        F.date_format("l_shipdate", "yyyy-MM-dd"),
-        F.concat(F.lit("quantity "), F.col("l_quantity").cast("bigint").cast("string")),
-        named("part", "l_partkey"),
-    )
-    order = entry(
-        named("order", "o_orderkey"), F.col("c_mktsegment"), F.col("l_returnflag"),
-        named("priority", "o_orderpriority"),
+    bought = F.concat(named("part", "l_partkey"), F.lit(" x "), F.col("l_quantity").cast("bigint").cast("string"))
+    items = templates.nest(lines, "o_orderkey", ("l_linenumber", "l_partkey", "l_quantity"), bought, "achievements")
+    role = F.struct(
+        named("order", "o_orderkey").alias("role"), F.col("o_orderpriority").alias("company"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("period"),
+        F.coalesce("achievements", F.array().cast("array<string>")).alias("achievements"),
     )
+    roles = templates.nest(orders.join(items, "o_orderkey", "left"), "c_custkey", ("o_orderkey",), role, "experience")
     record = F.struct(
-        F.col("c_name").alias("name"), F.col("o_orderpriority").alias("title"),
-        named("customer", "c_custkey").alias("contact"), named("status", "o_orderstatus").alias("summary"),
-        F.array(item, order).alias("experience"), F.lit("none").alias("education"),
-        F.array("c_mktsegment", "o_orderstatus").alias("skills"),
-    )
-    return lines.join(orders, "o_orderkey").join(customers, "c_custkey").select(
-        "o_orderkey", text.render_nested_record(record).alias("body")
+        F.col("c_name").alias("name"), F.col("c_mktsegment").alias("title"), named("customer", "c_custkey").alias("contact"),
+        F.concat(F.coalesce(F.size("experience"), F.lit(0)).cast("string"), F.lit(" orders")).alias("summary"),
+        F.coalesce("experience", F.array()).alias("experience"), F.lit("none").alias("education"),
+        F.array("c_mktsegment", "c_name").alias("skills"),
     )
+    customers = fx.table(spark, d, "customer").join(roles, "c_custkey", "left")
+    return customers.select("c_custkey", text.render_nested_record(record).alias("body"))
 
 
 @query
@@ -695,20 +684,40 @@ def explode_experience(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def explode_report(spark: SparkSession, d: str) -> DataFrame:
-    long_terms = F.filter(text.tokens("text"), lambda t: F.length(t) >= 14)
+    """All lists of a report and an analysis made of each document's long words and lines."""
+    long, said = F.filter(text.tokens("text"), lambda t: F.length(t) >= 14), text.lines("text")
+    rows = fx.cvs(spark, d).select("doc_id", long.alias("w"), said.alias("l"))
+
+    def items(of: str, **fields):
+        return F.transform(of, lambda x: F.struct(*[f(x).alias(n) for n, f in fields.items()]))
+
+    def even(x):
+        return F.length(x) % 2 == 0
+
+    def const(value: str):
+        return lambda x: F.lit(value)
+
     report = F.struct(
-        long_terms.alias("key_strengths"),
-        F.transform(text.lines("text"), lambda x, i: F.struct(x.alias("question"), i.alias("score"))).alias("turns"),
-    )
-    children = responses.explode_report(fx.cvs(spark, d).select("doc_id", report.alias("parsed")), "doc_id")
-    strengths = children["key_strengths"].select(
-        "doc_id", F.lit("key_strengths").alias("child"), "pos", F.col("item").alias("value"),
-        F.lit(None).cast("int").alias("score"),
-    )
-    turns = children["turns"].select(
-        "doc_id", F.lit("turns").alias("child"), "pos", F.col("question").alias("value"), "score"
+        F.length(F.array_join("w", "")).alias("overall_score"),
+        items("w", category=lambda x: x, score=F.length, label=const("L")).alias("sub_scores"),
+        F.col("w").alias("key_strengths"),
+        F.filter("w", even).alias("areas_for_improvement"),
+        F.filter("w", lambda x: ~even(x)).alias("top_topics_covered"),
+        items("l", question=lambda x: x, user_answer=lambda x: F.left(x, F.lit(9)), feedback=const("f"), ideal_answer_snippet=const(""))
+        .alias("turn_by_turn_analysis"),
+    )
+    analysis = F.struct(
+        F.slice("w", 1, 5).alias("missing_keywords"),
+        items("l", section=const("s"), original_text=lambda x: x, upgraded_text=lambda x: F.concat(F.lit("* "), x), reason=const("r"))
+        .alias("suggested_edits"),
+        F.col("l").alias("cv_strengths"),
+        items("w", keyword=lambda x: x, priority=lambda x: F.when(even(x), "High").otherwise("Low")).alias("prioritized_keywords"),
+        items("w", claim=lambda x: x, evidence_strength=const("Weak"), comment=const("")).alias("evidence_analysis"),
+    )
+    parsed = rows.select("doc_id", F.struct(report.alias("report"), analysis.alias("analysis")).alias("parsed"))
+    return responses.explode_children(parsed, "doc_id").select(
+        "doc_id", "child", F.get("pos", F.lit(0)).alias("pos"), F.array_join(F.map_values("item"), "|").alias("value")
     )
-    return strengths.unionByName(turns)
 
 
 # --- completion and streams ------------------------------------------------------------------------

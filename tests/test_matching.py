@@ -153,6 +153,11 @@ def test_edits_run_in_order(spark):
     )
     for block in (1, 1024):
         assert rows(details.apply_edits(docs, edits, block)) == [(1, "c c c"), (2, "keep")]
+    far = [(1, o, f"{a}", f"{b}") for o, (a, b) in zip((None, 0, 2000, 4000, 6000), ("ab", "bc", "cd", "de", "ef"), strict=True)]
+    chain = spark.createDataFrame(far, edits.schema)
+    text = spark.createDataFrame([(1, "a"), (2, "keep"), (3, None)], docs.schema)
+    for block in (1, 2, 1024):
+        assert rows(details.apply_edits(text, chain, block)) == [(1, "f"), (2, "keep"), (3, None)]
     checked = rows(details.check_verbatim_edits(edits, docs).select("ord", "verbatim"))
     assert checked == [(1, True), (2, True), (3, False)]
 

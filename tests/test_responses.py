@@ -137,6 +137,20 @@ def test_flattening(spark):
     assert sizes == ["areas_for_improvement", "top_topics_covered"]
 
 
+def test_all_lists_in_one_table(spark):
+    df = spark.createDataFrame([(1, json.dumps(MATCH)), (2, "no json")], "id int, raw string")
+    got = responses.explode_children(responses.parse_responses(df, "raw", "match_result"), "id")
+    assert rows(got.filter("child LIKE '%experience%'").selectExpr("child", "pos", "map_values(item)")) == [
+        ("tailored_cv.experience", [0], ["c", "r"]),
+        ("tailored_cv.experience", [1], ["d", "s"]),
+        ("tailored_cv.experience.bullet_points", [0, 0], ["x"]),
+        ("tailored_cv.experience.bullet_points", [0, 1], ["y"]),
+    ]
+    assert {r.child for r in got.collect()} == {
+        "missing_skills", "tailored_cv.skills", "tailored_cv.experience", "tailored_cv.experience.bullet_points"
+    } - {n for n, v in (("missing_skills", MATCH["missing_skills"]), ("tailored_cv.skills", MATCH["tailored_cv"]["skills"])) if not v}
+
+
 def test_checks_flag_null(spark):
     df = spark.createDataFrame([(None, None, -1), ("High", 100, 0)], "p string, s int, t int")
     enums = [r.violations for r in responses.check_enums(df, {"p": V.PRIORITIES}).collect()]
