@@ -77,10 +77,11 @@ def seed_empty_history(turns: DataFrame, interviews: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "role", "text").unionByName(seeds)
 
 
-def flatten_history(turns: DataFrame, block: int = scale.BLOCK) -> DataFrame:
-    """(conv_id, segment, history): ``role: text`` lines in order."""
+def flatten_history(turns: DataFrame, block: int = scale.BLOCK, limit: int = scale.SEGMENT) -> DataFrame:
+    """(conv_id, segment, history): ``role: text`` lines in order, in segments beyond ``limit`` characters."""
     line = F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit("")))
-    return scale.ordered_segments(turns, ["conv_id"], "turn", line, "lines", block).select(
+    size = F.coalesce(F.length(line), F.lit(0))
+    return scale.ordered_segments(turns, "conv_id", "turn", line, size, "lines", block, limit).select(
         "conv_id", "segment", F.array_join("lines", "\n").alias("history")
     )
 

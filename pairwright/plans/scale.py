@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.rules import int_div
 
 BLOCK = 4096
+SEGMENT = 64_000_000  #: characters of a key that one row holds
 _BLK = "__block"
 
 
@@ -173,17 +174,31 @@ def next_value(
 
 
 def ordered_segments(
-    df: DataFrame, keys: list[str], order: str, value: Column, out: str, block: int = BLOCK
+    df: DataFrame, key: str, order: str, value: Column, size: Column, out: str, block: int = BLOCK, limit: int = SEGMENT
 ) -> DataFrame:
-    """Values of each key as ordered arrays, one row per block of positions.
+    """(key, segment, out): the values of each key as an ordered array.
 
-    A key within one block gives a single row with ``segment`` 0; a longer one
-    goes on in further rows, so no list grows with the data.
+    A key is one row with ``segment`` 0, however many positions it has and however sparse they are, up to
+    ``limit`` of ``size`` in all, such as characters.  Only a key beyond it goes on in
+    further segments, in order, so that no row outgrows a task.  Values are first packed
+    per block of positions; the blocks of long keys are then put together by their volume.
     """
+    blk = int_div(F.col(order), F.lit(block)).cast("bigint")
     packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
-    return (
-        df.withColumn("segment", int_div(F.col(order), F.lit(block)).cast("bigint"))
-        .groupBy(*keys, "segment")
-        .agg(packed.alias("__packed"))
-        .select(*keys, "segment", F.transform("__packed", lambda p: p["v"]).alias(out))
+    parts = df.groupBy(key, blk.alias(_BLK)).agg(packed.alias("__packed"), F.sum(size).alias("__size"))
+    parts = parts.select(key, _BLK, "__size", F.transform("__packed", lambda p: p["v"]).alias(out))
+    zero = F.lit(0).cast("bigint")
+    long = long_keys(df, key, order, block)
+    if long is None:
+        return parts.select(key, zero.alias("segment"), out)
+
+    earlier = Window.partitionBy(key).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.join(long, key, "left_semi").select(key, _BLK, "__size")
+    placed = materialize(
+        sizes.select(key, _BLK, int_div(F.coalesce(F.sum("__size").over(earlier), F.lit(0)), F.lit(limit)).alias("segment")),
+        "segments",
     )
+    listed = F.sort_array(F.collect_list(F.struct(F.col(_BLK).alias("o"), F.col(out).alias("v"))))
+    merged = parts.join(placed, [key, _BLK]).groupBy(key, "segment").agg(listed.alias("__blocks"))
+    merged = merged.select(key, "segment", F.flatten(F.transform("__blocks", lambda p: p["v"])).alias(out))
+    return parts.join(long, key, "left_anti").select(key, zero.alias("segment"), out).unionByName(merged)

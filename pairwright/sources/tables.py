@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwright.functions import values as V
-from pairwright.functions.rules import int_div
 from pairwright.functions.text import is_blank, strip_left, strip_right, strip_text
 from pairwright.plans import scale
 
@@ -38,43 +37,36 @@ def load_corpus(
 
 
 def assemble_page_text(
-    pages: DataFrame, doc: str, page_no: str, text: str, block: int = scale.BLOCK
+    pages: DataFrame, doc: str, page_no: str, text: str, block: int = scale.BLOCK, limit: int = scale.SEGMENT
 ) -> DataFrame:
     """Page texts to document text: a missing page is empty, one line feed after
     each page, the whole stripped.
 
-    One row per document and segment of ``block`` pages; joining the segments of
-    a document in order gives its text.  Almost every document has one segment.
+    One row per document; only one of more than ``limit`` characters goes on in further segments,
+    which joined in order give its text.
     """
     body = F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n"))
-    segments = scale.ordered_segments(pages, [doc], page_no, body, "__pages", block).withColumn(
-        "text", F.array_join("__pages", "")
-    )
+    segments = scale.ordered_segments(pages, doc, page_no, body, F.length(body), "__pages", block, limit)
+    segments = segments.select(doc, "segment", F.array_join("__pages", "").alias("text"))
+    # Blank pages can fill whole segments at either end, so the first and last segment
+    # with text decide where to strip.  Short documents know theirs without a shuffle.
     long = scale.long_keys(pages, doc, page_no, block)
     if long is None:
-        return segments.select(doc, "segment", strip_text("text").alias("text"))
-
-    # Blank leading and trailing pages of long documents can fill whole segments,
-    # so their first and last page with text decide where to strip.
+        return segments.withColumn("text", strip_text("text"))
     filled = (
-        pages.join(long, doc, "left_semi")
-        .filter(~is_blank(text))
-        .groupBy(doc)
-        .agg(F.min(page_no).alias("__first"), F.max(page_no).alias("__last"))
+        segments.join(long, doc, "left_semi").filter(~is_blank("text"))
+        .groupBy(doc).agg(F.min("segment").alias("__first"), F.max("segment").alias("__last"))
     )
-    at = {n: int_div(F.col(n), F.lit(block)) for n in ("__first", "__last")}
-    first, last = (F.coalesce(at[n], F.col("segment")) for n in ("__first", "__last"))
+    first, last = (F.coalesce(n, F.lit(0)) for n in ("__first", "__last"))
+    here = F.col("segment")
     stripped = (
-        F.when((F.col("segment") == first) & (F.col("segment") == last), strip_text("text"))
-        .when(F.col("segment") == first, strip_left("text"))
-        .when(F.col("segment") == last, strip_right("text"))
+        F.when((here == first) & (here == last), strip_text("text"))
+        .when(here == first, strip_left("text"))
+        .when(here == last, strip_right("text"))
         .otherwise(F.col("text"))
     )
-    return (
-        segments.join(filled, doc, "left")
-        .filter(F.col("segment").between(first, last))
-        .select(doc, "segment", stripped.alias("text"))
-    )
+    marked = segments.join(scale.materialize(filled, "filled-segments"), doc, "left")
+    return marked.filter(here.between(first, last)).select(doc, "segment", stripped.alias("text"))
 
 
 # --- input routing ---------------------------------------------------------------
@@ -161,9 +153,10 @@ def read_results(
 
 
 def export_faq_json(
-    rows: DataFrame, group: str, order: str, question: str, answer: str, block: int = scale.BLOCK
-) -> DataFrame:
-    """Question-answer rows to one nested JSON page per group and segment."""
+    rows: DataFrame, group: str, order: str, question: str, answer: str, block: int = scale.BLOCK,
+    limit: int = scale.SEGMENT,
+) -> DataFrame:
+    """Question-answer rows to one nested JSON page per group, in segments beyond ``limit`` characters."""
     entry = F.struct(
         F.lit("Question").alias("@type"),
         F.col(question).alias("name"),
@@ -171,7 +164,8 @@ def export_faq_json(
             "acceptedAnswer"
         ),
     )
-    pages = scale.ordered_segments(rows, [group], order, entry, "mainEntity", block)
+    size = F.length(F.coalesce(question, F.lit(""))) + F.length(F.coalesce(answer, F.lit("")))
+    pages = scale.ordered_segments(rows, group, order, entry, size, "mainEntity", block, limit)
     page = F.struct(
         F.lit("https://schema.org").alias("@context"),
         F.lit("FAQPage").alias("@type"),

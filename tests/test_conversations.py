@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions import values as V
 from pairwright.operators import conversations as C
+from pairwright.operators import matching, terms
 from pairwright.sources import tables
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
@@ -72,22 +73,38 @@ def test_question_progress(spark, data, block, total):
     assert rows(got.select("conv_id", "turn", "question_no", F.coalesce("finishes", F.lit(False)))) == want
 
 
-@pytest.mark.parametrize("block", [1, 3, 4096])
-def test_assemble_page_text(spark, data, block):
+@pytest.mark.parametrize(("block", "limit"), [(1, 10**6), (1, 5), (3, 20), (4096, 5)])
+def test_assemble_page_text(spark, data, block, limit):
     want = {}
     for conv, turn, _, body in data:
         want[conv] = want.get(conv, "") + (body or "") + "\n"
     got = {}
     df = spark.createDataFrame(data, SCHEMA)
-    for r in tables.assemble_page_text(df, "conv_id", "turn", "text", block).orderBy("conv_id", "segment").collect():
+    found = tables.assemble_page_text(df, "conv_id", "turn", "text", block, limit).orderBy("conv_id", "segment").collect()
+    assert limit < 10**6 or len(found) == len(want)
+    for r in found:
         got[r.conv_id] = got.get(r.conv_id, "") + r.text
     assert {k: v for k, v in got.items() if v} == {k: v.strip() for k, v in want.items() if v.strip()}
 
 
-@pytest.mark.parametrize("block", [2, 4096])
-def test_flatten_history(spark, data, block):
+def test_a_document_of_many_pages_counts_once(spark):
+    """5,000 pages at sparse positions through page assembly, terms and pair scores."""
+    long = [(1, 7 * i, "user", "spark" if i in (0, 4999) else f"page{i}") for i in range(5000)]
+    pages = spark.createDataFrame(long + [(2, 0, "user", "spark"), (3, 0, "user", "none")], SCHEMA)
+    docs = tables.assemble_page_text(pages, "conv_id", "turn", "text")
+    assert rows(docs.select("conv_id", "segment")) == [(1, 0), (2, 0), (3, 0)]
+    cvs = docs.select(F.col("conv_id").alias("doc_id"), "text")
+    assert rows(terms.term_document_freq(cvs).filter("term = 'spark'")) == [("spark", 2, 3)]
+    jds = spark.createDataFrame([(9, "spark page17 absent")], "item_id bigint, text string")
+    inputs = matching.prepare(cvs, jds, True, matching.cv_scores(), max_df_percent=100)
+    assert rows(matching.keyword_coverage(inputs)) == [(1, 9, 2, 3, 67), (2, 9, 1, 3, 33)]
+    assert rows(matching.match_score(inputs).select("doc_id", "keyword_coverage")) == [(1, 67), (2, 33)]
+
+
+@pytest.mark.parametrize(("block", "limit"), [(2, 10**6), (2, 9), (4096, 9)])
+def test_flatten_history(spark, data, block, limit):
     got = {}
-    for r in C.flatten_history(spark.createDataFrame(data, SCHEMA), block).orderBy("segment").collect():
+    for r in C.flatten_history(spark.createDataFrame(data, SCHEMA), block, limit).orderBy("segment").collect():
         got.setdefault(r.conv_id, []).append(r.history)
     want = {}
     for conv, _, role, body in data:

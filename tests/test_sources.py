@@ -73,11 +73,12 @@ def test_results_read_back_unchanged(spark, tmp_path, fmt):
     assert json.loads(back.filter("doc_id = 7").first().payload) == {"item_id": 1, "doc_id": 7, "note": "é\n"}
 
 
-@pytest.mark.parametrize("block", [2, 4096])
-def test_faq_export_parses_back(spark, block):
+@pytest.mark.parametrize(("block", "limit"), [(2, 6), (2, 10**6), (4096, 6)])
+def test_faq_export_parses_back(spark, block, limit):
     data = [(1, i, f'q"{i}', f"a\n{i}") for i in range(5)]
     df = spark.createDataFrame(data, "g int, ord int, q string, a string")
-    pages = [json.loads(r.page) for r in tables.export_faq_json(df, "g", "ord", "q", "a", block).orderBy("segment").collect()]
+    pages = [json.loads(r.page) for r in tables.export_faq_json(df, "g", "ord", "q", "a", block, limit).orderBy("segment").collect()]
+    assert len(pages) == (3 if (block, limit) == (2, 6) else 1)
     got = [(e["name"], e["acceptedAnswer"]["text"]) for p in pages for e in p["mainEntity"]]
     assert got == [(q, a) for _, _, q, a in data]
     assert pages[0]["@type"] == "FAQPage"
