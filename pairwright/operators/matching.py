@@ -67,7 +67,7 @@ def prepare(
         hits = index.filter("first").select("doc_id", "term", *names)
     else:
         found = terms.in_vocabulary(terms.doc_terms(cvs), jd_terms)
-        hits = scale.stored_by(found.select("doc_id", "term"), "doc_id", "hits", ("term",))
+        hits = scale.stored_by(found.select("doc_id", "term"), "doc_id", "hits")
     keys = terms.key_terms(jd_terms, hits, terms.row_count(cvs), max_df_percent)
     keys = scale.materialize(terms.with_totals(keys), "key-terms")
     return MatchInputs(cvs, jds, hits, keys, index)

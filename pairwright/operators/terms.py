@@ -42,7 +42,7 @@ def line_index(
     order = Window.partitionBy("doc_id", "term").orderBy("line_no")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = rows.repartition(n, "doc_id").withColumn("first", F.row_number().over(order) == 1)
-    return scale.stored_by(marked, "doc_id", "line-index", ("term", "line_no"), n)
+    return scale.stored_by(marked, "doc_id", "line-index", ("doc_id", "term", "line_no"), n)
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,3 +110,16 @@ def key_terms(
         .filter(F.col("df") * 100 <= n_docs * max_df_percent)
         .select("item_id", "term", "tf", "df")
     )
+
+
+def corpus_key_terms(
+    cvs: DataFrame, jds: DataFrame, min_length: int = MIN_TERM_LENGTH, max_df_percent: int = MAX_DF_PERCENT
+) -> tuple[DataFrame, DataFrame]:
+    """(key terms with totals, JD postings), for what needs no terms of single CVs.
+
+    Document frequencies are counted in one pass over the texts, and nothing of them is stored.
+    """
+    postings_ = scale.materialize(jd_postings(jds, min_length), "jd-terms")
+    found = in_vocabulary(doc_terms(cvs), postings_)
+    keys = scale.materialize(key_terms(postings_, found, row_count(cvs), max_df_percent), "key-terms")
+    return with_totals(keys), postings_

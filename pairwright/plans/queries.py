@@ -392,7 +392,7 @@ def confidence_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _jd_lists(spark: SparkSession, d: str) -> DataFrame:
-    lists = interview.jd_term_lists(_inputs(spark, d).keys, terms.jd_postings(fx.jds(spark, d)))
+    lists = interview.jd_term_lists(*terms.corpus_key_terms(fx.cvs(spark, d), fx.jds(spark, d)))
     return scale.materialize(lists, "jd-lists")
 
 
@@ -788,7 +788,7 @@ def stream_interviews(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_incremental_scoring(spark: SparkSession, d: str) -> DataFrame:
     """Two drops: all documents, then the changed ones; a third of the JDs change in between."""
-    keys = _inputs(spark, d).keys
+    keys = scale.materialize(terms.corpus_key_terms(fx.cvs(spark, d), fx.jds(spark, d))[0], "all-keys")
     draft = keys.filter((F.col("item_id") % 3 != 0) | (F.length("term") % 2 == 0)).drop("n_key_terms", "key_tf")
     draft = scale.materialize(terms.with_totals(draft), "draft-keys")
     source, out = scale.scratch_path(spark, "drops"), scale.scratch_path(spark, "scores")

@@ -66,9 +66,10 @@ def stored_by(df: DataFrame, key: str, name: str, order: tuple[str, ...] = (), b
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"pairwright_{name}_{uuid.uuid4().hex}".replace("-", "_")
-    rows = df.repartition(n, key).sortWithinPartitions(key, *order)
+    rows = df.repartition(n, key)
     writer = rows.write.format("parquet").option("path", scratch_path(spark, name)).option("compression", "zstd")
-    writer.bucketBy(n, key).sortBy(key, *order).saveAsTable(table)
+    writer = writer.bucketBy(n, key)
+    (writer.sortBy(*order) if order else writer).saveAsTable(table)
     return spark.table(table)
 
 
