@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.columns import fresh, lower_ascii, whole
+from pairwright.llm.columns import fresh, lower_ascii, whole, with_rows
 from pairwright.plans.scale import materialize
 
 CAPACITY = 1 << 16  #: keys of a bucket before it splits
@@ -66,12 +66,11 @@ def build_index(entries: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH
 def groups(docs: DataFrame, row: str | None = None, capacity: int = CAPACITY, depth: int = DEPTH) -> DataFrame:
     """For every row: doc_id, keep_id, group_size, kept, text_sha256, and ``row``.
 
-    ``row`` names a column that tells rows apart; without one the rows are numbered as
-    they are read.
+    ``row`` names a column that tells rows apart; without one they get a number.
     """
-    number = F.col(row) if row else F.monotonically_increasing_id()
     text = normalised(F.col("text"))
-    base = docs.select(number.alias("row"), "doc_id", text.alias("norm"))
+    tagged = docs.withColumn("row", F.col(row)) if row else with_rows(docs)
+    base = tagged.select("row", "doc_id", text.alias("norm"))
     hashed = base.select("row", "doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("digest"))
     entries = materialize(hashed, "entries")
     chained = build_index(entries, capacity, depth).filter(F.col("n") > 1).select("key")
@@ -106,10 +105,10 @@ def groups(docs: DataFrame, row: str | None = None, capacity: int = CAPACITY, de
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with their columns; ``docs`` is read from files, in a fixed order."""
+    """The rows that stay, with their columns."""
     row = fresh(docs, "row_number")
-    stay = groups(docs).filter("kept").select(F.col("row").alias(row))
-    tagged = docs.withColumn(row, F.monotonically_increasing_id())
+    tagged = with_rows(docs, row)
+    stay = groups(tagged, row).filter("kept").select(F.col("row").alias(row))
     return tagged.join(materialize(stay, "kept-rows").hint("merge"), row, "left_semi").select(*docs.columns)
 
 

@@ -204,6 +204,12 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """Rows whose language could be told: those with a letter in their text."""
-    found = identify(docs, learn(docs), docs.columns)
+    """Rows whose language could be told: those with a letter in their text.
+
+    A null text has none.  The rule is the same where no row of the corpus has a label to learn from.
+    """
+    automata = learn(docs)
+    if automata is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, automata, docs.columns)
     return found.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)

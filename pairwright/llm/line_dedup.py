@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.columns import fresh, whole, words
+from pairwright.llm.columns import fresh, whole, with_rows, words
 from pairwright.plans.scale import materialize
 
 SHORT = 8  #: words from which on one edit is allowed
@@ -29,8 +29,7 @@ SHORT = 8  #: words from which on one edit is allowed
 
 def _lines(docs: DataFrame) -> DataFrame:
     """row, doc_id, place and text of each line."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return rows.select("row", "doc_id", F.posexplode(F.split(whole(F.col("text")), "\n", -1)).alias("place", "line"))
+    return docs.select("row", "doc_id", F.posexplode(F.split(whole(F.col("text")), "\n", -1)).alias("place", "line"))
 
 
 def _halves(n: Column, w: Column) -> Column:
@@ -97,7 +96,7 @@ def _within_one(x: Column, y: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """row, doc_id and place of every line that goes."""
+    """row, doc_id and place of every line that goes; ``docs`` has a number ``row`` for each row."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "place")
     lines = _lines(docs).withColumn("w", words(F.col("line"))).filter(F.size("w") > 0)
     hashed = lines.select(
@@ -115,7 +114,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     open_ = materialize(classes.select("h", "h2", "first").join(open_, ["h", "h2"], "left_semi"), "open-lines")
     # their words, from the row and place where each is first met
     at = open_.select("h", "h2", "first", F.col("first.row").alias("row"), F.col("first.place").alias("place"))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text")
+    texts = docs.select("row", "text")
     split = texts.join(at.hint("merge"), "row").withColumn("line", F.get(F.split(whole(F.col("text")), "\n", -1), F.col("place")))
     worded = materialize(split.select("h", "h2", "first", words(F.col("line")).alias("w")), "line-words")
 
@@ -148,9 +147,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def line_counts(docs: DataFrame) -> DataFrame:
     """For every row: doc_id, n_lines, n_removed, and the places of the removed lines."""
+    docs = with_rows(docs).select("row", "doc_id", "text")
     gone = repeated_lines(docs).groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("removed"))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id",
+        "row", "doc_id",
         F.size(F.split(whole(F.col("text")), "\n", -1)).cast("long").alias("n_lines"),
     )
     found = rows.join(gone, "row", "left")
@@ -161,10 +161,10 @@ def line_counts(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines that go cut from their texts."""
     row, places = fresh(docs, "row_number"), fresh(docs, "places")
-    gone = repeated_lines(docs).groupBy("row").agg(F.collect_set("place").alias(places))
-    tagged = docs.withColumn(row, F.monotonically_increasing_id()).join(
-        gone.withColumnRenamed("row", row), row, "left"
-    )
+    tagged = with_rows(docs, row)
+    gone = repeated_lines(tagged.select(F.col(row).alias("row"), "doc_id", "text"))
+    gone = gone.groupBy("row").agg(F.collect_set("place").alias(places))
+    tagged = tagged.join(gone.withColumnRenamed("row", row), row, "left")
     numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
     stay = F.filter(numbered, lambda s: ~F.array_contains(places, s["i"]))
     cut = F.array_join(F.transform(stay, lambda s: s["line"]), "\n")

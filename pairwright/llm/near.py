@@ -33,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.columns import fresh, lower_ascii, whole, words
+from pairwright.llm.columns import fresh, lower_ascii, whole, with_rows, words
 from pairwright.plans.scale import materialize
 
 K = 96  #: values of a sketch
@@ -59,7 +59,7 @@ def shingles(text: Column, n: int) -> Column:
 
 
 def _sketches(docs: DataFrame, n: int) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", shingles(F.col("text"), n).alias("s"))
+    rows = docs.select("row", "doc_id", shingles(F.col("text"), n).alias("s"))
     return materialize(
         rows.select(
             "row", "doc_id", F.size("s").alias("n"), F.xxhash64("s").alias("sig"),
@@ -124,7 +124,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, n: int, many: bool, found: dict
     """
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "pair-rows")
     ids = ids.hint("merge") if many else ids
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text").join(ids, "row", "left_semi")
+    texts = docs.select("row", "text").join(ids, "row", "left_semi")
     sets = materialize(texts.select("row", shingles(F.col("text"), n).alias("s")), "pair-sets")
     a = sets.select(F.col("row").alias("a"), F.col("s").alias("x"))
     b = sets.select(F.col("row").alias("b"), F.col("s").alias("y"))
@@ -272,12 +272,13 @@ def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, n: int, percen
     return components(materialize(edges.union(found), "links"))
 
 
-def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
     """row, doc_id, n_shingles, component_id and kept of every row.
 
     Sets of ``n``-word shingles are linked from ``percent`` % of Jaccard resemblance on.
-    ``docs`` is read from files, so that its rows are numbered alike in each pass.
+    ``row`` names a column that tells rows apart; without one they get a number.
     """
+    docs = (docs.withColumn("row", F.col(row)) if row else with_rows(docs)).select("row", "doc_id", "text")
     sketches = _sketches(docs, n)
     some = sketches.filter(F.col("n") > 0)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
@@ -300,8 +301,8 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, with the columns of ``docs``."""
     row = fresh(docs, "row_number")
-    stay = near_groups(docs, n, percent).filter("kept").select(F.col("row").alias(row))
-    tagged = docs.withColumn(row, F.monotonically_increasing_id())
+    tagged = with_rows(docs, row)
+    stay = near_groups(tagged, n, percent, row).filter("kept").select(F.col("row").alias(row))
     return tagged.join(materialize(stay, "kept-rows").hint("merge"), row, "left_semi").select(*docs.columns)
 
 

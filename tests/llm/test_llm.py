@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pairwright.llm import exact, fingerprints, html_text, langid, line_dedup, mixing, near, packing, private
+from pairwright.llm import columns, exact, fingerprints, html_text, langid, line_dedup, mixing, near, packing, private
 from pairwright.llm import queries as llm
 from pairwright.llm import token_files
 from pairwright.llm.columns import LOWER, UPPER
@@ -402,3 +402,47 @@ def test_pipeline(spark, odd, none, tmp_path):
         table.write.parquet(str(tmp_path / name / "documents.parquet"))
         found = corpus_pipeline.run(spark, str(tmp_path / name))
         assert (found.count() > 0) == (name == "odd")
+
+
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path, monkeypatch):
+    """Other executors, other splits: every pass cuts the files another way."""
+    words = [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(120):
+        mark = f"x{k // 2 if k % 3 else k}"
+        rows.append((k * 7 % 120, " ".join(words[k % 7 :] + [mark] + words[: k % 7]) + f"\nline of text {k // 4}"))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    steps = [lambda: exact.keep_one(docs), lambda: near.keep_one(docs), lambda: line_dedup.line_counts(docs)]
+    before = [Counter(step().collect()) for step in steps]
+    passes = iter(range(10**6))
+
+    def moving(materialize):
+        def write(df, name):
+            spark.conf.set("spark.sql.files.minPartitionNum", str((2, 8, 5)[next(passes) % 3]))
+            return materialize(df, name)
+
+        return write
+
+    for module in (columns, exact, near, line_dedup):
+        monkeypatch.setattr(module, "materialize", moving(module.materialize))
+    try:
+        assert [Counter(step().collect()) for step in steps] == before
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert 0 < before[1].total() < before[0].total() and any(r.n_removed for r in before[2])
+
+
+def test_row_numbers_are_distinct_over_any_source(spark, odd, tmp_path):
+    for k in range(5):
+        spark.range(k, k + 3).write.mode("append").parquet(str(tmp_path / "t"))
+    many = spark.read.parquet(str(tmp_path / "t"))
+    assert many.count() == columns.with_rows(many).select("row").distinct().count() == 15
+    computed = odd.union(odd)  # no file of its own
+    assert columns.with_rows(computed, "n").select("n").distinct().count() == 2 * len(ODD)
+    assert columns.with_rows(odd.withColumn("_metadata", F.lit(1)), "n").select("n").distinct().count() == len(ODD)
+
+
+def test_an_unlabelled_corpus_stays(odd):
+    kept = langid.known_language(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, t, *_ in ODD if t and any(map(str.isalpha, t)))
