@@ -18,6 +18,8 @@ Rows that repeat an id are rows of their own, told apart by their number in the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ from pairwright.llm.columns import fresh, whole, with_rows, words
 from pairwright.plans.scale import materialize
 
 SHORT = 8  #: words from which on one edit is allowed
+STEP = 256
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -47,25 +50,58 @@ def _halves(n: Column, w: Column) -> Column:
 def _keys(w: Column) -> Column:
     """The line itself (place -1) and the line without each word, as hashed keys.
 
-    The key of a sequence is the exclusive or of the hashes of (word, place).  One pass over
-    the words gives all keys: words before the one left out keep their place, and those
-    after it move one place ahead.
+    The key of a sequence is the exclusive or of the hashes of (word, place): words before
+    the one left out keep their place, and those after it move one place ahead.  Words are
+    taken ``STEP`` at a time, as an array that grows is copied at every step.
     """
     placed = F.transform(
         w, lambda x, i: F.struct(F.xxhash64(x, i).alias("here"), F.xxhash64(x, i - 1).alias("moved"))
     )
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
+
+    def running(h: Column, value: Callable[[Column], Column], start: Column) -> Column:
+        """``all``: exclusive or of the values and ``start``; ``before``: the same up to each element."""
+        first = F.struct(start.alias("all"), none.alias("before"))
+        return F.aggregate(
+            h,
+            first,
+            lambda t, x: F.struct(
+                t["all"].bitwiseXOR(value(x)).alias("all"), F.concat(t["before"], F.array(t["all"])).alias("before")
+            ),
+        )
 
     def keys(h: Column) -> Column:
-        all_moved = F.aggregate(h, F.lit(0).cast("bigint"), lambda t, x: t.bitwiseXOR(x["moved"]))
-        start = F.struct(all_moved.alias("key"), F.array().cast("array<bigint>").alias("without"))
-
-        def step(t: Column, x: Column) -> Column:
-            left_out = t["key"].bitwiseXOR(x["moved"])
-            return F.struct(
-                left_out.bitwiseXOR(x["here"]).alias("key"), F.concat(t["without"], F.array(left_out)).alias("without")
-            )
-
-        return F.aggregate(h, start, step)
+        """``key`` of the whole line, and ``without`` each word."""
+        starts = F.sequence(F.lit(1), F.greatest(F.size(h), F.lit(1)), F.lit(STEP))
+        parts = F.transform(starts, lambda i: F.slice(h, i, STEP))
+        # what words up to a place bring, over having moved: that of all moved is the start
+        moved = F.aggregate(h, zero, lambda t, x: t.bitwiseXOR(x["moved"]))
+        inside = F.transform(
+            parts,
+            lambda p: F.struct(
+                running(p, lambda x: x["here"].bitwiseXOR(x["moved"]), zero).alias("run"), p.alias("words")
+            ),
+        )
+        return F.transform(
+            F.array(F.struct(inside.alias("inside"), moved.alias("moved"))),
+            lambda t: F.transform(
+                F.array(running(t["inside"], lambda x: x["run"]["all"], t["moved"])),
+                lambda outer: F.struct(
+                    outer["all"].alias("key"),
+                    F.flatten(
+                        F.zip_with(
+                            t["inside"],
+                            outer["before"],
+                            lambda part, base: F.zip_with(
+                                part["run"]["before"],
+                                part["words"],
+                                lambda k, x: k.bitwiseXOR(base).bitwiseXOR(x["moved"]),
+                            ),
+                        )
+                    ).alias("without"),
+                ),
+            )[0],
+        )[0]
 
     done = F.transform(F.array(placed), keys)
     listed = F.transform(

@@ -446,3 +446,14 @@ def test_row_numbers_are_distinct_over_any_source(spark, odd, tmp_path):
 def test_an_unlabelled_corpus_stays(odd):
     kept = langid.known_language(odd.withColumn("lang", F.lit(None).cast("string")))
     assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, t, *_ in ODD if t and any(map(str.isalpha, t)))
+
+
+def test_lines_of_very_many_words_meet(spark, tmp_path):
+    long = [f"w{k * k % 9973}" for k in range(40_000)]
+    without = " ".join(long[:25_000] + long[25_001:])
+    replaced = " ".join(long[:300] + ["other"] + long[301:])
+    two = " ".join(long[:300] + ["other"] + long[301:700] + ["words"] + long[701:])
+    rows = [(1, " ".join(long)), (2, without), (3, replaced), (4, two + " and more")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_counts(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}
