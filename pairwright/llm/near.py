@@ -12,14 +12,21 @@
 4. The exact Jaccard coefficient of the full sets decides.
 
 A list may be long, as in a large group of near copies, so pairs within a list are not
-all written.  Each list first meets a leader, the node with the most common values; what
-is linked becomes one component, and only pairs between components can add to the result.
-A node that the estimate does not part from its leader is a satellite of it.  Two satellites
-differ by the elements in just one of their differences from the leader; those in separate
-components are far from it or hold elements of the other's difference, so inverted lists of
-the rarer elements of these differences find them all, where lists of common values would
-pair a whole group.  Of the pairs without a common leader, all that are left in a list are
-checked.  No link between components is missed, and none is capped.
+all written.  Each list first meets a leader, the node with the most common values.  A node
+that the estimate does not part from its leader is a satellite of it, known by its
+difference, the elements in just one of the two sets.  The leader's place then goes to the
+satellite nearest to what most of them hold, and differences are taken from that one.  Then
+the nodes of a list meet the leader that most of the list has.  What is linked
+becomes one component, and only pairs between components can add to the result:
+
+* Two satellites of one leader are linked only if their differences overlap by a bound that
+  grows with both, so inverted lists of the rarer elements, one for each pair of size classes,
+  find them.  One of the two is outside the leader's largest component.  Differences decide
+  the pair exactly.
+* Of the pairs without a common leader, all that are left in a list are estimated and then
+  compared by their full sets.
+
+No link between components is missed, and none is capped.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows that repeat an
 id are rows of their own; a component has the smallest id of its rows (nulls last), and
@@ -41,6 +48,7 @@ INDEXED = 32  #: of them, those that lists are made of
 SHARED = 12
 MET = 2  #: lists that a pair must share
 LIKELY = 0.56  #: least estimate of a pair that is looked at in full
+STEP = 1.2  #: ratio of the size classes of differences
 
 
 def shingles(text: Column, n: int) -> Column:
@@ -139,20 +147,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return materialize(_compared(pairs, docs, n, False, found).filter(linked).select("a", "b"), "links")
 
 
-def _satellites(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs of a leader and a node as (hub, node, m, n, delta, linked).
+def _linked(m: str, n: str, differ: Column, percent: int) -> Column:
+    """Whether sets of ``m`` and ``n`` elements are linked, ``differ`` of them being in just one."""
+    total = F.col(m) + F.col(n)
+    return (total - differ) * 100 >= (total + differ) * percent
+
+
+def _either(x: Column, y: Column) -> Column:
+    """The elements in just one of two sets."""
+    return F.concat(F.array_except(x, y), F.array_except(y, x))
+
+
+def _satellites(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Pairs of a leader and a node as (hub, node, m, n, delta).
 
     ``m`` and ``n`` are the sizes of their sets, ``delta`` holds the elements in just one.
     """
-    found = {
-        "m": lambda x, y: F.size(x),
-        "n": lambda x, y: F.size(y),
-        "delta": lambda x, y: F.concat(F.array_except(x, y), F.array_except(y, x)),
-    }
-    differ = F.size("delta")
-    linked = (F.col("m") + F.col("n") - differ) * 100 >= (F.col("m") + F.col("n") + differ) * percent
+    found = {"m": lambda x, y: F.size(x), "n": lambda x, y: F.size(y), "delta": _either}
     rows = _compared(pairs, docs, n, True, found).withColumnsRenamed({"a": "hub", "b": "node"})
-    return materialize(rows.withColumn("linked", linked), "satellites")
+    return materialize(rows, "satellites")
+
+
+def _recentred(satellites: DataFrame) -> DataFrame:
+    """The same groups about the member nearest to the elements that most of the group hold.
+
+    The sum of distances to a group is least at that set, so differences from a member near
+    it are short.  Groups that choose the same member become one.
+    """
+    own = satellites.groupBy("hub").agg(F.max("m").alias("m"), (F.count(F.lit(1)) + 1).alias("members"))
+    first = own.select("hub", F.col("hub").alias("node"), "m", F.col("m").alias("n"), F.array().cast("array<bigint>").alias("delta"))
+    group = satellites.select("hub", "node", "m", "n", "delta").unionByName(first)
+    counts = satellites.select("hub", F.explode("delta").alias("value")).groupBy("hub", "value").agg(F.count(F.lit(1)).alias("df"))
+    most = counts.join(own, "hub").filter(F.col("df") * 2 > F.col("members")).groupBy("hub").agg(F.collect_list("value").alias("most"))
+    none = F.array().cast("array<bigint>")
+    far = group.join(most, "hub", "left").withColumn("far", F.size(_either(F.col("delta"), F.coalesce("most", none))))
+    order = F.struct("far", F.xxhash64("node").alias("rank"), "node")
+    centres = materialize(
+        far.groupBy("hub").agg(F.min_by(F.struct("node", "n", "delta"), order).alias("centre")), "group-centres"
+    )
+    moved = group.join(centres, "hub").filter(F.col("node") != F.col("centre.node"))
+    moved = moved.select(
+        F.col("centre.node").alias("hub"), "node", F.col("centre.n").alias("m"), "n",
+        _either(F.col("delta"), F.col("centre.delta")).alias("delta"),
+    )
+    return materialize(moved.dropDuplicates(["hub", "node"]), "centred-satellites")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,19 +225,33 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _labelled(lists: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Rows of the lists that still hold several components and several hubs, with both.
+def _labelled(lists: DataFrame, labels: DataFrame, satellites: DataFrame) -> DataFrame:
+    """Rows of the lists that still hold several components and no leader of all, with both.
 
-    A node that is no satellite is its own hub.
+    ``hubs`` holds the leaders of the node; itself where it has none.
     """
+    hubs = satellites.groupBy("node").agg(F.collect_set("hub").alias("hubs"))
     named = lists.join(labels, "node", "left").join(hubs, "node", "left")
+    itself = F.array(F.col("node"))
     named = named.select(
-        "value", "node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("hub", "node").alias("hub")
-    )
+        "value", "node", "n", F.coalesce("label", "node").alias("label"),
+        F.array_union(F.coalesce("hubs", itself), itself).alias("hubs"),
+    )
     named = materialize(named, "labelled-lists")
-    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("label", "hub")]
-    mixed = named.groupBy("value").agg(*ends).filter("min_label != max_label AND min_hub != max_hub")
-    return materialize(named.join(mixed.select("value"), "value", "left_semi"), "open-lists")
+    mixed = named.groupBy("value").agg(
+        F.min("label").alias("p"), F.max("label").alias("q"), F.count(F.lit(1)).alias("rows")
+    ).filter("p != q")
+    led = named.select("value", F.explode("hubs").alias("hub")).groupBy("value", "hub").agg(F.count(F.lit(1)).alias("of"))
+    led = led.groupBy("value").agg(F.max(F.struct("of", F.xxhash64("hub").alias("rank"), "hub")).alias("top"))
+    left = mixed.join(led, "value").filter(F.col("top.of") < F.col("rows"))
+    return materialize(named.join(left.select("value", F.col("top.hub").alias("top")), "value"), "open-lists")
+
+
+def _with_common_leaders(open_lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Each node with the leaders that most of its lists' nodes have and it has not."""
+    met = open_lists.filter(~F.array_contains("hubs", F.col("top"))).select(F.col("top").alias("a"), F.col("node").alias("b"), "n")
+    sizes = nodes.select(F.col("row").alias("a"), F.col("n").alias("m"))
+    return met.distinct().join(sizes, "a").filter(_alike_in_size(percent, "m", "n")).select("a", "b")
 
 
 def _with_leaders(lists: DataFrame, percent: int) -> DataFrame:
@@ -214,62 +266,100 @@ def _with_leaders(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _without_hub(open_lists: DataFrame, percent: int) -> DataFrame:
-    """Every pair of nodes of one list, different components and different hubs."""
-    x = open_lists.select("value", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("hub").alias("ha"))
-    y = open_lists.select("value", F.col("node").alias("b"), "n", F.col("label").alias("lb"), F.col("hub").alias("hb"))
-    met = x.join(y, "value").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("ha") != F.col("hb")))
-    met = met.filter(_alike_in_size(percent, "m", "n"))
+    """Every pair of nodes of one list, different components and no common leader."""
+    x = open_lists.select("value", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("hubs").alias("ha"))
+    y = open_lists.select("value", F.col("node").alias("b"), "n", F.col("label").alias("lb"), F.col("hubs").alias("hb"))
+    apart = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike_in_size(percent, "m", "n")
+    met = x.join(y, "value").filter(apart & ~F.arrays_overlap("ha", "hb"))
     often = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.min(F.least("m", "n")).alias("n"))
     return often.filter(F.col("lists") >= _meetings(F.col("n"), percent)).select("a", "b")
 
 
+def _class(d: Column) -> Column:
+    """Size class of a difference: classes end at powers of ``STEP``."""
+    return F.floor(F.log(STEP, d + 1)).cast("int")
+
+
 def _of_one_hub(satellites: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Every pair of satellites of one hub and different components that can be linked.
+    """Linked pairs (a, b) of satellites of one leader and different components.
 
     Sets of sizes p and q are linked when at most ``c * (p + q)`` elements are in just one of
     them, where ``c = (100 - percent) / (100 + percent)``.  With differences of d and e from
-    the hub, they then share at least ``(d + e - c * (p + q)) / 2`` elements of these.  Of two
-    in separate components one is not linked to the hub, which bounds e from below, so each
-    needs only the lists of its ``d - least + 1`` rarest elements to meet the other.
+    the leader, they then share at least ``(d + e - c * (p + q)) / 2`` elements of these.  As q
+    is at most the leader's size and e, this grows with e, so the least e of a size class bounds
+    it, and to meet those of the class a node needs only the lists of its
+    ``d - bound + 1`` rarest elements.
     """
     named = satellites.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    d = F.size("delta")
-    close = (d + (F.col("m") - F.col("n")) * (100 - percent) / (100 + percent)) / 2
-    far = d - F.col("n") * (100 - percent) / percent
-    least = F.greatest(F.ceil(F.when(F.col("linked"), close).otherwise(far) - 1e-6), F.lit(1))
-    named = named.withColumns({"d": d, "places": (d - least + 1).cast("int")})
-    named = materialize(named.select("hub", "node", "n", "label", "delta", "d", "places"), "labelled-satellites")
-    mixed = named.groupBy("hub").agg(F.min("label").alias("p"), F.max("label").alias("q")).filter("p != q")
-    mixed = materialize(named.join(mixed.select("hub"), "hub", "left_semi"), "open-satellites")
-
+    named = named.withColumn("d", F.size("delta"))
+    named = materialize(named.withColumn("class", _class(F.col("d"))), "labelled-satellites")
+    tops = named.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("of"))
+    tops = tops.groupBy("hub").agg(F.max(F.struct("of", "label")).alias("top"), F.sum("of").alias("rows"))
+    tops = tops.filter(F.col("top.of") < F.col("rows")).select("hub", F.col("top.label").alias("top"))
+    mixed = named.join(materialize(tops, "open-hubs"), "hub").withColumn("outside", F.col("label") != F.col("top"))
+    mixed = materialize(mixed.drop("top"), "open-satellites")
+    classes = mixed.groupBy("hub").agg(
+        F.collect_set("class").alias("all"), F.collect_set(F.when(F.col("outside"), F.col("class"))).alias("out")
+    )
     held = mixed.select("hub", "node", F.explode("delta").alias("value"))
     common = held.groupBy("hub", "value").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
-    known = held.join(common, ["hub", "value"]).groupBy("node").agg(
+    known = held.join(common, ["hub", "value"]).groupBy("hub", "node").agg(
         F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values")
     )
-    places = F.greatest(F.col("places") - (F.col("d") - F.size("values")), F.lit(0))
-    listed = mixed.drop("delta").join(known, "node").select(
-        "hub", "node", "n", "label", "d", F.explode(F.slice("values", F.lit(1), places)).alias("v")
-    )
-    listed = materialize(listed.select("hub", F.col("v.value").alias("value"), "node", "n", "label", "d"), "difference-lists")
-    x = listed.select("hub", "value", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("d").alias("da"))
-    y = listed.select("hub", "value", F.col("node").alias("b"), "n", F.col("label").alias("lb"), F.col("d").alias("db"))
-    met = x.join(y, ["hub", "value"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
-    apart = F.abs(F.col("da") - F.col("db")) * (100 + percent) <= (F.col("m") + F.col("n")) * (100 - percent)
-    return met.filter(_alike_in_size(percent, "m", "n") & apart).select("a", "b").distinct()
+
+    rest, total = 100 - percent, 100 + percent
+    low = F.ceil(F.pow(F.lit(STEP), F.col("other")) - 1 - 1e-6)
+    high = F.ceil(F.pow(F.lit(STEP), F.col("other") + 1))
+    size = F.least(F.col("n") * 100 / percent, F.col("m") + low)
+    bound = F.greatest(F.ceil((F.col("d") + low - (F.col("n") + size) * rest / total) / 2 - 1e-6), F.lit(1))
+    each = mixed.drop("delta").join(known, ["hub", "node"]).join(classes, "hub").withColumn("other", F.explode("all"))
+    each = each.withColumn("bound", bound).filter((F.col("bound") <= F.col("d")) & (F.col("bound") <= high))
+    alone = F.col("d") - F.size("values")  # elements that no other satellite holds come first
+    each = each.withColumn("places", (F.col("d") - F.col("bound") + 1 - alone).cast("int")).filter("places > 0")
+    each = each.filter(F.col("outside") | F.expr("array_contains(out, other)"))
+    listed = each.select(
+        "hub", "node", "n", "label", "d", "outside", "class", "other", F.expr("array_contains(out, other)").alias("sought"),
+        F.explode(F.slice("values", F.lit(1), F.col("places"))["value"]).alias("value"),
+    )
+    listed = materialize(listed, "difference-lists")
+    at = ["hub", "value", "class_a", "class_b"]
+    x = listed.filter("outside").select(
+        "hub", "value", F.col("class").alias("class_a"), F.col("other").alias("class_b"),
+        F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("d").alias("da"),
+    )
+    y = listed.filter("sought").select(
+        "hub", "value", F.col("other").alias("class_a"), F.col("class").alias("class_b"),
+        F.col("node").alias("b"), "n", F.col("label").alias("lb"), F.col("d").alias("db"), "outside",
+    )
+    once = ~F.col("outside") | (F.col("a") < F.col("b"))  # two outside meet from both sides
+    within = F.abs(F.col("da") - F.col("db")) * total <= (F.col("m") + F.col("n")) * rest
+    met = x.join(y, at).filter(once & (F.col("la") != F.col("lb")) & _alike_in_size(percent, "m", "n") & within)
+    pairs = materialize(met.select("hub", "a", "b").distinct(), "difference-pairs")
+    sides = mixed.select("hub", "node", "n", "delta")
+    a = sides.select("hub", F.col("node").alias("a"), F.col("n").alias("m"), F.col("delta").alias("x"))
+    b = sides.select("hub", F.col("node").alias("b"), "n", F.col("delta").alias("y"))
+    differ = F.size("x") + F.size("y") - F.size(F.array_intersect("x", "y")) * 2
+    return pairs.join(a, ["hub", "a"]).join(b, ["hub", "b"]).filter(_linked("m", "n", differ, percent)).select("a", "b")
 
 
 def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, label) of the nodes in components of several."""
     lists = _lists(nodes, percent)
-    pairs = _estimated(_with_leaders(lists, percent), sketches)
-    satellites = _satellites(pairs, docs, n, percent)
-    edges = satellites.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    labels = components(edges)
-    open_lists = _labelled(lists, labels, satellites.select("node", "hub"))
-    pairs = _without_hub(open_lists, percent).union(_of_one_hub(satellites, labels, percent))
-    found = _verified(_estimated(pairs, sketches), docs, n, percent)
-    return components(materialize(edges.union(found), "links"))
+    satellites = _recentred(_satellites(_estimated(_with_leaders(lists, percent), sketches), docs, n))
+
+    def led(satellites: DataFrame) -> DataFrame:
+        near = satellites.filter(_linked("m", "n", F.size("delta"), percent))
+        return near.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+    labels = components(led(satellites))
+    open_lists = _labelled(lists, labels, satellites)
+    more = _estimated(_with_common_leaders(open_lists, nodes, percent), sketches)
+    satellites = satellites.unionByName(_satellites(more, docs, n).select(*satellites.columns))
+    labels = components(led(satellites))
+    open_lists = _labelled(lists, labels, satellites)
+    apart = _verified(_estimated(_without_hub(open_lists, percent), sketches), docs, n, percent)
+    edges = led(satellites).union(apart).union(_of_one_hub(satellites, labels, percent))
+    return components(materialize(edges, "links"))
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
