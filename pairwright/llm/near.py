@@ -13,7 +13,7 @@
 
 A list may be long, as in a large group of near copies, so pairs within a list are not
 all written.  Each list first meets a leader, the node with the most common values.  A node
-that the estimate does not part from its leader is a satellite of it, known by its
+that the estimate leaves somewhere near its leader is a satellite of it, known by its
 difference, the elements in just one of the two sets.  The leader's place then goes to the
 satellite nearest to what most of them hold, and differences are taken from that one.  Then
 the nodes of a list meet the leader that most of the list has.  What is linked
@@ -48,6 +48,7 @@ INDEXED = 32  #: of them, those that lists are made of
 SHARED = 12
 MET = 2  #: lists that a pair must share
 LIKELY = 0.56  #: least estimate of a pair that is looked at in full
+NEAR = 0.4  #: least estimate of a satellite and its leader
 STEP = 1.2  #: ratio of the size classes of differences
 
 
@@ -115,13 +116,13 @@ def _alike_in_size(percent: int, m: str, n: str) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
-def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose union sketch does not rule them out."""
+def _estimated(pairs: DataFrame, sketches: DataFrame, least: float = LIKELY) -> DataFrame:
+    """Pairs (a, b) whose union sketch gives them ``least`` or more; by default those it does not rule out."""
     a = sketches.select(F.col("row").alias("a"), F.col("bottom").alias("x"))
     b = sketches.select(F.col("row").alias("b"), F.col("bottom").alias("y"))
     union = F.slice(F.sort_array(F.array_union("x", "y")), 1, K)
     both = F.transform(F.array(union), lambda u: F.size(F.array_intersect(F.array_intersect(u, F.col("x")), F.col("y"))) / F.size(u))
-    near = pairs.join(a, "a").join(b, "b").filter(both[0] >= LIKELY)
+    near = pairs.join(a, "a").join(b, "b").filter(both[0] >= least)
     return materialize(near.select("a", "b"), "likely-pairs")
 
 
@@ -345,7 +346,7 @@ def _of_one_hub(satellites: DataFrame, labels: DataFrame, percent: int) -> DataF
 def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, label) of the nodes in components of several."""
     lists = _lists(nodes, percent)
-    satellites = _recentred(_satellites(_estimated(_with_leaders(lists, percent), sketches), docs, n))
+    satellites = _recentred(_satellites(_estimated(_with_leaders(lists, percent), sketches, NEAR), docs, n))
 
     def led(satellites: DataFrame) -> DataFrame:
         near = satellites.filter(_linked("m", "n", F.size("delta"), percent))
@@ -353,7 +354,7 @@ def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, n: int, percen
 
     labels = components(led(satellites))
     open_lists = _labelled(lists, labels, satellites)
-    more = _estimated(_with_common_leaders(open_lists, nodes, percent), sketches)
+    more = _estimated(_with_common_leaders(open_lists, nodes, percent), sketches, NEAR)
     satellites = satellites.unionByName(_satellites(more, docs, n).select(*satellites.columns))
     labels = components(led(satellites))
     open_lists = _labelled(lists, labels, satellites)
