@@ -765,8 +765,9 @@ def _run(stream: DataFrame, name: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str, name: str, columns: list[str]) -> DataFrame:
+    """The table as a stream, be it one file or a folder of files; a stream takes a single file only by a pattern."""
     schema = fx.table(spark, d, name).select(*columns).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 @query

@@ -278,3 +278,14 @@ def test_events_stream_equals_batch(spark):
 
     batch = transcripts.transcripts(fx.as_fragments(fx.table(spark, SF, "events")))
     assert rows(QUERIES["stream_transcripts"](spark, SF)) == rows(batch)
+
+
+@pytest.mark.parametrize("name", ["stream_interviews", "stream_transcripts"])
+def test_streams_read_tables_in_folders(spark, tmp_path, name):
+    """A table may be one file or a folder of part files."""
+    from pairwright.plans.queries import QUERIES
+
+    for table in ("events", "conversations", "benchmark", "documents"):
+        fx.table(spark, SF, table).repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    got = rows(QUERIES[name](spark, str(tmp_path)))
+    assert got and got == rows(QUERIES[name](spark, SF))
