@@ -19,9 +19,11 @@ timeout, repeats get into the log and go when it is merged.
 
 from __future__ import annotations
 
+import pickle
+import time
+import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +34,11 @@ from pairwright.functions.text import trim_text
 from pairwright.plans import scale
 
 BLOCK = 65536
-# A bit for each position of the block that was seen, lowest first.
+GROUPS = 4096
+# Of each session and block in the group: when it was last heard of, and a packed bit for each
+# position seen, lowest first.
 STATE_SCHEMA = "seen binary"
+FRAGMENT = ("session_id", "segment", "ord", "is_final", "control", "text")
 MARKS = ("reset_at", "cleared_at", "interim_ord", "interim")
 DELTA_SCHEMA = (
     "session_id bigint, segment bigint, reset_at bigint, cleared_at bigint, interim_ord bigint, interim string, "
@@ -74,31 +79,33 @@ def _present(marks: DataFrame, texts: DataFrame) -> DataFrame:
 # --- streaming ---------------------------------------------------------------------------
 
 
-def _unseen(rows: pd.DataFrame, seen: bytes, block: int) -> tuple[pd.DataFrame, bytes]:
-    """Rows at new positions, each position once, in order; and the positions seen after them."""
-    rows = rows.drop_duplicates("ord").sort_values("ord", kind="stable")
-    place = rows["ord"].to_numpy(np.int64) % block
-    size = max(8 * len(seen), int(place.max(initial=-1)) + 1)
-    bits = np.zeros(-(-size // 8) * 8, np.uint8)
-    bits[: 8 * len(seen)] = np.unpackbits(np.frombuffer(seen, np.uint8), bitorder="little")
-    new = bits[place] == 0
-    bits[place] = 1
-    return rows[new], np.packbits(bits, bitorder="little").tobytes()
+def _unseen(rows: list[tuple], seen: bytearray, block: int) -> list[tuple]:
+    """(ord, is_final, control, text) at new positions, each position once, in order; marks them as seen."""
+    new = []
+    for row in rows:
+        byte, bit = row[0] % block // 8, 1 << row[0] % block % 8
+        if byte >= len(seen):
+            seen.extend(bytes(byte + 1 - len(seen)))
+        if not seen[byte] & bit:
+            seen[byte] |= bit
+            new.append(row)
+    return sorted(new, key=lambda r: r[0])
 
 
-def _delta(rows: pd.DataFrame) -> tuple:
+def _delta(rows: list[tuple]) -> tuple:
     """What fragments in order add: latest marks and the final pieces by position."""
-    control, said = rows["control"], rows["text"].notna() & rows["control"].isna()
-    final = said & rows["is_final"].astype(bool)
-    shown = rows[said & ~final]
-
-    def last(which: pd.Series) -> int:
-        return int(rows["ord"][which].max()) if which.any() else -1
-
-    interim = (int(shown["ord"].iloc[-1]), shown["text"].iloc[-1]) if len(shown) else (-1, None)
-    spoken = rows[final]
-    marks = (last(control == "reset"), last(control.isin(("reset", "stop"))), *interim)
-    return (*marks, spoken["ord"].tolist(), spoken["text"].tolist())
+    reset = cleared = shown = -1
+    interim, ords, pieces = None, [], []
+    for place, final, control, text in rows:
+        if isinstance(control, str):
+            reset = place if control == "reset" else reset
+            cleared = place if control in ("reset", "stop") else cleared
+        elif isinstance(text, str) and final:
+            ords.append(place)
+            pieces.append(text)
+        elif isinstance(text, str):
+            shown, interim = place, text
+    return reset, cleared, shown, interim, ords, pieces
 
 
 def _advance(ttl_ms: int, block: int):
@@ -108,23 +115,40 @@ def _advance(ttl_ms: int, block: int):
         if state.hasTimedOut:
             state.remove()
             return
-        # At most one block of one session, whatever the session's length.
-        rows, seen = _unseen(pd.concat(list(frames)), state.get[0] if state.exists else b"", block)
-        if len(rows):
-            state.update((seen,))
-            yield pd.DataFrame([(*key, *_delta(rows))], columns=["session_id", "segment", *MARKS, "ords", "pieces"])
+        now = int(time.time() * 1000) if ttl_ms else 0
+        before = pickle.loads(state.get[0]) if state.exists else {}
+        # the group lives on while any of its sessions does, so idle ones go by their own times
+        held = {k: v for k, v in before.items() if v[0] + ttl_ms > now} if ttl_ms else dict(before)
+        for frame in frames:  # an Arrow batch at most, whatever the size of the group
+            parts: dict[tuple, list] = {}
+            for session, segment, *row in zip(*(frame[c].tolist() for c in FRAGMENT), strict=True):
+                session = None if session is None or session != session else int(session)
+                parts.setdefault((session, int(segment)), []).append(row)
+            deltas = []
+            for part, rows in parts.items():
+                seen = bytearray(zlib.decompress(held[part][1])) if part in held else bytearray()
+                new = _unseen(rows, seen, block)
+                held[part] = (now, zlib.compress(seen, 1) if new else held[part][1])
+                if new:
+                    deltas.append((*part, *_delta(new)))
+            if deltas:
+                yield pd.DataFrame(deltas, columns=["session_id", "segment", *MARKS, "ords", "pieces"])
+        if held != before:
+            state.update((pickle.dumps(held),))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
 
     return step
 
 
-def stream_transcripts(fragments: DataFrame, ttl_ms: int = 0, block: int = BLOCK) -> DataFrame:
+def stream_transcripts(fragments: DataFrame, ttl_ms: int = 0, block: int = BLOCK, groups: int = GROUPS) -> DataFrame:
     """Stream of fragments to a stream of transcript deltas.
 
     State is kept per session and block of positions, a bit for each, never the
     text: each micro-batch emits only what it adds.  Fragments at a seen position are
     ignored; late ones at a new position find their place when deltas are assembled.
+    Sessions and blocks are dealt out to ``groups`` keys of state, as a call for each of
+    them would cost more than its few fragments.
     ``ttl_ms`` of processing time drops idle state.  Set it for a stream
     that runs on; a run over what is available now would never end, as it goes on
     waiting for timeouts, so there it stays 0.
@@ -132,9 +156,11 @@ def stream_transcripts(fragments: DataFrame, ttl_ms: int = 0, block: int = BLOCK
     timeout = (
         GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
     )
+    dealt = F.pmod(F.xxhash64("session_id", "segment"), F.lit(groups))
     return (
         _prepared(fragments, block)
-        .groupBy("session_id", "segment")
+        .withColumn("dealt", F.when(F.col("session_id").isNull(), -1).otherwise(dealt))
+        .groupBy("dealt")
         .applyInPandasWithState(_advance(ttl_ms, block), DELTA_SCHEMA, STATE_SCHEMA, "append", timeout)
     )
 

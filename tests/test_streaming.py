@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
@@ -113,6 +114,31 @@ def test_transcripts_after_timeouts(spark, seed):
     assert joined(transcripts.assemble_deltas(deltas)) == by_hand(data)
 
 
+def test_many_sessions_share_few_keys_of_state(spark, tmp_path):
+    data = [(k % 300, k, f"w{k}", k % 3 > 0, None) for k in range(900)] + [(None, 7, "x", True, None)]
+    stream = drip(spark, [data[:500], data[400:]], FRAGMENT, str(tmp_path / "in"))
+    job = (
+        transcripts.stream_transcripts(stream, block=64, groups=4).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    )
+    job.awaitTermination()
+    assert job.lastProgress["stateOperators"][0]["numRowsTotal"] == 5
+    deltas = spark.read.schema(transcripts.DELTA_SCHEMA).parquet(str(tmp_path / "out"))
+    assert deltas.select(F.sum(F.size("ords"))).first()[0] == sum(f[3] for f in data)  # repeats stay out of the log
+    batch = transcripts.transcripts(spark.createDataFrame(data, FRAGMENT), 64)
+    assert rows(transcripts.assemble_deltas(deltas)) == rows(batch)
+
+
+def test_an_idle_session_is_dropped_though_others_of_its_key_go_on(spark, monkeypatch):
+    step, state, at = transcripts._advance(1000, 16), Forgetful(), [0.0]
+    monkeypatch.setattr(transcripts.time, "time", lambda: at[0])
+    said = lambda *ids: pd.DataFrame([(i, 0, 3, True, None, "a") for i in ids], columns=transcripts.FRAGMENT)
+    out = []
+    for at[0], ids in ((1.0, (1, 2)), (1.6, (2, 1)), (2.4, (2,)), (3.0, (1, 2))):
+        out.append([r.session_id for f in step((0,), iter([said(*ids)]), state) for r in f.itertuples()])
+    assert out == [[1, 2], [], [], [1]]
+
+
 def test_interim_outlives_a_final(spark):
     data = [(1, 0, "hel", False, None), (1, 1, "hello", True, None)]
     assert joined(transcripts.transcripts(spark.createDataFrame(data, FRAGMENT))) == {1: ("hello", "hel")}
