@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions import values as V
 from pairwright.functions.rules import int_div, pct
-from pairwright.functions.text import has_digit, is_blank, lines
+from pairwright.functions.text import SERVER_SPACE, has_digit, is_blank, lines
 from pairwright.operators import terms
 from pairwright.plans import scale
 
@@ -29,6 +29,9 @@ SCORE_COLUMNS = (
 )
 
 
+FILLED = "[^" + SERVER_SPACE[1:]  #: a character that makes its line not blank
+
+
 @dataclass(frozen=True)
 class MatchInputs:
     """Narrow tables the pair operators share.
@@ -166,12 +169,12 @@ def ats_checks(text: str = "text", headings: Sequence[str] = V.HEADINGS) -> dict
     """The five layout checks as booleans."""
     t = F.coalesce(F.col(text), F.lit(""))
     names = "|".join(re.escape(h) for h in headings)
-    heading = F.lower(t).rlike(rf"(^|\n)[ \t]*#*[ \t]*({names})([^\p{{L}}\p{{N}}]|$)")
+    heading = F.lower(t).rlike(rf"(?md:^)[ \t]*#*[ \t]*(?:{names})(?:[^\p{{L}}\p{{N}}]|$)")
     return {
         "has_text": ~is_blank(text),
-        "no_table": ~t.rlike(r"[|\t]"),
+        "no_table": ~(F.contains(t, F.lit("|")) | F.contains(t, F.lit("\t"))),
         "no_symbol": ~t.rlike(r"\p{So}"),
-        "two_lines": F.size(F.filter(lines(t), lambda x: ~is_blank(x))) >= 2,
+        "two_lines": t.rlike(rf"\A{SERVER_SPACE}*+[^\n]*+\n{SERVER_SPACE}*+{FILLED}"),
         "has_heading": heading,
     }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -298,3 +299,19 @@ def test_a_hot_term_and_a_hot_jd(spark):
     pairs = matching.candidate_pairs(inputs.hits, inputs.keys)
     assert pairs.count() == 21 * 2 * n // 3
     assert pairs.filter("hits = 2").count() == 1
+
+
+def test_layout_checks_do_not_cut_the_text(spark):
+    """Two filled lines are found without splitting the text, on blanks of every kind."""
+    rng = random.Random(6)
+    pieces = ["\n", "\n", "\r\n", "\r", " ", "\t", "\x85", "\u00a0", "\ufeff", "|", "the", "a", "7", "#"]
+    odd = ["".join(rng.choice(pieces) for _ in range(rng.randrange(9))) for _ in range(400)] + [None, "\n", "a\n", "a" * 50_000]
+    cvs = spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string")
+    made = cvs.select("text", *[c.alias(n) for n, c in matching.ats_checks("text", ("the",)).items()])
+    assert "split(" not in plan(made)
+    for r in made.collect():
+        t = r.text or ""
+        blank = re.compile(r"[\t-\r\x1c-\x20\x85\u00a0]*")
+        assert r.two_lines == (sum(not blank.fullmatch(x) for x in re.split(r"\r?\n", t)) >= 2), t
+        assert r.no_table == ("|" not in t and "\t" not in t), t
+        assert r.has_heading == bool(re.search(r"(^|\n)[ \t]*#*[ \t]*the([^A-Za-z0-9]|$)", t)), t
