@@ -16,6 +16,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHED_PARTS = 500_000  #: parts of a generation; those not used in the next one are forgotten
 #: letters, then ASCII marks; the apostrophe is left out, as it starts contractions
@@ -53,6 +55,10 @@ class Encoder:
         self.before: dict[str, bytes] = {}
         if self.by_parts:
             self.words = Tokenizer(self.tokenizer.model)  # the merges alone, for ready pre-tokens
+            of = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.letters = np.zeros(max(of.values(), default=-1) + 1, "i8")
+            end = spec["model"].get("end_of_word_suffix") or ""
+            self.letters[list(of.values())] = [len(t.removesuffix(end)) for t in of]
             self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
 
     @staticmethod
@@ -84,46 +90,70 @@ class Encoder:
         shown = self.shown[np.frombuffer(raw, "u1")].tobytes().decode("utf-32-le")
         if spaced:
             shown = SPACE + shown.replace(" ", " " + SPACE)
-        found = self.words.encode(shown, add_special_tokens=False)
-        ids = np.asarray(found.ids, "<u4").tobytes()
-        ends = (4 * np.searchsorted(np.asarray(found.word_ids), np.arange(len(words) + 1))).tolist()
-        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+        found = self.words.encode_batch_fast([shown], add_special_tokens=False)[0]  # without offsets
+        ids = np.asarray(found.ids, "<u4")
+        # a token stands for as many bytes as it has letters, so bytes tell where a word ends
+        of_ids, of_words = np.cumsum(self.letters[ids]), [len(w) for w in shown.split(" ")]
+        ends = np.append(0, 1 + np.searchsorted(of_ids, np.cumsum(of_words)))
+        if len(ids) == 0 or of_ids[-1] != sum(of_words):  # letters that the vocabulary has not
+            return [self._whole(" " + w if spaced else w) for w in words]
+        held, ends = ids.tobytes(), (4 * ends).tolist()
+        return [held[a:b] for a, b in zip(ends, ends[1:])]
 
     def _learn(self, missing: set[str]) -> None:
         """Encode parts not seen yet: words of letters together, others one by one."""
         for spaced in (False, True):
             some = [p for p in missing if (not self.lower and p[:1] != FRESH) == spaced]
             found = [(p, m[1], m[2]) for p, m in zip(some, map(WORD.fullmatch, some)) if m]
-            for a in range(0, len(found), 8192):
-                parts, cores, tails = zip(*found[a : a + 8192])
+            if found:
+                parts, cores, tails = zip(*found)
                 for tail in set(tails).difference(self.tails):
                     self.tails[tail] = self._whole(tail)
-                ids = self._letters(cores, spaced)
-                self.parts.update(zip(parts, map(operator.add, ids, map(self.tails.__getitem__, tails))))
+                ids: dict[str, bytes] = dict.fromkeys(cores)  # words with several tails are encoded once
+                several = list(ids)
+                for a in range(0, len(several), 8192):
+                    some_words = several[a : a + 8192]
+                    ids.update(zip(some_words, self._letters(some_words, spaced)))
+                joined = map(operator.add, map(ids.__getitem__, cores), map(self.tails.__getitem__, tails))
+                self.parts.update(zip(parts, joined))
             for part in set(some).difference(self.parts):
                 text = part.removeprefix(FRESH)
                 self.parts[part] = self._whole(" " + text if spaced else text)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """``encode`` of each text; words that several of them share are encoded once."""
-        cut = [self._cut(t) if self.by_parts and self._is_plain(t) else None for t in texts]
+        plain = [self.by_parts and self._is_plain(t) for t in texts]
+        cut = iter(self._by_parts([t for t, p in zip(texts, plain) if p]))
+        return [next(cut) if p else self._whole(t) for t, p in zip(texts, plain)]
+
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts, each distinct part looked up once and its ids copied to its places."""
+        if not texts:
+            return []
         if len(self.parts) > CACHED_PARTS:
             self.before, self.parts = self.parts, {}
-        missing = set().union(*[c for c in cut if c is not None]).difference(self.parts)
+        lists = pc.split_pattern(pa.array(map(self._marked, texts), pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        parts, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        missing = set(parts).difference(self.parts)
         again = missing.intersection(self.before)
         self.parts.update(zip(again, map(self.before.__getitem__, again)))
         self._learn(missing - again)
-        known = self.parts.__getitem__
-        return [self._whole(t) if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut)]
+        found = list(map(self.parts.__getitem__, parts))
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), "i8", len(found)) // 4
+        n = sizes[place]
+        ends = np.cumsum(n)
+        shift = (np.cumsum(sizes) - sizes)[place] - (ends - n)
+        whole = ids[np.arange(ends[-1]) + np.repeat(shift, n)].tobytes()
+        cuts = (4 * np.append(0, ends)[lists.offsets.to_numpy()]).tolist()
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
-    def _cut(self, text: str) -> list[str]:
-        """The parts of a plain text; each but the first and those after breaks has a space before."""
-        if self.lower:
-            return text.replace("\n", " ").split(" ")
-        return (FRESH + text.replace("\n", f" {FRESH}\n {FRESH}")).split(" ")
+    def _marked(self, text: str) -> str:
+        """A plain text whose parts a space divides; each but the first and those after breaks has one before."""
+        return text.replace("\n", " ") if self.lower else FRESH + text.replace("\n", f" {FRESH}\n {FRESH}")
 
     def _is_plain(self, text: str) -> bool:
         """Every run of white space is one space or line break, none at the ends."""

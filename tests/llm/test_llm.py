@@ -457,3 +457,14 @@ def test_lines_of_very_many_words_meet(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
     got = {r.doc_id: r.n_removed for r in line_dedup.line_counts(spark.read.parquet(str(tmp_path / "t"))).collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_of_a_batch_are_encoded_once(path, monkeypatch):
+    enc, plain, seen = Encoder(path), Tokenizer.from_file(path), []
+    letters = enc._letters
+    monkeypatch.setattr(enc, "_letters", lambda words, spaced: seen.extend(words) or letters(words, spaced))
+    batch = ["a storm, a storm! a storm. a storm", "", "été storm,\nstorm; a  b", "a storm? a storm"]
+    for text, got in zip(batch, enc.encode_all(batch)):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert seen.count("storm") <= 1 + (not enc.lower)  # once with a space before, once after a break
