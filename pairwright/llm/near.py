@@ -23,8 +23,11 @@ becomes one component, and only pairs between components can add to the result:
   grows with both, so inverted lists of the rarer elements, one for each pair of size classes,
   find them.  One of the two is outside the leader's largest component.  Differences decide
   the pair exactly.
-* Of the pairs without a common leader, all that are left in a list are estimated and then
-  compared by their full sets.
+* Of the pairs without a common leader, one may be a satellite of the leader that most of the
+  list has. Distance, one less the Jaccard coefficient, obeys the triangle inequality: the other
+  node, as far from that leader as its estimate surely leaves it, meets only satellites
+  that are far enough from the leader to be linked with it (again but for a chance below 1e-7).
+  What is left is estimated and then compared by full sets.
 
 No link between components is missed, and none is capped.
 
@@ -44,12 +47,14 @@ from pairwright.llm.columns import fresh, lower_ascii, whole, with_rows, words
 from pairwright.plans.scale import materialize
 
 K = 96  #: values of a sketch
-INDEXED = 32  #: of them, those that lists are made of
-SHARED = 12
+INDEXED = 96  #: of them, those that lists are made of
+SHARED = 54
 MET = 2  #: lists that a pair must share
 LIKELY = 0.56  #: least estimate of a pair that is looked at in full
 NEAR = 0.4  #: least estimate of a satellite and its leader
 STEP = 1.2  #: ratio of the size classes of differences
+SURE = 6  #: standard errors between an estimate and the resemblance it leaves possible
+RINGS = 20  #: classes of the distance from a leader
 
 
 def shingles(text: Column, n: int) -> Column:
@@ -116,14 +121,24 @@ def _alike_in_size(percent: int, m: str, n: str) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
-def _estimated(pairs: DataFrame, sketches: DataFrame, least: float = LIKELY) -> DataFrame:
-    """Pairs (a, b) whose union sketch gives them ``least`` or more; by default those it does not rule out."""
+def _estimates(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the resemblance that their union sketch of ``size`` values estimates."""
     a = sketches.select(F.col("row").alias("a"), F.col("bottom").alias("x"))
     b = sketches.select(F.col("row").alias("b"), F.col("bottom").alias("y"))
     union = F.slice(F.sort_array(F.array_union("x", "y")), 1, K)
-    both = F.transform(F.array(union), lambda u: F.size(F.array_intersect(F.array_intersect(u, F.col("x")), F.col("y"))) / F.size(u))
-    near = pairs.join(a, "a").join(b, "b").filter(both[0] >= least)
-    return materialize(near.select("a", "b"), "likely-pairs")
+    found = F.transform(
+        F.array(union),
+        lambda u: F.struct(
+            (F.size(F.array_intersect(F.array_intersect(u, F.col("x")), F.col("y"))) / F.size(u)).alias("estimate"),
+            F.size(u).alias("size"),
+        ),
+    )
+    return pairs.join(a, "a").join(b, "b").select(*pairs.columns, F.inline(found))
+
+
+def _estimated(pairs: DataFrame, sketches: DataFrame, least: float = LIKELY) -> DataFrame:
+    """Pairs (a, b) whose union sketch gives them ``least`` or more; by default those it does not rule out."""
+    return materialize(_estimates(pairs, sketches).filter(F.col("estimate") >= least).select("a", "b"), "likely-pairs")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, n: int, many: bool, found: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
@@ -266,13 +281,48 @@ def _with_leaders(lists: DataFrame, percent: int) -> DataFrame:
     return best.select(F.col("best.a").alias("a"), "b")
 
 
-def _without_hub(open_lists: DataFrame, percent: int) -> DataFrame:
-    """Every pair of nodes of one list, different components and no common leader."""
-    x = open_lists.select("value", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("hubs").alias("ha"))
-    y = open_lists.select("value", F.col("node").alias("b"), "n", F.col("label").alias("lb"), F.col("hubs").alias("hb"))
-    apart = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike_in_size(percent, "m", "n")
-    met = x.join(y, "value").filter(apart & ~F.arrays_overlap("ha", "hb"))
-    often = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.min(F.least("m", "n")).alias("n"))
+def _at_most(estimate: Column, size: Column) -> Column:
+    """The largest resemblance that an estimate leaves possible; sketches below ``K`` are whole sets."""
+    k = F.lit(float(SURE**2)) / size
+    high = (estimate + k / 2 + F.sqrt(estimate * (1 - estimate) * k + k * k / 4)) / (1 + k)
+    return F.when(size < K, estimate).otherwise(high)
+
+
+def _around_leaders(open_lists: DataFrame, satellites: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The lists with the place of each node about the leader that most of the list has.
+
+    ``at`` is the distance of the leader itself and its satellites; for other nodes it is null, and
+    ``beyond`` is the distance from which on a satellite may be linked with them.
+    """
+    far = open_lists.filter(~F.array_contains("hubs", F.col("top")))
+    far = _estimates(far.select(F.col("top").alias("a"), F.col("node").alias("b")).distinct(), sketches)
+    beyond = F.lit(percent / 100) - _at_most(F.col("estimate"), F.col("size")) - 1e-9
+    far = far.select(F.col("a").alias("top"), F.col("b").alias("node"), beyond.alias("beyond"))
+    differ = F.size("delta")
+    near = satellites.select(F.col("hub").alias("top"), "node", (differ * 2 / (F.col("m") + F.col("n") + differ)).alias("at"))
+    near = near.groupBy("top", "node").agg(F.max("at").alias("at"))
+    placed = open_lists.join(near, ["top", "node"], "left").join(far, ["top", "node"], "left")
+    placed = placed.withColumn("at", F.when(F.col("top") == F.col("node"), 0.0).otherwise(F.col("at")))
+    return materialize(placed.select("value", "node", "n", "label", "hubs", "at", "beyond"), "placed-lists")
+
+
+def _without_hub(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of one list, different components and no common leader that distances do not rule out."""
+    ring = F.floor(F.col("at") * RINGS).cast("int")
+    first = F.greatest(F.floor(F.col("beyond") * RINGS), F.lit(0)).cast("int")
+    outside = placed.filter("at is null").select(
+        "value", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("hubs").alias("ha"), "beyond", first.alias("first")
+    )
+    named = [F.col("node").alias("b"), "n", F.col("label").alias("lb"), F.col("hubs").alias("hb")]
+    apart = (F.col("la") != F.col("lb")) & _alike_in_size(percent, "m", "n") & ~F.arrays_overlap("ha", "hb")
+    # a leader's satellites have it in common, so one of two nodes is none of them
+    both = outside.join(placed.filter("at is null").select("value", *named), "value").filter((F.col("a") < F.col("b")) & apart)
+    rings = outside.withColumn("ring", F.explode(F.sequence("first", F.lit(RINGS))))
+    inside = placed.filter("at is not null").select("value", ring.alias("ring"), "at", *named)
+    one = rings.join(inside, ["value", "ring"]).filter((F.col("at") >= F.col("beyond")) & apart)
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("m", "n").alias("n")]
+    met = both.select(*pair).unionAll(one.select(*pair))
+    often = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.min("n").alias("n"))
     return often.filter(F.col("lists") >= _meetings(F.col("n"), percent)).select("a", "b")
 
 
@@ -358,7 +408,8 @@ def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, n: int, percen
     satellites = satellites.unionByName(_satellites(more, docs, n).select(*satellites.columns))
     labels = components(led(satellites))
     open_lists = _labelled(lists, labels, satellites)
-    apart = _verified(_estimated(_without_hub(open_lists, percent), sketches), docs, n, percent)
+    placed = _around_leaders(open_lists, satellites, sketches, percent)
+    apart = _verified(_estimated(_without_hub(placed, percent), sketches), docs, n, percent)
     edges = led(satellites).union(apart).union(_of_one_hub(satellites, labels, percent))
     return components(materialize(edges, "links"))
 

@@ -468,3 +468,23 @@ def test_words_of_a_batch_are_encoded_once(path, monkeypatch):
     for text, got in zip(batch, enc.encode_all(batch)):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
     assert seen.count("storm") <= 1 + (not enc.lower)  # once with a space before, once after a break
+
+
+def test_far_nodes_meet_no_close_satellites(spark):
+    """Lists of one leader's 60 close satellites, a loose one and 5 strangers; only pairs that may be linked stay."""
+    close, loose, strangers = range(1, 61), 61, range(100, 105)
+    sketch = {0: range(96), loose: [*range(60), *range(500, 536)]}
+    sketch |= {k: [*range(95), 1000 + k] for k in close} | {k: [0, *range(1000 * k, 1000 * k + 95)] for k in strangers}
+    sketches = spark.createDataFrame([(k, list(v)) for k, v in sketch.items()], "row long, bottom array<long>")
+    delta = {loose: [*range(60, 96), *range(500, 536)], **{k: [95, 1000 + k] for k in close}}
+    satellites = [(0, k, 96, 96, d) for k, d in delta.items()]
+    satellites = spark.createDataFrame(satellites, "hub long, node long, m int, n int, delta array<long>")
+    hubs = {k: [0, k] for k in delta} | {k: [k] for k in (0, *strangers)}
+    rows = [(value, k, 96, k, hubs[k], 0) for value in (0, 1) for k in sketch]
+    lists = spark.createDataFrame(rows, "value long, node long, n int, label long, hubs array<long>, top long")
+    placed = near._around_leaders(lists, satellites, sketches, 80)
+    places = {r.node: r for r in placed.filter("value = 0").collect()}
+    assert places[0].at == 0 and all(abs(places[k].at - 2 / 97) < 1e-9 for k in close) and places[loose].at > 0.5
+    assert all(places[k].at is None and 0.4 < places[k].beyond < 0.6 for k in strangers)
+    pairs = {tuple(r) for r in near._without_hub(placed, 80).collect()}
+    assert pairs == {(a, b) for a in (loose, *strangers) for b in strangers if a < b}
