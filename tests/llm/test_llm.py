@@ -488,3 +488,17 @@ def test_far_nodes_meet_no_close_satellites(spark):
     assert all(places[k].at is None and 0.4 < places[k].beyond < 0.6 for k in strangers)
     pairs = {tuple(r) for r in near._without_hub(placed, 80).collect()}
     assert pairs == {(a, b) for a in (loose, *strangers) for b in strangers if a < b}
+
+
+def test_suffix_array_measures_repeats_in_full():
+    rng = np.random.default_rng(5)
+    for n, letters in ((1, 2), (40, 1), (300, 2), (300, 40)):
+        text = rng.integers(0, letters, n)
+        if n == 300:
+            text[200:290] = text[10:100]  # a repeat of 90 tokens
+        order, shared = html_text.suffix_array(text)
+        whole = text.tolist()
+        assert order.tolist() == sorted(range(n), key=lambda i: whole[i:])
+        for k, (i, j) in enumerate(zip(order, order[1:]), 1):
+            assert shared[k] == next((d for d in range(n - max(i, j)) if whole[i + d] != whole[j + d]), n - max(i, j))
+        assert n < 300 or shared.max() >= 90
