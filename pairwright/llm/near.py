@@ -2,11 +2,13 @@
 
 1. Every text gives its set of shingle hashes and, as a sketch, the ``K`` smallest of
    them.  Equal sets form one class; from here on a class is one node.
-2. Inverted lists of retained values find candidates.  Two nodes at the threshold share
-   at least ``SHARED`` of their ``INDEXED`` smallest values but for a chance below 1e-7,
-   so they also meet ``MET`` times in the lists of their ``INDEXED - SHARED + MET`` values
-   that are rarest in the corpus.  The common values of a node are in no list.  Sets
-   smaller than the sketch are known whole, and their bound is certain.
+2. Inverted lists of neighbours, retained values that follow each other in a sketch, find
+   candidates.  Two nodes at the threshold share at least ``SHARED`` of their ``INDEXED - 1``
+   pairs of neighbours but for a chance below 1e-7, so they also meet ``MET`` times in the
+   lists of all but ``SHARED - MET`` of them, those that are rarest in the corpus.  The
+   common ones of a node are in no list.  Single values are met by chance in any large
+   corpus, pairs of neighbours hardly ever but in like texts.  Sets smaller than the sketch
+   are known whole, and their bound is certain.
 3. The smallest ``K`` values of the union of two sketches estimate their resemblance; a
    pair far below the threshold goes (again a chance below 1e-7 for one at it).
 4. The exact Jaccard coefficient of the full sets decides.
@@ -47,14 +49,15 @@ from pairwright.llm.columns import fresh, lower_ascii, whole, with_rows, words
 from pairwright.plans.scale import materialize
 
 K = 96  #: values of a sketch
-INDEXED = 96  #: of them, those that lists are made of
-SHARED = 54
+INDEXED = 96  #: of them, those whose neighbours lists are made of
+SHARED = 28  #: neighbouring values that linked sketches share at least
 MET = 2  #: lists that a pair must share
 LIKELY = 0.56  #: least estimate of a pair that is looked at in full
 NEAR = 0.4  #: least estimate of a satellite and its leader
 STEP = 1.2  #: ratio of the size classes of differences
 SURE = 6  #: standard errors between an estimate and the resemblance it leaves possible
 RINGS = 20  #: classes of the distance from a leader
+BITS = 16  #: places of a bitmap for each row that it holds
 
 
 def shingles(text: Column, n: int) -> Column:
@@ -83,36 +86,43 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _listed(n: Column, percent: int) -> Column:
-    """How many of its rarest values a node is listed by."""
-    held = F.least(n, F.lit(INDEXED))
-    small = n * 100 < INDEXED * percent
-    return F.when(small, n - _least(n, percent) + _meetings(n, percent)).otherwise(held - SHARED + MET)
+def _keys(n: Column) -> Column:
+    """How many pairs of neighbours the sketch of a set of ``n`` has."""
+    return F.least(n, F.lit(INDEXED)) - 1
 
 
-def _least(n: Column, percent: int) -> Column:
-    """Values that a set of ``n`` shares with any linked set: ``percent`` %, rounded up."""
-    return F.floor((n * percent + 99) / 100).cast("int")
+def _shared(n: Column, percent: int) -> Column:
+    """Pairs of neighbours that a set of ``n`` shares with any linked set.
+
+    A set and its partner are whole in their sketches where ``n`` is small.  An element that only
+    the set has takes two of its pairs, one that only the partner has takes one, so ``percent`` %
+    leave at most ``2 * n * (100 - percent) / 100`` pairs to go.
+    """
+    gone = F.floor(n * 2 * (100 - percent) / 100).cast("int")
+    return F.when(n * 100 < INDEXED * percent, _keys(n) - gone).otherwise(SHARED)
 
 
 def _meetings(n: Column, percent: int) -> Column:
     """Lists in which a linked pair meets, where ``n`` is the size of the smaller set."""
-    return F.least(_least(n, percent), F.lit(MET))
+    return F.least(_shared(n, percent), F.lit(MET))
 
 
 def _lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """(value, node, n, weight): the rarest retained values of each node that other nodes have too.
+    """(value, node, n, weight): the rarest pairs of neighbours of each node that other nodes have too, hashed.
 
-    ``weight`` is the number of nodes that hold the retained values of the node, summed up.
+    ``weight`` is the number of nodes that hold the pairs of the node, summed up.
     """
-    held = nodes.select(F.col("row").alias("node"), "n", F.explode(F.slice("bottom", 1, INDEXED)).alias("value"))
+    first, second = (F.slice("bottom", F.lit(start), _keys(F.col("n"))) for start in (1, 2))
+    next_to = F.zip_with(first, second, lambda v, w: F.xxhash64(v, w))
+    held = nodes.select(F.col("row").alias("node"), "n", F.explode(next_to).alias("value"))
     common = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
     # values of one node alone come first in order of rarity and need no list
     known = held.join(common, "value").groupBy("node", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"), F.sum("df").alias("weight")
     )
-    alone = F.least(F.col("n"), F.lit(INDEXED)) - F.size("values")
-    places = F.greatest(_listed(F.col("n"), percent) - alone, F.lit(0))
+    alone = _keys(F.col("n")) - F.size("values")
+    listed = _keys(F.col("n")) - _shared(F.col("n"), percent) + _meetings(F.col("n"), percent)
+    places = F.greatest(listed - alone, F.lit(0))
     listed = known.select("node", "n", "weight", F.explode(F.slice("values", F.lit(1), places)).alias("v"))
     return materialize(listed.select(F.col("v.value").alias("value"), "node", "n", "weight"), "lists")
 
@@ -121,8 +131,35 @@ def _alike_in_size(percent: int, m: str, n: str) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
+def _among(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """``table`` cut to ``rows`` and, by chance, one in ``BITS`` of the others.
+
+    The rows are known by a bitmap of their hashes, two bytes a row, which goes to the table: rows
+    that no pair needs are dropped where they are read and not moved.
+    """
+    places = F.lit(BITS * max(rows.count(), 1))
+
+    def place(row: str) -> Column:
+        return F.pmod(F.xxhash64(row), places)
+
+    held = rows.groupBy(F.bitmap_bucket_number(place("row")).alias("bucket"))
+    held = materialize(held.agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("row"))).alias("bitmap")), "row-bitmap")
+    at = F.bitmap_bit_position(place("row"))
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0
+    met = table.withColumn("__at", at).join(held, F.bitmap_bucket_number(place("row")) == F.col("bucket"))
+    return met.filter(is_set).select(*table.columns)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The rows of the pairs (a, b), each once."""
+    return materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "pair-rows")
+
+
 def _estimates(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) with the resemblance that their union sketch of ``size`` values estimates."""
+    pairs = materialize(pairs, "met-pairs")
+    sketches = _among(sketches, _ends(pairs))
     a = sketches.select(F.col("row").alias("a"), F.col("bottom").alias("x"))
     b = sketches.select(F.col("row").alias("b"), F.col("bottom").alias("y"))
     union = F.slice(F.sort_array(F.array_union("x", "y")), 1, K)
@@ -141,14 +178,9 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, least: float = LIKELY) ->
     return materialize(_estimates(pairs, sketches).filter(F.col("estimate") >= least).select("a", "b"), "likely-pairs")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, n: int, many: bool, found: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
-    """Pairs (a, b) with the columns ``found`` of their full sets.
-
-    ``many``: the pairs hold a share of all documents, so their texts come by a shuffle.
-    """
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "pair-rows")
-    ids = ids.hint("merge") if many else ids
-    texts = docs.select("row", "text").join(ids, "row", "left_semi")
+def _compared(pairs: DataFrame, docs: DataFrame, n: int, found: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """Pairs (a, b) with the columns ``found`` of their full sets; no text is moved."""
+    texts = _among(docs.select("row", "text"), _ends(pairs))
     sets = materialize(texts.select("row", shingles(F.col("text"), n).alias("s")), "pair-sets")
     a = sets.select(F.col("row").alias("a"), F.col("s").alias("x"))
     b = sets.select(F.col("row").alias("b"), F.col("s").alias("y"))
@@ -160,7 +192,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     """Pairs (a, b) whose full sets reach the threshold."""
     found = {"both": lambda x, y: F.size(F.array_intersect(x, y)), "sum": lambda x, y: F.size(x) + F.size(y)}
     linked = F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent
-    return materialize(_compared(pairs, docs, n, False, found).filter(linked).select("a", "b"), "links")
+    return materialize(_compared(pairs, docs, n, found).filter(linked).select("a", "b"), "links")
 
 
 def _linked(m: str, n: str, differ: Column, percent: int) -> Column:
@@ -180,7 +212,7 @@ def _satellites(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     ``m`` and ``n`` are the sizes of their sets, ``delta`` holds the elements in just one.
     """
     found = {"m": lambda x, y: F.size(x), "n": lambda x, y: F.size(y), "delta": _either}
-    rows = _compared(pairs, docs, n, True, found).withColumnsRenamed({"a": "hub", "b": "node"})
+    rows = _compared(pairs, docs, n, found).withColumnsRenamed({"a": "hub", "b": "node"})
     return materialize(rows, "satellites")
 
 
@@ -271,12 +303,17 @@ def _with_common_leaders(open_lists: DataFrame, nodes: DataFrame, percent: int)
 
 
 def _with_leaders(lists: DataFrame, percent: int) -> DataFrame:
-    """Each node with the leader it shares the most lists with; a list is led by its node of most weight."""
+    """Each node with the leader it shares the most lists with; a list is led by its node of most weight.
+
+    Nodes that meet in fewer lists than a linked pair are left out.
+    """
     chosen = F.struct((-F.col("weight")).alias("first"), F.xxhash64("node").alias("rank"), "node", "n")
     leaders = lists.groupBy("value").agg(F.min(chosen).alias("leader"))
     met = lists.join(leaders, "value").filter(F.col("node") != F.col("leader.node"))
     met = met.withColumn("m", F.col("leader.n")).filter(_alike_in_size(percent, "m", "n"))
-    shared = met.groupBy(F.col("leader.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    shared = met.groupBy(F.col("leader.node").alias("a"), F.col("node").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.min(F.least("m", "n")).alias("n")
+    ).filter(F.col("shared") >= _meetings(F.col("n"), percent))
     best = shared.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best"))
     return best.select(F.col("best.a").alias("a"), "b")
 

@@ -490,6 +490,39 @@ def test_far_nodes_meet_no_close_satellites(spark):
     assert pairs == {(a, b) for a in (loose, *strangers) for b in strangers if a < b}
 
 
+def test_linked_sketches_share_neighbours(spark):
+    """Linked sets share as many pairs of neighbours as their lists count on."""
+    sizes = spark.range(1, 200).select("id", near._shared(F.col("id"), 80).alias("shared"))
+    bound, rng, seen = {r.id: r.shared for r in sizes.collect()}, random.Random(3), 0
+    for _ in range(4000):
+        x = rng.sample(range(10**9), rng.randint(4, 150))
+        y = x[rng.randint(0, len(x) // 5) :] + rng.sample(range(10**9, 2 * 10**9), rng.randint(0, len(x) // 9))
+        hashed = [sorted(v * 0x9E3779B97F4A7C15 % 2**64 for v in s)[: near.INDEXED] for s in (x, y)]
+        met = len(set.intersection(*[set(zip(s, s[1:])) for s in hashed]))
+        if 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y}):
+            assert met >= max(bound[len(x)], bound[len(y)])
+            seen += 1
+    assert seen > 1000
+
+
+def test_values_met_by_chance_make_no_list(spark):
+    """40 unlike sketches share every third value; only two alike ones are listed."""
+    unlike = {k: sorted([*range(0, 96_000, 3000), *(3000 * i + 31 * k + j for i in range(32) for j in (1, 2))]) for k in range(40)}
+    nodes = unlike | {100: [*range(200_000, 200_096)], 101: [*range(200_000, 200_095), 300_000]}
+    nodes = spark.createDataFrame([(k, 96, v) for k, v in nodes.items()], "row long, n int, bottom array<long>")
+    assert {r.node for r in near._lists(nodes, 80).collect()} == {100, 101}
+
+
+def test_rows_no_pair_needs_are_not_moved(spark):
+    rows = spark.range(1000).select(F.col("id").alias("row"))
+    asked = spark.range(0, 1000, 50).select(F.col("id").alias("row"))
+    got = near._among(rows, asked)
+    kept = {r.row for r in got.collect()}
+    assert kept >= {*range(0, 1000, 50)} and len(kept) < 200
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert near._among(rows, asked.limit(0)).count() == 0
+
+
 def test_suffix_array_measures_repeats_in_full():
     rng = np.random.default_rng(5)
     for n, letters in ((1, 2), (40, 1), (300, 2), (300, 40)):
