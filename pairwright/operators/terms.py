@@ -30,6 +30,26 @@ def line_terms(
     return rows.select(doc, "line_no", F.explode("__t").alias("term"), *keep, *grades)
 
 
+def marked_terms(text: str = "text") -> Column:
+    """The distinct terms of each line as an array of (term, line_no, first), ordered by term and line.
+
+    ``first`` marks the first line of the text that holds the term.  A text is sorted by itself, so
+    nothing is moved or spilled.
+    """
+
+    def of_line(line: Column, line_no: Column) -> Column:
+        return F.transform(distinct_tokens(line), lambda term: F.struct(term.alias("term"), line_no.alias("line_no")))
+
+    def marked(each: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), each["term"])
+        return F.zip_with(
+            each, F.slice(before, F.lit(1), F.size(each)),
+            lambda x, last: F.struct(x["term"], x["line_no"], (~x["term"].eqNullSafe(last)).alias("first")),
+        )
+
+    return F.transform(F.array(F.sort_array(F.flatten(F.transform(lines(text), of_line)))), marked)[0]
+
+
 def line_index(
     docs: DataFrame, vocabulary: DataFrame, keep: tuple[str, ...] = (), graded: bool = False
 ) -> DataFrame:

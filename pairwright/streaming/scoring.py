@@ -152,9 +152,12 @@ def _changed_jds(store: Store, keys: DataFrame) -> DataFrame:
 
 def _index(docs: DataFrame, carry: Mapping[str, Column]) -> DataFrame:
     """All terms of the documents by line, with the scores of the CV."""
-    rows = terms.line_terms(docs.withColumns(dict(carry)), keep=OWN)
-    order = Window.partitionBy("doc_id", "term").orderBy("line_no")
-    return rows.repartition("doc_id").withColumn("first", F.row_number().over(order) == 1)
+    return docs.withColumns(dict(carry)).select("doc_id", *OWN, F.inline(terms.marked_terms()))
+
+
+def _scored(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The scores of index rows and key terms; what meets is moved once, by document."""
+    return score_lines(rows.join(keys.drop("df"), "term").repartition("doc_id")).select(*OUTPUT)
 
 
 def _advance(store: Store, docs: DataFrame | None, keys: DataFrame, carry: Mapping[str, Column]) -> None:
@@ -175,13 +178,13 @@ def _advance(store: Store, docs: DataFrame | None, keys: DataFrame, carry: Mappi
         todo = last.join(written.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
         fresh = store.write("terms", _index(todo, carry))
 
-    scores = score_lines(fresh.join(keys.drop("df"), "term")).select(*OUTPUT)
+    scores = _scored(fresh, keys)
     if not changed_jds.isEmpty():
         again = keys.join(changed_jds, "item_id", "left_semi")
         rows = store.read("terms", again.select("term")).join(again.select("term"), "term", "left_semi")
         current = store.versions().join(written.select("doc_id"), "doc_id", "left_anti").select("doc_id", "turn")
         held = rows.join(current, ["doc_id", "turn"], "left_semi")
-        scores = scores.unionByName(score_lines(held.join(again.drop("df"), "term")).select(*OUTPUT))
+        scores = scores.unionByName(_scored(held, again))
     store.write("scores", scores)
 
 

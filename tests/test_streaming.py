@@ -286,6 +286,20 @@ def test_state_is_compacted_and_jds_change_without_documents(spark, tmp_path):
     assert scoring._turns(spark, out + "/terms") == [12, 14, 15, 16] and scoring._turns(spark, out + "/snapshot/terms") == [11]
 
 
+def test_terms_of_a_batch_are_marked_where_the_text_is(spark):
+    texts = ["b a\na c a\n\nB d", "", None, "one", "x\nx\nx y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = scoring._index(docs, matching.cv_scores())
+    want = []
+    for k, text in enumerate(texts):
+        seen = set()
+        for i, line in enumerate((text or "").lower().split("\n")):
+            want += [(k, i, t, t not in seen) for t in set(line.split())]
+            seen |= set(line.split())
+    assert rows(index.select("doc_id", "line_no", "term", "first")) == sorted(want)
+    assert "Window" not in index._jdf.queryExecution().executedPlan().toString()
+
+
 def test_metrics_take_one_pass(spark):
     from conftest import plan
 
