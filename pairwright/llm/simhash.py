@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.near import components
-from pairwright.plans.scale import materialize
+from pairwright.plans.scale import materialize, merged
 
 SEED = 42
 WORDS = 3
@@ -107,7 +107,7 @@ def _met(fps: DataFrame) -> DataFrame:
     """
     rows = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("k")).select("fp", "k.key", "k.exact")
     table = rows.filter("exact").groupBy("key").agg(F.min("fp").alias("leader"), (F.count(F.lit(1)) > 1).alias("several"))
-    met = rows.join(table, "key").filter((F.col("fp") != F.col("leader")) | F.col("several"))
+    met = rows.join(merged(table), "key").filter((F.col("fp") != F.col("leader")) | F.col("several"))
     return materialize(met, "simhash-met")
 
 

@@ -104,6 +104,19 @@ def test_three_bits_are_linked_and_four_are_not(spark):
     assert set(got) == {0, 7} and len(set(got.values())) == 1
 
 
+def written_plans(monkeypatch, module):
+    """Gets the plan of each table that the module writes, as it is before it runs."""
+    plans, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    return plans
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark, monkeypatch):
+    plans = written_plans(monkeypatch, simhash)
+    simhash._met(spark.range(50).select(F.col("id").alias("fp")))
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 # --- prefix trie ---------------------------------------------------------------------------
 
 
