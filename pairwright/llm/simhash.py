@@ -16,7 +16,8 @@ there only those outside the key's largest component meet the rest.  Where these
 than ``DENSE``, shared midpoints take the place of pairs: two fingerprints within three
 bits have a point at most one bit from one and two from the other, so all within one bit of
 a point are linked, and all at two bits are linked to those.  That is a fixed number of rows for
-each fingerprint.  No link between components is missed, and none is capped.
+each fingerprint.  No link between components is missed, and none is capped.  Joins are by
+sorting; no table of fingerprints or of their keys is broadcast.
 
 Null and blank texts have the fingerprint 0 and are linked like any other.  A text with
 fewer words than ``n`` is one shingle.  Repeated rows stay rows; a component has the smallest
@@ -117,13 +118,13 @@ def _open(met: DataFrame, edges: DataFrame) -> DataFrame:
     ``top`` is the component with the most rows at the key, ``others`` the number of the rest.
     """
     labels = components(edges).withColumnRenamed("node", "fp")
-    named = met.filter("several").join(labels, "fp", "left")
+    named = met.filter("several").join(merged(labels), "fp", "left")
     named = materialize(named.select("key", "fp", "exact", F.coalesce("label", "fp").alias("label")), "simhash-labelled")
     sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     tops = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
     tops = tops.filter(F.col("top.n") < F.col("n"))
     tops = tops.select("key", F.col("top.label").alias("top"), (F.col("n") - F.col("top.n")).alias("others"))
-    return materialize(named.join(tops, "key"), "simhash-open")
+    return materialize(named.join(merged(tops), "key"), "simhash-open")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
     x = rows.filter(F.col("label") != F.col("top")).select("key", F.col("fp").alias("a"), F.col("exact").alias("ea"), F.col("label").alias("la"))
     y = rows.select(F.col("key"), F.col("fp").alias("b"), F.col("exact").alias("eb"), F.col("label").alias("lb"))
     linked = (F.col("la") != F.col("lb")) & (F.col("ea") | F.col("eb")) & _close("a", "b")
-    return x.join(y, "key").filter(linked).select("a", "b").distinct()
+    return x.join(merged(y), "key").filter(linked).select("a", "b").distinct()
 
 
 def _midpoints(fps: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def _midpoints(fps: DataFrame) -> DataFrame:
     rows = fps.select("fp", F.posexplode(F.transform(reach, lambda m: F.col("fp").bitwiseXOR(m))).alias("i", "point"))
     rows = rows.select("fp", "point", (F.col("i") <= 64).alias("next_to"))
     heads = rows.filter("next_to").groupBy("point").agg(F.min("fp").alias("a"))
-    met = rows.join(heads, "point").filter(F.col("fp") != F.col("a"))
+    met = rows.join(merged(heads), "point").filter(F.col("fp") != F.col("a"))
     return met.select("a", F.col("fp").alias("b")).distinct()
 
 
@@ -165,9 +166,9 @@ def near_groups(docs: DataFrame, n: int = WORDS, dense: int = DENSE) -> DataFram
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = materialize(fingerprints(docs, n), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    named = fps.join(links(fps.select("fp"), dense), F.col("fp") == F.col("node"), "left")
+    named = fps.join(merged(links(fps.select("fp"), dense)), F.col("fp") == F.col("node"), "left")
     named = named.select("fp", "first", F.coalesce("label", "fp").alias("label"))
     firsts = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = materialize(named.join(firsts, "label").select("fp", "component_id"), "simhash-components")
+    classes = materialize(named.join(merged(firsts), "label").select("fp", "component_id"), "simhash-components")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return rows.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return rows.join(merged(classes), "fp").select("doc_id", digits.alias("fingerprint"), "component_id")

@@ -117,6 +117,17 @@ def test_keys_of_fingerprints_are_not_broadcast(spark, monkeypatch):
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
 
 
+def test_shared_points_and_labels_are_not_broadcast(spark, monkeypatch):
+    fps = spark.range(200).select((F.col("id") * 37 % 4096).alias("fp"))
+    plan = simhash._midpoints(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plans = written_plans(monkeypatch, simhash)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id") % 90).alias("text"))
+    got = simhash.near_groups(docs)
+    assert got.count() == 200 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 # --- prefix trie ---------------------------------------------------------------------------
 
 
