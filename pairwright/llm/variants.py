@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.plans.scale import materialize
+from pairwright.plans.scale import materialize, merged
 
 LENGTH = 5
 SEEN = 3
@@ -124,7 +124,7 @@ def blocks(words: DataFrame, tile: int = TILE) -> DataFrame:
         # a block needs a word of the shorter length, and another one
         sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bool_or(F.octet_length("w") == F.col("s")).alias("short"))
         sizes = sizes.filter((F.col("size") > 1) & F.col("short")).drop("short")
-        met = materialize(keyed.join(sizes, "key"), "word-blocks")
+        met = materialize(keyed.join(merged(sizes), "key"), "word-blocks")
         large = (F.col("size") > tile) & (F.col("b") - F.col("a") > 1)
         fit = met.filter(~large).drop("size")
         done = fit if done is None else done.unionByName(fit)
@@ -276,7 +276,7 @@ def roots(forms: DataFrame) -> DataFrame:
     ends = forms.select("w", F.col("form").alias("root"))
     while True:
         further = ends.select(F.col("w").alias("root"), F.col("root").alias("next"))
-        ends = ends.join(further, "root", "left").select("w", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        ends = ends.join(merged(further), "root", "left").select("w", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         ends = materialize(ends, "word-roots")
         if ends.filter("moved").isEmpty():
             return ends.drop("moved")
@@ -287,7 +287,7 @@ def spelling_variants(docs: DataFrame, tile: int = TILE) -> DataFrame:
     words = materialize(vocabulary(docs), "vocabulary")
     near = materialize(neighbours(words, tile), "near-words")
     larger = F.col("best_n") >= 2 * F.col("n")
-    named = words.join(near, "w", "left").select(
+    named = words.join(merged(near), "w", "left").select(
         "w", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
         F.when(larger, F.col("best")).alias("form"), F.when(larger, F.col("best_n")).alias("form_n"),
     )
@@ -297,7 +297,7 @@ def spelling_variants(docs: DataFrame, tile: int = TILE) -> DataFrame:
     def text(c: str) -> Column:
         return F.decode(F.col(c), "ISO-8859-1")
 
-    return named.join(ends, "w", "left").select(
+    return named.join(merged(ends), "w", "left").select(
         text("w").alias("word"), "n", "n_near", text("form").alias("form"), "form_n",
         F.coalesce(text("root"), text("w")).alias("root"),
     )

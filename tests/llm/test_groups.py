@@ -285,6 +285,16 @@ def test_blocks_of_every_size(spark):
         assert got.get(w) == want
 
 
+def test_words_and_blocks_are_not_broadcast(spark, monkeypatch):
+    plans = written_plans(monkeypatch, variants)
+    words = [f"{a}{b}ouse{c}" for a in "abcd" for b in "ef" for c in ("", "s")]
+    rows = [(f"{w} " * (k % 5 + 3),) for k, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "text string").withColumn("doc_id", F.xxhash64("text"))
+    got = variants.spelling_variants(docs, tile=4)
+    assert got.count() >= len(words) - 1 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
 # --- queries -------------------------------------------------------------------------------
 
 
