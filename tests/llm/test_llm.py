@@ -6,11 +6,14 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -307,6 +310,43 @@ def test_a_large_host_of_unmarked_pages_against_plain_counting(spark):
     assert got == want and sum(map(len, got.values())) < sum(len(" ".join(t)) for t in pages.values())
 
 
+def test_pages_that_stopped_the_parser():
+    """References of thousands of digits, a tag of a million characters that is not closed, many elements left open."""
+    far, near = "9" * 5000, "0" * 5000 + "65"
+    assert html_text.blocks(f"<p>a&#{far};b &#{near}; &#{near[:-2]}; &#65;</p>") == [(False, "a\ufffdb A \ufffd A")]
+    tracemalloc.start()
+    assert html_text.blocks("<p>x</p><a " + "y " * 500_000) == [(False, "x")]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30_000_000
+    began = time.process_time()
+    assert html_text.blocks("<p>x" + "<div>" * 20_000 + "</p>" * 20_000) == [(False, "x")]
+    assert time.process_time() - began < 4
+
+
+def test_pages_are_read_in_parts_of_a_batch(monkeypatch):
+    pages = [None, "<p>one</p>", "", "<article>two</article>x", "<p>three</p>" * 9, None, "<p>four</p>"]
+    batch = pd.DataFrame({"page_id": range(7), "url": None, "host": "b", "html": pages})
+    whole = [*html_text._parsed([batch])]
+    monkeypatch.setattr(html_text, "VOLUME", 30)
+    parts = [*html_text._parsed([batch, batch.iloc[:0]])]
+    assert len(whole) == 1 and len(parts) > 2 and pd.concat(parts).equals(whole[0])
+    assert whole[0]["texts"].tolist() == [[], ["one"], [], ["two"], ["three"] * 9, [], ["four"]]
+    assert whole[0]["size"].tolist() == [0, 3, 0, 3, 45, 0, 4] and [*html_text._parsed([batch.iloc[[0, 5]]])][0]["marked"].tolist() == [False] * 2
+
+
+def test_long_pages_of_a_host_are_looked_at_in_more_groups(spark, monkeypatch):
+    written, write = {}, html_text.materialize
+    monkeypatch.setattr(html_text, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    lead = "a lead in of ten words that every page repeats"
+    own = {k: " ".join(f"p{k}w{i}" for i in range(200)) for k in range(12)}
+    rows = [(k, "http://b/", f"<p>{lead}</p><p>{t}</p>") for k, t in own.items()] + [(20, "http://b/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in html_text.extract(pages, volume=4000).collect()}
+    assert got == own | {20: ""}
+    assert written["hosts"].first().parts == -(-sum(len(lead) + len(t) for t in own.values()) // 4000) > 1
+
+
 def test_surrogates(spark, odd, none):
     text = "Mail a.b@c.org, call +1 (319) 555-5132 or +1 319 555 5132. Card 4111111111111111 at 10.0.0.1; Frau Anna Schmidt, password=hunter22x"
     docs = spark.createDataFrame([(1, text), (2, text), (3, "clean text 12"), (4, None)], "doc_id long, text string")
